@@ -11,16 +11,27 @@ from vigia.functions.text import strip
 DAY_FIRST = r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})(?=$|[ T])"
 
 
-def day_first_timestamp(c: Column) -> Column:
-    """'07/01/2024', '7/1/2024 13:45[:00]' or ISO text -> timestamp_ntz, bad text null.
+def iso_text(c: Column) -> Column:
+    """'07/01/2024 13:45' -> '2024-01-07 13:45'; other texts stay as they are.
 
-    The text is put into ISO order and cast once. Trying one pattern after the other costs a
-    Java exception per miss, and goes through the session time zone, which moves midnights
-    that daylight saving skipped.
+    The usual layout, dd/mm/yyyy, is rearranged by position; the pattern is for the others.
     """
-    iso = F.regexp_replace(strip(c), DAY_FIRST, "$3-$2-$1")
-    whole_date = (F.substring(iso, 5, 1) == "-") & (F.length(iso) >= 8)
-    return F.when(whole_date, iso.try_cast("timestamp_ntz"))
+    usual = (F.substring(c, 3, 1) == "/") & (F.substring(c, 6, 1) == "/")
+    parts = (F.substring(c, 7, 4), F.lit("-"), F.substring(c, 4, 2), F.lit("-"), F.substring(c, 1, 2))
+    rearranged = F.concat(*parts, F.substring(c, 11, 32))
+    return F.when(usual, rearranged).otherwise(F.regexp_replace(c, DAY_FIRST, "$3-$2-$1"))
+
+
+def iso_timestamp(c: Column) -> Column:
+    """ISO text with a whole date to timestamp_ntz, null when there is no such date."""
+    whole_date = (F.substring(c, 5, 1) == "-") & (F.length(c) >= 8)
+    return F.when(whole_date, c.try_cast("timestamp_ntz"))
+
+
+# Steps from day-first text ('07/01/2024', '7/1/2024 13:45[:00]') or ISO text to a timestamp
+# without zone. Trying one pattern after the other would cost an exception per miss, and go
+# through the session time zone, which moves midnights that daylight saving skipped.
+DAY_FIRST_TIMESTAMP = (strip, iso_text, iso_timestamp)
 
 
 def weekday(c: Column) -> Column:

@@ -9,20 +9,32 @@ from vigia.functions.text import strip
 from vigia.model import LATITUDE_RANGE, LONGITUDE_RANGE
 
 
-def decimal_comma(c: Column) -> Column:
-    """'-23,55' or '-23.55' -> double, anything else null.
+# A number as exports write it. Java would also read '1d', hexadecimal floats and NaN.
+NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
-    Java also reads '1d', hexadecimal floats, NaN and Infinity; none of them is a number in
-    an export, so only texts made of decimal digits, signs, point and exponent are cast.
+INT_RANGE = (-(2**31), 2**31 - 1)
+
+
+def point_text(c: Column) -> Column:
+    """'-23,55' -> '-23.55'"""
+    return F.replace(strip(c), F.lit(","), F.lit("."))
+
+
+def number(c: Column) -> Column:
+    """Text to double, null when it is no number. Testing first is cheap, a failed cast is
+    an exception inside the executor.
     """
-    text = F.translate(strip(c), ",", ".")
-    return F.when(F.translate(text, "0123456789+-.eE", "") == "", text.try_cast("double"))
+    return F.when(c.rlike(NUMBER), c.try_cast("double"))
+
+
+def whole(c: Column) -> Column:
+    """Double to int, null for fractions and overflow."""
+    return F.when((c == F.floor(c)) & c.between(*INT_RANGE), c.cast("int"))
 
 
-def whole_number(c: Column) -> Column:
-    """'2024' or '2024.0' -> int; fractions, overflow and other texts null."""
-    number = decimal_comma(c)
-    return F.when(number == F.floor(number), number.try_cast("int"))
+# Steps from text with decimal comma or point to a double; and further to an int.
+DECIMAL_COMMA = (point_text, number)
+WHOLE_NUMBER = (point_text, number, whole)
 
 
 def inside_box(latitude: Column, longitude: Column) -> Column:

@@ -9,6 +9,7 @@ from vigia.model import MONTH_LABELS, NULL_TOKENS, WEEKDAY_LABELS
 
 # Every character Python's str.strip() removes, no-break spaces included.
 WHITESPACE = "".join(c for c in map(chr, range(0x3100)) if c.isspace())
+ASCII_WHITESPACE = "".join(c for c in WHITESPACE if c.isascii())
 
 # Accented capitals of Portuguese and what they are folded to.
 ACCENTED = "ÁÀÂÃÄÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÇÑ"
@@ -16,16 +17,21 @@ UNACCENTED = "AAAAAEEEEIIIIOOOOOUUUUCN"
 
 
 def strip(c: Column) -> Column:
-    return F.trim(c, F.lit(WHITESPACE))
+    """Without white space at both ends. Pure ASCII texts are spared the long search."""
+    ascii_only = F.octet_length(c) == F.char_length(c)
+    return F.when(ascii_only, F.trim(c, F.lit(ASCII_WHITESPACE))).otherwise(F.trim(c, F.lit(WHITESPACE)))
+
+
+def upper_stripped(c: Column) -> Column:
+    return F.upper(strip(c))
 
 
 def null_tokens(c: Column) -> Column:
     return F.when(~c.isin(*NULL_TOKENS), c)
 
 
-def standard_text(c: Column) -> Column:
-    """Upper case, stripped, with the texts that mean "missing" turned into null."""
-    return null_tokens(F.upper(strip(c)))
+# Steps to standard text: upper case, stripped, null where the text means "missing".
+STANDARD_TEXT = (upper_stripped, null_tokens)
 
 
 def without_accents(c: Column) -> Column:

@@ -2,17 +2,32 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vigia.functions.dates import day_first_timestamp
-from vigia.functions.numbers import decimal_comma, inside_box, whole_number
-from vigia.functions.text import standard_text
+from vigia.functions.dates import DAY_FIRST_TIMESTAMP
+from vigia.functions.numbers import DECIMAL_COMMA, WHOLE_NUMBER, inside_box
+from vigia.functions.text import STANDARD_TEXT
 from vigia.model import DEFAULT, Columns
 
+Steps = Sequence[Callable[[Column], Column]]
+
+
+def in_steps(df: DataFrame, columns: Mapping[str, Steps]) -> DataFrame:
+    """Replace each column by its steps, all first steps in one projection, then the second.
+
+    A step uses its input more than once; as one nested expression the inner steps would be
+    evaluated once per use, which Spark does not share between branches of a condition.
+    """
+    for i in range(max(map(len, columns.values()), default=0)):
+        df = df.withColumns(
+            {c: steps[i](F.col(c)) for c, steps in columns.items() if i < len(steps)}
+        )
+    return df
+
 
 def text_columns(df: DataFrame, cols: Columns = DEFAULT) -> list[str]:
     """String columns that are not keys, dates, numbers or coordinates."""
@@ -23,34 +38,39 @@ def text_columns(df: DataFrame, cols: Columns = DEFAULT) -> list[str]:
 
 
 def clean_text(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.withColumns({c: standard_text(F.col(c)) for c in columns})
+    """Upper case, stripped, texts that mean "missing" to null."""
+    return in_steps(df, dict.fromkeys(columns, STANDARD_TEXT))
+
+
+def null_outside_box(df: DataFrame, cols: Columns = DEFAULT) -> DataFrame:
+    """A pair of coordinates outside the box becomes null, its row stays."""
+    valid = inside_box(*map(F.col, cols.coordinates))
+    return df.withColumns({c: F.when(valid, F.col(c)) for c in cols.coordinates})
 
 
 def clean_coordinates(df: DataFrame, cols: Columns = DEFAULT) -> DataFrame:
-    """Decimal-comma text to doubles; a pair outside the box becomes null, its row stays."""
-    latitude, longitude = cols.coordinates
-    parsed = df.withColumns({c: decimal_comma(F.col(c)) for c in cols.coordinates})
-    valid = inside_box(F.col(latitude), F.col(longitude))
-    return parsed.withColumns({c: F.when(valid, F.col(c)) for c in cols.coordinates})
+    """Decimal-comma text to doubles inside the box."""
+    return null_outside_box(in_steps(df, dict.fromkeys(cols.coordinates, DECIMAL_COMMA)), cols)
 
 
 def clean_timestamps(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.withColumns({c: day_first_timestamp(F.col(c)) for c in columns})
+    """Day-first text to timestamps, bad dates to null."""
+    return in_steps(df, dict.fromkeys(columns, DAY_FIRST_TIMESTAMP))
 
 
 def clean_integers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.withColumns({c: whole_number(F.col(c)) for c in columns})
+    """'2024' and '2024.0' to ints, everything else to null."""
+    return in_steps(df, dict.fromkeys(columns, WHOLE_NUMBER))
 
 
 def clean(df: DataFrame, cols: Columns = DEFAULT, text: Sequence[str] | None = None) -> DataFrame:
-    """All cleaning steps on whatever of their columns is present; no shuffle."""
-
-    def present(names: Sequence[str]) -> list[str]:
-        return [c for c in names if c in df.columns]
-
-    out = clean_text(df, text_columns(df, cols) if text is None else present(text))
-    out = clean_timestamps(out, present(cols.timestamps))
-    out = clean_integers(out, present(cols.integers))
-    if len(present(cols.coordinates)) == 2:
-        out = clean_coordinates(out, cols)
-    return out
+    """All of it, on whatever of the columns is present; no shuffle."""
+    texts = text_columns(df, cols) if text is None else text
+    steps = {
+        **dict.fromkeys(texts, STANDARD_TEXT),
+        **dict.fromkeys(cols.timestamps, DAY_FIRST_TIMESTAMP),
+        **dict.fromkeys(cols.integers, WHOLE_NUMBER),
+        **dict.fromkeys(cols.coordinates, DECIMAL_COMMA),
+    }
+    out = in_steps(df, {c: s for c, s in steps.items() if c in df.columns})
+    return null_outside_box(out, cols) if set(cols.coordinates) <= set(df.columns) else out

@@ -36,6 +36,12 @@ def one_per_key(df: DataFrame, cols: Columns = DEFAULT) -> DataFrame:
     return grouped.select(*columns, "copies")
 
 
+def keyed_and_keyless(df: DataFrame, cols: Columns = DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """Rows with a whole key; and the others, one "copy" each."""
+    whole = all_of(F.col(c).isNotNull() for c in cols.keys)
+    return df.where(whole), df.where(~whole).withColumn("copies", F.lit(1).cast("long"))
+
+
 def dedup_counted(df: DataFrame, cols: Columns = DEFAULT, keep_null_keys: bool = False) -> DataFrame:
     """Surviving rows with their number of copies.
 
@@ -44,9 +50,8 @@ def dedup_counted(df: DataFrame, cols: Columns = DEFAULT, keep_null_keys: bool =
     """
     if not keep_null_keys:
         return one_per_key(df, cols)
-    whole = all_of(F.col(c).isNotNull() for c in cols.keys)
-    keyless = df.where(~whole).withColumn("copies", F.lit(1).cast("long"))
-    return one_per_key(df.where(whole), cols).unionByName(keyless)
+    keyed, keyless = keyed_and_keyless(df, cols)
+    return one_per_key(keyed, cols).unionByName(keyless)
 
 
 def dedup(df: DataFrame, cols: Columns = DEFAULT, keep_null_keys: bool = False) -> DataFrame:
@@ -60,10 +65,15 @@ def dedup_any(df: DataFrame, keys: Sequence[str] = DEFAULT.keys) -> DataFrame:
 
 def dedup_counts(df: DataFrame, cols: Columns = DEFAULT, keep_null_keys: bool = False) -> DataFrame:
     """Rows in, rows kept, rows removed, percent kept; only the key columns are read."""
-    kept = dedup_counted(df.select(*cols.keys), cols, keep_null_keys) if keep_null_keys else (
-        df.groupBy(*cols.keys).agg(F.count("*").alias("copies"))
-    )
-    return summarise_copies(kept)
+    keys = df.select(*cols.keys)
+    if not keep_null_keys:
+        return summarise_copies(copies_per_key(keys, cols))
+    keyed, keyless = keyed_and_keyless(keys, cols)
+    return summarise_copies(copies_per_key(keyed, cols).unionByName(keyless))
+
+
+def copies_per_key(df: DataFrame, cols: Columns = DEFAULT) -> DataFrame:
+    return df.groupBy(*cols.keys).agg(F.count("*").alias("copies"))
 
 
 def summarise_copies(kept: DataFrame) -> DataFrame:

@@ -2,40 +2,29 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigia.functions.text import standard_text, without_accents
+from vigia.functions.text import STANDARD_TEXT, without_accents
 from vigia.model import DEFAULT, Columns
+from vigia.operators.clean import in_steps
 
 # Short forms of the capital's name without accents, and the full form.
 CAPITAL_ALIASES = {"S.PAULO": "SAO PAULO", "S. PAULO": "SAO PAULO", "SP": "SAO PAULO"}
 
 
-def plain_name(c: Column, aliases: Mapping[str, str] | None = None) -> Column:
-    """Upper case, stripped, without accents, short forms spelled out."""
-    aliases = CAPITAL_ALIASES if aliases is None else aliases
-    name = without_accents(standard_text(c))
-    if not aliases:
-        return name
-    pairs = F.create_map(*(F.lit(x) for pair in aliases.items() for x in pair))
-    return F.coalesce(F.try_element_at(pairs, name), name)
-
-
 def normalise_names(df: DataFrame, aliases: DataFrame | None = None, column: str = DEFAULT.city) -> DataFrame:
-    """Put place names into one spelling.
+    """Put place names into one spelling: upper case, no accents, short forms spelled out.
 
-    A long alias list comes as a DataFrame (alias, name). It is reduced to one name per alias
-    and joined without a hint: Spark broadcasts it when its measured size allows and
-    otherwise shuffles, splitting hot names.
+    A longer alias list comes as a DataFrame (alias, name). It is reduced to one name per
+    alias and joined without a hint: Spark broadcasts it when its size allows and otherwise
+    shuffles, splitting hot names.
     """
+    plain = in_steps(df, {column: (*STANDARD_TEXT, without_accents)})
     if aliases is None:
-        return df.withColumn(column, plain_name(F.col(column)))
+        return plain.replace(CAPITAL_ALIASES, subset=[column])
     one_name = aliases.groupBy(F.col("alias").alias("_alias")).agg(F.min("name").alias("_name"))
-    named = df.withColumn(column, plain_name(F.col(column), {}))
-    joined = named.join(one_name, F.col(column) == F.col("_alias"), "left")
+    joined = plain.join(one_name, F.col(column) == F.col("_alias"), "left")
     name = F.coalesce(F.col("_name"), F.col(column))
     return joined.withColumn(column, name).drop("_alias", "_name")
 

@@ -36,6 +36,7 @@ from vigia.sources.workspace import fresh_dir
 from vigia.streaming.incremental import follow_deliveries
 
 Query = Callable[[SparkSession, str], DataFrame]
+Panel = Callable[[DataFrame], DataFrame]
 
 # The selection the combined queries share.
 SELECTION = FilterSpec(
@@ -65,30 +66,16 @@ FILTERS = {
 }
 
 
-def count_of(spec: FilterSpec) -> Query:
-    return lambda spark, d: metrics.row_count(spec.apply(capital(spark, d)), "n")
-
-
-def filter_default(spark: SparkSession, d: str) -> DataFrame:
-    base = capital(spark, d)
-    return metrics.row_count(default_filter(base).apply(base), "n")
-
-
 def filter_areas(spark: SparkSession, d: str) -> DataFrame:
     areas = {"NOME_SECCIONAL": ("SECCIONAL 1", "SECCIONAL 6"), "NOME_DEPARTAMENTO": ("DECAP",)}
     return metrics.row_count(FilterSpec(extra=areas).apply(incidents_with_area(spark, d)), "n")
 
 
-def values_of(column: str, blanks: bool = True) -> Query:
-    def query(spark: SparkSession, d: str) -> DataFrame:
-        listed = options.distinct_values(capital(spark, d), column, blanks)
-        return listed.withColumnRenamed(column, "value")
-
-    return query
-
+def values(column: str, blanks: bool = True) -> Panel:
+    def panel(df: DataFrame) -> DataFrame:
+        return options.distinct_values(df, column, blanks).withColumnRenamed(column, "value")
 
-def options_years(spark: SparkSession, d: str) -> DataFrame:
-    return options.distinct_years(capital(spark, d)).withColumnRenamed(DEFAULT.year, "value")
+    return panel
 
 
 KPI_DISTINCT = {
@@ -98,36 +85,77 @@ KPI_DISTINCT = {
 }
 
 
-def kpi_derived(spark: SparkSession, d: str) -> DataFrame:
-    figures = metrics.key_figures(SELECTION.apply(capital(spark, d)), distinct=KPI_DISTINCT)
+def selected(panel: Panel) -> Panel:
+    """The panel over the shared selection instead of everything."""
+    return lambda df: panel(SELECTION.apply(df))
+
+
+def count_of(spec: FilterSpec) -> Panel:
+    return lambda df: metrics.row_count(spec.apply(df), "n")
+
+
+def kpi_derived(df: DataFrame) -> DataFrame:
+    figures = metrics.key_figures(df, distinct=KPI_DISTINCT)
+    deltas = (f"delta_{c}" for c in metrics.COUNTED)
     return metrics.derived_figures(figures).select(
-        "outros",
-        "pct_outros",
-        "pct_geo",
-        *(f"delta_{c}" for c in metrics.COUNTED),
-        "municipios",
+        "outros", "pct_outros", "pct_geo", *deltas, "municipios"
     )
 
 
-def kpi_text(spark: SparkSession, d: str) -> DataFrame:
-    figures = metrics.key_figures(SELECTION.apply(capital(spark, d)))
-    return metrics.figure_texts(metrics.derived_figures(figures))
+def kpi_text(df: DataFrame) -> DataFrame:
+    return metrics.figure_texts(metrics.derived_figures(metrics.key_figures(df)))
 
 
-def heatmap_pivot(spark: SparkSession, d: str) -> DataFrame:
-    return reshape.weekday_matrix(breakdowns.weekday_by_period(capital(spark, d)))
+def geo_sample_folded(df: DataFrame) -> DataFrame:
+    return sampling.fold_rare_in_sample(sampling.geo_sample(df, SELECTION, seed=7), DEFAULT.heading)
 
 
-def geo_sample_folded(spark: SparkSession, d: str) -> DataFrame:
-    sample = sampling.geo_sample(capital(spark, d), SELECTION, seed=7)
-    return sampling.fold_rare_in_sample(sample, DEFAULT.heading)
+def geo_sample_prefilter(df: DataFrame) -> DataFrame:
+    return sampling.geo_sample_prefilter(df, SELECTION, seed=7)
 
 
-def rare_headings(spark: SparkSession, d: str) -> DataFrame:
-    folded = sampling.fold_rare(capital(spark, d).select(DEFAULT.heading), DEFAULT.heading)
+def rare_headings(df: DataFrame) -> DataFrame:
+    folded = sampling.fold_rare(df.select(DEFAULT.heading), DEFAULT.heading)
     return folded.groupBy("RUBRICA_PLOT").agg(F.count("*").alias("n"))
 
 
+# What a page shows, as functions of the scoped table.
+PANELS: dict[str, Panel] = {
+    "scope_count": metrics.row_count,
+    **{name: count_of(spec) for name, spec in FILTERS.items()},
+    "filter_default": lambda df: metrics.row_count(default_filter(df).apply(df), "n"),
+    "options_years": lambda df: options.distinct_years(df).withColumnRenamed("ANO", "value"),
+    "options_delegacias": values("NOME_DELEGACIA"),
+    "options_bairros": values("BAIRRO", blanks=False),
+    "options_rubricas": values("RUBRICA"),
+    "options_periodos": values("DESCR_PERIODO"),
+    "options_municipios": values("NOME_MUNICIPIO"),
+    "options_cardinality": options.option_sizes,
+    "year_bounds": selected(metrics.year_bounds),
+    "kpi_row": metrics.key_figures,
+    "kpi_row_selection": selected(metrics.key_figures),
+    "kpi_derived": selected(kpi_derived),
+    "kpi_text": selected(kpi_text),
+    "peak_month": selected(metrics.peak_month),
+    "top_rubricas": selected(lambda df: breakdowns.top_values(df, "RUBRICA")),
+    "top_bairros": lambda df: breakdowns.top_values(df, "BAIRRO", blanks=False),
+    "monthly_trend": breakdowns.monthly_trend,
+    "category_breakdown": breakdowns.category_breakdown,
+    "heatmap_long": breakdowns.weekday_by_period,
+    "heatmap_pivot": lambda df: reshape.weekday_matrix(breakdowns.weekday_by_period(df)),
+    "yoy_wide": breakdowns.theft_and_robbery_by_year,
+    "yoy_long": lambda df: reshape.years_long(breakdowns.theft_and_robbery_by_year(df)),
+    "page_counts": dashboard.page_counts,
+    "geo_sample": lambda df: sampling.geo_sample(df, SELECTION, seed=7),
+    "geo_sample_prefilter": geo_sample_prefilter,
+    "geo_sample_size": lambda df: metrics.row_count(geo_sample_prefilter(df), "points"),
+    "geo_sample_folded": geo_sample_folded,
+    "rare_headings": rare_headings,
+    "preview": selected(paging.ordered_preview),
+    "export_size": selected(sinks.export_size),
+}
+
+
 def text_cleaned(spark: SparkSession, d: str) -> DataFrame:
     raw = raw_incidents(spark, d).select("NUM_BO", "RUBRICA", "NOME_DELEGACIA")
     return clean.clean_text(raw, ["RUBRICA", "NOME_DELEGACIA"])
@@ -281,56 +309,17 @@ def sparse_columns_dropped(spark: SparkSession, d: str) -> DataFrame:
     return quality.drop_sparse_columns(base, 5.0)
 
 
-def on_capital(operator: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, d: operator(capital(spark, d))
-
-
-def on_selection(operator: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, d: operator(SELECTION.apply(capital(spark, d)))
+def on_capital(panel: Panel) -> Query:
+    return lambda spark, d: panel(capital(spark, d))
 
 
 QUERIES: dict[str, Query] = {
-    "scope_count": on_capital(metrics.row_count),
-    **{name: count_of(spec) for name, spec in FILTERS.items()},
-    "filter_default": filter_default,
+    **{name: on_capital(panel) for name, panel in PANELS.items()},
     "filter_areas": filter_areas,
-    "options_years": options_years,
-    "options_delegacias": values_of("NOME_DELEGACIA"),
-    "options_bairros": values_of("BAIRRO", blanks=False),
-    "options_rubricas": values_of("RUBRICA"),
-    "options_periodos": values_of("DESCR_PERIODO"),
-    "options_municipios": values_of("NOME_MUNICIPIO"),
-    "options_cardinality": on_capital(options.option_sizes),
-    "year_bounds": on_selection(metrics.year_bounds),
-    "kpi_row": on_capital(metrics.key_figures),
-    "kpi_row_selection": on_selection(metrics.key_figures),
-    "kpi_derived": kpi_derived,
-    "kpi_text": kpi_text,
-    "peak_month": on_selection(metrics.peak_month),
-    "top_rubricas": on_selection(lambda df: breakdowns.top_values(df, "RUBRICA")),
-    "top_bairros": on_capital(lambda df: breakdowns.top_values(df, "BAIRRO", blanks=False)),
     "top_municipios": lambda spark, d: breakdowns.top_values(
         clean_incidents(spark, d), "NOME_MUNICIPIO", blanks=False
     ),
-    "monthly_trend": on_capital(breakdowns.monthly_trend),
-    "category_breakdown": on_capital(breakdowns.category_breakdown),
-    "heatmap_long": on_capital(breakdowns.weekday_by_period),
-    "heatmap_pivot": heatmap_pivot,
-    "yoy_wide": on_capital(breakdowns.theft_and_robbery_by_year),
-    "yoy_long": on_capital(lambda df: reshape.years_long(breakdowns.theft_and_robbery_by_year(df))),
-    "page_counts": on_capital(dashboard.page_counts),
-    "geo_sample": on_capital(lambda df: sampling.geo_sample(df, SELECTION, seed=7)),
-    "geo_sample_prefilter": on_capital(
-        lambda df: sampling.geo_sample_prefilter(df, SELECTION, seed=7)
-    ),
-    "geo_sample_size": on_capital(
-        lambda df: metrics.row_count(sampling.geo_sample_prefilter(df, SELECTION, seed=7), "points")
-    ),
-    "geo_sample_folded": geo_sample_folded,
-    "rare_headings": rare_headings,
-    "preview": on_selection(paging.ordered_preview),
     "page_after": page_after,
-    "export_size": on_selection(sinks.export_size),
     "clean_text": text_cleaned,
     "clean_coords": coordinates_cleaned,
     "clean_dates": dates_cleaned,
