@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from vigia.functions.text import strip
+from vigia.functions.text import strip_ascii
 
 # Day first, separated by slash, point or dash, alone or followed by a time of day.
 DAY_FIRST = r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})(?=$|[ T])"
@@ -31,7 +31,7 @@ def iso_timestamp(c: Column) -> Column:
 # Steps from day-first text ('07/01/2024', '7/1/2024 13:45[:00]') or ISO text to a timestamp
 # without zone. Trying one pattern after the other would cost an exception per miss, and go
 # through the session time zone, which moves midnights that daylight saving skipped.
-DAY_FIRST_TIMESTAMP = (strip, iso_text, iso_timestamp)
+DAY_FIRST_TIMESTAMP = (strip_ascii, iso_text, iso_timestamp)
 
 
 def weekday(c: Column) -> Column:

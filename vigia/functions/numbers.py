@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from vigia.functions.text import strip
+from vigia.functions.text import strip_ascii
 from vigia.model import LATITUDE_RANGE, LONGITUDE_RANGE
 
 
@@ -17,7 +17,7 @@ INT_RANGE = (-(2**31), 2**31 - 1)
 
 def point_text(c: Column) -> Column:
     """'-23,55' -> '-23.55'"""
-    return F.replace(strip(c), F.lit(","), F.lit("."))
+    return F.replace(strip_ascii(c), F.lit(","), F.lit("."))
 
 
 def number(c: Column) -> Column:

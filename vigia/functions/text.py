@@ -22,6 +22,11 @@ def strip(c: Column) -> Column:
     return F.when(ascii_only, F.trim(c, F.lit(ASCII_WHITESPACE))).otherwise(F.trim(c, F.lit(WHITESPACE)))
 
 
+def strip_ascii(c: Column) -> Column:
+    """The strip of numbers and dates, which parsers accept with plain spaces only."""
+    return F.trim(c, F.lit(ASCII_WHITESPACE))
+
+
 def upper_stripped(c: Column) -> Column:
     return F.upper(strip(c))
 

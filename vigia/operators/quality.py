@@ -22,11 +22,10 @@ def coordinate_outliers(cols: Columns = DEFAULT) -> dict[str, Column]:
 def quality_report(df: DataFrame, outliers: Mapping[str, Column] | None = None) -> DataFrame:
     """Per column: rows, nulls, percent null, outliers. One pass, then one row per column."""
     outliers = coordinate_outliers() if outliers is None else outliers
-    nothing = F.lit(False)
     wide = df.agg(
         F.count("*").alias("rows"),
         *(F.count_if(F.col(c).isNull()).alias(f"nulls_{c}") for c in df.columns),
-        *(F.count_if(outliers.get(c, nothing)).alias(f"outliers_{c}") for c in df.columns),
+        *(F.count_if(test).alias(f"outliers_{c}") for c, test in outliers.items()),
     )
     lines = F.array(
         *(
@@ -35,7 +34,7 @@ def quality_report(df: DataFrame, outliers: Mapping[str, Column] | None = None)
                 F.col("rows"),
                 F.col(f"nulls_{c}").alias("nulls"),
                 share_pct(F.col(f"nulls_{c}"), F.col("rows")).alias("pct_null"),
-                F.col(f"outliers_{c}").alias("outliers"),
+                (F.col(f"outliers_{c}") if c in outliers else F.lit(0).cast("long")).alias("outliers"),
             )
             for c in df.columns
         )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vigia.model import DEFAULT, WANTED, Columns
 from vigia.operators.clean import clean
 from vigia.operators.dedup import dedup_counted, dedup_counts, dedup_counts_by
+from vigia.session import settings
 from vigia.sources.delimited import read_delimited
 from vigia.sources.sinks import balanced, save_parquet
 
@@ -35,7 +36,8 @@ def ingest(
         F.count(F.lit(1)).alias("rows_clean"),
         F.coalesce(F.sum("copies"), F.lit(0)).alias("rows_in"),
     )
-    save_parquet(counted.drop("copies"), path, mode, partition_by)
+    with settings(raw.sparkSession):
+        save_parquet(counted.drop("copies"), path, mode, partition_by)
     rows_in, rows_clean = seen.get["rows_in"], seen.get["rows_clean"]
     pct = rows_clean / rows_in * 100 if rows_in else None
     return raw.sparkSession.createDataFrame(

@@ -12,6 +12,7 @@ from vigia.model import DEFAULT, WANTED, Columns
 from vigia.operators.clean import clean
 from vigia.operators.dedup import dedup
 from vigia.operators.incremental import new_rows
+from vigia.session import settings
 from vigia.sources.delimited import charset
 from vigia.sources.sinks import append_parquet
 from vigia.sources.tables import SourceMissing, read_incidents
@@ -35,7 +36,8 @@ def land(batch: DataFrame, table_path: str, cols: Columns = DEFAULT, partition_b
         fresh = dedup(rows, cols)
     else:
         fresh = new_rows(rows, table, cols)
-    append_parquet(fresh, table_path, partition_by)
+    with settings(batch.sparkSession):
+        append_parquet(fresh, table_path, partition_by)
 
 
 def follow_deliveries(
