@@ -20,8 +20,11 @@ def first_rows(df: DataFrame, n: int, order: Sequence[Column]) -> DataFrame:
 
     A plain top-n sends n rows of every task to one last task. Here tasks are dealt into
     ``MERGE_GROUPS`` groups first; Spark keeps n rows per task before the shuffle and n per
-    group after it, so the last task sees MERGE_GROUPS * n rows whatever the input size.
+    group after it, so the last task sees MERGE_GROUPS * n rows whatever the input size. It
+    does so up to a configured n; beyond that the plain top-n is the cheaper one.
     """
+    if n > int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):
+        return df.orderBy(*order).limit(n)
     rank = F.row_number().over(Window.partitionBy("_group").orderBy(*order))
     grouped = df.withColumn("_group", F.spark_partition_id() % MERGE_GROUPS)
     heads = grouped.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank", "_group")
