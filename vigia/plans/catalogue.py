@@ -138,6 +138,9 @@ PANELS: dict[str, Panel] = {
     "kpi_text": selected(kpi_text),
     "peak_month": selected(metrics.peak_month),
     "top_rubricas": selected(lambda df: breakdowns.top_values(df, "RUBRICA")),
+    "top_rubricas_bars": selected(
+        lambda df: breakdowns.ascending(breakdowns.top_values(df, "RUBRICA"))
+    ),
     "top_bairros": lambda df: breakdowns.top_values(df, "BAIRRO", blanks=False),
     "monthly_trend": breakdowns.monthly_trend,
     "category_breakdown": breakdowns.category_breakdown,

@@ -297,6 +297,7 @@ ORACLE: dict[str, str] = {
               GROUP BY 1, 2 ORDER BY n DESC, 1, 2 LIMIT 1) AS m"""
     ),
     "top_rubricas": on_selected(top("selected", "RUBRICA")),
+    "top_rubricas_bars": on_selected(top("selected", "RUBRICA")),
     "top_bairros": on_capital(top("capital", "BAIRRO", "trim(BAIRRO) <> ''")),
     "top_municipios": on_incidents(top("incidents", "NOME_MUNICIPIO")),
     "monthly_trend": on_capital(
