@@ -87,10 +87,17 @@ def test_top_n_uses_no_full_sort(stored):
     assert "TakeOrderedAndProject" in text and "rangepartitioning" not in text
 
 
-def test_ordered_preview_cuts_before_the_shuffle(stored):
+def test_ordered_preview_neither_sorts_nor_shuffles_the_table(stored):
     text = plan(paging.ordered_preview(stored), "simple")
-    assert len(re.findall(r"WindowGroupLimit.* Partial", text)) == 1
-    assert len(re.findall(r"WindowGroupLimit.* Final", text)) == 1
+    assert "TakeOrderedAndProject" in text and f"Coalesce {paging.MERGED_TASKS}" in text
+    assert "Exchange" not in text and "Sort " not in text
+
+
+def test_bounding_the_tasks_of_an_ordered_preview_changes_no_row(stored, monkeypatch):
+    many = stored.repartition(40)
+    expected = rows(many.orderBy(*paging.total_order(many)).limit(9))
+    monkeypatch.setattr(paging, "MERGED_TASKS", 5)
+    assert rows(paging.ordered_preview(many, 9)) == expected
 
 
 def test_dedup_aggregates_before_its_only_shuffle(stored):

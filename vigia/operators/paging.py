@@ -6,29 +6,25 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigia.model import DEFAULT, Columns
 
 PREVIEW_ROWS = 200
-MERGE_GROUPS = 64
+
+# More than a cluster's cores, few enough for their first rows to be merged by one task.
+MERGED_TASKS = 20_000
 
 
 def first_rows(df: DataFrame, n: int, order: Sequence[Column]) -> DataFrame:
-    """``orderBy(order).limit(n)`` in two steps, for inputs read by very many tasks.
+    """``orderBy(order).limit(n)`` for inputs of any number of splits.
 
-    A plain top-n sends n rows of every task to one last task. Here tasks are dealt into
-    ``MERGE_GROUPS`` groups first; Spark keeps n rows per task before the shuffle and n per
-    group after it, so the last task sees MERGE_GROUPS * n rows whatever the input size. It
-    does so up to a configured n; beyond that the plain top-n is the cheaper one.
+    A top-n keeps n rows per task and merges them in one last task, so what that task gets
+    grows with the number of splits. Here at most ``MERGED_TASKS`` tasks read the input, each
+    several splits one after the other where there are more; no rows move for it.
     """
-    if n > int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):
-        return df.orderBy(*order).limit(n)
-    rank = F.row_number().over(Window.partitionBy("_group").orderBy(*order))
-    grouped = df.withColumn("_group", F.spark_partition_id() % MERGE_GROUPS)
-    heads = grouped.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank", "_group")
-    return heads.orderBy(*order).limit(n)
+    return df.coalesce(MERGED_TASKS).orderBy(*order).limit(n)
 
 
 def preview(df: DataFrame, n: int = PREVIEW_ROWS) -> DataFrame:
@@ -58,7 +54,7 @@ def after_key(key: Sequence[str], last: Sequence) -> Column:
 
 def next_page(df: DataFrame, last: Sequence, n: int = PREVIEW_ROWS, cols: Columns = DEFAULT) -> DataFrame:
     """The page behind the report key ``last`` (report year, number). Skips nothing by
-    counting, so page 1,000 costs what page 1 costs; expects unique keys.
+    counting, so page 1,000 costs what page 1 costs; expects unique keys without nulls.
     """
     key = (cols.number_year, cols.number)
     return first_rows(df.where(after_key(key, last)), n, total_order(df, cols))

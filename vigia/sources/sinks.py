@@ -40,8 +40,9 @@ def append_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -
 def export_csv(df: DataFrame, path: str, sep: str = ";", encoding: str = "utf-8") -> None:
     """All columns of the selection as text with header, written by all tasks.
 
-    Every part begins with the header. Null and empty text are both an empty field, fields are quoted only where they must be,
-    quotes inside are doubled and spaces at the ends are kept.
+    Every part begins with the header. Null and empty text are both an empty field, fields
+    are quoted only where they must be, quotes inside are doubled and spaces at the ends are
+    kept.
     """
     plain = [
         F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) if t.startswith("timestamp") else F.col(c)
