@@ -234,6 +234,14 @@ def test_landing_twice_adds_nothing(spark, tmp_path):
     assert read_incidents(spark, path).count() == 9 and rows(got) == []
 
 
+def test_landing_after_a_first_write_that_failed(spark, tmp_path):
+    (tmp_path / "t" / "_temporary" / "0").mkdir(parents=True)
+    batch = raw_frame(spark, [raw_row(NUM_BO="1", ANO_BO="2024")])
+    for _ in range(2):
+        land(batch, str(tmp_path / "t"), partition_by=("ANO_BO",))
+    assert rows(read_incidents(spark, str(tmp_path / "t")).select("NUM_BO", "ANO_BO")) == [("1", 2024)]
+
+
 def test_stream_continues_where_it_stopped(spark, tmp_path):
     folder, table, progress = tmp_path / "in", str(tmp_path / "t"), str(tmp_path / "p")
     columns = ["NUM_BO", "ANO_BO", "RUBRICA", "outra"]

@@ -6,6 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from vigia.model import CAPITAL_SPELLINGS, DEFAULT
 from vigia.operators.filters import in_scope
@@ -15,10 +16,13 @@ class SourceMissing(FileNotFoundError):
     """There is no data at the path; nothing was processed yet."""
 
 
-def read_incidents(spark: SparkSession, path: str) -> DataFrame:
-    """Lazy Parquet scan."""
+def read_incidents(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """Lazy Parquet scan. With a schema no footer is read for it, and a folder that holds no
+    finished file yet is an empty table.
+    """
+    reader = spark.read if schema is None else spark.read.schema(schema)
     try:
-        return spark.read.parquet(path)
+        return reader.parquet(path)
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":
             raise SourceMissing(path) from e

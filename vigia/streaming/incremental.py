@@ -27,11 +27,11 @@ def land(batch: DataFrame, table_path: str, cols: Columns = DEFAULT, partition_b
     """Clean one delivery and append what the table lacks.
 
     Running the same delivery again adds nothing, which makes a batch that is repeated after
-    a failure harmless.
+    a failure harmless, also one that failed before it had finished a single file.
     """
     rows = clean(batch, cols)
     try:
-        table = read_incidents(batch.sparkSession, table_path)
+        table = read_incidents(batch.sparkSession, table_path, rows.schema)
     except SourceMissing:
         fresh = dedup(rows, cols)
     else:
