@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigia.llm import byte_bpe, line_dedup, toxicity
+from vigia.llm import byte_bpe, decontaminate, jaccard_join, line_dedup, toxicity
 from vigia.llm.common import cut, table
 from vigia.llm.queries import BYTE_RANKS
 
@@ -26,6 +26,19 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by five-word shingles at 0.8 or more, the one of the smallest id stays."""
+    groups = jaccard_join.jaccard_components(docs, size=5, num=8, den=10)
+    others = groups.where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(others, "doc_id", "left_anti").select(docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    found = decontaminate.find_benchmark(docs, table(spark, sf_dir, "benchmark"))
+    return found.where(F.size("hits") == 0).select(docs.columns)
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text that is left, and whether decoding gives the text back."""
     path = public_tokenizers.path(BYTE_RANKS)
@@ -39,6 +52,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("toxicity", drop_toxic),
     ("line_dedup", drop_repeated_lines),
+    ("jaccard_join", drop_near_copies),
+    ("decontamination", drop_contaminated),
     ("byte_bpe", encode),
 ]
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, line_dedup, toxicity
+from . import byte_bpe, decontaminate, jaccard_join, line_dedup, toxicity
 from .common import importable, table
 
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -21,6 +21,20 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return jaccard_join.jaccard_components(docs, size=3, num=90, den=100)
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and benchmark item that the document holds."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_benchmark(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("hits").alias("hit")).select(
+        "doc_id", "hit.item_id", "hit.similarity", "hit.start_word", "hit.n_words", "hit.hamming"
+    )
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path = public_tokenizers.path(BYTE_RANKS)
@@ -43,6 +57,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op4_toxicity": op4_toxicity,
+    "op7_jaccard_join": op7_jaccard_join,
+    "op8_decontamination": op8_decontamination,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_line_dedup": op10_line_dedup,
 }
