@@ -4,7 +4,7 @@ Every node of the page has characters C, tags T, link characters LC and link tag
 density is C / T, adjusted by how much of the text are links compared with the page's body. The sum
 of the densities of a block's child blocks (text of its own counts as one more) is largest for the
 subtree of the article; a block without child blocks, such as a paragraph, has its own density. The
-density on the path from that node to the body is the threshold: where an article is dealt
+smallest density on the path from that node to the body is the threshold: where an article is dealt
 over several sections, the siblings of that path that are as dense, no links, and hold several
 blocks belong to it.
 

@@ -14,6 +14,7 @@ from . import (
     jaccard_join,
     line_dedup,
     multi_index,
+    substring_dedup,
     token_count,
     toxicity,
 )
@@ -33,6 +34,17 @@ def op2_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.drop_repeated_bytes(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -90,6 +102,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_multi_index": op1_multi_index,
     "op2_token_count": op2_token_count,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_html_density": op5_html_density,
     "op6_chat_format": op6_chat_format,
