@@ -1,18 +1,19 @@
 import datetime as dt
 import random
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from helpers import incidents, rows
 from pyspark.sql import functions as F
 
-from vigia.model import CLEAN_SCHEMA, WANTED
+from vigia.model import CLEAN_SCHEMA
 from vigia.operators import dedup as d
 from vigia.operators import quality
 from vigia.operators.clean import clean, clean_coordinates, text_columns
 from vigia.operators.incremental import new_rows
 from vigia.operators.places import drill_down, normalise_names, rate_per_capita
-from vigia.plans.ingest import ingest, ingest_report, ingest_report_by_file
-from vigia.session import WIDE_ROWS, settings
+from vigia.plans.ingest import ingest, ingest_files, ingest_report, ingest_report_by_file
+from vigia.session import WIDE_ROWS
 from vigia.sources.delimited import read_delimited
 from vigia.sources.sinks import append_parquet, export_csv, write_parquet
 from vigia.sources.tables import SourceMissing, is_empty, read_incidents, scoped
@@ -37,13 +38,16 @@ def test_box_edges(spark):
     assert rows(got) == list(cases.values())
 
 
+NAMES = CLEAN_SCHEMA.fieldNames()
+
+
 def raw_row(**values):
-    return {c: values.get(c) for c in WANTED}
+    return {c: values.get(c) for c in NAMES}
 
 
 def raw_frame(spark, data):
-    schema = ", ".join(f"{c} string" for c in WANTED)
-    return spark.createDataFrame([tuple(r[c] for c in WANTED) for r in data], schema)
+    schema = ", ".join(f"{c} string" for c in NAMES)
+    return spark.createDataFrame([tuple(r[c] for c in NAMES) for r in data], schema)
 
 
 def test_clean_gives_the_clean_schema(spark):
@@ -156,7 +160,12 @@ def test_files_with_another_header_are_refused(spark, tmp_path):
 
 def test_export_equals_pandas(spark, tmp_path):
     values = [("a;b", 1, 1.5), ('say "x"', None, None), ("", 2, -23.55), (None, 3, 0.1), ("  pad ", 4, 2.0)]
-    frame = spark.createDataFrame(values, "t string, n int, x double").coalesce(1)
+    exact = [1e-5, 12345678.5, 1e16, -0.0001, 123456789012345.0]
+    day, noon = dt.datetime(2024, 1, 7), dt.datetime(2024, 1, 7, 13, 45)
+    moments = [(day, noon, noon.replace(microsecond=5_000 * i), noon.replace(microsecond=i)) for i in range(5)]
+    rows_ = [(*v, x, *m) for v, x, m in zip(values, exact, moments)]
+    kinds = ", ".join(f"{c} timestamp_ntz" for c in ("day", "second", "milli", "micro"))
+    frame = spark.createDataFrame(rows_, f"t string, n int, x double, e double, {kinds}").coalesce(1)
     out = str(tmp_path / "out")
     export_csv(frame, out)
     (part,) = (tmp_path / "out").glob("part-*.csv")
@@ -187,13 +196,13 @@ def test_ingest_reports_what_it_wrote(spark, tmp_path):
     data = [raw_row(NUM_BO=str(i % 70), ANO_BO="2024.0" if i % 2 else "2024", RUBRICA="furto") for i in range(100)]
     raw = raw_frame(spark, data).repartition(5)
     path = str(tmp_path / "t")
-    assert rows(ingest(raw, path)) == [(100, 70, 30, 70.0)]
+    assert rows(ingest(raw, path)) == [(100, 70, 30, 70.0, 0)]
     assert read_incidents(spark, path).count() == 70
     assert rows(ingest_report(raw)) == [(100, 70, 30, 70.0)]
-    assert rows(ingest(raw.limit(0), str(tmp_path / "empty"))) == [(0, 0, 0, None)]
+    assert rows(ingest(raw.limit(0), str(tmp_path / "empty"))) == [(0, 0, 0, None, 0)]
     nulls = raw_frame(spark, [raw_row(NUM_BO=None, ANO_BO="2024")] * 3)
-    assert rows(ingest(nulls, str(tmp_path / "n"), keep_null_keys=True)) == [(3, 3, 0, 100.0)]
-    assert rows(ingest(raw, str(tmp_path / "by"), partition_by=("ANO_BO",))) == [(100, 70, 30, 70.0)]
+    assert rows(ingest(nulls, str(tmp_path / "n"), keep_null_keys=True)) == [(3, 3, 0, 100.0, 0)]
+    assert rows(ingest(raw, str(tmp_path / "by"), partition_by=("ANO_BO",))) == [(100, 70, 30, 70.0, 0)]
 
 
 def test_report_by_file(spark, tmp_path):
@@ -203,14 +212,56 @@ def test_report_by_file(spark, tmp_path):
     assert [(r[0].rsplit("/", 1)[1], *r[1:]) for r in got] == [("a.csv", 3, 2), ("b.csv", 1, 1)]
 
 
-def test_settings_come_back(spark):
+def test_two_ingests_at_once_leave_the_session_alone(spark, tmp_path):
     (key, _), = WIDE_ROWS.items()
     before = spark.conf.get(key)
-    with settings(spark):
-        assert spark.conf.get(key) == WIDE_ROWS[key]
+    raw = raw_frame(spark, [raw_row(NUM_BO=str(i), ANO_BO="2024") for i in range(20)])
+    with ThreadPoolExecutor(2) as pool:
+        reports = list(pool.map(lambda i: rows(ingest(raw, str(tmp_path / str(i)))), range(2)))
+    assert reports == [[(20, 20, 0, 100.0, 0)]] * 2
     assert spark.conf.get(key) == before
 
 
+def test_ingest_keeps_every_column_and_counts_records_that_do_not_fit(spark, tmp_path):
+    lines = ['1;2024;"furto', 'simples";x', "2;2024;roubo;y;surplus", "3;2024;roubo"]
+    path = raw_text(spark, tmp_path / "a", lines)
+    out = str(tmp_path / "t")
+    assert rows(ingest_files(spark, path, out, multi_line=True)) == [(3, 3, 0, 100.0, 2)]
+    got = read_incidents(spark, out).orderBy("NUM_BO")
+    assert got.columns == ["NUM_BO", "ANO_BO", "RUBRICA", "outra"]
+    assert rows(got.select("RUBRICA", "outra")) == [("FURTO\nSIMPLES", "X"), ("ROUBO", "Y"), ("ROUBO", None)]
+    with pytest.raises(Exception, match="(?i)malformed"):
+        ingest_files(spark, path, str(tmp_path / "no"), multi_line=True, fail_on_malformed=True)
+
+
+def test_charsets_are_told_apart(spark, tmp_path):
+    path = raw_text(spark, tmp_path / "a", ["1;2024;€ é;x"], encoding="cp1252")
+    assert read_delimited(spark, path, ["RUBRICA"], encoding="cp1252").first()[0] == "€ é"
+    raw_text(spark, tmp_path / "a", ["2;2024;€ é;x"], name="b.csv")
+    got = read_delimited(spark, path, ["NUM_BO", "RUBRICA"], encoding="auto")
+    assert sorted(rows(got)) == [("1", "€ é"), ("2", "€ é")]
+    with pytest.raises(Exception, match="(?i)charset|encoding"):
+        read_delimited(spark, path, encoding="cp9999").collect()
+
+
+def test_keys_are_standardised(spark):
+    data = [raw_row(NUM_BO=n, ANO_BO="2024") for n in ("1", "1 ", " 1", "nan", "None", "aB")]
+    got = sorted(rows(d.dedup(clean(raw_frame(spark, data))).select("NUM_BO")), key=str)
+    assert got == [("1",), ("aB",), (None,)]
+
+
+def test_the_survivor_is_the_fuller_row(spark):
+    frame = incidents(spark, [{"NUM_BO": "1", "RUBRICA": None}, {"NUM_BO": "1", "RUBRICA": "FURTO"}])
+    assert rows(d.dedup(frame).select("RUBRICA")) == [("FURTO",)]
+
+
+def test_landing_keeps_rows_without_keys_if_told(spark, tmp_path):
+    batch = raw_frame(spark, [raw_row(NUM_BO=None, ANO_BO="2024")] * 3)
+    for _ in range(2):
+        land(batch, str(tmp_path / "t"), keep_null_keys=True)
+    assert read_incidents(spark, str(tmp_path / "t")).count() == 6
+
+
 def test_fresh_dir_lies_in_the_shared_folder(spark):
     a, b = fresh_dir(spark, "x"), fresh_dir(spark, "x")
     assert a != b and a.startswith(spark.conf.get("spark.checkpoint.dir"))
@@ -281,4 +332,4 @@ def test_places(spark):
     assert dict(levels) == {0: 5, 1: 5, 2: 5}
     people = spark.createDataFrame([("sp", 500), ("Guarulhos", 0)], "NOME_MUNICIPIO string, population long")
     rate = {r["NOME_MUNICIPIO"]: r["rate"] for r in rate_per_capita(frame, people, 1000).collect()}
-    assert rate == {"São Paulo": None, " S. PAULO": None, "sp": 2.0, "Guarulhos": None}
+    assert rate == {"SAO PAULO": 6.0, "GUARULHOS": None}

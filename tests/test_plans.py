@@ -2,12 +2,14 @@
 
 import re
 
+import pyarrow.parquet as pq
 import pytest
 from helpers import incidents, plan, rows
 from pyspark.sql import functions as F
 
 from vigia.operators import breakdowns, dedup, metrics, options, paging, places, sampling
-from vigia.operators.clean import clean
+from vigia.model import CAPITAL_SPELLINGS
+from vigia.operators.clean import clean, clean_text
 from vigia.operators.filters import FilterSpec
 from vigia.operators.incremental import new_rows
 from vigia.plans.dashboard import page_counts
@@ -87,17 +89,61 @@ def test_top_n_uses_no_full_sort(stored):
     assert "TakeOrderedAndProject" in text and "rangepartitioning" not in text
 
 
-def test_ordered_preview_neither_sorts_nor_shuffles_the_table(stored):
+def test_ordered_preview_sends_first_rows_only(stored):
     text = plan(paging.ordered_preview(stored), "simple")
-    assert "TakeOrderedAndProject" in text and f"Coalesce {paging.MERGED_TASKS}" in text
-    assert "Exchange" not in text and "Sort " not in text
+    assert "TakeOrderedAndProject" in text and "rangepartitioning" not in text
+    limit, exchange = text.index("Partial"), text.index("Exchange hashpartitioning")
+    assert text.count("WindowGroupLimit") == 2 and exchange < limit  # below it in the tree
 
 
-def test_bounding_the_tasks_of_an_ordered_preview_changes_no_row(stored, monkeypatch):
+def test_the_last_task_of_an_ordered_preview_gets_a_bounded_number_of_rows(stored, monkeypatch):
     many = stored.repartition(40)
     expected = rows(many.orderBy(*paging.total_order(many)).limit(9))
-    monkeypatch.setattr(paging, "MERGED_TASKS", 5)
+    monkeypatch.setattr(paging, "MERGERS", 5)
     assert rows(paging.ordered_preview(many, 9)) == expected
+    merged = []
+    keep = type(many).limit
+    monkeypatch.setattr(type(many), "limit", lambda self, n: merged.append(self.count()) or keep(self, n))
+    paging.ordered_preview(many, 9)
+    assert merged == [5 * 9]
+
+
+def test_scope_skips_row_groups(spark, stored, tmp_path):
+    path = str(tmp_path / "clustered")
+    table = clean_text(stored, ["NOME_MUNICIPIO"])
+    write_parquet(table.coalesce(1), path, cluster_by=("NOME_MUNICIPIO", "MES"))
+    part = next((tmp_path / "clustered").glob("*.parquet"))
+    small = pq.read_table(part)
+    pq.write_table(small, part, row_group_size=500)
+    (tmp_path / "clustered" / f".{part.name}.crc").unlink()
+    scope = scoped(read_incidents(spark, path), standardised=True)
+    assert "In(NOME_MUNICIPIO" in plan(metrics.row_count(scope))
+    rows_read = 0
+    for group in range(pq.ParquetFile(part).metadata.num_row_groups):
+        names = pq.ParquetFile(part).metadata.row_group(group).column(small.column_names.index("NOME_MUNICIPIO"))
+        low, high = names.statistics.min, names.statistics.max
+        rows_read += low is not None and any(low <= s <= high for s in CAPITAL_SPELLINGS) and names.num_values
+    assert scope.count() <= rows_read < small.num_rows
+
+
+def test_only_the_delivered_years_of_the_table_are_read(spark, stored, tmp_path):
+    path = str(tmp_path / "by-year")
+    write_parquet(stored, path, partition_by=("ANO_BO",))
+    delivery = stored.where("ANO_BO IN (1996, 1997)")
+    fresh = new_rows(delivery, read_incidents(spark, path).select(*stored.columns))
+    text = plan(fresh)
+    assert re.search(r"PartitionFilters: \[.*ANO_BO#\d+ IN \(1996,1997\)|PartitionFilters: \[.*ANO_BO#\d+ IN \(1997,1996\)", text)
+    assert fresh.count() == 0
+
+
+def test_a_sample_has_about_its_size_of_candidates(stored, monkeypatch):
+    hashes = stored.select(sampling.row_hash(stored.columns, 1).alias("_hash"))
+    monkeypatch.setattr(sampling, "SLICE_DIGITS", 1)
+    last = sampling.last_slice(hashes, 20)
+    found = hashes.where(F.substring("_hash", 1, len(last)) <= last).count()
+    assert 20 <= found <= 40
+    expected = [r[0] for r in hashes.orderBy("_hash").limit(20).collect()]
+    assert found == hashes.where(F.col("_hash") <= expected[-1]).count() or found > 20
 
 
 def test_dedup_aggregates_before_its_only_shuffle(stored):

@@ -18,7 +18,7 @@ def iso_text(c: Column) -> Column:
     """
     usual = (F.substring(c, 3, 1) == "/") & (F.substring(c, 6, 1) == "/")
     parts = (F.substring(c, 7, 4), F.lit("-"), F.substring(c, 4, 2), F.lit("-"), F.substring(c, 1, 2))
-    rearranged = F.concat(*parts, F.substring(c, 11, 32))
+    rearranged = F.concat(*parts, F.substring(c, 11, 2**31 - 1))
     return F.when(usual, rearranged).otherwise(F.regexp_replace(c, DAY_FIRST, "$3-$2-$1"))
 
 

@@ -39,6 +39,15 @@ def null_tokens(c: Column) -> Column:
 STANDARD_TEXT = (upper_stripped, null_tokens)
 
 
+def null_words(c: Column) -> Column:
+    """``null_tokens`` whatever the case; other texts keep theirs."""
+    return F.when(~F.upper(c).isin(*NULL_TOKENS), c)
+
+
+# Steps to a key: stripped, null where the text means "missing", its letters as they are.
+KEY_TEXT = (strip, null_words)
+
+
 def without_accents(c: Column) -> Column:
     return F.translate(c, ACCENTED, UNACCENTED)
 

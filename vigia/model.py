@@ -70,9 +70,6 @@ CLEAN_SCHEMA = T.StructType(
     ]
 )
 
-# Columns kept from a raw export when the caller names none.
-WANTED = tuple(CLEAN_SCHEMA.fieldNames())
-
 # Spellings of the capital, after upper-casing and trimming.
 CAPITAL_SPELLINGS = ("S.PAULO", "SAO PAULO", "SÃO PAULO", "S. PAULO", "SP")
 

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from vigia.functions.dates import DAY_FIRST_TIMESTAMP
 from vigia.functions.numbers import DECIMAL_COMMA, WHOLE_NUMBER, inside_box
-from vigia.functions.text import STANDARD_TEXT
+from vigia.functions.text import KEY_TEXT, STANDARD_TEXT
 from vigia.model import DEFAULT, Columns
 
 Steps = Sequence[Callable[[Column], Column]]
@@ -64,9 +64,13 @@ def clean_integers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def clean(df: DataFrame, cols: Columns = DEFAULT, text: Sequence[str] | None = None) -> DataFrame:
-    """All of it, on whatever of the columns is present; no shuffle."""
+    """All of it, on whatever of the columns is present; no shuffle. Keys are stripped, and null
+    where they say so, before reports are compared by them.
+    """
     texts = text_columns(df, cols) if text is None else text
+    strings = {c for c, t in df.dtypes if t == "string"}
     steps = {
+        **dict.fromkeys((c for c in cols.keys if c in strings), KEY_TEXT),
         **dict.fromkeys(texts, STANDARD_TEXT),
         **dict.fromkeys(cols.timestamps, DAY_FIRST_TIMESTAMP),
         **dict.fromkeys(cols.integers, WHOLE_NUMBER),

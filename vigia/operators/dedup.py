@@ -13,27 +13,28 @@ from vigia.operators.filters import all_of
 
 
 def survivor_fields(df: DataFrame, cols: Columns = DEFAULT) -> list:
-    """What decides between rows of one key: earliest registration, missing ones last, then
-    the other columns in order. The fields hold every column that is not a key.
+    """What decides between rows of one key: earliest registration, then the other columns in
+    order, a missing value behind every other one. The fields hold every column that is not a key.
     """
     rest = [c for c in df.columns if c not in cols.keys]
-    first = [c for c in rest if c == cols.registered]
-    unregistered = [F.col(c).isNull().alias("_unregistered") for c in first]
-    return [*unregistered, *first, *(c for c in rest if c not in first)]
+    ordered = sorted(rest, key=lambda c: c != cols.registered)
+    return [f for i, c in enumerate(ordered) for f in (F.col(f"`{c}`").isNull().alias(f"_null_{i}"), F.col(f"`{c}`"))]
 
 
-def one_per_key(df: DataFrame, cols: Columns = DEFAULT) -> DataFrame:
-    """One row per report key and how many there were (``copies``).
+def one_per_key(df: DataFrame, cols: Columns = DEFAULT, summed: Sequence[str] = ()) -> DataFrame:
+    """One row per report key and how many there were (``copies``); ``summed`` columns are added
+    up over the copies.
 
     The survivor is the minimum of a struct, an aggregate Spark applies before the shuffle
     too: every task sends one row per key it holds, so a key (or the null key) that fills a
     third of the table reaches its reducer as one row per task. Counting comes with it.
     """
-    fields = survivor_fields(df, cols)
-    best = F.min(F.struct(*fields)).alias("_best")
-    grouped = df.groupBy(*cols.keys).agg(best, F.count("*").alias("copies"))
-    columns = [F.col(c) if c in cols.keys else F.col(f"_best.`{c}`").alias(c) for c in df.columns]
-    return grouped.select(*columns, "copies")
+    rows = df.drop(*summed)
+    best = F.min(F.struct(F.lit(0).alias("_any"), *survivor_fields(rows, cols))).alias("_best")
+    sums = [F.sum(c).alias(c) for c in summed]
+    grouped = df.groupBy(*cols.keys).agg(best, *sums, F.count("*").alias("copies"))
+    columns = [F.col(c) if c in cols.keys else F.col(f"_best.`{c}`").alias(c) for c in rows.columns]
+    return grouped.select(*columns, *summed, "copies")
 
 
 def keyed_and_keyless(df: DataFrame, cols: Columns = DEFAULT) -> tuple[DataFrame, DataFrame]:
@@ -42,16 +43,21 @@ def keyed_and_keyless(df: DataFrame, cols: Columns = DEFAULT) -> tuple[DataFrame
     return df.where(whole), df.where(~whole).withColumn("copies", F.lit(1).cast("long"))
 
 
-def dedup_counted(df: DataFrame, cols: Columns = DEFAULT, keep_null_keys: bool = False) -> DataFrame:
-    """Surviving rows with their number of copies.
+def dedup_counted(
+    df: DataFrame,
+    cols: Columns = DEFAULT,
+    keep_null_keys: bool = False,
+    summed: Sequence[str] = (),
+) -> DataFrame:
+    """Surviving rows with their number of copies and the sums of ``summed`` over them.
 
     Rows whose key is null are one group like any other, as in SQL and pandas.
     ``keep_null_keys`` lets all of them pass; they then need no shuffle.
     """
     if not keep_null_keys:
-        return one_per_key(df, cols)
+        return one_per_key(df, cols, summed)
     keyed, keyless = keyed_and_keyless(df, cols)
-    return one_per_key(keyed, cols).unionByName(keyless)
+    return one_per_key(keyed, cols, summed).unionByName(keyless)
 
 
 def dedup(df: DataFrame, cols: Columns = DEFAULT, keep_null_keys: bool = False) -> DataFrame:

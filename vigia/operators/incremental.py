@@ -5,32 +5,58 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigia.model import DEFAULT, Columns
-from vigia.operators.dedup import survivor_fields
+from vigia.operators.dedup import keyed_and_keyless, survivor_fields
+
+# Report years of a delivery that are named one by one; of more, the table's range is read.
+NAMED_YEARS = 200
+
+
+def delivered_years(delivery: DataFrame, cols: Columns = DEFAULT) -> Column:
+    """A condition on the table's report year that every key of the delivery meets.
+
+    Literals prune partitions of a table laid out by report year before anything is read, which
+    a join cannot. At most ``NAMED_YEARS`` + 1 integers come to the driver.
+    """
+    year = F.col(cols.number_year)
+    found = [r[0] for r in delivery.select(year).distinct().limit(NAMED_YEARS + 1).collect()]
+    if len(found) > NAMED_YEARS:
+        low, high = delivery.agg(F.min(year), F.max(year)).first()
+        return year.between(low, high) | year.isNull()
+    named = year.isin(*(y for y in found if y is not None))
+    return named | year.isNull() if None in found else named
 
 
 def known_keys(table: DataFrame, delivery: DataFrame, cols: Columns = DEFAULT) -> DataFrame:
     """Keys of the delivery that the table holds, null keys included.
 
-    Reads the key columns of the table only. The delivery's keys are the side that can be
-    small; without a hint Spark broadcasts them if their measured size allows and otherwise
-    shuffles both sides.
+    Reads the key columns of the delivery's report years only. The delivery's keys are the side
+    that can be small; without a hint Spark broadcasts them if their measured size allows and
+    otherwise shuffles both sides.
     """
     arriving = delivery.select(*(F.col(k).alias(f"_{k}") for k in cols.keys)).distinct()
     same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in cols.keys))
-    return table.select(*cols.keys).join(arriving, same, "left_semi")
+    held = table.where(delivered_years(delivery, cols)).select(*cols.keys)
+    return held.join(arriving, same, "left_semi")
 
 
-def new_rows(delivery: DataFrame, table: DataFrame, cols: Columns = DEFAULT) -> DataFrame:
+def new_rows(
+    delivery: DataFrame, table: DataFrame, cols: Columns = DEFAULT, keep_null_keys: bool = False
+) -> DataFrame:
     """De-duplicated rows of the delivery whose key the table does not have.
 
     Known keys and delivered rows are grouped together, so that de-duplication and the
-    comparison with the table share one shuffle and keys that occur often shrink before it.
+    comparison with the table share one shuffle and keys that occur often shrink before it. The
+    delivery is read three times (years, keys, rows): hand in one that is stored. With
+    ``keep_null_keys`` rows without a whole key all count as new.
     """
-    fields = F.struct(*survivor_fields(delivery, cols))
+    if keep_null_keys:
+        keyed, keyless = keyed_and_keyless(delivery, cols)
+        return new_rows(keyed, table, cols).unionByName(keyless.drop("copies"))
+    fields = F.struct(F.lit(0).alias("_any"), *survivor_fields(delivery, cols))
     arriving = delivery.select(*cols.keys, F.lit(False).alias("_known"), fields.alias("_row"))
     held = known_keys(table, delivery, cols).select(*cols.keys, F.lit(True).alias("_known"))
     together = arriving.unionByName(held, allowMissingColumns=True)

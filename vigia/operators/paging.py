@@ -6,25 +6,29 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigia.model import DEFAULT, Columns
 
 PREVIEW_ROWS = 200
 
-# More than a cluster's cores, few enough for their first rows to be merged by one task.
-MERGED_TASKS = 20_000
+# Tasks that merge the first rows of the scan's tasks; one more task merges theirs.
+MERGERS = 64
 
 
 def first_rows(df: DataFrame, n: int, order: Sequence[Column]) -> DataFrame:
     """``orderBy(order).limit(n)`` for inputs of any number of splits.
 
     A top-n keeps n rows per task and merges them in one last task, so what that task gets
-    grows with the number of splits. Here at most ``MERGED_TASKS`` tasks read the input, each
-    several splits one after the other where there are more; no rows move for it.
+    grows with the number of splits. Here every task keeps the first n of the rows it deals to
+    each of ``MERGERS`` groups by split; the groups are merged side by side, and the last task
+    gets n rows from each of them, whatever the input.
     """
-    return df.coalesce(MERGED_TASKS).orderBy(*order).limit(n)
+    group = F.pmod(F.spark_partition_id(), F.lit(MERGERS))
+    first = Window.partitionBy("_group").orderBy(*order)
+    ranked = df.withColumn("_group", group).withColumn("_rank", F.row_number().over(first))
+    return ranked.where(F.col("_rank") <= n).drop("_group", "_rank").orderBy(*order).limit(n)
 
 
 def preview(df: DataFrame, n: int = PREVIEW_ROWS) -> DataFrame:

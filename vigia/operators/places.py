@@ -43,13 +43,19 @@ def drill_down(df: DataFrame, cols: Columns = DEFAULT) -> DataFrame:
 
 
 def rate_per_capita(
-    df: DataFrame, population: DataFrame, per: int = 100_000, column: str = DEFAULT.city
+    df: DataFrame,
+    population: DataFrame,
+    per: int = 100_000,
+    column: str = DEFAULT.city,
+    aliases: DataFrame | None = None,
 ) -> DataFrame:
     """Rows per ``per`` inhabitants; null where the population is unknown or zero.
 
-    Both sides have one row per place before they meet.
+    Names on both sides are put into one spelling first (``aliases`` as in ``normalise_names``),
+    so that a place has one rate. Both sides have one row per place before they meet.
     """
-    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("occurrences"))
-    people = population.groupBy(column).agg(F.sum("population").alias("population"))
+    named = normalise_names(df.select(column), aliases, column)
+    counts = named.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("occurrences"))
+    people = normalise_names(population, aliases, column).groupBy(column).agg(F.sum("population").alias("population"))
     rate = F.try_divide(F.col("occurrences"), F.col("population")) * per
     return counts.join(people, column, "left").withColumn("rate", rate)

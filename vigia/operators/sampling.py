@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from vigia.model import DEFAULT, OTHER_CATEGORY, Columns
 from vigia.operators.filters import FilterSpec
+from vigia.sources.workspace import stored
 
 SAMPLE_ROWS = 5_000
 LEGEND_VALUES = 8
+MOST_LABELS = 10_000
 
-# Slices of the hash space whose sizes are counted: four hexadecimal digits.
+# Slices of the hash space whose sizes are counted at a time: four hexadecimal digits more.
 SLICE_DIGITS = 4
+HASH_DIGITS = 32
 
 
 def row_hash(columns: Sequence[str], seed: int) -> Column:
@@ -31,26 +34,40 @@ def fixed_size_sample(
 
     One scan counts the rows per slice of the hash space, at most 16**SLICE_DIGITS counts
     whatever the input. The slices up to the one where the running count reaches n hold the
-    sample; a second scan keeps only their rows, about n and one slice. Equal rows are
-    counted instead of carried, so a row copied a billion times passes the shuffle once
-    per task. A plain top-n would merge n rows of every task in a single one.
+    sample. Where that last slice has more rows than the sample, another scan cuts it into as
+    many slices again, so that in the end about n rows are candidates; one more scan fetches
+    them. Equal rows are counted instead of carried, so a row copied a billion times passes the
+    shuffle once per task. A plain top-n would merge n rows of every task in a single one.
     """
     columns = df.columns
-    hashed = df.withColumn("_hash", row_hash(hashed_columns or columns, seed)).withColumn(
-        "_slice", F.substring("_hash", 1, SLICE_DIGITS)
-    )
-    sizes = hashed.groupBy("_slice").agg(F.count("*").alias("rows"))
-    reached = F.sum("rows").over(Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0))
-    enough = sizes.select("_slice", reached.alias("reached")).where(F.col("reached") >= n)
-    last = enough.agg(F.coalesce(F.min("_slice"), F.lit("f" * SLICE_DIGITS))).scalar()
-
-    candidates = hashed.where(F.col("_slice") <= last)
+    hashed = df.withColumn("_hash", row_hash(hashed_columns or columns, seed))
+    last = last_slice(hashed.select("_hash"), n)
+    candidates = hashed.where(F.substring("_hash", 1, len(last)) <= last)
     counted = candidates.groupBy(*columns, "_hash").agg(F.count("*").alias("copies"))
     copies = F.explode(F.sequence(F.lit(1), F.least(F.col("copies"), F.lit(n)).cast("int")))
     rows = counted.select(*columns, "_hash", copies.alias("_copy"))
     return rows.orderBy("_hash", *columns).limit(n).select(*columns)
 
 
+def last_slice(hashes: DataFrame, n: int) -> str:
+    """The prefix such that the hashes up to it are n or a few more; all "f" if there are fewer."""
+    prefix, before, digits = "", 0, 0
+    while digits < HASH_DIGITS:
+        digits += SLICE_DIGITS
+        inside = hashes.where(F.startswith("_hash", F.lit(prefix))) if prefix else hashes
+        sizes = inside.groupBy(F.substring("_hash", 1, digits).alias("slice")).agg(F.count("*").alias("rows"))
+        running = F.sum("rows").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, 0))
+        enough = sizes.select("slice", "rows", (running + before).alias("reached")).where(F.col("reached") >= n)
+        row = enough.orderBy("slice").limit(1).collect()
+        if not row:
+            return "f" * digits
+        prefix, rows = row[0]["slice"], row[0]["rows"]
+        before = row[0]["reached"] - rows
+        if rows <= n:
+            break
+    return prefix
+
+
 def geocoded(df: DataFrame, cols: Columns = DEFAULT) -> DataFrame:
     return df.where(F.col(cols.latitude).isNotNull() & F.col(cols.longitude).isNotNull())
 
@@ -89,8 +106,10 @@ def geo_sample_prefilter(
 def fold_rare(df: DataFrame, column: str, keep: int = LEGEND_VALUES) -> DataFrame:
     """Add ``<column>_PLOT``: the most frequent values, all others and null as one label.
 
-    The joined side is limited to ``keep`` rows, which bounds the broadcast.
+    The joined side is limited to ``keep`` rows, at most MOST_LABELS, which bounds the broadcast.
     """
+    if keep > MOST_LABELS:
+        raise ValueError(f"keep is over {MOST_LABELS}")
     c = F.col(column)
     counts = df.where(c.isNotNull()).groupBy(c).agg(F.count("*").alias("n"))
     frequent = counts.orderBy(F.desc("n"), F.asc(column)).limit(keep)
@@ -101,13 +120,7 @@ def fold_rare(df: DataFrame, column: str, keep: int = LEGEND_VALUES) -> DataFram
 
 
 def fold_rare_in_sample(sample: DataFrame, column: str, keep: int = LEGEND_VALUES) -> DataFrame:
-    """``fold_rare`` for a sample of fixed size, in windows over its few thousand rows, so
-    that the sample, and the scan under it, is not computed twice.
+    """``fold_rare`` of a sample that is stored first, so that the sample, and the scans under
+    it, are not computed twice.
     """
-    size = F.count(column).over(Window.partitionBy(column))
-    frequent_first = Window.orderBy(F.desc("_size"), F.asc(column))
-    ranked = sample.withColumn("_size", size).withColumn("_rank", F.dense_rank().over(frequent_first))
-    label = F.when((F.col("_rank") <= keep) & F.col(column).isNotNull(), F.col(column))
-    return ranked.withColumn(
-        f"{column}_PLOT", F.coalesce(label, F.lit(OTHER_CATEGORY))
-    ).drop("_size", "_rank")
+    return fold_rare(stored(sample, "sample"), column, keep)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vigia.model import DEFAULT
@@ -24,6 +26,9 @@ from vigia.operators import (
 from vigia.operators.filters import ALL_MONTHS, FilterSpec, default_filter
 from vigia.plans import dashboard, ingest
 from vigia.plans.testbed import (
+    CLEAN_COLUMNS,
+    DIRTY_COLUMNS,
+    RAW_DAY,
     capital,
     city_population,
     clean_incidents,
@@ -68,7 +73,7 @@ FILTERS = {
 
 def filter_areas(spark: SparkSession, d: str) -> DataFrame:
     areas = {"NOME_SECCIONAL": ("SECCIONAL 1", "SECCIONAL 6"), "NOME_DEPARTAMENTO": ("DECAP",)}
-    return metrics.row_count(FilterSpec(extra=areas).apply(incidents_with_area(spark, d)), "n")
+    return FilterSpec(extra=areas).apply(incidents_with_area(spark, d)).select(*DEFAULT.keys)
 
 
 def values(column: str, blanks: bool = True) -> Panel:
@@ -90,8 +95,19 @@ def selected(panel: Panel) -> Panel:
     return lambda df: panel(SELECTION.apply(df))
 
 
-def count_of(spec: FilterSpec) -> Panel:
-    return lambda df: metrics.row_count(spec.apply(df), "n")
+def keys_of(spec: FilterSpec) -> Panel:
+    return lambda df: spec.apply(df).select(*DEFAULT.keys)
+
+
+def placed(panel: Panel) -> Panel:
+    """The panel's few rows with their place in the order it gives them."""
+
+    def with_place(df: DataFrame) -> DataFrame:
+        rows = panel(df).withColumn("_place", F.monotonically_increasing_id())
+        place = F.row_number().over(Window.orderBy("_place")).cast("long")
+        return rows.withColumn("position", place).drop("_place")
+
+    return with_place
 
 
 def kpi_derived(df: DataFrame) -> DataFrame:
@@ -122,14 +138,16 @@ def rare_headings(df: DataFrame) -> DataFrame:
 # What a page shows, as functions of the scoped table.
 PANELS: dict[str, Panel] = {
     "scope_count": metrics.row_count,
-    **{name: count_of(spec) for name, spec in FILTERS.items()},
-    "filter_default": lambda df: metrics.row_count(default_filter(df).apply(df), "n"),
-    "options_years": lambda df: options.distinct_years(df).withColumnRenamed("ANO", "value"),
-    "options_delegacias": values("NOME_DELEGACIA"),
-    "options_bairros": values("BAIRRO", blanks=False),
-    "options_rubricas": values("RUBRICA"),
-    "options_periodos": values("DESCR_PERIODO"),
-    "options_municipios": values("NOME_MUNICIPIO"),
+    **{name: keys_of(spec) for name, spec in FILTERS.items()},
+    "filter_default": lambda df: default_filter(df).apply(df).select(*DEFAULT.keys),
+    "options_years": placed(
+        lambda df: options.distinct_years(df).withColumnRenamed("ANO", "value")
+    ),
+    "options_delegacias": placed(values("NOME_DELEGACIA")),
+    "options_bairros": placed(values("BAIRRO", blanks=False)),
+    "options_rubricas": placed(values("RUBRICA")),
+    "options_periodos": placed(values("DESCR_PERIODO")),
+    "options_municipios": placed(values("NOME_MUNICIPIO")),
     "options_cardinality": options.option_sizes,
     "year_bounds": selected(metrics.year_bounds),
     "kpi_row": metrics.key_figures,
@@ -137,12 +155,12 @@ PANELS: dict[str, Panel] = {
     "kpi_derived": selected(kpi_derived),
     "kpi_text": selected(kpi_text),
     "peak_month": selected(metrics.peak_month),
-    "top_rubricas": selected(lambda df: breakdowns.top_values(df, "RUBRICA")),
+    "top_rubricas": selected(placed(lambda df: breakdowns.top_values(df, "RUBRICA"))),
     "top_rubricas_bars": selected(
-        lambda df: breakdowns.ascending(breakdowns.top_values(df, "RUBRICA"))
+        placed(lambda df: breakdowns.ascending(breakdowns.top_values(df, "RUBRICA")))
     ),
-    "top_bairros": lambda df: breakdowns.top_values(df, "BAIRRO", blanks=False),
-    "monthly_trend": breakdowns.monthly_trend,
+    "top_bairros": placed(lambda df: breakdowns.top_values(df, "BAIRRO", blanks=False)),
+    "monthly_trend": placed(breakdowns.monthly_trend),
     "category_breakdown": breakdowns.category_breakdown,
     "heatmap_long": breakdowns.weekday_by_period,
     "heatmap_pivot": lambda df: reshape.weekday_matrix(breakdowns.weekday_by_period(df)),
@@ -203,7 +221,12 @@ def dedup_keep_null_keys(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dedup_any(spark: SparkSession, d: str) -> DataFrame:
-    return dedup.dedup_any(clean_incidents(spark, d)).select(*DEFAULT.keys)
+    """Each survivor with the number of distinct rows of the table it equals, which is one."""
+    base = clean_incidents(spark, d)
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in base.columns]
+    all_rows = base.distinct().select(*(F.col(c).alias(f"_{c}") for c in base.columns))
+    kept = dedup.dedup_any(base).join(all_rows, reduce(and_, same))
+    return kept.groupBy(*DEFAULT.keys).agg(F.count("*").alias("found"))
 
 
 def raw_file(spark: SparkSession, d: str) -> str:
@@ -250,6 +273,151 @@ def ingest_report_deliveries(spark: SparkSession, d: str) -> DataFrame:
     return dedup.dedup_counts_by(rows.withColumn("delivery", F.col("ANO_BO")), "delivery")
 
 
+def ingest_all_columns(spark: SparkSession, d: str) -> DataFrame:
+    """No columns named: the ingest keeps what the files have."""
+    out = fresh_dir(spark, "clean")
+    ingest.ingest_files(spark, raw_file(spark, d), out)
+    whole = tables.read_incidents(spark, out)
+    return whole.withColumns({c: F.col(c).cast("bigint") for c in ("l_partkey", "l_suppkey")})
+
+
+def multi_line_file(spark: SparkSession, d: str) -> str:
+    """Files whose headings hold a line break in quotes; some records lack a field, some have one
+    too many. Each file begins with a header, which the writer of plain text does not know of.
+    """
+    folder = fresh_dir(spark, "multi-line")
+    rows = raw_incidents(spark, d)
+    misfit = F.pmod(F.split("NUM_BO", "/")[0].cast("long"), F.lit(101))
+    heading = F.concat(F.lit('"Furto\nsimples '), (F.col("l_partkey") % 5).cast("string"), F.lit('"'))
+    record = F.concat_ws(";", "NUM_BO", "ANO_BO", "ANO", heading, F.lit("dp 1"))
+    line = F.when(misfit == 0, F.concat(record, F.lit(";x;y"))).when(misfit == 1, F.concat_ws(";", "NUM_BO", "ANO_BO", "ANO"))
+    lines = rows.select(F.pmod(F.xxhash64("NUM_BO"), F.lit(4)).alias("file"), F.lit(1).alias("at"), line.otherwise(record).alias("value"))
+    head = "NUM_BO;ANO_BO;ANO;RUBRICA;NOME_DELEGACIA"
+    headers = spark.range(4).select(F.col("id").alias("file"), F.lit(0).alias("at"), F.lit(head).alias("value"))
+    ordered = lines.union(headers).repartition(4, "file").sortWithinPartitions("file", "at").drop("at")
+    ordered.write.partitionBy("file").text(folder)
+    return f"{folder}/file=*"
+
+
+def ingest_multi_line(spark: SparkSession, d: str) -> DataFrame:
+    out = fresh_dir(spark, "clean")
+    return ingest.ingest_files(spark, multi_line_file(spark, d), out, multi_line=True)
+
+
+def ingest_multi_line_headings(spark: SparkSession, d: str) -> DataFrame:
+    out = fresh_dir(spark, "clean")
+    ingest.ingest_files(spark, multi_line_file(spark, d), out, multi_line=True)
+    whole = tables.read_incidents(spark, out).where(F.col("RUBRICA").isNotNull())
+    return whole.groupBy("RUBRICA").agg(F.count("*").alias("n"))
+
+
+def long_dates_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    """Times of day behind which, after many blanks, some texts go on."""
+    tail = F.when(F.col("l_partkey") % 7 == 0, F.concat(F.lit(" " * 60), F.lit("junk"))).otherwise(F.lit(" " * 60))
+    moment = F.concat("DATA_OCORRENCIA_BO", F.lit(" 13:45:00"), tail).alias("DATAHORA_REGISTRO_BO")
+    raw = raw_incidents(spark, d).select("NUM_BO", moment)
+    return clean.clean_timestamps(raw, ["DATAHORA_REGISTRO_BO"])
+
+
+def csv_export_exact(spark: SparkSession, d: str) -> DataFrame:
+    """Exported times and numbers as the file's texts."""
+    path = fresh_dir(spark, "export")
+    numbers = (1e-5, 12345678.5, 1e-4, 1e16, -2.5e-7, 1.23456789e15, -0.25, 1.5e300)
+    rows = tables.read_incidents(spark, f"{d}/lineitem.parquet")
+    noon = F.col("l_shipdate").cast("timestamp_ntz") + F.expr("INTERVAL '13:45' HOUR TO MINUTE")
+    micros = lambda n: F.make_dt_interval(secs=(F.col("l_partkey") % n).cast("decimal(18,6)") / F.lit(n))
+    exported = rows.select(
+        "l_orderkey", "l_linenumber", F.col("l_shipdate").cast("timestamp_ntz").alias("day"),
+        (noon + micros(1_000)).alias("milli"), (noon + micros(1_000_000)).alias("micro"),
+        F.element_at(F.array(*map(F.lit, numbers)), (F.col("l_partkey") % 8 + 1).cast("int")).alias("number"),
+    )
+    sinks.export_csv(exported, path)
+    read = spark.read.csv(path, sep=";", header=True, inferSchema=False)
+    return read.withColumns({"l_orderkey": F.col("l_orderkey").cast("long"), "l_linenumber": F.col("l_linenumber").cast(dict(rows.dtypes)["l_linenumber"])})
+
+
+def dedup_dirty_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers with blanks around them are one report, texts for "missing" are null keys, and of
+    equal reports the one that lacks its heading goes.
+    """
+    raw = raw_incidents(spark, d)
+    parts = {"l_orderkey": F.split("NUM_BO", "/")[0].cast("long"), "l_linenumber": F.split("NUM_BO", "/")[1].cast("int")}
+    dirty = raw.withColumns(parts).withColumns({c: F.expr(e) for c, e in DIRTY_COLUMNS.items()})
+    return dedup.dedup(clean.clean(dirty.select(*raw.columns)))
+
+
+def accented(spark: SparkSession, d: str, signs: str) -> DataFrame:
+    base = clean_incidents(spark, d)
+    return base.withColumn("RUBRICA", F.concat(F.lit(signs), F.col("RUBRICA")))
+
+
+def to_cp1252(df: DataFrame) -> DataFrame:
+    """Texts whose Latin-1 bytes are the CP1252 bytes of the given ones."""
+    back = F.translate("RUBRICA", delimited.CP1252_SIGNS, delimited.C1_CONTROLS)
+    return df.withColumn("RUBRICA", back)
+
+
+def delimited_scan_cp1252(spark: SparkSession, d: str) -> DataFrame:
+    path = fresh_dir(spark, "cp1252")
+    rows = accented(spark, d, "café €–").select("NUM_BO", "RUBRICA")
+    sinks.export_csv(to_cp1252(rows), path, encoding="latin-1")
+    return delimited.read_delimited(spark, path, encoding="cp1252")
+
+
+def delimited_scan_detected(spark: SparkSession, d: str) -> DataFrame:
+    """Years up to 1997 lie in UTF-8 files, later ones in CP1252 files of the same folder."""
+    path = fresh_dir(spark, "mixed")
+    rows = accented(spark, d, "café €").select("NUM_BO", "ANO_BO", "RUBRICA")
+    early = F.coalesce(F.col("ANO_BO") <= 1997, F.lit(True))
+    sinks.export_csv(rows.where(early), f"{path}/utf8")
+    sinks.export_csv(to_cp1252(rows.where(~early)), f"{path}/cp1252", encoding="latin-1")
+    return delimited.read_delimited(spark, [f"{path}/utf8", f"{path}/cp1252"], encoding="auto")
+
+
+def ingest_report_by_file(spark: SparkSession, d: str) -> DataFrame:
+    """One folder of files per report year, named by it."""
+    path = fresh_dir(spark, "by-file")
+    rows = raw_incidents(spark, d).select("NUM_BO", "ANO_BO")
+    year = F.substring("ANO_BO", 1, 4)
+    rows.withColumn("of", year).repartition("of").write.partitionBy("of").option("header", True).option("sep", ";").csv(path)
+    report = ingest.ingest_report_by_file(delimited.read_delimited(spark, f"{path}/of=*"))
+    return report.withColumn("file", F.regexp_extract("file", r"of=(\d+)", 1))
+
+
+def source_states(spark: SparkSession, d: str) -> DataFrame:
+    """What readers see before there is data, of an empty table and of a table."""
+    rows = clean_incidents(spark, d)
+    empty, full = fresh_dir(spark, "empty"), fresh_dir(spark, "full")
+    sinks.write_parquet(rows.limit(0), empty)
+    sinks.write_parquet(rows, full)
+    states = []
+    for name, path in (("missing", fresh_dir(spark, "nothing")), ("empty", empty), ("table", full)):
+        try:
+            table = tables.read_incidents(spark, path)
+            raised = False
+        except tables.SourceMissing:
+            table, raised = rows.limit(0), True
+        seen = {"source": name, "raised": raised, "empty": tables.is_empty(table)}
+        states.append(table.agg(F.count("*").alias("rows")).withColumns({c: F.lit(v) for c, v in seen.items()}))
+    return reduce(lambda a, b: a.unionByName(b), states)
+
+
+def preview_any(spark: SparkSession, d: str) -> DataFrame:
+    """How many rows an unordered preview has, and how many of them the selection holds."""
+    rows = SELECTION.apply(capital(spark, d)).select(*DEFAULT.keys, "RUBRICA", "BAIRRO")
+    shown = paging.preview(rows)
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in rows.columns]
+    known = rows.distinct().select(*(F.col(c).alias(f"_{c}") for c in rows.columns))
+    kept = shown.join(known, reduce(and_, same), "left").withColumn("known", F.col("_NUM_BO").isNotNull())
+    return kept.agg(F.count("*").alias("rows"), F.count_if("known").alias("found"))
+
+
+def heatmap_raw_dates(spark: SparkSession, d: str) -> DataFrame:
+    rows = tables.read_incidents(spark, f"{d}/lineitem.parquet")
+    days = rows.selectExpr(f"{RAW_DAY} AS DATA_OCORRENCIA_BO", f"{CLEAN_COLUMNS['DESCR_PERIODO']} AS DESCR_PERIODO")
+    return breakdowns.weekday_by_period(days)
+
+
 def parquet_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     path = fresh_dir(spark, "parquet")
     sinks.write_parquet(clean_incidents(spark, d), path)
@@ -268,7 +436,7 @@ def append_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     base = clean_incidents(spark, d)
     early = F.col("ANO_BO") <= 1998
     sinks.append_parquet(base.where(early), path)
-    sinks.append_parquet(base.where(~early), path)
+    sinks.append_parquet(base.where(~F.coalesce(early, F.lit(False))), path)
     return metrics.row_count(tables.read_incidents(spark, path), "rows")
 
 
@@ -338,6 +506,18 @@ QUERIES: dict[str, Query] = {
     "ingest_report_lazy": ingest_report_lazy,
     "ingest_report_deliveries": ingest_report_deliveries,
     "ingest_table": ingest_table,
+    "ingest_all_columns": ingest_all_columns,
+    "ingest_multi_line": ingest_multi_line,
+    "ingest_multi_line_headings": ingest_multi_line_headings,
+    "clean_dates_long_text": long_dates_cleaned,
+    "csv_export_exact": csv_export_exact,
+    "dedup_dirty_keys": dedup_dirty_keys,
+    "delimited_scan_cp1252": delimited_scan_cp1252,
+    "delimited_scan_detected": delimited_scan_detected,
+    "ingest_report_by_file": ingest_report_by_file,
+    "source_states": source_states,
+    "preview_any": preview_any,
+    "heatmap_raw_dates": heatmap_raw_dates,
     "parquet_roundtrip": parquet_roundtrip,
     "partitioned_roundtrip": partitioned_roundtrip,
     "append_roundtrip": append_roundtrip,

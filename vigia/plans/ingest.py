@@ -7,11 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from vigia.model import DEFAULT, WANTED, Columns
+from vigia.model import DEFAULT, Columns
 from vigia.operators.clean import clean
 from vigia.operators.dedup import dedup_counted, dedup_counts, dedup_counts_by
-from vigia.session import settings
-from vigia.sources.delimited import read_delimited
+from vigia.sources.delimited import MALFORMED, read_delimited
 from vigia.sources.sinks import balanced, save_parquet
 
 
@@ -22,27 +21,33 @@ def ingest(
     mode: str = "errorifexists",
     partition_by: Sequence[str] = (),
     keep_null_keys: bool = False,
+    cluster_by: Sequence[str] = (),
 ) -> DataFrame:
     """Clean, de-duplicate and write; returns the one-row report of the run.
 
+    A column MALFORMED marks records that did not fit their header; they are counted in the
+    report, and the column is not written.
+
     The report costs no second pass. It is observed in the writing stage, behind the last
     shuffle, from the number of copies each surviving row stands for: Spark counts every
     task of that stage once, however often tasks before it are repeated.
     """
     seen = Observation()
-    kept = balanced(dedup_counted(clean(raw, cols), cols, keep_null_keys), partition_by)
-    counted = kept.observe(
+    marked = F.col(MALFORMED).isNotNull() if MALFORMED in raw.columns else F.lit(False)
+    rows = clean(raw.withColumn(MALFORMED, marked.cast("long")), cols)
+    kept = dedup_counted(rows, cols, keep_null_keys, summed=(MALFORMED,))
+    counted = balanced(kept, partition_by, cluster_by).observe(
         seen,
         F.count(F.lit(1)).alias("rows_clean"),
         F.coalesce(F.sum("copies"), F.lit(0)).alias("rows_in"),
+        F.coalesce(F.sum(MALFORMED), F.lit(0)).alias("malformed"),
     )
-    with settings(raw.sparkSession):
-        save_parquet(counted.drop("copies"), path, mode, partition_by)
-    rows_in, rows_clean = seen.get["rows_in"], seen.get["rows_clean"]
+    save_parquet(counted.drop("copies", MALFORMED), path, mode, partition_by)
+    rows_in, rows_clean, malformed = (seen.get[c] for c in ("rows_in", "rows_clean", "malformed"))
     pct = rows_clean / rows_in * 100 if rows_in else None
     return raw.sparkSession.createDataFrame(
-        [(rows_in, rows_clean, rows_in - rows_clean, pct)],
-        "rows_in long, rows_clean long, removed long, pct_retained double",
+        [(rows_in, rows_clean, rows_in - rows_clean, pct, malformed)],
+        "rows_in long, rows_clean long, removed long, pct_retained double, malformed long",
     )
 
 
@@ -50,13 +55,21 @@ def ingest_files(
     spark: SparkSession,
     source: str,
     path: str,
-    wanted: Sequence[str] | None = WANTED,
+    wanted: Sequence[str] | None = None,
     sep: str = ";",
     encoding: str = "utf-8",
+    multi_line: bool = False,
+    fail_on_malformed: bool = False,
     **options,
 ) -> DataFrame:
-    """``ingest`` of delimited files."""
-    return ingest(read_delimited(spark, source, wanted, sep, encoding), path, **options)
+    """``ingest`` of delimited files, all columns unless ``wanted`` names some.
+
+    Records that do not fit their header are counted, or fail the ingest if
+    ``fail_on_malformed``. ``multi_line`` is for quoted line breaks.
+    """
+    malformed = "fail" if fail_on_malformed else "mark"
+    raw = read_delimited(spark, source, wanted, sep, encoding, multi_line, malformed)
+    return ingest(raw, path, **options)
 
 
 def ingest_report(raw: DataFrame, cols: Columns = DEFAULT) -> DataFrame:

@@ -6,8 +6,10 @@ from vigia.plans.testbed import (
     ALIAS_COLUMNS,
     AREA_COLUMNS,
     CLEAN_COLUMNS,
+    DIRTY_COLUMNS,
     POPULATION_COLUMNS,
     RAW_COLUMNS,
+    RAW_DAY,
     select_list,
 )
 
@@ -18,7 +20,8 @@ def source(name: str, columns: dict[str, str], table: str = "lineitem") -> str:
 
 CLEAN = source("incidents", CLEAN_COLUMNS)
 RAW = source("raw", RAW_COLUMNS)
-CAPITAL = f"""{CLEAN}, capital AS (SELECT * FROM incidents
+CAPITAL = f"""{CLEAN}, capital AS (SELECT * REPLACE (upper(trim(NOME_MUNICIPIO)) AS NOME_MUNICIPIO)
+    FROM incidents
     WHERE upper(trim(NOME_MUNICIPIO)) IN ('S.PAULO', 'SAO PAULO', 'SÃO PAULO', 'S. PAULO', 'SP'))"""
 SELECTED = f"""{CAPITAL}, selected AS (SELECT * FROM capital
     WHERE ANO BETWEEN 1996 AND 1998 AND MES BETWEEN 1 AND 12
@@ -46,15 +49,21 @@ def on_raw(sql: str) -> str:
 
 
 def counted(condition: str) -> str:
-    return on_capital(f"SELECT count(*) AS n FROM capital WHERE {condition}")
+    return on_capital(f"SELECT NUM_BO, ANO_BO FROM capital WHERE {condition}")
 
 
-def listed(column: str, condition: str = "TRUE") -> str:
+def listed(column: str, condition: str = "TRUE", order: str = "value") -> str:
     return on_capital(
-        f"SELECT DISTINCT {column} AS value FROM capital WHERE {column} IS NOT NULL AND {condition}"
+        f"""SELECT value, row_number() OVER (ORDER BY {order}) AS position FROM (
+        SELECT DISTINCT {column} AS value FROM capital WHERE {column} IS NOT NULL AND {condition}) AS v"""
     )
 
 
+def placed(sql: str, order: str) -> str:
+    """The rows of a query with their place in an order."""
+    return f"SELECT *, row_number() OVER (ORDER BY {order}) AS position FROM ({sql}) AS p"
+
+
 def top(relation: str, column: str, condition: str = "TRUE", n: int = 15) -> str:
     return f"""SELECT {column}, count(*) AS occurrences FROM {relation}
         WHERE {column} IS NOT NULL AND {condition}
@@ -183,7 +192,7 @@ CLEANED_RAW = f"{RAW}, cleaned AS (SELECT {select_list(CLEANED)} FROM raw)"
 
 
 def survivors(relation: str, columns: list[str]) -> str:
-    rest = ", ".join(f"{c} NULLS FIRST" for c in columns if c not in ("NUM_BO", "ANO_BO"))
+    rest = ", ".join(f"{c} NULLS LAST" for c in columns if c not in ("NUM_BO", "ANO_BO"))
     return f"""SELECT {", ".join(columns)} FROM {relation}
         QUALIFY row_number() OVER (PARTITION BY NUM_BO, ANO_BO ORDER BY {rest}) = 1"""
 
@@ -215,16 +224,16 @@ QUALITY = " UNION ALL ".join(
 )
 
 PLAIN = "strip_accents(upper(trim(NOME_MUNICIPIO)))"
-NORMALISED = f"""SELECT CASE WHEN {PLAIN} IN ('S.PAULO', 'S. PAULO', 'SP') THEN 'SAO PAULO'
-    ELSE {PLAIN} END AS NOME_MUNICIPIO FROM incidents"""
+NAME = f"CASE WHEN {PLAIN} IN ('S.PAULO', 'S. PAULO', 'SP') THEN 'SAO PAULO' ELSE {PLAIN} END"
+NORMALISED = f"SELECT {NAME} AS NOME_MUNICIPIO FROM incidents"
 NAMED = f"""SELECT coalesce(a.name, {PLAIN}) AS NOME_MUNICIPIO FROM incidents
     LEFT JOIN (SELECT alias, min(name) AS name FROM aliases GROUP BY alias) AS a
     ON a.alias = {PLAIN}"""
 
 RATE = f"""WITH {CLEAN}, {source("people", POPULATION_COLUMNS, "customer")},
-    c AS (SELECT NOME_MUNICIPIO, count(*) AS occurrences FROM incidents
+    c AS (SELECT {NAME} AS NOME_MUNICIPIO, count(*) AS occurrences FROM incidents
           WHERE NOME_MUNICIPIO IS NOT NULL GROUP BY 1),
-    p AS (SELECT NOME_MUNICIPIO, CAST(sum(population) AS BIGINT) AS population
+    p AS (SELECT {NAME} AS NOME_MUNICIPIO, CAST(sum(population) AS BIGINT) AS population
           FROM people GROUP BY 1)
     SELECT NOME_MUNICIPIO, occurrences, population, occurrences / population * 1000 AS rate
     FROM c LEFT JOIN p USING (NOME_MUNICIPIO)"""
@@ -240,7 +249,54 @@ RAW_READ = ", ".join(
     for c in ("NUM_BO", "ANO_BO", "ANO", "MES", "RUBRICA", "NOME_DELEGACIA", "LATITUDE", "LONGITUDE")
 )
 
+DIRTY = f"""{source("dirty", {**RAW_COLUMNS, **DIRTY_COLUMNS})}, cleaned AS (SELECT {select_list({
+    **CLEANED, "NUM_BO": "CASE WHEN upper(trim(NUM_BO)) NOT IN ('NAN', 'NONE', '') THEN trim(NUM_BO) END"
+})} FROM dirty)"""
+
+LATE = "CASE WHEN l_partkey % 7 = 0 THEN NULL ELSE try_strptime(d || ' 13:45:00', '%d/%m/%Y %H:%M:%S') END"
+
+# Texts of the records that the multi-line file has: which ones do not fit their header.
+MISFITS = "l_orderkey % 101 IN (0, 1)"
+
+NEW: dict[str, str] = {
+    "ingest_all_columns": f"WITH {CLEANED_RAW} {survivors('cleaned', list(CLEANED))}",
+    "ingest_multi_line": f"""SELECT rows_in, rows_clean, rows_in - rows_clean AS removed,
+        rows_clean / rows_in * 100 AS pct_retained, malformed FROM (
+        SELECT count(*) AS rows_in, count(DISTINCT (l_orderkey, l_linenumber, year(l_shipdate))) AS rows_clean,
+        count(*) FILTER (WHERE {MISFITS}) AS malformed FROM lineitem) AS c""",
+    "ingest_multi_line_headings": """SELECT RUBRICA, count(*) AS n FROM (
+        SELECT 'FURTO' || chr(10) || 'SIMPLES ' || min(CAST(l_partkey % 5 AS VARCHAR)) AS RUBRICA
+        FROM lineitem WHERE l_orderkey % 101 <> 1
+        GROUP BY l_orderkey, l_linenumber, year(l_shipdate)) AS s GROUP BY 1""",
+    "clean_dates_long_text": f"""WITH {RAW} SELECT NUM_BO, {LATE} AS DATAHORA_REGISTRO_BO
+        FROM (SELECT *, DATA_OCORRENCIA_BO AS d FROM raw) AS r""",
+    "csv_export_exact": f"""SELECT l_orderkey, l_linenumber,
+        strftime(l_shipdate, '%Y-%m-%d') AS day,
+        strftime(l_shipdate, '%Y-%m-%d') || ' 13:45:00.' || lpad(CAST(l_partkey % 1000 AS VARCHAR), 3, '0') AS milli,
+        strftime(l_shipdate, '%Y-%m-%d') || ' 13:45:00.' || lpad(CAST(l_partkey % 1000000 AS VARCHAR), 6, '0') AS micro,
+        CASE CAST(l_partkey % 8 AS INT) WHEN 0 THEN '1e-05' WHEN 1 THEN '12345678.5' WHEN 2 THEN '0.0001'
+        WHEN 3 THEN '1e+16' WHEN 4 THEN '-2.5e-07' WHEN 5 THEN '1234567890000000.0' WHEN 6 THEN '-0.25'
+        ELSE '1.5e+300' END AS number FROM lineitem""",
+    "dedup_dirty_keys": f"WITH {DIRTY} {survivors('cleaned', list(CLEANED))}",
+    "delimited_scan_cp1252": f"""WITH {CLEAN} SELECT NUM_BO, 'caf' || chr(233) || ' ' || chr(8364) || chr(8211) || RUBRICA AS RUBRICA
+        FROM incidents""",
+    "delimited_scan_detected": f"""WITH {CLEAN} SELECT NUM_BO, ANO_BO::VARCHAR AS ANO_BO,
+        'caf' || chr(233) || ' ' || chr(8364) || RUBRICA AS RUBRICA FROM incidents""",
+    "ingest_report_by_file": f"""WITH {CLEANED_RAW} SELECT CAST(ANO_BO AS VARCHAR) AS file,
+        count(*) AS rows_in, count(DISTINCT NUM_BO) AS rows_clean FROM cleaned GROUP BY ANO_BO""",
+    "source_states": f"""WITH {CLEAN} SELECT 'missing' AS source, CAST(0 AS BIGINT) AS rows, TRUE AS raised, TRUE AS empty
+        UNION ALL SELECT 'empty', 0, FALSE, TRUE
+        UNION ALL SELECT 'table', count(*), FALSE, FALSE FROM incidents""",
+    "preview_any": on_selected(
+        "SELECT least(count(*), 200) AS rows, least(count(*), 200) AS found FROM selected"
+    ),
+    "heatmap_raw_dates": f"""SELECT CAST(dayofweek(TRY_CAST(day AS TIMESTAMP)) AS INTEGER) AS dow, DESCR_PERIODO,
+        count(*) AS occurrences FROM (SELECT {RAW_DAY} AS day, {CLEAN_COLUMNS["DESCR_PERIODO"]} AS DESCR_PERIODO
+        FROM lineitem) AS t WHERE day IS NOT NULL AND DESCR_PERIODO IS NOT NULL GROUP BY 1, 2""",
+}
+
 ORACLE: dict[str, str] = {
+    **NEW,
     "scope_count": on_capital("SELECT count(*) AS total FROM capital"),
     "filter_years": counted("ANO IN (1996, 1999)"),
     "filter_months": counted("MES IN (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12)"),
@@ -256,16 +312,16 @@ ORACLE: dict[str, str] = {
     "filter_bairros": counted("BAIRRO IN ('BAIRRO 1', 'BAIRRO 100')"),
     "filter_periodos": counted("DESCR_PERIODO = 'PELA MANHÃ'"),
     "filter_municipios": counted("NOME_MUNICIPIO IN ('SP', 'SÃO PAULO')"),
-    "filter_all": on_selected("SELECT count(*) AS n FROM selected"),
+    "filter_all": on_selected("SELECT NUM_BO, ANO_BO FROM selected"),
     "filter_none": counted("TRUE"),
     "filter_default": counted(
         """MES BETWEEN 1 AND 12 AND ANO IN (SELECT DISTINCT ANO FROM capital
         WHERE ANO IS NOT NULL ORDER BY ANO DESC LIMIT 3)"""
     ),
     "filter_areas": f"""WITH {source("areas", {**CLEAN_COLUMNS, **AREA_COLUMNS})}
-        SELECT count(*) AS n FROM areas WHERE NOME_DEPARTAMENTO = 'DECAP'
+        SELECT NUM_BO, ANO_BO FROM areas WHERE NOME_DEPARTAMENTO = 'DECAP'
         AND NOME_SECCIONAL IN ('SECCIONAL 1', 'SECCIONAL 6')""",
-    "options_years": listed("ANO"),
+    "options_years": listed("ANO", order="value DESC"),
     "options_delegacias": listed("NOME_DELEGACIA"),
     "options_bairros": listed("BAIRRO", "trim(BAIRRO) <> ''"),
     "options_rubricas": listed("RUBRICA"),
@@ -296,12 +352,17 @@ ORACLE: dict[str, str] = {
         FROM (SELECT ANO AS ano, MES AS mes, count(*) AS n FROM selected
               GROUP BY 1, 2 ORDER BY n DESC, 1, 2 LIMIT 1) AS m"""
     ),
-    "top_rubricas": on_selected(top("selected", "RUBRICA")),
-    "top_rubricas_bars": on_selected(top("selected", "RUBRICA")),
-    "top_bairros": on_capital(top("capital", "BAIRRO", "trim(BAIRRO) <> ''")),
+    "top_rubricas": on_selected(placed(top("selected", "RUBRICA"), "occurrences DESC, RUBRICA")),
+    "top_rubricas_bars": on_selected(placed(top("selected", "RUBRICA"), "occurrences, RUBRICA")),
+    "top_bairros": on_capital(
+        placed(top("capital", "BAIRRO", "trim(BAIRRO) <> ''"), "occurrences DESC, BAIRRO")
+    ),
     "top_municipios": on_incidents(top("incidents", "NOME_MUNICIPIO")),
     "monthly_trend": on_capital(
-        TREND.format(relation="capital", period="lpad(CAST(MES AS VARCHAR), 2, '0') AS period")
+        placed(
+            TREND.format(relation="capital", period="lpad(CAST(MES AS VARCHAR), 2, '0') AS period"),
+            "ANO, MES",
+        )
     ),
     "category_breakdown": on_capital(
         f"""SELECT category, occurrences, occurrences / sum(occurrences) OVER () * 100 AS pct
@@ -353,12 +414,14 @@ ORACLE: dict[str, str] = {
     "dedup_keys": on_incidents(report("incidents")),
     "dedup_rows": f"WITH {CLEANED_RAW} {survivors('cleaned', list(CLEANED))}",
     "dedup_keep_null_keys": KEEP_NULL,
-    "dedup_any": on_incidents("SELECT DISTINCT NUM_BO, ANO_BO FROM incidents"),
+    "dedup_any": on_incidents(
+        "SELECT DISTINCT NUM_BO, ANO_BO, CAST(1 AS BIGINT) AS found FROM incidents"
+    ),
     "delimited_scan": on_raw(f"SELECT {RAW_READ} FROM raw"),
     "delimited_scan_latin": on_incidents(
         "SELECT NUM_BO, RUBRICA, NOME_MUNICIPIO, DESCR_PERIODO FROM incidents"
     ),
-    "ingest_report": REPORT,
+    "ingest_report": f"SELECT *, CAST(0 AS BIGINT) AS malformed FROM ({REPORT}) AS r",
     "ingest_report_lazy": REPORT,
     "ingest_report_deliveries": f"""WITH {CLEANED_RAW} SELECT ANO_BO AS delivery,
         count(*) AS rows_in, count(DISTINCT NUM_BO) AS rows_clean FROM cleaned GROUP BY ANO_BO""",

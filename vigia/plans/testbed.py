@@ -8,7 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vigia.model import DEFAULT
+from vigia.operators.clean import clean_text
+from vigia.sources.sinks import write_parquet
 from vigia.sources.tables import read_incidents, scoped
+from vigia.sources.workspace import fresh_dir
 
 
 def text(x: str) -> str:
@@ -69,6 +73,19 @@ RAW_COLUMNS = {
 }
 
 
+# Report numbers with blanks around them, or a word for "missing" in their place; and reports of
+# one number and year of which some lack the heading.
+DIRTY_COLUMNS = {
+    "NUM_BO": f"""CASE WHEN l_orderkey % 17 = 0 THEN 'nan'
+        WHEN l_linenumber % 2 = 0 THEN {text('l_orderkey')} || ' ' ELSE ' ' || {text('l_orderkey')} END""",
+    "RUBRICA": f"CASE WHEN l_linenumber = 1 THEN 'nan' ELSE 'Furto ' || {text('l_linenumber')} END",
+}
+
+# Days as texts, some of which are no date.
+RAW_DAY = """CASE WHEN l_partkey % 59 = 0 THEN 'sem data' WHEN l_partkey % 53 = 0 THEN NULL
+    ELSE CAST(CAST(l_shipdate AS DATE) AS VARCHAR(20)) END"""
+
+
 def select_list(columns: dict[str, str]) -> str:
     return ", ".join(f"{expression} AS {name}" for name, expression in columns.items())
 
@@ -86,9 +103,25 @@ def raw_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived(spark, sf_dir, "lineitem", RAW_COLUMNS)
 
 
+_TABLES: dict[tuple[str, str], str] = {}
+
+
+def incident_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The incidents as an ingest leaves them: names of places standardised, partitioned by year,
+    clustered by municipality and month. Written once per application and folder.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _TABLES:
+        path = fresh_dir(spark, "incidents")
+        rows = clean_text(clean_incidents(spark, sf_dir), [DEFAULT.city])
+        write_parquet(rows, path, partition_by=(DEFAULT.year,), cluster_by=(DEFAULT.city, DEFAULT.month))
+        _TABLES[key] = path
+    return read_incidents(spark, _TABLES[key]).select(*CLEAN_COLUMNS)
+
+
 def capital(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scoped relation most queries start from."""
-    return scoped(clean_incidents(spark, sf_dir))
+    return scoped(incident_table(spark, sf_dir), standardised=True)
 
 
 # Columns a filter by police district and department needs.

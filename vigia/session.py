@@ -1,29 +1,9 @@
-"""Session settings the wide jobs are measured with."""
+"""Session settings the wide jobs are measured with; jobs themselves change no setting."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
-from contextlib import contextmanager
-
-from pyspark.sql import SparkSession
-
 # Cleaning some forty columns in one fused stage generates a method of more than 8,000
 # bytes of bytecode, which the JVM leaves uncompiled. With this limit Spark keeps such a
 # stage in separately compiled projections; on 40 columns that is more than twice as fast.
+# For the session's builder: SparkSession.builder.config(map=WIDE_ROWS).
 WIDE_ROWS = {"spark.sql.codegen.hugeMethodLimit": "8000"}
-
-
-@contextmanager
-def settings(spark: SparkSession, values: Mapping[str, str] = WIDE_ROWS) -> Iterator[None]:
-    """Runtime settings for the jobs started inside; the former ones come back after it."""
-    before = {k: spark.conf.get(k, None) for k in values}
-    for k, v in values.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            if v is None:
-                spark.conf.unset(k)
-            else:
-                spark.conf.set(k, v)

@@ -3,45 +3,121 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
-
-from vigia.model import WANTED
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Names users know for charsets that Spark accepts under another name only.
 CHARSETS = {"latin-1": "ISO-8859-1", "latin1": "ISO-8859-1", "utf8": "UTF-8"}
 
+# Names of the charset that Spark does not read: Latin-1 but for the bytes 80 to 9F.
+CP1252 = ("cp1252", "windows-1252", "cp-1252")
+C1_CONTROLS = "".join(map(chr, range(0x80, 0xA0)))
+CP1252_SIGNS = "".join(
+    bytes([i]).decode("cp1252", errors="ignore") or chr(i) for i in range(0x80, 0xA0)
+)
+
+# Column with the text of a record that has more or fewer fields than the header, else null.
+MALFORMED = "_malformed"
+
 
 def charset(encoding: str) -> str:
     return CHARSETS.get(encoding.lower(), encoding)
 
 
+def from_latin(c: Column) -> Column:
+    """Text read as Latin-1 that is CP1252: every byte came through, 27 of them mean other signs."""
+    return F.translate(c, C1_CONTROLS, CP1252_SIGNS)
+
+
+def scan_options(sep: str, encoding: str, multi_line: bool) -> dict:
+    return {
+        "header": True,
+        "sep": sep,
+        "encoding": charset(encoding),
+        "quote": '"',
+        "escape": '"',
+        "multiLine": multi_line,
+        "enforceSchema": False,
+        "mode": "PERMISSIVE",
+        "columnNameOfCorruptRecord": MALFORMED,
+    }
+
+
+def text_schema(columns: Iterable[str], malformed: bool = False) -> T.StructType:
+    names = [*columns, *([MALFORMED] if malformed else [])]
+    return T.StructType([T.StructField(c, T.StringType()) for c in names])
+
+
+def header(spark: SparkSession, path: str | list[str], sep: str, encoding: str, multi_line: bool) -> list[str]:
+    """The first header of the files."""
+    return spark.read.options(**scan_options(sep, encoding, multi_line)).csv(path).columns
+
+
 def read_delimited(
     spark: SparkSession,
-    path: str,
-    wanted: Iterable[str] | None = WANTED,
+    path: str | list[str],
+    wanted: Iterable[str] | None = None,
     sep: str = ";",
     encoding: str = "utf-8",
     multi_line: bool = False,
+    malformed: str = "ignore",
 ) -> DataFrame:
-    """Wanted columns that the header has, every one a string.
+    """The columns of the header, or the ``wanted`` ones it has, every one a string.
 
-    The first header gives the columns; files whose header differs are refused instead of
-    being read into wrong columns. Files are split between tasks unless ``multi_line`` says
-    that quoted fields contain line breaks.
+    The first header gives the columns; files whose header differs are refused instead of being
+    read into wrong columns. Files are split between tasks unless ``multi_line`` says that quoted
+    fields contain line breaks. A record with more or fewer fields than the header keeps the
+    fields that fit; ``malformed`` says what else: "ignore", "mark" (its text in the column
+    MALFORMED) or "fail". ``encoding`` is a charset Spark reads, "cp1252", or "auto": UTF-8 for
+    the files that are valid UTF-8 throughout, CP1252 for the others.
     """
-    raw = spark.read.csv(
-        path,
-        header=True,
-        sep=sep,
-        encoding=charset(encoding),
-        quote='"',
-        escape='"',
-        multiLine=multi_line,
-        enforceSchema=False,
-        inferSchema=False,
-    )
-    return raw if wanted is None else raw.select(*present(wanted, raw))
+    if malformed not in ("ignore", "mark", "fail"):
+        raise ValueError(f"malformed is {malformed!r}")
+    if encoding.lower() == "auto":
+        return read_detected(spark, path, wanted, sep, multi_line, malformed)
+    windows = encoding.lower() in CP1252
+    read_as = "latin-1" if windows else encoding
+    columns = header(spark, path, sep, read_as, multi_line)
+    reader = spark.read.options(**scan_options(sep, read_as, multi_line))
+    if malformed == "fail":
+        reader = reader.option("mode", "FAILFAST")
+    raw = reader.schema(text_schema(columns, malformed == "mark")).csv(path)
+    if windows:
+        names = [c.translate(str.maketrans(C1_CONTROLS, CP1252_SIGNS)) for c in columns]
+        raw = raw.select(*(
+            from_latin(F.col(f"`{c}`")).alias(names[i] if i < len(names) else c)
+            for i, c in enumerate(raw.columns)
+        ))
+    if wanted is None:
+        return raw
+    marks = [MALFORMED] if malformed == "mark" else []
+    return raw.select(*present([*wanted, *marks], raw))
+
+
+def read_detected(
+    spark: SparkSession,
+    path: str | list[str],
+    wanted: Iterable[str] | None,
+    sep: str,
+    multi_line: bool,
+    malformed: str,
+) -> DataFrame:
+    """One scan tells the files apart by all their bytes; their names come to the driver."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.is_valid_utf8("value").alias("valid"))
+    files = lines.groupBy("file").agg(F.bool_and("valid").alias("valid")).orderBy("file").collect()
+    kinds = {"utf-8": [r["file"] for r in files if r["valid"]], "cp1252": [r["file"] for r in files if not r["valid"]]}
+    wanted = None if wanted is None else list(wanted)
+    parts = [
+        read_delimited(spark, names, wanted, sep, encoding, multi_line, malformed)
+        for encoding, names in kinds.items()
+        if names
+    ]
+    if not parts:
+        return read_delimited(spark, path, wanted, sep, "utf-8", multi_line, malformed)
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def present(wanted: Iterable[str], raw: DataFrame) -> list[str]:

@@ -4,18 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vigia.functions.numbers import number_text
 from vigia.operators.metrics import row_count
 from vigia.sources.delimited import charset
 
 
-def balanced(df: DataFrame, partition_by: Sequence[str]) -> DataFrame:
+def balanced(df: DataFrame, partition_by: Sequence[str], cluster_by: Sequence[str] = ()) -> DataFrame:
     """Rows gathered by partition value, or every task would write a small file into every
-    partition. A value that holds much of the table is split between several tasks.
+    partition. A value that holds much of the table is split between several tasks. Within a
+    file rows lie by ``cluster_by``, so that its row groups can be skipped by those columns.
     """
-    return df.hint("rebalance", *partition_by) if partition_by else df
+    out = df.hint("rebalance", *partition_by) if partition_by else df
+    return out.sortWithinPartitions(*partition_by, *cluster_by) if cluster_by else out
 
 
 def save_parquet(df: DataFrame, path: str, mode: str, partition_by: Sequence[str]) -> None:
@@ -26,15 +29,46 @@ def save_parquet(df: DataFrame, path: str, mode: str, partition_by: Sequence[str
 
 
 def write_parquet(
-    df: DataFrame, path: str, mode: str = "errorifexists", partition_by: Sequence[str] = ()
+    df: DataFrame,
+    path: str,
+    mode: str = "errorifexists",
+    partition_by: Sequence[str] = (),
+    cluster_by: Sequence[str] = (),
 ) -> None:
-    """Zstandard-compressed Parquet, optionally partitioned."""
-    save_parquet(balanced(df, partition_by), path, mode, partition_by)
+    """Zstandard-compressed Parquet, optionally partitioned and clustered."""
+    save_parquet(balanced(df, partition_by, cluster_by), path, mode, partition_by)
 
 
-def append_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
+def append_parquet(
+    df: DataFrame, path: str, partition_by: Sequence[str] = (), cluster_by: Sequence[str] = ()
+) -> None:
     """Add a cleaned batch to an analytic table."""
-    write_parquet(df, path, "append", partition_by)
+    write_parquet(df, path, "append", partition_by, cluster_by)
+
+
+def moment_formats(df: DataFrame) -> dict[str, str]:
+    """How each timestamp column is written: as dates if all are midnights, else with as many
+    digits of a second (none, three or six) as its finest value needs. One scan, one row.
+    """
+    times = [c for c, t in df.dtypes if t.startswith("timestamp")]
+    if not times:
+        return {}
+    micros = {c: F.unix_micros(F.col(f"`{c}`").cast("timestamp_ntz").cast("timestamp")) for c in times}
+    day, milli, second = 86_400_000_000, 1_000, 1_000_000
+    row = df.agg(*(
+        F.coalesce(F.max(F.pmod(micros[c], F.lit(unit)) > 0), F.lit(False)).alias(f"{i}_{unit}")
+        for i, c in enumerate(times)
+        for unit in (day, milli, second)
+    )).first()
+
+    def form(i: int) -> str:
+        if row[f"{i}_{milli}"]:
+            return "yyyy-MM-dd HH:mm:ss.SSSSSS"
+        if row[f"{i}_{second}"]:
+            return "yyyy-MM-dd HH:mm:ss.SSS"
+        return "yyyy-MM-dd HH:mm:ss" if row[f"{i}_{day}"] else "yyyy-MM-dd"
+
+    return {c: form(i) for i, c in enumerate(times)}
 
 
 def export_csv(df: DataFrame, path: str, sep: str = ";", encoding: str = "utf-8") -> None:
@@ -42,12 +76,18 @@ def export_csv(df: DataFrame, path: str, sep: str = ";", encoding: str = "utf-8"
 
     Every part begins with the header. Null and empty text are both an empty field, fields
     are quoted only where they must be, quotes inside are doubled and spaces at the ends are
-    kept.
+    kept. Numbers and times look as Python writes them: 1e-05, 12345678.5, dates alone where
+    a column has no time of day, fractions of a second where it has them.
     """
-    plain = [
-        F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) if t.startswith("timestamp") else F.col(c)
-        for c, t in df.dtypes
-    ]
+    formats = moment_formats(df)
+
+    def plain_text(c: str, t: str) -> Column:
+        value = F.col(f"`{c}`")
+        if c in formats:
+            return F.date_format(value, formats[c]).alias(c)
+        return number_text(value).alias(c) if t == "double" else value
+
+    plain = [plain_text(c, t) for c, t in df.dtypes]
     df.select(*plain).write.csv(
         path,
         sep=sep,

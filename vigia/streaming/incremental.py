@@ -2,42 +2,43 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from vigia.model import DEFAULT, WANTED, Columns
+from vigia.model import DEFAULT, Columns
 from vigia.operators.clean import clean
 from vigia.operators.dedup import dedup
 from vigia.operators.incremental import new_rows
-from vigia.session import settings
-from vigia.sources.delimited import charset
+from vigia.sources.delimited import header, scan_options, text_schema
 from vigia.sources.sinks import append_parquet
 from vigia.sources.tables import SourceMissing, read_incidents
+from vigia.sources.workspace import stored
 
 
-def raw_schema(columns: Iterable[str]) -> T.StructType:
-    """A stream cannot probe headers: its files have these columns, all strings."""
-    return T.StructType([T.StructField(c, T.StringType()) for c in columns])
-
-
-def land(batch: DataFrame, table_path: str, cols: Columns = DEFAULT, partition_by: Sequence[str] = ()) -> None:
-    """Clean one delivery and append what the table lacks.
+def land(
+    batch: DataFrame,
+    table_path: str,
+    cols: Columns = DEFAULT,
+    partition_by: Sequence[str] = (),
+    keep_null_keys: bool = False,
+) -> None:
+    """Clean one delivery, store it, and append what the table lacks.
 
     Running the same delivery again adds nothing, which makes a batch that is repeated after
-    a failure harmless, also one that failed before it had finished a single file.
+    a failure harmless, also one that failed before it had finished a single file. That does not
+    hold for rows without a whole key if ``keep_null_keys`` lets them all pass. A table laid out
+    by report year (``partition_by``) is read for the delivery's report years only.
     """
-    rows = clean(batch, cols)
+    rows = stored(clean(batch, cols), "delivery")
     try:
         table = read_incidents(batch.sparkSession, table_path, rows.schema)
     except SourceMissing:
-        fresh = dedup(rows, cols)
+        fresh = dedup(rows, cols, keep_null_keys)
     else:
-        fresh = new_rows(rows, table, cols)
-    with settings(batch.sparkSession):
-        append_parquet(fresh, table_path, partition_by)
+        fresh = new_rows(rows, table, cols, keep_null_keys)
+    append_parquet(fresh, table_path, partition_by)
 
 
 def follow_deliveries(
@@ -45,35 +46,34 @@ def follow_deliveries(
     folder: str,
     table_path: str,
     checkpoint: str,
-    columns: Sequence[str] = WANTED,
+    columns: Sequence[str] | None = None,
     sep: str = ";",
     encoding: str = "utf-8",
     files_per_batch: int = 100,
     cols: Columns = DEFAULT,
     partition_by: Sequence[str] = (),
+    multi_line: bool = False,
+    keep_null_keys: bool = False,
 ) -> StreamingQuery:
     """Process what is in the folder and not processed yet, then stop.
 
+    ``columns`` are the header of all files, probed in the folder if not given; every one of
+    them is kept.
+
     ``checkpoint`` must be on storage all executors share; which files are done is kept there.
     Keys are looked up in the table itself: a streaming de-duplication without watermark would
     keep every key ever seen as state.
     """
+    names = columns if columns is not None else header(spark, folder, sep, encoding, multi_line)
     deliveries = (
-        spark.readStream.schema(raw_schema(columns))
+        spark.readStream.schema(text_schema(names))
         .option("maxFilesPerTrigger", files_per_batch)
-        .csv(
-            folder,
-            header=True,
-            sep=sep,
-            encoding=charset(encoding),
-            quote='"',
-            escape='"',
-            enforceSchema=False,
-        )
+        .options(**scan_options(sep, encoding, multi_line))
+        .csv(folder)
     )
 
     def handle(batch: DataFrame, _: int) -> None:
-        land(batch, table_path, cols, partition_by)
+        land(batch, table_path, cols, partition_by, keep_null_keys)
 
     return (
         deliveries.writeStream.foreachBatch(handle)
