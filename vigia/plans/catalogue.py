@@ -37,7 +37,7 @@ from vigia.plans.testbed import (
     raw_incidents,
 )
 from vigia.sources import delimited, sinks, tables
-from vigia.sources.workspace import fresh_dir
+from vigia.sources.workspace import fresh_dir, stored
 from vigia.streaming.incremental import follow_deliveries
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -448,9 +448,13 @@ def csv_export_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def incremental_new_rows(spark: SparkSession, d: str) -> DataFrame:
-    """The table holds the first half of every year; the delivery is everything."""
-    rows = clean.clean(raw_incidents(spark, d))
-    table = rows.where(F.col("MES") <= 6)
+    """The table, laid out by report year, holds the first half of every year; the delivery is
+    everything.
+    """
+    rows = stored(clean.clean(raw_incidents(spark, d)), "delivery")
+    path = fresh_dir(spark, "held")
+    sinks.write_parquet(rows.where(F.col("MES") <= 6), path, partition_by=(DEFAULT.number_year,))
+    table = tables.read_incidents(spark, path).select(*rows.columns)
     return incremental.new_rows(rows, table)
 
 
