@@ -98,9 +98,8 @@ def neighbours(
     query's own id is not. Ties go to the smaller id; fewer candidates than ``k`` are all returned.
     Scores are inner products in double precision of the vectors as they are. Rows with a null id,
     and vectors that are null, zero, of another length than most or with a null or non-finite
-    component, take no part. Rows that repeat an id with its vector count once; one id with several
-    vectors has several entries, of which the best answers. Other columns are ignored; an empty
-    table gives an empty result.
+    component, take no part. Rows that share an id are one entry, with the smallest of their vectors.
+    Other columns are ignored; an empty table gives an empty result.
     """
     spark = vectors.sparkSession
     importable(spark)
@@ -113,7 +112,7 @@ def neighbours(
         return spark.createDataFrame([], schema)
     dim = common["dim"]
     half = dim // 2
-    rows = rows.where(usable(F.col("v"), dim)).groupBy("v", "id").agg(F.lit(1).alias("one"))
+    rows = rows.where(usable(F.col("v"), dim)).groupBy("id").agg(F.min("v").alias("v"))
     order = Window.partitionBy("v").orderBy("id")
     few = rows.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= k + 1)
     entries = few.groupBy("v").agg(F.min("id").alias("rep"), F.sort_array(F.collect_list("id")).alias("ids"))
@@ -186,9 +185,8 @@ def neighbours(
     found = found.join(entries.select("rep", "ids"), "rep").select("q", "score", F.explode("ids").alias("vec_id"))
     # k + 1 ids of each distinct query: its own id is one of them at most
     first = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
-    found = found.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= (k + 1) * 2).drop("rn")
+    found = found.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= k + 1).drop("rn")
     answer = asked.join(found, "q").where(F.col("vec_id") != F.col("query_id"))
-    answer = answer.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     last = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     answer = answer.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k)
     return answer.select("query_id", "rank", "vec_id", "score")
