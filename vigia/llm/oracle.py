@@ -1,14 +1,88 @@
 """DuckDB SQL for the queries that SQL can express over whole tables."""
 
-LINE_DEDUP = r"""
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+SUBSTRING_DEDUP = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), n AS (
+  SELECT doc_id, h, length(h) // 2 AS n_bytes FROM d
+), w AS (
+  SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s
+  FROM (SELECT doc_id, h, unnest(range(0, n_bytes - 49)) AS p FROM n WHERE n_bytes >= 50)
+), hit AS (
+  SELECT doc_id, p FROM (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY s) AS first FROM w) WHERE first < doc_id
+), begins AS (
+  SELECT doc_id, p, max(p) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+  FROM hit
+), runs AS (
+  SELECT doc_id, p, sum(CASE WHEN before IS NULL OR p > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS run
+  FROM begins
+), spans AS (
+  SELECT doc_id, min(p) AS a, max(p) + 50 AS b FROM runs GROUP BY doc_id, run
+), gaps AS (
+  SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS x, a AS y FROM spans
+  UNION ALL SELECT n.doc_id, coalesce(max(s.b), 0), n.n_bytes FROM n LEFT JOIN spans s USING (doc_id) GROUP BY n.doc_id, n.n_bytes
+), kept AS (
+  SELECT g.doc_id, string_agg(substr(n.h, 2 * g.x + 1, 2 * (g.y - g.x)), '' ORDER BY g.x) AS k
+  FROM gaps g JOIN n USING (doc_id) GROUP BY g.doc_id
+), sizes AS (
+  SELECT doc_id, sum(b - a) AS gone, count(*) AS spans FROM spans GROUP BY doc_id
+)
+SELECT n.doc_id, n.n_bytes::BIGINT AS n_bytes, coalesce(z.gone, 0)::BIGINT AS n_removed,
+       coalesce(z.spans, 0)::BIGINT AS n_spans, sha256(unhex(k.k)) AS kept_sha256
+FROM n JOIN kept k USING (doc_id) LEFT JOIN sizes z USING (doc_id)
+"""
+
+CHAT_FORMAT = r"""
+WITH rows_ AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
+), sums AS (
+  SELECT conv_id, count(*) AS n,
+    string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+    coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
+    sum(length('<|im_start|>') + length(role) + 1 + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g'))
+        + length('<|im_end|>') + 1) AS size
+  FROM rows_ GROUP BY conv_id
+)
+SELECT conv_id, n::BIGINT AS n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS loss_chars,
+       sha256(loss) AS loss_sha256, size::BIGINT AS formatted_chars
+FROM sums
+"""
+
+JACCARD_JOIN = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'),
+                                                '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS ws
+  FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) END AS sh
+  FROM w
+), u AS (
+  SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM u a JOIN u b ON a.x = b.x AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+), both_ways AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT a, b FROM both_ways UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON r.b = l.a
+)
+SELECT s.doc_id, len(s.sh)::BIGINT AS n_shingles, least(s.doc_id, min(r.b)) AS component_id
+FROM s LEFT JOIN reach r ON r.a = s.doc_id GROUP BY s.doc_id, s.sh
+"""
+
+LINE_DEDUP = rf"""
 WITH lines AS (
   SELECT doc_id, row_number() OVER () AS r, string_split(coalesce(text, ''), chr(10)) AS ls
   FROM documents
 ), each AS (
   SELECT doc_id, r, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM lines
 ), keyed AS (
-  SELECT *, translate(trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)),
-                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM each
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)), '{UPPER}', '{LOWER}') AS key FROM each
 ), often AS (
   SELECT key FROM keyed WHERE length(key) >= 1
   GROUP BY key HAVING count(DISTINCT doc_id) >= 10
@@ -20,4 +94,9 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_
 FROM marked GROUP BY r, doc_id
 """
 
-ORACLE = {"op10_line_dedup": LINE_DEDUP}
+ORACLE = {
+    "op3_substring_dedup": SUBSTRING_DEDUP,
+    "op6_chat_format": CHAT_FORMAT,
+    "op7_jaccard_join": JACCARD_JOIN,
+    "op10_line_dedup": LINE_DEDUP,
+}
