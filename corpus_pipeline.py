@@ -42,7 +42,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text that is left, and whether decoding gives the text back."""
     path = public_tokenizers.path(BYTE_RANKS)
-    coded = byte_bpe.decode(byte_bpe.encode(docs, path, public_tokenizers.PATTERN), path)
+    coded = byte_bpe.encode(docs, path, public_tokenizers.PATTERN, decoded=True)
     text = F.coalesce("text", F.lit("")).cast("binary")
     return coded.select(
         "doc_id", "lang", "source", "n_tokens", F.col("ids"), (F.col("decoded") == text).alias("round_trip")

@@ -55,6 +55,8 @@ def test_byte_bpe_on_tables(spark):
     assert out.columns.count("ids") == out.columns.count("n_tokens") == 1 and len(rows) == docs.count()
     for r in rows:
         assert bytes(r["decoded"]) == (r["text"] or "").encode() and r["n_tokens"] == len(r["ids"]) // 4
+    at_once = byte_bpe.encode(docs, BYTES, public_tokenizers.PATTERN, decoded=True)
+    assert sorted(at_once.collect(), key=str) == sorted(rows, key=str)
     assert byte_bpe.encode(docs.limit(0), BYTES, public_tokenizers.PATTERN).count() == 0
 
 

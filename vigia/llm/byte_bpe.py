@@ -22,9 +22,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import Batches, extend, importable, with_columns
+from .common import Batches, extend, importable, kept, sliced, with_columns
 
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 LONG = 4_096  # bytes; longer pieces are merged but not remembered
 
 
@@ -178,21 +178,16 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_CODEC: dict[int, Codec] = {}
-
-
 def _codec(tokens: list[bytes], pattern: str) -> Codec:
     key = zlib.crc32(pattern.encode(), zlib.crc32(b"\0".join(tokens)))
-    if key not in _CODEC:
-        _CODEC.clear()
-        _CODEC[key] = Codec(tokens, pattern)
-    return _CODEC[key]
+    return kept("codec", key, lambda: Codec(tokens, pattern))
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", decoded: bool = False) -> DataFrame:
     """``docs`` with ``ids`` (binary: little-endian 32-bit integers) and ``n_tokens``.
 
-    A row in, a row out; other columns pass, an input column of one of the two names is replaced.
+    With ``decoded`` the ids are decoded again in the same pass, into the column of that name.
+    A row in, a row out; other columns pass, an input column of one of the names is replaced.
     Null and empty texts have no tokens. Bytes that the pattern leaves out are not encoded, as in
     the library. The vocabulary goes to the tasks with the function: its size does not depend on
     the data.
@@ -202,14 +197,18 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Data
 
     def run(batches: Batches) -> Batches:
         codec = _codec(tokens, pattern)
-        for batch in batches:
+        for batch in sliced(batches):
             ids = [codec.encode(t) if t else b"" for t in batch.column(text).to_pylist()]
-            yield extend(batch, {
+            out = {
                 "ids": pa.array(ids, pa.binary()),
                 "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()),
-            })
+            }
+            if decoded:
+                out["decoded"] = pa.array([codec.decode(x) for x in ids], pa.binary())
+            yield extend(batch, out)
 
     new = [T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())]
+    new += [T.StructField("decoded", T.BinaryType())] * decoded
     return docs.mapInArrow(run, with_columns(docs.schema, *new))
 
 
@@ -223,7 +222,7 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
 
     def run(batches: Batches) -> Batches:
         get = tokens.__getitem__
-        for batch in batches:
+        for batch in sliced(batches):
             out = [
                 b"".join(map(get, np.frombuffer(x, "<u4").tolist())) if x else b""
                 for x in batch.column(ids).to_pylist()

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches, importable
+from .common import Batches, importable, sliced
 
 Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
@@ -134,7 +134,7 @@ def format_chats(rows: DataFrame, render: Template = marked, trained: tuple[str,
     importable(rows.sparkSession)
 
     def run(batches: Batches) -> Batches:
-        for batch in batches:
+        for batch in sliced(batches):
             n, formatted, found, rewritten = [], [], [], []
             for turns in batch.column("turns").to_pylist():
                 pairs = [(t["role"], t["text"]) for t in turns]
@@ -169,7 +169,7 @@ def digests(chats: DataFrame) -> DataFrame:
     importable(chats.sparkSession)
 
     def run(batches: Batches) -> Batches:
-        for batch in batches:
+        for batch in sliced(batches):
             turns, loss = [], []
             for text, spans_ in zip(batch.column("formatted").to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 turns.append("".join(f"{role}\n{said}\n" for role, said in read_back(text)))

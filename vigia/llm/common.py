@@ -3,35 +3,25 @@
 from __future__ import annotations
 
 import os
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from vigia.sources.workspace import stored
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; set here only where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder all executors share")
-        folder = os.path.join(os.path.abspath("/tmp"), f"checkpoints-{uuid.uuid4().hex}")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
 def cut(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read back: its lineage ends here."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return stored(df, label)
 
 
 def importable(spark: SparkSession) -> None:
@@ -43,6 +33,35 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (known, root) if x)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of few rows, so that a worker holds little at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
+_KEPT: dict = {}
+
+
+def kept(name: str, key: object, build: Callable[[], object]):
+    """What a Python worker keeps from task to task: one thing, as workers serve any operator."""
+    if _KEPT.get("key") != (name, key):
+        _KEPT.clear()
+        _KEPT.update(value=build(), key=(name, key))
+    return _KEPT["value"]
+
+
+def pack(x: np.ndarray) -> bytes:
+    """Integers as compressed byte planes; small ones cost little."""
+    planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpack(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel()
+
+
 def texts(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column, nulls as empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import Batches, extend, importable, with_columns
+from .common import Batches, extend, importable, sliced, with_columns
 
 TOKEN = re.compile(
     r"<!--.*?(?:--!?>|$)|<[!?][^>]*(?:>|$)"
@@ -242,7 +242,7 @@ def extract_text(pages: DataFrame, column: str = "html") -> DataFrame:
     importable(pages.sparkSession)
 
     def run(batches: Batches) -> Batches:
-        for batch in batches:
+        for batch in sliced(batches):
             found = [main_text(x) if x else "" for x in batch.column(column).to_pylist()]
             yield extend(batch, {"text": pa.array(found, pa.string()), "n_chars": pa.array([len(x) for x in found], pa.int64())})
 

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vigia.operators.paging import first_rows
+
 from .common import Batches, cut, importable
 
 
@@ -117,7 +119,8 @@ def neighbours(
     few = rows.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= k + 1)
     entries = few.groupBy("v").agg(F.min("id").alias("rep"), F.sort_array(F.collect_list("id")).alias("ids"))
     entries = cut(entries, "entries")
-    sample = entries.orderBy(F.xxhash64("rep"), "rep").select("v").limit(s.sample).toArrow()["v"].combine_chunks()
+    drawn = first_rows(entries.select("rep", "v"), s.sample, [F.xxhash64("rep"), F.col("rep")])
+    sample = drawn.select("v").toArrow()["v"].combine_chunks()
     if not len(sample):
         return spark.createDataFrame([], schema)
     x = _matrix(sample, dim)

@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import importable
+from .common import importable, pack, unpack
 from .jaccard_join import U, mix
 
 WINDOW, GRAM = 50, 24
@@ -93,17 +93,6 @@ def segments(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return tuple(np.concatenate([o[k] for o in out]) for k in range(4))
 
 
-def _pack(x: np.ndarray) -> bytes:
-    """Integers as compressed byte planes; small ones cost little."""
-    planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T)
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
-
-
-def _unpack(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).view("<u8").ravel()
-
-
 def _squeeze(raw: bytes) -> bytes:
     return zstandard.ZstdCompressor(level=3).compress(raw)
 
@@ -300,13 +289,13 @@ def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text: str = "te
             keys = run.short[edges[p] : edges[p + 1]]
             if len(keys):
                 several = run.several[edges[p] : edges[p + 1]]
-                out.append((p, key[0].as_py(), _pack(np.diff(keys, prepend=U(0))), np.packbits(several).tobytes()))
+                out.append((p, key[0].as_py(), pack(np.diff(keys, prepend=U(0))), np.packbits(several).tobytes()))
         columns = list(zip(*out, strict=True)) if out else [[]] * 4
         kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
         return pa.table([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["part", "run", "keys", "several"])
 
     def find_shared(key: tuple, table: pa.Table) -> pa.Table:
-        keys = [np.cumsum(_unpack(x), dtype=U) for x in table["keys"].to_pylist()]
+        keys = [np.cumsum(unpack(x), dtype=U) for x in table["keys"].to_pylist()]
         several = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(k)).astype(bool) for x, k in zip(table["several"].to_pylist(), keys, strict=True)]
         _, at, n = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
         shared = n > 1
@@ -337,7 +326,7 @@ def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text: str = "te
             for c in range(cuts):
                 if edges[c] < edges[c + 1]:
                     some = names[edges[c] : edges[c + 1]]
-                    out.append((c, key[0].as_py(), *front_code(some), _pack(least[edges[c] : edges[c + 1]])))
+                    out.append((c, key[0].as_py(), *front_code(some), pack(least[edges[c] : edges[c + 1]])))
         columns = list(zip(*out, strict=True)) if out else [[]] * 6
         kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
         return pa.table(
@@ -347,7 +336,7 @@ def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text: str = "te
 
     def merge_runs(key: tuple, table: pa.Table) -> pa.Table:
         ids = table["run"].to_pylist()
-        least = [_unpack(x).view(np.int64) for x in table["least"].to_pylist()]
+        least = [unpack(x).view(np.int64) for x in table["least"].to_pylist()]
         coded = zip(table["shared"].to_pylist(), table["rest"].to_pylist(), table["suffixes"].to_pylist(), strict=True)
         names: list[bytes] = []
         group: list[int] = []
@@ -375,7 +364,7 @@ def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text: str = "te
         for run, x in zip(ids, at, strict=True):
             n = first[x + 1] - first[x]
             take = np.repeat(first[x] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            out.append((run, _squeeze(n.astype(np.uint8).tobytes()), _squeeze(where[take].astype(np.uint8).tobytes()), _pack(value[take])))
+            out.append((run, _squeeze(n.astype(np.uint8).tobytes()), _squeeze(where[take].astype(np.uint8).tobytes()), pack(value[take])))
         return _answer(-1 - key[0].as_py(), out)
 
     span = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
@@ -394,7 +383,7 @@ def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text: str = "te
         if names:
             n = np.frombuffer(b"".join(_expand(a) for _, a, _, _ in rows), np.uint8).astype(np.int64)
             where = np.frombuffer(b"".join(_expand(b) for _, _, b, _ in rows), np.uint8).astype(np.int64)
-            value = np.concatenate([_unpack(c).view(np.int64) for *_, c in rows])
+            value = np.concatenate([unpack(c).view(np.int64) for *_, c in rows])
             windows = np.array([len(x) - 8 - WINDOW + 1 for x in names], np.int64)
             offsets = np.cumsum(windows) - windows
             first = np.cumsum(n) - n

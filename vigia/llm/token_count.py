@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Batches, extend, importable, with_columns
+from .common import Batches, extend, importable, kept, sliced, with_columns
 
 MARK = "\u2581"
 UNIT = re.compile(r" *[^ \n]+| +|\n")
-REMEMBERED = 1_000_000
+REMEMBERED = 600_000
 LONG = 1_024  # characters; longer units are counted but not remembered
 
 
@@ -123,15 +123,8 @@ class Counts(dict):
         return sum(map(self.__getitem__, UNIT.findall(" " + text.replace(MARK, " "))))
 
 
-_COUNTS: dict[int, Counts] = {}
-
-
 def _counts(pieces: list[tuple[str, float]]) -> Counts:
-    key = zlib.crc32(repr(pieces).encode())
-    if key not in _COUNTS:
-        _COUNTS.clear()
-        _COUNTS[key] = Counts(pieces)
-    return _COUNTS[key]
+    return kept("counts", zlib.crc32(repr(pieces).encode()), lambda: Counts(pieces))
 
 
 def count_tokens(docs: DataFrame, path: str, text: str = "text", limit: int = 4096) -> DataFrame:
@@ -145,7 +138,7 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", limit: int = 40
 
     def run(batches: Batches) -> Batches:
         counts = _counts(pieces)
-        for batch in batches:
+        for batch in sliced(batches):
             n = [counts.tokens(t) if t else 0 for t in batch.column(text).to_pylist()]
             yield extend(batch, {"n_tokens": pa.array(n, pa.int64())})
 

@@ -33,7 +33,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Batches, cut, extend, importable, texts, with_columns
+from vigia.operators.paging import first_rows
+
+from .common import Batches, cut, extend, importable, kept, sliced, texts, with_columns
 
 WORD = re.compile(rb"[a-z\x80-\xff]{1,48}")
 HEADS = (5, 6, 7, 8)
@@ -44,7 +46,7 @@ COMPRESSION = dict(
     write_dict_id=False,
 )
 MARGINS = (2, 3, 4, 5, 6)
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 @dataclass(frozen=True)
@@ -128,7 +130,7 @@ def _labelled(labels: DataFrame, s: Settings) -> DataFrame:
     )
 
     def some(label: int, n: int) -> DataFrame:
-        return rows.where(F.col("toxic") == label).orderBy("hash", "doc_id").limit(n)
+        return first_rows(rows.where(F.col("toxic") == label), n, [F.col("hash"), F.col("doc_id")])
 
     sample = some(1, s.toxic_docs).unionByName(some(0, s.ordinary_docs))
     return sample.withColumn("calibrates", F.pmod("hash", F.lit(s.calibration_part)) == 0)
@@ -136,7 +138,7 @@ def _labelled(labels: DataFrame, s: Settings) -> DataFrame:
 
 def _sketches(batches: Batches) -> Batches:
     """Adds a minimum over five-word shingles: near copies mostly share it."""
-    for batch in batches:
+    for batch in sliced(batches):
         out = []
         for t in texts(batch.column("text")):
             w = windows(t)
@@ -146,7 +148,7 @@ def _sketches(batches: Batches) -> Batches:
 
 def _segment_counts(batches: Batches) -> Batches:
     """Documents with each segment, by class, added up for as many rows as memory allows."""
-    for batch in batches:
+    for batch in sliced(batches):
         counts: tuple[Counter, Counter] = (Counter(), Counter())
         labels = batch.column("toxic").to_pylist()
         rows = list(zip(texts(batch.column("text")), labels, strict=True))
@@ -229,7 +231,7 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model
 def _calibrated(rows: DataFrame, model: Model, prior: float) -> Model:
     def count(batches: Batches) -> Batches:
         margins = Margins(model)
-        for batch in batches:
+        for batch in sliced(batches):
             found = [hits(t, margins) for t in texts(batch.column("text"))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("toxic"), pa.array(found, pa.list_(pa.int32()))], names=["toxic", "hits"]
@@ -262,16 +264,9 @@ def _logistic(x: np.ndarray, y: np.ndarray, prior: float) -> tuple[float, float,
     return loss, float(w[0]), float(w[1])
 
 
-_MARGINS: dict[int, Margins] = {}
-
-
 def _margins(model: Model) -> Margins:
-    """One cache for each Python worker and model."""
     key = zlib.crc32(model.toxic) << 32 | zlib.crc32(model.ordinary)
-    if key not in _MARGINS:
-        _MARGINS.clear()
-        _MARGINS[key] = Margins(model)
-    return _MARGINS[key]
+    return kept("margins", key, lambda: Margins(model))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -286,7 +281,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def run(batches: Batches) -> Batches:
         margins = _margins(model)
-        for batch in batches:
+        for batch in sliced(batches):
             total, found = [], []
             for t in texts(batch.column(text)):
                 words = windows(t)
