@@ -13,8 +13,9 @@ pairs that are connected already, and intersects the sorted sets of what is left
 spanning forest of their links, not all pairs. Connected components of the links are the result.
 
 Documents with equal sets are one set throughout, whatever their number. Tasks send each signature
-once and join the sets that share it on the spot. Candidate components beyond ``TILE`` sets are
-cut into blocks by size band, of which only blocks that can hold links meet.
+once and join the sets that share it on the spot. In candidate components beyond ``TILE`` sets all
+are compared with a leader of each band first; a group of near copies, however large, is mostly
+connected by that. Only sets outside the largest group go on, against blocks by size band.
 """
 
 from __future__ import annotations
@@ -29,15 +30,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches, cut, importable, texts
+from .common import Batches, cut, importable, pack, sliced, texts, unpack
 from .components import components
 
 U = np.uint64
 K1, K2, K3 = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)
-TILE = 3_000
-REMEMBERED = 500_000
+TILE = 4_000
 GROWTH = 1.25  # of a band's sizes
 FLUSH = 1_000_000
+PART_SIGNATURES = 300_000  # that meet in one part
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -47,28 +48,46 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
+_BYTES = mix(np.arange(1, 257, dtype=U) * K2)
+_SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+_POWERS = np.ones(1, U)
+
 
+def _powers(n: int) -> np.ndarray:
+    global _POWERS
+    if len(_POWERS) < n:
+        _POWERS = np.cumprod(np.r_[U(1), np.full(2 * n, K1)], dtype=U)
+    return _POWERS
 
-_WORDS = WordHashes()
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """A hash of every word, in order: runs without ASCII white space, A-Z in lower case."""
+    x = np.frombuffer(text.lower(), np.uint8)
+    inside = ~_SPACE[x]
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    starts, n = edges[::2], edges[1::2] - edges[::2]
+    if not len(starts):
+        return np.empty(0, U)
+    first = np.cumsum(n) - n
+    place = np.arange(n.sum()) - np.repeat(first, n)
+    return mix(np.add.reduceat(_BYTES[x[inside]] * _powers(int(n.max()))[place], first) + n.astype(U) * K3)
 
 
 def shingles(text: bytes, size: int) -> np.ndarray:
     """Hashes of every run of ``size`` words, in text order; fewer words are one shingle."""
-    words = text.lower().split()  # of bytes: A-Z alone, and ASCII white space alone
-    if not words:
-        return np.empty(0, U)
-    h = np.fromiter(map(_WORDS.__getitem__, words), U, len(words))
+    return runs(word_hashes(text), size)
+
+
+def runs(h: np.ndarray, size: int) -> np.ndarray:
+    if not len(h):
+        return h
     size = min(size, len(h))
-    out = np.full(len(h) - size + 1, size, U)
-    for k in range(size):
-        out = mix(out * K1 + h[k : len(h) - size + 1 + k] + U(k + 1))
-    return out
+    n = len(h) - size + 1
+    out = h[:n] + U(size)
+    for k in range(1, size):
+        out *= K1
+        out += h[k : n + k]
+    return mix(out)
 
 
 def distinct(text: bytes, size: int) -> np.ndarray:
@@ -141,7 +160,7 @@ def profiles(docs: DataFrame, size: int) -> DataFrame:
     """(doc_id, n_shingles, s1, s2): the size and a 128-bit digest of each document's set."""
 
     def run(batches: Batches) -> Batches:
-        for batch in batches:
+        for batch in sliced(batches):
             n, a, b = [], [], []
             for t in texts(batch.column("text")):
                 s = distinct(t, size)
@@ -159,75 +178,89 @@ def profiles(docs: DataFrame, size: int) -> DataFrame:
     )
 
 
-def _signature_rows(docs: DataFrame, size: int, cuts: Cut) -> DataFrame:
-    """(key, other, edge): signature and set; or, as an edge, two sets that share one in a task."""
+def _signature_rows(docs: DataFrame, size: int, cuts: Cut, parts: int) -> DataFrame:
+    """(part, keys, docs, edge): sorted signatures of a range, as differences, and their documents.
+
+    Documents of a task that share a signature are edges at once (``keys`` to ``docs``); only the
+    first of them stands for the signature.
+    """
+    limits = np.array([(p << 64) // parts for p in range(parts)], U)
+
+    def row(part: int, keys: np.ndarray, ids: np.ndarray, edge: bool) -> pa.RecordBatch:
+        columns = [pa.array([part], pa.int32()), pa.array([pack(keys)]), pa.array([pack(ids)]), pa.array([edge])]
+        return pa.RecordBatch.from_arrays(columns, names=["part", "keys", "docs", "edge"])
 
-    def flush(sigs: list[np.ndarray], sets: list[np.ndarray]) -> Batches:
-        key, val = np.concatenate(sigs), np.concatenate(sets)
+    def flush(sigs: list[np.ndarray], ids: list[np.ndarray], n: int) -> Batches:
+        key, val = np.concatenate(sigs), np.concatenate(ids)
         order = np.lexsort((val, key))
         key, val = key[order], val[order]
         start = np.r_[True, key[1:] != key[:-1]]
         first = val[np.flatnonzero(start)][np.cumsum(start) - 1]
         more = first != val
-        edges = np.unique(np.column_stack([val[more], first[more]]), axis=0).reshape(-1, 2)
-        for k, v, is_edge in ((key[start].view(np.int64), val[start], False), (edges[:, 0], edges[:, 1], True)):
-            for i in range(0, len(k), 100_000):
-                n = len(k[i : i + 100_000])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.ascontiguousarray(k[i : i + n])), pa.array(np.ascontiguousarray(v[i : i + n])), pa.array(np.full(n, is_edge))],
-                    names=["key", "other", "edge"],
-                )
+        key, lead = key[start], val[start]
+        at = np.r_[np.searchsorted(key, limits), len(key)]
+        for p in range(parts):
+            if at[p] < at[p + 1]:
+                some = slice(at[p], at[p + 1])
+                yield row(p, np.diff(key[some], prepend=U(0)), lead[some], False)
+        if more.any():
+            edges = np.unique(np.column_stack([val[more], first[more]]), axis=0)
+            yield row(n % parts, edges[:, 0], edges[:, 1], True)
 
     def run(batches: Batches) -> Batches:
         seen: set[int] = set()
         sigs: list[np.ndarray] = []
-        sets: list[np.ndarray] = []
-        held = 0
-        for batch in batches:
-            for t in texts(batch.column("text")):
+        ids: list[np.ndarray] = []
+        held = flushes = 0
+        for batch in sliced(batches):
+            for i, t in zip(batch.column("doc_id").to_pylist(), texts(batch.column("text")), strict=True):
                 s = distinct(t, size)
-                if len(s) < cuts.first or (h := digest(s)[0]) in seen:
+                if len(s) < cuts.first:
+                    continue
+                h = digest(s)[0]
+                if h in seen:  # an equal set: one of a task's copies is enough
                     continue
                 if len(seen) >= FLUSH:
                     seen.clear()
                 seen.add(h)
                 sigs.append(cuts.signatures(s))
-                sets.append(np.full(len(sigs[-1]), h, np.int64))
+                ids.append(np.full(len(sigs[-1]), i, np.int64))
                 held += len(sigs[-1])
                 if held >= FLUSH:
-                    yield from flush(sigs, sets)
-                    sigs, sets, held = [], [], 0
+                    yield from flush(sigs, ids, flushes)
+                    sigs, ids, held, flushes = [], [], 0, flushes + 1
         if sigs:
-            yield from flush(sigs, sets)
+            yield from flush(sigs, ids, flushes)
 
-    return docs.select("text").mapInArrow(run, "key long, other long, edge boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+        run, "part int, keys binary, docs binary, edge boolean"
+    )
 
 
 def _stars(rows: DataFrame) -> DataFrame:
-    """Edges between the sets that share a signature: each to the smallest of them."""
-
-    def run(batches: Batches) -> Batches:
-        last, first = None, 0
-        for batch in batches:
-            key, other = (batch.column(i).to_numpy() for i in (0, 1))
-            edge = batch.column(2).to_numpy(zero_copy_only=False)
-            if not len(key):
-                continue
-            plain = ~edge
-            k, v = key[plain], other[plain]
-            out = [np.column_stack([key[edge], other[edge]])]
-            if len(k):
-                start = np.r_[k[0] != last, k[1:] != k[:-1]]
-                heads = np.r_[first, v[start]]
-                lead = heads[np.cumsum(start)]
-                out.append(np.column_stack([v, lead])[v != lead])
-                last, first = k[-1], lead[-1]
-            pairs = np.unique(np.concatenate(out), axis=0)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["a", "b"]
-            )
-
-    return rows.repartition("key").sortWithinPartitions("key", "other").mapInArrow(run, "a long, b long")
+    """Edges between the documents that share a signature: each to the smallest of them."""
+
+    def join(table: pa.Table) -> pa.Table:
+        found = [np.empty((0, 2), np.int64)]
+        keys, docs = [], []
+        for k, d, edge in zip(*(table[c].to_pylist() for c in ("keys", "docs", "edge")), strict=True):
+            k, d = unpack(k), unpack(d).view(np.int64)
+            if edge:
+                found.append(np.column_stack([k.view(np.int64), d]))
+            else:
+                keys.append(np.cumsum(k, dtype=U))
+                docs.append(d)
+        if keys:
+            key, doc = np.concatenate(keys), np.concatenate(docs)
+            order = np.lexsort((doc, key))
+            key, doc = key[order], doc[order]
+            start = np.r_[True, key[1:] != key[:-1]]
+            first = doc[np.flatnonzero(start)][np.cumsum(start) - 1]
+            found.append(np.column_stack([doc, first])[doc != first])
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pa.table({c: pa.array(np.ascontiguousarray(pairs[:, i])) for i, c in enumerate("ab")})
+
+    return rows.groupBy("part").applyInArrow(join, "a long, b long")
 
 
 def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -241,7 +274,7 @@ def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def tile_links(ids: list[int], sets: list[np.ndarray], cuts: Cut, left: set[int] | None = None) -> list[tuple[int, int]]:
-    """A spanning forest of the links among ``sets``; with ``left``, of those across its border."""
+    """A spanning forest of the links among ``sets``; with ``left``, of those it takes part in."""
     order = sorted(range(len(ids)), key=lambda i: (len(sets[i]), ids[i]))
     ids = [ids[i] for i in order]
     sets = [sets[i] for i in order]
@@ -263,7 +296,7 @@ def tile_links(ids: list[int], sets: list[np.ndarray], cuts: Cut, left: set[int]
         most = np.minimum(common + np.minimum(over[at], over[i]), n[i])
         at = at[cuts.den * most >= cuts.num * (n[at] + n[i] - most)]
         for j in at.tolist():
-            if root[j] == root[i] or left is not None and (ids[i] in left) == (ids[j] in left):
+            if root[j] == root[i] or left is not None and ids[i] not in left and ids[j] not in left:
                 continue
             both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
             if cuts.den * both >= cuts.num * (n[i] + n[j] - both):
@@ -277,10 +310,12 @@ def _links(members: DataFrame, cuts: Cut) -> DataFrame:
     """Links within each tile of (tile, doc_id, base, words of the set)."""
 
     def emit(rows: list[tuple[int, bool, bytes]]) -> list[tuple[int, int]]:
-        if len(rows) < 2:
+        left = {i for i, base, _ in rows if base}
+        sets = {(i, s) for i, _, s in rows}  # a set can be on both sides
+        if len(sets) < 2 or not left:
             return []
-        left = None if all(base for _, base, _ in rows) else {i for i, base, _ in rows if base}
-        return tile_links([i for i, _, _ in rows], [np.frombuffer(s, U) for _, _, s in rows], cuts, left)
+        one_sided = len(left) < len({i for i, _ in sets})
+        return tile_links([i for i, _ in sets], [np.frombuffer(s, U) for _, s in sets], cuts, left if one_sided else None)
 
     def run(batches: Batches) -> Batches:
         def found() -> Iterator[list[tuple[int, int]]]:
@@ -303,55 +338,72 @@ def _links(members: DataFrame, cuts: Cut) -> DataFrame:
     return sorted_rows.mapInArrow(run, "a long, b long")
 
 
-def _tiles(members: DataFrame, cuts: Cut, tile: int) -> DataFrame:
-    """A tile for each small candidate component, blocks by size band for the others."""
+def _leader_links(large: DataFrame, cuts: Cut) -> DataFrame:
+    """Links of the sets of large candidate components to one leader in each of their bands."""
+    leader = F.min_by("doc_id", F.struct(F.xxhash64("doc_id"), "doc_id"))
+    chosen = large.groupBy("cand", "band").agg(leader.alias("doc_id"))
+    leaders = large.join(chosen.select("doc_id"), "doc_id", "left_semi").select("cand", "band", F.struct("doc_id", "words").alias("leader"))
+    near = leaders.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    pairs = large.join(near, ["cand", "band"]).where(F.col("doc_id") != F.col("leader.doc_id"))
+    pairs = pairs.select("doc_id", "words", F.col("leader.doc_id").alias("other"), F.col("leader.words").alias("others"))
+
+    def run(batches: Batches) -> Batches:
+        for batch in sliced(batches, 200):
+            keep = []
+            for i, (x, y) in enumerate(zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                a, b = np.frombuffer(x, U), np.frombuffer(y, U)
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                if cuts.den * both >= cuts.num * (len(a) + len(b) - both):
+                    keep.append(i)
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at)], names=["a", "b"])
+
+    return pairs.mapInArrow(run, "a long, b long")
+
+
+def _candidate_links(members: DataFrame, cuts: Cut, tile: int) -> DataFrame:
+    """Links that connect what is connected within each candidate component.
+
+    Small components are a tile. In a large one every set is compared with leaders first; what
+    they leave outside its largest group is then compared with all sets, in blocks by size band.
+    Pairs inside the largest group need no look, as they are connected already.
+    """
     sizes = members.groupBy("cand").agg(F.count("*").alias("of"))
     rows = members.join(sizes, "cand")
-    small = rows.where(F.col("of") <= tile).select(
-        F.struct(F.col("cand"), F.lit(0).alias("band"), F.lit(0).alias("i"), F.lit(0).alias("j")).alias("tile"),
-        "doc_id", F.lit(True).alias("base"), "words",
-    )
+    small = rows.where(F.col("of") <= tile).select(F.col("cand").alias("tile"), "doc_id", F.lit(True).alias("base"), "words")
+    links = _links(small, cuts)
+    if sizes.where(F.col("of") > tile).isEmpty():
+        return links
     step = math.log(cuts.den / cuts.num)
     large = rows.where(F.col("of") > tile).withColumn("band", F.floor(F.log(F.col("n")) / step).cast("int"))
-    blocks = large.groupBy("cand", "band").agg(F.ceil(F.count("*") / (tile / 2)).cast("int").alias("blocks"))
-    own = large.join(blocks, ["cand", "band"]).withColumn(
-        "block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    )
-    # a set of a size can link to its band and, by rounding, to the two above
-    above = [blocks.select("cand", (F.col("band") - d).alias("band"), F.col("blocks").alias(f"up{d}")) for d in (1, 2)]
-    for a in above:
-        own = own.join(a, ["cand", "band"], "left")
-
-    def blocks_of(d: int, count: str) -> Column:
-        each = F.transform(F.sequence(F.lit(0), F.col(count) - 1), lambda j: F.struct((F.col("band") + d).alias("to"), j.alias("j")))
-        return F.when(F.col(count).isNotNull(), each).otherwise(F.array().cast("array<struct<to:int,j:int>>"))
-
-    meets = F.flatten(F.array(blocks_of(0, "blocks"), blocks_of(1, "up1"), blocks_of(2, "up2")))
-    base = own.withColumn("meet", F.explode(meets)).select(
-        "cand", "band", "block", F.col("meet.to").alias("to"), F.col("meet.j").alias("j"), "doc_id", "words"
-    )
-    tile_of = lambda c, band, i, to, j: F.struct(
-        c.alias("cand"), (band * 4 + (to - band)).cast("int").alias("band"), i.cast("int").alias("i"), j.cast("int").alias("j")
-    )
-    first = base.select(
-        tile_of(F.col("cand"), F.col("band"), F.col("block"), F.col("to"), F.col("j")).alias("tile"),
-        "doc_id", F.lit(True).alias("base"), "words",
+    ids = cut(large.select("cand", "band", "doc_id"), "large-candidates")
+    led = cut(_leader_links(large, cuts), "leader-links")
+    groups = components(led, "a", "b").select(F.col("node").alias("doc_id"), "component")
+    grouped = ids.join(groups, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    counts = grouped.groupBy("cand", "component").agg(F.count("*").alias("n_in"))
+    most = counts.groupBy("cand").agg(F.max_by("component", F.struct("n_in", "component")).alias("most"))
+    rest = grouped.join(most, "cand").where(F.col("component") != F.col("most")).select("cand", "band", "doc_id")
+
+    def dealt(sets: DataFrame, number: str) -> DataFrame:
+        """The sets with the block of their band that they are in."""
+        count = sets.groupBy("cand", "band").agg(F.ceil(F.count("*") / (tile / 2)).cast("int").alias("of"))
+        block = F.pmod(F.xxhash64("doc_id"), F.col("of")).cast("int").alias(number)
+        return sets.join(count, ["cand", "band"]).select("cand", "band", "doc_id", block)
+
+    everyone = dealt(ids, "block")
+    asking = dealt(rest, "side").withColumnRenamed("band", "of_band")
+    near = F.explode(F.array(*(F.col("of_band") + d for d in (-2, -1, 0, 1, 2))))  # one apart, two by rounding
+    met = (
+        asking.select("cand", "of_band", "side").distinct().withColumn("band", near)
+        .join(everyone.select("cand", "band", "block").distinct(), ["cand", "band"])
+        .withColumn("tile", F.struct("cand", "band", "block", "of_band", "side"))
     )
-    # the sets on the other side: every block of the lower band asks for this one
-    lower = [(d, blocks.select("cand", (F.col("band") + d).alias("band"), F.col("blocks").alias("ask"))) for d in (0, 1, 2)]
-    second = None
-    for d, asks in lower:
-        part = (
-            own.select("cand", "band", "block", "doc_id", "words").join(asks, ["cand", "band"])
-            .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("ask") - 1)))
-            .where((F.lit(d) > 0) | (F.col("i") != F.col("block")))
-            .select(
-                tile_of(F.col("cand"), F.col("band") - d, F.col("i"), F.col("band"), F.col("block")).alias("tile"),
-                "doc_id", F.lit(False).alias("base"), "words",
-            )
-        )
-        second = part if second is None else second.union(part)
-    return small.union(first).union(second)
+    tiles = (
+        everyone.join(met, ["cand", "band", "block"]).select("tile", "doc_id", F.lit(False).alias("base"))
+        .union(asking.join(met, ["cand", "of_band", "side"]).select("tile", "doc_id", F.lit(True).alias("base")))
+    )
+    words = large.select("doc_id", "words")
+    return links.union(led).union(_links(tiles.join(words, "doc_id"), cuts))
 
 
 def jaccard_components(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10, tile: int = TILE) -> DataFrame:
@@ -372,12 +424,15 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 8, den: int =
     rows = cut(profiles(docs, size), "jaccard-profiles")
     linked = rows.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = linked.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"))
-    edges = _stars(_signature_rows(docs.where("doc_id IS NOT NULL"), size, cuts))
-    candidates = components(edges, "a", "b").select(F.col("node").alias("s1"), F.col("component").alias("cand"))
-    chosen = classes.join(candidates, "s1")
+    shingles_ = rows.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    parts = 1 + 2 * shingles_ * (den - num) // num // PART_SIGNATURES
+    edges = _stars(_signature_rows(docs.where("doc_id IS NOT NULL"), size, cuts, parts))
+    candidates = components(edges, "a", "b").select(F.col("node").alias("doc_id"), F.col("component").alias("cand"))
+    of_class = linked.join(candidates, "doc_id").groupBy("s1", "s2").agg(F.min("cand").alias("cand"))
+    chosen = classes.join(of_class, ["s1", "s2"])
 
     def words(batches: Batches) -> Batches:
-        for batch in batches:
+        for batch in sliced(batches):
             s1, s2 = batch.column("s1").to_pylist(), batch.column("s2").to_pylist()
             keep, sets = [], []
             for i, t in enumerate(texts(batch.column("text"))):
@@ -398,7 +453,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 8, den: int =
         .mapInArrow(words, "cand long, doc_id long, n long, words binary")
     )
     members = cut(found, "jaccard-sets").dropDuplicates(["doc_id", "words"])
-    links = _links(_tiles(members, cuts, tile), cuts)
+    links = _candidate_links(members, cuts, tile)
     groups = components(links, "a", "b").select(F.col("node").alias("rep"), "component")
     named = classes.join(groups, "rep", "left").select(
         "s1", "s2", F.coalesce("component", "rep").alias("component")
