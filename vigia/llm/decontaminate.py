@@ -3,8 +3,8 @@
 Every benchmark item has a 64-bit SimHash of its word shingles, weighted by how often they occur.
 Items of the same number of words are one class. In a document, windows of a class's number of
 words get their SimHash from running sums over the bits of the document's shingles, so that each
-further class costs one subtraction per window and bit. A window without a single benchmark
-shingle has similarity 0 and is skipped; the shingles are looked up first.
+further class costs one subtraction per window and bit. A window that shares no shingle with an
+item of its class has similarity 0 with all of them and is skipped: shingles are looked up first.
 
 Fingerprints are cut into ``radius`` + 1 blocks: two within the radius agree on at least one, so
 that the index of block values finds every item within the radius. What it finds is verified by
@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Batches, extend, importable, texts, with_columns
-from .jaccard_join import U, shingles
+from .common import Batches, extend, importable, sliced, texts, with_columns
+from .jaccard_join import U, runs, shingles, word_hashes
 
 CHUNK_ITEMS = 20_000
 CHUNK_BYTES = 16 << 20
@@ -107,39 +107,53 @@ class Index:
             prints = np.concatenate([pack(signs(s).sum(axis=0)[None]) for _, s in rows])
             bags = [Counter(s.tolist()) for _, s in rows]
             self.classes[n] = ([i for i, _ in rows], bags, Blocks(prints, radius))
+        self.owners: dict[int, set[int]] = defaultdict(set)
+        for n, rows in classes.items():
+            for _, s in rows:
+                for x in s.tolist():
+                    self.owners[x].add(n)
         known = [s for rows in classes.values() for _, s in rows]
         self.known = np.unique(np.concatenate(known)) if known else np.empty(0, U)
-        self.mask = U((1 << max(16, (16 * len(self.known)).bit_length())) - 1)
+        self.mask = U((1 << max(18, (64 * len(self.known)).bit_length())) - 1)
         self.seen = np.zeros(int(self.mask) + 1, bool)
         self.seen[(self.known & self.mask).astype(np.int64)] = True
 
     def _met(self, s: np.ndarray) -> np.ndarray:
         at = np.flatnonzero(self.seen[(s & self.mask).astype(np.int64)])
-        return at[np.isin(s[at], self.known)]
+        place = np.minimum(np.searchsorted(self.known, s[at]), len(self.known) - 1)
+        return at[self.known[place] == s[at]]
 
     def hits(self, text: bytes) -> list[dict]:
         """The best window of each item that the text holds."""
         found: dict[int, tuple] = {}
-        words = len(text.split())
+        h = word_hashes(text)
+        words = len(h)
         for size in sorted({min(n, self.size) for n in self.classes}):
             if words < size:
                 continue
-            s = shingles(text, size)
+            s = runs(h, size)
             met = self._met(s)
             if not len(met):
                 continue
-            sums = np.zeros((len(s) + 1, 64), np.int32)
-            np.cumsum(signs(s), axis=0, out=sums[1:])
-            for n, (ids, bags, blocks) in self.classes.items():
-                if min(n, self.size) != size or n > words:
-                    continue
+            of: dict[int, list[int]] = defaultdict(list)  # by class: the shingles its items have
+            for at, x in zip(met.tolist(), s[met].tolist(), strict=True):
+                for n in self.owners[x]:
+                    if n <= words:
+                        of[n].append(at)
+            sums = None
+            for n, places in of.items():
+                ids, bags, blocks = self.classes[n]
                 span = n - size + 1  # shingles of a window
+                at = np.array(places)
                 mark = np.zeros(len(s) + 1, np.int32)
-                np.add.at(mark, np.maximum(met - span + 1, 0), 1)
-                np.add.at(mark, met + 1, -1)
+                np.add.at(mark, np.maximum(at - span + 1, 0), 1)
+                np.add.at(mark, at + 1, -1)
                 starts = np.flatnonzero(np.cumsum(mark)[: len(s) - span + 1] > 0)
                 if not len(starts):
                     continue
+                if sums is None:
+                    sums = np.zeros((len(s) + 1, 64), np.int32)
+                    np.cumsum(signs(s), axis=0, out=sums[1:])
                 near = blocks.near(pack(sums[starts + span] - sums[starts]))
                 for q, p, d in near.tolist():
                     at = int(starts[q])
@@ -181,7 +195,7 @@ def find_benchmark(
 
         def run(batches: Batches, items=items) -> Batches:
             index = Index(items, size, radius, least)
-            for batch in batches:
+            for batch in sliced(batches):
                 held = batch.column("hits").to_pylist()
                 more = [index.hits(t) for t in texts(batch.column("text"))]
                 rows = [a + b for a, b in zip(held, more, strict=True)]
