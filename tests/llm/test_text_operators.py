@@ -129,6 +129,44 @@ def test_main_text(spark):
     assert html_density.extract_text(pages.limit(0)).count() == 0
 
 
+def _paragraphs(name, n, least=40):
+    return [f"{name} {i} " + "words of the article " * (least // 20) for i in range(n)]
+
+
+def _page(article, around="main"):
+    links = "<ul><li><a href=x>Another page</a><li><a href=y>And one more page</a></ul>"
+    return (
+        f"<body><div id=top><ul><li><a href=a>Home</a><li><a href=b>About this site</a></ul></div><{around}>{article}{links}</{around}>"
+        f"<div id=end><p><a href=c>Imprint</a></p></div></body>"
+    )
+
+
+def _p(texts):
+    return "".join(f"<p>{t}</p>" for t in texts)
+
+
+def test_main_text_keeps_the_whole_article():
+    first, second = _paragraphs("first", 5), _paragraphs("second", 5)
+    sections = f"<section>{_p(first)}</section><section><p>alone</p></section><section>{_p(second)}</section>"
+    items, rows = _paragraphs("item", 10, 300), _paragraphs("cell", 8, 200)
+    three = _paragraphs("paragraph", 3, 400)
+    listed = "<ul>" + "".join(f"<li>{t}</li>" for t in items) + "</ul>"
+    table = "<table>" + "".join(f"<tr><td>{t}</td></tr>" for t in rows) + "</table>"
+    for article, parts in (
+        (f"<h1>Title</h1><p>lead</p>{sections}", ["Title", "lead", *first, "alone", *second]),
+        (f"<h1><a href=self>Title</a></h1>loose <b>text</b>{sections}end", ["Title", "loose text", *first, "alone", *second, "end"]),
+        (f"{_p(three)}{listed}", [*three, *items]),
+        (f"<h2>Title</h2>{_p(three[:1])}<pre>a = b</pre>{table}{_p(three[1:])}", ["Title", three[0], "a = b", *rows, *three[1:]]),
+        (f"<div><h3>Part</h3><div>{_p(first)}</div></div><div><p>short</p></div>", ["Part", *first, "short"]),
+    ):
+        expected = " ".join(" ".join(parts).split())
+        for around in ("article", "main"):
+            assert html_density.main_text(_page(article, around)) == expected, (around, article[:80])
+        assert html_density.main_text(_page(f"<article>{article}</article>")) == expected, article[:80]
+    divs = f"<h1>Title</h1><p>lead</p><div>{_p(first)}</div><div><p>alone</p></div><div>{_p(second)}</div>"
+    assert html_density.main_text(_page(divs, "div")) == " ".join(" ".join(["Title", "lead", *first, "alone", *second]).split())
+
+
 def test_articles_of_the_test_pages(spark, sf_dir):
     """The pages are built around one article element."""
     for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():

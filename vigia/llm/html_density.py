@@ -6,7 +6,9 @@ of the densities of a block's child blocks (text of its own counts as one more)
 subtree of the article; a block without child blocks, such as a paragraph, has its own density. The
 smallest density on the path from that node to the body is the threshold: where an article is dealt
 over several sections, the siblings of that path that are as dense, no links, and hold several
-blocks belong to it.
+blocks belong to it. Within an article or main element (or the node whose sections those are) every
+sibling of the path that is no links belongs to it, whatever its density; outside only headings,
+paragraphs, lists, tables and the like do.
 
 What names itself something else is left out before: scripts, styles, forms, menus and so on by
 element, and by the words of class, id and role. Elements that pages leave open are closed as
@@ -59,6 +61,7 @@ OTHER_WORDS = frozenset(
     "comments commentlist disqus reply replies respond discussion share sharing social related recommended "
     "recommendations toolbar pager pagination skip search hidden complementary contentinfo dialog form".split()
 )
+FLOW = frozenset("h1 h2 h3 h4 h5 h6 hgroup p ul ol dl pre table blockquote figure".split())
 HEADER_WORDS = frozenset("header head banner masthead".split())
 LINK_SHARE = 0.3
 
@@ -188,7 +191,59 @@ def _densities(order: list[Node], body: Node) -> None:
         node.sum = own / max(1, tags) + sum(x.density for x in blocks)
 
 
-def _text(nodes: list[Node]) -> str:
+def _article(path: list[Node]) -> list[Node | str]:
+    """What belongs to the article, in page order; ``path`` goes from the best node to the body.
+
+    Beside the path these stay if few of their characters are links: within the outermost article
+    of the path, else its main element, else the highest node of the path where the article is
+    dealt over several sections, everything; outside, headings, paragraphs, lists and the like,
+    and sections that are as dense as the path and hold several blocks.
+    """
+    best, threshold = path[0], min(x.density for x in path)
+
+    def few_links(x: Node) -> bool:
+        return x.c > 0 and (x.lc <= LINK_SHARE * x.c or x.tag == "h1")  # a title links to its page
+
+    def section(x: Node) -> bool:
+        blocks = sum(type(y) is Node and y.tag in BLOCKS and y.c > 0 for y in x.parts)
+        return x.density >= threshold and (blocks > 1 or x.tag == best.tag and x.tag not in FENCES)
+
+    def beside(k: int) -> list[Node]:
+        return [x for x in path[k].parts if type(x) is Node and x is not path[k - 1] and not x.out and few_links(x)]
+
+    levels = range(1, len(path))
+    within = max((k for k, x in enumerate(path) if x.tag == "article"), default=0)
+    within = within or max((k for k, x in enumerate(path) if x.tag == "main"), default=0)
+    if not any(x.tag in ("article", "main") for x in path):
+        within = max((k for k in levels[:-1] if any(map(section, beside(k)))), default=0)
+    before: list[list[Node | str]] = []
+    after: list[Node | str] = []
+    for k in levels:
+        kept = {id(x) for x in beside(k) if k <= within or x.tag in FLOW or section(x)}
+        sides: list[list[Node | str]] = [[], []]
+        run: list[Node | str] = []  # text and inline elements between two blocks
+        side = 0
+        for x in [*path[k].parts, None]:
+            if x is not None and (type(x) is str or x.tag not in BLOCKS and x is not path[k - 1]):
+                run.append(x)
+                continue
+            inline = [y for y in run if type(y) is Node and not y.out]
+            c = sum(y.c for y in inline) + sum(len("".join(y.split())) for y in run if type(y) is str)
+            if k <= within and c and sum(y.lc for y in inline) <= LINK_SHARE * c:
+                sides[side] += [" ", *run, " "]
+            else:
+                sides[side] += [y for y in inline if id(y) in kept]
+            run = []
+            if x is path[k - 1]:
+                side = 1
+            elif x is not None and id(x) in kept:
+                sides[side].append(x)
+        before.append(sides[0])
+        after += sides[1]
+    return [*(x for side in reversed(before) for x in side), best, *after]
+
+
+def _text(nodes: list[Node | str]) -> str:
     """Blocks in page order, white space as one space."""
     out: list[str] = []
     stack: list[Node | str] = list(reversed(nodes))
@@ -221,15 +276,7 @@ def main_text(page: str) -> str:
     path = [best]
     while path[-1] is not body and path[-1].parent is not None:
         path.append(path[-1].parent)
-    threshold = min(x.density for x in path)
-    chosen = {id(best)}
-    for up, node in zip(path[1:], path, strict=False):
-        for x in up.parts:
-            if type(x) is Node and x is not node and not x.out and x.c and x.density >= threshold:
-                blocks = sum(type(y) is Node and y.tag in BLOCKS and y.c > 0 for y in x.parts)
-                if x.lc <= LINK_SHARE * x.c and (blocks > 1 or x.tag == best.tag and x.tag not in FENCES):
-                    chosen.add(id(x))
-    return _text([x for x in order if id(x) in chosen])
+    return _text(_article(path))
 
 
 def extract_text(pages: DataFrame, column: str = "html") -> DataFrame:
