@@ -167,6 +167,26 @@ def test_main_text_keeps_the_whole_article():
     assert html_density.main_text(_page(divs, "div")) == " ".join(" ".join(["Title", "lead", *first, "alone", *second]).split())
 
 
+def test_names_of_wrappers_do_not_empty_a_page():
+    text, side = _paragraphs("article", 6), "<div class=sidebar><p>some words beside it</p></div>"
+    said = "".join(f"<article class=comment-body><p>{t}</p></article>" for t in _paragraphs("said", 12))
+    whole = " ".join(" ".join(text).split())
+    names = ("layout with-sidebar", "has-comments", "post no-sidebar", "content social-share", "hasSidebar", "page-banner", "modal")
+    for name in names:
+        for inner in (f"<article>{_p(text)}</article>", f"<div>{_p(text)}</div>", f"<main>{_p(text)}</main>"):
+            page = f"<body><div id=top><a href=a>Home</a></div><div class='{name}'>{inner}{side}</div></body>"
+            assert html_density.main_text(page) == whole, (name, inner[:20])
+    for page in (
+        f"<body><form action=x><input name=y><div>{_p(text)}</div>{side}</form></body>",
+        f"<body><article>{_p(text)}</article><div class=comments>{said}</div></body>",
+        f"<body><div class=post>{_p(text)}</div><div id=comments>{said}</div></body>",
+        f"<body><div class=has-comments><article>{_p(text)}</article><div class=comments>{said}</div></div></body>",
+    ):
+        assert html_density.main_text(page) == whole, page[:60]
+    halves = f"<body><div class=sidebar-a>{_p(text)}</div><div class=sidebar-b>{_p(text)}</div></body>"
+    assert html_density.main_text(halves) == f"{whole} {whole}"
+
+
 def test_articles_of_the_test_pages(spark, sf_dir):
     """The pages are built around one article element."""
     for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():

@@ -10,9 +10,12 @@ blocks belong to it. Within an article or main element (or the node whose sectio
 sibling of the path that is no links belongs to it, whatever its density; outside only headings,
 paragraphs, lists, tables and the like do.
 
-What names itself something else is left out before: scripts, styles, forms, menus and so on by
-element, and by the words of class, id and role. Elements that pages leave open are closed as
-browsers do where a block begins.
+What names itself something else is left out before: scripts, styles, menus and so on by element,
+and by the words of class, id and role, as are forms. An element that has its name for a part of it,
+such as a layout with a sidebar or a form around the page, is told by what it holds: the main
+element, all articles, or, if there is none elsewhere, most of the text that is no links. It stays,
+and what is in it is judged by itself. Where names would leave no text at all they do not count.
+Elements that pages leave open are closed as browsers do where a block begins.
 """
 
 from __future__ import annotations
@@ -50,7 +53,7 @@ CLOSES_ITSELF = {
 }
 FENCES = frozenset("html body table ul ol dl td th div article section main aside nav header footer form blockquote".split())
 NEVER = frozenset(
-    "head script style template noscript iframe object embed svg canvas audio video map form input button select "
+    "head script style template noscript iframe object embed svg canvas audio video map input button select "
     "textarea label nav menu aside footer dialog title datalist search".split()
 )
 OTHER_WORDS = frozenset(
@@ -63,36 +66,40 @@ OTHER_WORDS = frozenset(
 )
 FLOW = frozenset("h1 h2 h3 h4 h5 h6 hgroup p ul ol dl pre table blockquote figure".split())
 HEADER_WORDS = frozenset("header head banner masthead".split())
+COMMENT_WORDS = frozenset("comment comments commentlist disqus reply replies respond discussion".split())
+MODIFIERS = re.compile(r"\b(?:with|without|has|have|no|hide|show)[-_]+[a-z]+(?:[-_][a-z]+)*")
 LINK_SHARE = 0.3
+MOST, MOST_COMMENTS = 0.5, 0.9  # of the text: comments are often longer than their article
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "out", "c", "t", "lc", "lt", "density", "sum")
+    __slots__ = ("tag", "parent", "parts", "out", "c", "t", "lc", "lt", "density", "sum", "named")
 
-    def __init__(self, tag: str, parent: Node | None, out: bool):
-        self.tag, self.parent, self.out = tag, parent, out
+    def __init__(self, tag: str, parent: Node | None, out: bool, named: float = 0.0):
+        self.tag, self.parent, self.out, self.named = tag, parent, out, named
         self.parts: list[Node | str] = []
         self.c = self.t = self.lc = self.lt = 0
         self.density = self.sum = 0.0
 
 
-def _other(tag: str, attributes: str, inside: bool) -> bool:
-    """Whether an element names itself something other than the article."""
+def _other(tag: str, attributes: str, inside: bool) -> tuple[bool, float]:
+    """Whether an element cannot be the article, and the share of the text it needs to be despite its name."""
     if tag in NEVER or tag == "header" and not inside:
-        return True
+        return True, 0.0
+    named = MOST if tag == "form" else 0.0
     if not attributes or tag in ("html", "body", "main", "article"):
-        return False
+        return False, named
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return True, 0.0
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
+            return True, 0.0
         if name in ("class", "id", "role"):
-            words = set(NAMES.findall(CAMEL.sub(" ", value).lower()))
+            words = set(NAMES.findall(MODIFIERS.sub(" ", CAMEL.sub("-", value).lower())))
             if words & OTHER_WORDS or not inside and words & HEADER_WORDS:
-                return True
-    return False
+                named = max(named, MOST_COMMENTS if words & COMMENT_WORDS else MOST)
+    return False, named
 
 
 def parse(page: str) -> Node:
@@ -142,7 +149,8 @@ def parse(page: str) -> Node:
                 node = node.parent
             if node.tag == "p":  # a block ends an open paragraph, and what is open within it
                 at = node.parent
-        node = Node(tag, at, at.out or _other(tag, m[3], inside > 0))
+        never, named = _other(tag, m[3], inside > 0)
+        node = Node(tag, at, at.out or never, named)
         at.parts.append(node)
         if tag in RAW:
             close = re.compile(rf"</{tag}[\s/>]", re.I).search(page, pos)
@@ -153,11 +161,46 @@ def parse(page: str) -> Node:
     return root
 
 
+def _judged(root: Node) -> list[Node]:
+    """The measured nodes without those whose name holds; all if nothing would be left."""
+    order = _measure(root)
+    named = [x for x in order if x.named]
+    if not named:
+        return order
+    plain = root.c - root.lc
+    inner: dict[int, list[int]] = {}  # articles and main elements within
+    for node in reversed(order):
+        n = inner.setdefault(id(node), [0, 0])
+        if (up := node.parent) is not None:
+            m = inner.setdefault(id(up), [0, 0])
+            m[0] += n[0] + (node.tag == "article")
+            m[1] += n[1] + (node.tag == "main")
+    articles, mains = inner[id(root)]
+    for x in named:
+        held, most = inner[id(x)], x.named
+        whole = held[1] or articles and held[0] == articles and most < MOST_COMMENTS
+        up = x.parent
+        while up is not None and up.tag not in ("article", "main"):
+            up = up.parent
+        if up is not None:
+            most = MOST_COMMENTS  # of an article most is not named at all
+        elif held != [articles, mains]:
+            most = 1.0  # the article is elsewhere
+        x.out = not whole and x.c - x.lc <= most * plain
+    left = _measure(root)
+    if root.c:
+        return left
+    for x in named:
+        x.out = False
+    return _measure(root)
+
+
 def _measure(root: Node) -> list[Node]:
     """Sums of every node, children first; returns the nodes in page order."""
     order, stack = [], [root]
     while stack:
         node = stack.pop()
+        node.c = node.t = node.lc = node.lt = 0
         order.append(node)
         stack.extend(x for x in reversed(node.parts) if type(x) is Node and not x.out)
     for node in reversed(order):
@@ -265,7 +308,7 @@ def main_text(page: str) -> str:
     if not page:
         return ""
     root = parse(page)
-    order = _measure(root)
+    order = _judged(root)
     body = next((x for x in order if x.tag == "body"), root)
     if not body.c:
         body = root
