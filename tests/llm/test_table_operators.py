@@ -194,6 +194,34 @@ def test_substring_dedup_equals_brute_force(spark, monkeypatch):
             assert bytes(left) == bytes(r["kept"]) and r["n_bytes"] == len(text)
 
 
+def test_substring_dedup_bounds_hot_anchors(spark, monkeypatch):
+    rng = random.Random(9)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+
+    def grams(text):  # that are the anchor of some window
+        return len(set(substring_dedup._anchors(np.frombuffer(text.encode(), np.uint8)).tolist()))
+
+    phrase = letters(24)  # shorter than a window: its neighbours differ, and it is the anchor of all of them
+    while any(grams(letters(26) + phrase + letters(26)) > 1 for _ in range(20)):
+        phrase = letters(24)
+    rows = [(i, letters(rng.randint(30, 60)) + phrase + letters(rng.randint(30, 60))) for i in range(400)]
+    rows += [(1_000 + i, letters(20) + rows[i][1][5:] + "\0" * 60 * (i % 2) + letters(20)) for i in range(0, 400, 7)]
+    expected = without_repeats([(i, t.encode()) for i, t in rows])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(substring_dedup, "RUN_BYTES", 12_000)
+    monkeypatch.setattr(substring_dedup, "PART_SUFFIXES", 400)
+    monkeypatch.setattr(substring_dedup, "PART_ANCHORS", 400)
+    held = {}
+    for hot, windows in ((20_000, 500_000), (30, 500_000), (30, 200), (0, 20)):
+        monkeypatch.setattr(substring_dedup, "HOT_SUFFIXES", hot, raising=False)
+        monkeypatch.setattr(substring_dedup, "PART_WINDOWS", windows, raising=False)
+        out, sent = substring_dedup._passes(docs, "doc_id", "text")
+        assert {r["doc_id"]: bytes(r["kept"]) for r in out.collect()} == expected
+        held[hot, windows] = [r["n"] for r in sent.groupBy("part", "anchor", "sub").agg(F.sum("n").alias("n")).collect()]
+    assert max(held[20_000, 500_000]) > 400 and max(held[30, 500_000]) > 2_000
+    assert max(held[30, 200]) < 400
+
+
 def test_substring_dedup_of_odd_rows(spark):
     long = "".join(chr(97 + i * i % 26) for i in range(300))
     rows = [(1, long), (1, long), (2, long), (None, long), (None, long), (3, None), (4, ""), (0, "short")]

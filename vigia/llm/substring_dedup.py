@@ -21,6 +21,12 @@ prefix its front code states. No known prefix is compared again. Equal suffixes
 and leave the smallest document of all runs. Suffixes of one anchor whose texts differ (the ends of
 a passage) can still share windows: these are cut into windows and compared exactly.
 
+Hot anchors. A frequent phrase whose neighbours differ gives as many suffixes of one anchor. The
+first exchange counts them; the segments of an anchor beyond ``HOT_SUFFIXES`` are cut into windows
+where they are, and each run sends its distinct windows with the smallest document of each. They
+are dealt by a hash of the window's bytes over as many groups as the anchor needs, so that a window
+meets its equals, and no group holds more than its share whatever the number of the phrase.
+
 Answers go back to the runs, which hold the texts: for each suffix the smallest document of each of
 its windows. A document is sent once for all three passes over it, as the passes read the same
 exchange. A string with a third of all documents is one suffix per run, whatever its number.
@@ -38,13 +44,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import importable, pack, unpack
-from .jaccard_join import U, mix
+from .jaccard_join import K1, U, mix
 
 WINDOW, GRAM = 50, 24
 LONGEST = 64  # windows of a segment
 RUN_BYTES = 8 << 20
 PART_ANCHORS = 500_000  # anchors that meet in one part of the first exchange
 PART_SUFFIXES = 100_000
+HOT_SUFFIXES = 20_000  # of one anchor, beyond which its windows are dealt by their bytes
+PART_WINDOWS = 500_000
+REPEATED = 4  # occurrences in a run from which on distinct suffixes are counted
 SLICE = 1 << 17
 BASE = 0x9E3779B97F4A7C15 | 1
 _TABLE = mix(np.arange(1, 257, dtype=U) * U(0xD6E8FEB86659FD93))
@@ -116,7 +125,7 @@ class Run:
         self.texts: list[bytes] = [x or b"" for x in table["text"].to_pylist()]
         anchor, self.doc, self.first, self.n = segments(self.texts)
         self.key = mix(anchor)
-        self.short, self.at = np.unique(self.key >> U(24), return_inverse=True)
+        self.short, self.at, self.count = np.unique(self.key >> U(24), return_inverse=True, return_counts=True)
         ids = self.ids[self.doc]
         low = np.full(len(self.short), np.iinfo(np.int64).max)
         high = np.full(len(self.short), np.iinfo(np.int64).min)
@@ -124,6 +133,48 @@ class Run:
         np.maximum.at(high, self.at, ids)
         self.several = low != high
 
+    def suffix(self, k: int) -> bytes:
+        a = self.first[k]
+        return self.texts[self.doc[k]][a : a + self.n[k] + WINDOW - 1]
+
+    def count_suffixes(self) -> np.ndarray:
+        """At least the distinct suffixes of every anchor; exact for those that the run repeats."""
+        out = self.count.copy()
+        seen: set[tuple[int, bytes]] = set()
+        out[self.count > REPEATED] = 0
+        for k in np.flatnonzero(self.count[self.at] > REPEATED).tolist():
+            name = (int(self.at[k]), self.suffix(k))
+            if name not in seen:
+                seen.add(name)
+                out[name[0]] += 1
+        return out
+
+    def windows(self, groups: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, tuple]]:
+        """The windows of hot anchors: those with a number of ``groups``.
+
+        For each, its place in ``short``, its distinct windows in text order, the smallest document
+        and the group of each, and where its segments have them: the segments, the suffix of each,
+        and the distinct window at every place of the suffixes, which begin at the last numbers.
+        """
+        hot = np.flatnonzero(groups[self.at])
+        hot = hot[np.argsort(self.at[hot], kind="stable")]
+        cuts = np.flatnonzero(np.diff(self.at[hot])) + 1
+        for chosen in np.split(hot, cuts) if len(hot) else []:
+            rank: dict[bytes, int] = {}
+            of = np.array([rank.setdefault(self.suffix(k), len(rank)) for k in chosen.tolist()], np.int64)
+            least = np.full(len(rank), np.iinfo(np.int64).max)
+            np.minimum.at(least, of, self.ids[self.doc[chosen]])
+            windows, n = cut_windows(list(rank))
+            found, first, same = np.unique(windows, return_index=True, return_inverse=True)
+            docs = np.full(len(found), np.iinfo(np.int64).max)
+            np.minimum.at(docs, same, np.repeat(least, n))
+            order = np.argsort(first)
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            k = int(self.at[chosen[0]])
+            windows = found[order]
+            yield k, windows, docs[order], group_of(windows, int(groups[k])), (chosen, of, place[same], np.cumsum(n) - n)
+
     def suffixes(self, shared: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
         """Sorted distinct suffixes, the smallest document of each, and their occurrences.
 
@@ -146,6 +197,28 @@ class Run:
         return ordered, docs, chosen, np.fromiter(map(rank.__getitem__, names), np.int64, len(names))
 
 
+def cut_windows(names: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The windows of all ``names``, one after the other, and how many each has."""
+    sizes = np.array([len(x) for x in names], np.int64)
+    n = sizes - WINDOW + 1
+    start = np.repeat(np.cumsum(sizes) - sizes - np.cumsum(n) + n, n) + np.arange(n.sum())
+    text = np.frombuffer(b"".join(names), np.uint8)
+    windows = np.lib.stride_tricks.sliding_window_view(text, WINDOW)[start]
+    return np.ascontiguousarray(windows).view(f"S{WINDOW}").ravel(), n
+
+
+def group_of(windows: np.ndarray, groups: int) -> np.ndarray:
+    """One of ``groups`` numbers for every window, by its bytes."""
+    if groups == 1:
+        return np.zeros(len(windows), np.int64)
+    x = np.zeros((len(windows), -(-WINDOW // 8) * 8), np.uint8)
+    x[:, :WINDOW] = windows.view(np.uint8).reshape(-1, WINDOW)
+    h = np.zeros(len(windows), U)
+    for word in x.view(U).T:
+        h = mix(h * K1 + word)
+    return (h % U(groups)).astype(np.int64)
+
+
 def _parts_of(names: list[bytes], parts: int) -> np.ndarray:
     keys = np.array([int.from_bytes(x[:5], "big") for x in names], U)
     return _slices(keys, parts)
@@ -241,12 +314,8 @@ def window_minima(names: list[bytes], docs: np.ndarray, group: np.ndarray) -> tu
     minima = np.repeat(docs, n)
     many = np.flatnonzero(np.bincount(group)[group] > 1)
     if len(many):
-        text = np.frombuffer(b"".join(names[i][8:] for i in many.tolist()), np.uint8)
-        sizes = n[many] + WINDOW - 1
-        start = np.repeat(np.cumsum(sizes) - sizes, n[many]) + np.arange(n[many].sum()) - np.repeat(np.cumsum(n[many]) - n[many], n[many])
-        windows = np.lib.stride_tricks.sliding_window_view(text, WINDOW)[start]
-        windows = np.ascontiguousarray(windows).view(f"S{WINDOW}").ravel()
-        at = np.repeat(offsets[many], n[many]) + np.arange(len(start)) - np.repeat(np.cumsum(n[many]) - n[many], n[many])
+        windows, of = cut_windows([names[i][8:] for i in many.tolist()])
+        at = np.repeat(offsets[many] - np.cumsum(of) + of, of) + np.arange(len(windows))
         _, same = np.unique(windows, return_inverse=True)
         least = np.full(same.max() + 1, np.iinfo(np.int64).max)
         np.minimum.at(least, same, minima[at])
@@ -264,6 +333,9 @@ def _answer(part: int, rows: list[tuple[int, bytes, bytes, bytes]]) -> pa.Table:
     return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
+_HOT = -(1 << 31)  # the part of answers about windows
+
+
 def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, spans, kept) for every row of ``docs``.
 
@@ -273,7 +345,13 @@ def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text: str = "te
     neither remove nor lose anything; null and empty texts, and texts shorter than a window, have
     nothing to lose. Other columns are ignored; an empty table gives an empty result.
     """
+    return _passes(docs, id_col, text)[0]
+
+
+def _passes(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """The result, and what the runs send to be merged: rows of a group share part, anchor and sub."""
     importable(docs.sparkSession)
+    hot_suffixes, part_windows = HOT_SUFFIXES, PART_WINDOWS
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
     runs = max(1, math.ceil(total / RUN_BYTES))
@@ -284,15 +362,18 @@ def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text: str = "te
     def send_anchors(key: tuple, table: pa.Table) -> pa.Table:
         run = Run(table)
         edges = _slices(run.short, parts)
+        counts = run.count_suffixes()
         out = []
         for p in range(parts):
             keys = run.short[edges[p] : edges[p + 1]]
             if len(keys):
                 several = run.several[edges[p] : edges[p + 1]]
-                out.append((p, key[0].as_py(), pack(np.diff(keys, prepend=U(0))), np.packbits(several).tobytes()))
-        columns = list(zip(*out, strict=True)) if out else [[]] * 4
-        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-        return pa.table([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["part", "run", "keys", "several"])
+                n = pack(counts[edges[p] : edges[p + 1]])
+                out.append((p, key[0].as_py(), pack(np.diff(keys, prepend=U(0))), np.packbits(several).tobytes(), n))
+        columns = list(zip(*out, strict=True)) if out else [[]] * 5
+        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 3]
+        names = ["part", "run", "keys", "several", "counts"]
+        return pa.table([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     def find_shared(key: tuple, table: pa.Table) -> pa.Table:
         keys = [np.cumsum(unpack(x), dtype=U) for x in table["keys"].to_pylist()]
@@ -301,40 +382,68 @@ def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text: str = "te
         shared = n > 1
         shared[at[np.concatenate(several)]] = True
         flags = shared[at]
+        counts = np.concatenate([unpack(x) for x in table["counts"].to_pylist()])
+        total = np.zeros(len(shared), np.int64)
+        np.add.at(total, at, counts.astype(np.int64))
+        most = -(-total * (WINDOW - GRAM + 1) // part_windows)  # groups of the anchor's windows
+        groups = np.where(shared & (total > hot_suffixes), most, 0)[at]
         out, start = [], 0
         for run, k in zip(table["run"].to_pylist(), keys, strict=True):
-            bits = flags[start : start + len(k)]
+            bits, hot = flags[start : start + len(k)], groups[start : start + len(k)]
             start += len(k)
-            out.append((run, np.packbits(bits).tobytes(), b"", b""))
+            out.append((run, np.packbits(bits).tobytes(), pack(hot) if hot.any() else b"", b""))
         return _answer(key[0].as_py(), out)
 
-    def shared_of(run: Run, answers: pa.Table) -> np.ndarray:
+    def shared_of(run: Run, answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each anchor is shared and not hot, and the groups of those that are hot."""
         edges = _slices(run.short, parts)
         shared = np.zeros(len(run.short), bool)
-        for p, flags in zip(answers["part"].to_pylist(), answers["flags"].to_pylist(), strict=True):
+        groups = np.zeros(len(run.short), np.int64)
+        for p, flags, hot in zip(*(answers[x].to_pylist() for x in ("part", "flags", "changes")), strict=True):
             if p >= 0:
                 n = edges[p + 1] - edges[p]
                 shared[edges[p] : edges[p + 1]] = np.unpackbits(np.frombuffer(flags, np.uint8), count=n).astype(bool)
-        return shared
+                if hot:
+                    groups[edges[p] : edges[p + 1]] = unpack(hot).view(np.int64)
+        return shared & (groups == 0), groups
 
     def send_suffixes(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         out = []
         if table.num_rows:
             run = Run(table)
-            names, least, _, _ = run.suffixes(shared_of(run, answers))
+            shared, groups = shared_of(run, answers)
+            names, least, _, _ = run.suffixes(shared)
             edges = _parts_of(names, cuts) if names else np.zeros(cuts + 1, int)
             for c in range(cuts):
                 if edges[c] < edges[c + 1]:
                     some = names[edges[c] : edges[c + 1]]
-                    out.append((c, key[0].as_py(), *front_code(some), pack(least[edges[c] : edges[c + 1]])))
-        columns = list(zip(*out, strict=True)) if out else [[]] * 6
-        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
+                    out.append((c, 0, 0, key[0].as_py(), len(some), *front_code(some), pack(least[edges[c] : edges[c + 1]])))
+            for k, windows, docs_, group, _ in run.windows(groups):
+                for g in np.unique(group).tolist():
+                    some = group == g
+                    code = (b"", b"", _squeeze(windows[some].tobytes()), pack(docs_[some]))
+                    out.append((-1, int(run.short[k]), g, key[0].as_py(), int(some.sum()), *code))
+        columns = list(zip(*out, strict=True)) if out else [[]] * 9
+        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * 4]
         return pa.table(
             [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)],
-            names=["part", "run", "shared", "rest", "suffixes", "least"],
+            names=["part", "anchor", "sub", "run", "n", "shared", "rest", "suffixes", "least"],
         )
 
+    def merge_windows(anchor: int, sub: int, table: pa.Table) -> pa.Table:
+        raw = [_expand(x) for x in table["suffixes"].to_pylist()]
+        docs_ = np.concatenate([unpack(x).view(np.int64) for x in table["least"].to_pylist()])
+        found, same = np.unique(np.frombuffer(b"".join(raw), f"S{WINDOW}"), return_inverse=True)
+        least = np.full(len(found), np.iinfo(np.int64).max)
+        np.minimum.at(least, same, docs_)
+        ends = np.cumsum([len(x) // WINDOW for x in raw])
+        name = anchor.to_bytes(8, "big") + sub.to_bytes(4, "big")
+        minima = np.split(least[same], ends[:-1])
+        return _answer(_HOT, [(r, name, b"", pack(m)) for r, m in zip(table["run"].to_pylist(), minima, strict=True)])
+
     def merge_runs(key: tuple, table: pa.Table) -> pa.Table:
+        if key[0].as_py() < 0:
+            return merge_windows(key[1].as_py(), key[2].as_py(), table)
         ids = table["run"].to_pylist()
         least = [unpack(x).view(np.int64) for x in table["least"].to_pylist()]
         coded = zip(table["shared"].to_pylist(), table["rest"].to_pylist(), table["suffixes"].to_pylist(), strict=True)
@@ -371,14 +480,15 @@ def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text: str = "te
 
     def remove(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         run = Run(table)
-        names, _, chosen, at = run.suffixes(shared_of(run, answers))
+        shared, groups = shared_of(run, answers)
+        names, _, chosen, at = run.suffixes(shared)
         sizes = np.array([len(t) for t in run.texts], np.int64)
         begin = np.cumsum(sizes) - sizes
         starts = np.zeros(int(sizes.sum()) + WINDOW + 1, bool)
         rows = sorted(
             (-1 - p, a, b, c)
             for p, a, b, c in zip(*(answers[x].to_pylist() for x in ("part", "flags", "changes", "docs")), strict=True)
-            if p < 0
+            if _HOT < p < 0
         )
         if names:
             n = np.frombuffer(b"".join(_expand(a) for _, a, _, _ in rows), np.uint8).astype(np.int64)
@@ -395,6 +505,17 @@ def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text: str = "te
                 inner = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
                 covered = minima[np.repeat(offsets[k], m) + inner] < np.repeat(run.ids[run.doc[c]], m)
                 starts[(np.repeat(begin[run.doc[c]] + run.first[c], m) + inner)[covered]] = True
+        told = {a: c for p, a, c in zip(*(answers[x].to_pylist() for x in ("part", "flags", "docs")), strict=True) if p == _HOT}
+        for k, windows, _, group, (chosen, of, place, first) in run.windows(groups):
+            minima = np.empty(len(windows), np.int64)
+            for g in np.unique(group).tolist():
+                minima[group == g] = unpack(told[int(run.short[k]).to_bytes(8, "big") + g.to_bytes(4, "big")]).view(np.int64)
+            for a in range(0, len(chosen), 200_000):
+                c, w = chosen[a : a + 200_000], of[a : a + 200_000]
+                m = run.n[c]
+                inner = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+                covered = minima[place[np.repeat(first[w], m) + inner]] < np.repeat(run.ids[run.doc[c]], m)
+                starts[(np.repeat(begin[run.doc[c]] + run.first[c], m) + inner)[covered]] = True
         total = np.cumsum(starts, dtype=np.int32)
         gone = total.copy()
         gone[WINDOW:] -= total[:-WINDOW]
@@ -415,12 +536,13 @@ def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text: str = "te
         })
 
     by_run = dealt.groupBy("run")
-    anchors = by_run.applyInArrow(send_anchors, "part int, run int, keys binary, several binary")
+    anchors = by_run.applyInArrow(send_anchors, "part int, run int, keys binary, several binary, counts binary")
     shared = anchors.groupBy("part").applyInArrow(find_shared, _FLAGS)
     suffixes = by_run.cogroup(shared.groupBy("run")).applyInArrow(
-        send_suffixes, "part int, run int, shared binary, rest binary, suffixes binary, least binary"
+        send_suffixes,
+        "part int, anchor long, sub int, run int, n int, shared binary, rest binary, suffixes binary, least binary",
     )
-    merged = suffixes.groupBy("part").applyInArrow(merge_runs, _FLAGS)
+    merged = suffixes.groupBy("part", "anchor", "sub").applyInArrow(merge_runs, _FLAGS)
     out = by_run.cogroup(shared.union(merged).groupBy("run")).applyInArrow(
         remove, "doc_id long, n_bytes long, spans array<struct<start: bigint, length: bigint>>, kept binary"
     )
@@ -428,4 +550,4 @@ def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text: str = "te
     free = rows.where("doc_id IS NULL").select(
         "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), empty.alias("spans"), F.col("text").alias("kept")
     )
-    return out.union(free)
+    return out.union(free), suffixes
