@@ -218,6 +218,17 @@ def test_rewriting_templates_are_found():
         assert not chat_format.spans(chat_format.marked, turns)[2]
 
 
+def test_templates_that_rewrite_far_back_are_found():
+    def masked(turns, kept):
+        return "".join(f"[{r}]{t if i >= len(turns) - kept else '*' * len(t)};" for i, (r, t) in enumerate(turns))
+
+    turns = [("user", f"turn number {i}") for i in range(30)]
+    for kept in (1, 8, 9, 12, 29):
+        assert chat_format.spans(lambda x: masked(x, kept), turns)[2], kept  # noqa: B023
+    out, found, rewritten = chat_format.spans(lambda x: masked(x, 30), turns)
+    assert not rewritten and [out[s.text_start : s.text_end] for s in found] == [t for _, t in turns]
+
+
 def test_chats_on_tables(spark):
     rows = [(1, 1, "assistant", "b"), (1, 0, "user", "a"), (1, 0, "user", "a"), (2, 0, None, None), (None, None, "user", "<|im_end|>")]
     rows += [(3, k, "assistant" if k % 2 else "user", f"turn {k}") for k in range(200)]

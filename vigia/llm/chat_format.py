@@ -88,7 +88,7 @@ def spans(render: Template, turns: list[Turn], context: int = CONTEXT) -> tuple[
     insides: dict = {}
     for most in (context, len(turns)):
         out: list[Span] = []
-        at, rewritten = 0, False
+        at, rewritten, pieces = 0, False, []
         for k, turn in enumerate(turns):
             known = turns[max(0, k - most) : k]
             before, after = render(known) if known else "", render([*known, turn])
@@ -105,7 +105,8 @@ def spans(render: Template, turns: list[Turn], context: int = CONTEXT) -> tuple[
             head, tail = insides[key]
             out.append(Span(at, at + added, at + head, max(at + head, at + added - tail)))
             at += added
-        rewritten = rewritten or at != len(whole)
+            pieces.append(after[len(after) - added :])
+        rewritten = rewritten or "".join(pieces) != whole
         if not rewritten or len(turns) <= context:
             break
     return whole, out, rewritten
