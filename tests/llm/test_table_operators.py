@@ -138,6 +138,16 @@ def test_decontamination_equals_brute_force(spark):
     assert decontaminate.find_benchmark(df, bench.limit(0)).where(F.size("hits") > 0).count() == 0
 
 
+def test_decontamination_of_texts_shorter_than_an_item(spark):
+    w = [f"w{i}" for i in range(59)]
+    docs = [(1, " ".join(w[:57])), (2, " ".join(w[3:])), (3, " ".join(w[:48])), (4, " ".join(w[:47])), (5, " ".join(w[:3])), (6, "w0 w1 w2 w3")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(w)), (8, "w0 w1 w2 w3 w4"), (9, "a b c d")], "item_id long, text string")
+    found = decontaminate.find_benchmark(df, bench).select("doc_id", F.explode("hits").alias("h")).where("h.item_id <> 8")
+    got = {r["doc_id"]: (r["item_id"], r["similarity"], r["start_word"], r["n_words"]) for r in found.select("doc_id", "h.*").collect()}
+    assert got == {1: (7, 53 / 55, 0, 57), 2: (7, 52 / 55, 0, 56), 3: (7, 44 / 55, 0, 48)}
+
+
 def test_blocks_find_every_print_within_the_radius():
     rng = np.random.default_rng(3)
     prints = rng.integers(0, 1 << 63, 200).astype(np.uint64)

@@ -138,12 +138,12 @@ class Index:
             of: dict[int, list[int]] = defaultdict(list)  # by class: the shingles its items have
             for at, x in zip(met.tolist(), s[met].tolist(), strict=True):
                 for n in self.owners[x]:
-                    if n <= words:
+                    if n <= words or len(s) / (n - size + 1) >= self.least:
                         of[n].append(at)
             sums = None
             for n, places in of.items():
                 ids, bags, blocks = self.classes[n]
-                span = n - size + 1  # shingles of a window
+                span = min(n, words) - size + 1  # shingles of a window
                 at = np.array(places)
                 mark = np.zeros(len(s) + 1, np.int32)
                 np.add.at(mark, np.maximum(at - span + 1, 0), 1)
@@ -159,7 +159,7 @@ class Index:
                     at = int(starts[q])
                     similarity = weighted_jaccard(Counter(s[at : at + span].tolist()), bags[p])
                     if similarity >= self.least:
-                        row = (-similarity, at, n, d)
+                        row = (-similarity, at, span + size - 1, d)
                         found[ids[p]] = min(found.get(ids[p], row), row)
         return [
             {"item_id": i, "similarity": -x, "start_word": at, "n_words": n, "hamming": d}
@@ -182,9 +182,9 @@ def find_benchmark(
 ) -> DataFrame:
     """``docs`` with ``hits``: for each benchmark item found, its best window (earliest of equals).
 
-    A window has as many words as the item; words are runs without ASCII white space, A-Z in lower
-    case; items of fewer than ``size`` words are one shingle of all their words. A row in, a row
-    out, repeated or not; null and empty texts, and texts shorter than an item, hold nothing. Items
+    A window has as many words as the item, or is the whole text if that has fewer; words are runs
+    without ASCII white space, A-Z in lower case; items of fewer than ``size`` words are one shingle
+    of all their words. A row in, a row out, repeated or not; null and empty texts hold nothing. Items
     with a null id or text, or without words, are not looked for; items of one id are told apart by
     their text and reported once. ``hits`` of the input is replaced, other columns pass. An empty
     table on either side gives empty hits.
