@@ -27,10 +27,21 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word shingles at 0.8 or more, the one of the smallest id stays."""
-    groups = jaccard_join.jaccard_components(docs, size=5, num=8, den=10)
-    others = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(docs.columns)
+    """Of documents linked by five-word shingles at 0.8 or more, the one of the smallest id stays.
+
+    A document is a row: rows of one id with different texts are told apart, repeated rows are
+    copies of which one stays, and a row without an id stays only where none of its group has one.
+    Rows without words link with nothing and stay.
+    """
+    rows = cut(docs.withColumn("near_row", F.monotonically_increasing_id()), "near-copy-rows")
+    texts = rows.select(F.col("near_row").alias("doc_id"), "text")
+    groups = jaccard_join.jaccard_components(texts, size=5, num=8, den=10)
+    groups = groups.select(F.col("doc_id").alias("near_row"), F.col("component_id").alias("component"))
+    grouped = cut(groups.join(rows.select("near_row", "doc_id"), "near_row"), "near-copy-groups")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("near_row"))
+    first = grouped.groupBy("component").agg(F.min_by("near_row", order).alias("stays"), F.count("*").alias("n")).where("n > 1")
+    others = grouped.join(first, "component").where("near_row <> stays").select("near_row")
+    return rows.join(others, "near_row", "left_anti").select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -86,6 +86,21 @@ def test_every_stage(spark, corpus):
         assert bytes(r["ids"]) == struct.pack(f"<{len(ids)}I", *ids) and r["n_tokens"] == len(ids) and r["round_trip"]
 
 
+def test_near_copies_are_dropped_by_row(spark):
+    rng = random.Random(2)
+    prose = lambda: [f"w{rng.randrange(10_000)}" for _ in range(60)]
+    a, b, c, d, e = (prose() for _ in range(5))
+    near = [*b[:-1], "changed"]
+    rows = [(3, b), (5, a), (5, b), (5, near), (7, c), (7, c), (8, c), (None, c), (None, d), (None, d), (9, e), (9, ["only", *e]), (1, []), (1, [])]
+    docs = spark.createDataFrame([(i, " ".join(w), "en", "s", k) for k, (i, w) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert out.columns == NAMES
+    got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+    kept = [r for r in got if r[0] != 9]
+    assert kept == sorted([(3, " ".join(b)), (5, " ".join(a)), (7, " ".join(c)), (None, " ".join(d)), (1, ""), (1, "")], key=str)
+    assert [r[1] in (" ".join(e), "only " + " ".join(e)) for r in got if r[0] == 9] == [True]
+
+
 def test_run_applies_the_stages(spark, corpus):
     folder, texts, planted = corpus
     got = {r["doc_id"] for r in corpus_pipeline.run(spark, folder).select("doc_id").collect()}
