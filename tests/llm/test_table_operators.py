@@ -68,6 +68,30 @@ def test_jaccard_components_equal_brute_force(spark, tile, size, num, den):
     assert found == linked(rows, size, num, den)
 
 
+def test_tiles_of_long_documents_are_bounded_by_bytes(spark, monkeypatch):
+    rng = random.Random(10)
+    base = [f"w{rng.randrange(100_000)}" for _ in range(3_000)]
+    rows = []
+    for i in range(40):
+        w = list(base)
+        for _ in range(rng.choice([1, 5, 20, 60])):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(100_000)}"
+        rows.append((i, " ".join(w)))
+    tiles, links = [], jaccard_join._links
+
+    def seen(members, cuts):
+        sizes = members.withColumn("b", F.octet_length("words")).groupBy("tile").agg(F.sum("b").alias("b"))
+        tiles.append(max((r["b"] for r in sizes.collect()), default=0))
+        return links(members, cuts)
+
+    monkeypatch.setattr(jaccard_join, "_links", seen)
+    monkeypatch.setattr(jaccard_join, "TILE_BYTES", 200_000, raising=False)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(docs, 3, 90, 100).collect()}
+    assert got == linked(rows, 3, 90, 100)
+    assert max(tiles) <= 2 * 200_000  # 960,000 bytes of hashes in all
+
+
 def test_jaccard_of_an_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard_join.jaccard_components(docs).count() == 0

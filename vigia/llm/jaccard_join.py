@@ -13,8 +13,8 @@ pairs that are connected already, and intersects the sorted sets of what is left
 spanning forest of their links, not all pairs. Connected components of the links are the result.
 
 Documents with equal sets are one set throughout, whatever their number. Tasks send each signature
-once and join the sets that share it on the spot. In candidate components beyond ``TILE`` sets all
-are compared with a leader of each band first; a group of near copies, however large, is mostly
+once and join the sets that share it on the spot. In candidate components beyond ``TILE`` sets or
+``TILE_BYTES`` of sets and bitmaps all are compared with a leader of each band first; a group of near copies, however large, is mostly
 connected by that. Only sets outside the largest group go on, against blocks by size band.
 """
 
@@ -36,6 +36,7 @@ from .components import components
 U = np.uint64
 K1, K2, K3 = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)
 TILE = 4_000
+TILE_BYTES = 256 << 20  # of hashes and bitmaps in one tile
 GROWTH = 1.25  # of a band's sizes
 FLUSH = 1_000_000
 PART_SIGNATURES = 300_000  # that meet in one part
@@ -361,6 +362,11 @@ def _leader_links(large: DataFrame, cuts: Cut) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
+def _held() -> Column:
+    """At most the bytes of a group of sets in a tile: 8 an element, and a row of bits for each set."""
+    return 8 * F.sum("n") + F.count("*") * F.greatest(F.max("n"), F.lit(8))
+
+
 def _candidate_links(members: DataFrame, cuts: Cut, tile: int) -> DataFrame:
     """Links that connect what is connected within each candidate component.
 
@@ -368,25 +374,27 @@ def _candidate_links(members: DataFrame, cuts: Cut, tile: int) -> DataFrame:
     they leave outside its largest group is then compared with all sets, in blocks by size band.
     Pairs inside the largest group need no look, as they are connected already.
     """
-    sizes = members.groupBy("cand").agg(F.count("*").alias("of"))
+    fits = (F.count("*") <= tile) & (_held() <= TILE_BYTES) | (F.count("*") == 1)
+    sizes = members.groupBy("cand").agg(fits.alias("fits"))
     rows = members.join(sizes, "cand")
-    small = rows.where(F.col("of") <= tile).select(F.col("cand").alias("tile"), "doc_id", F.lit(True).alias("base"), "words")
+    small = rows.where("fits").select(F.col("cand").alias("tile"), "doc_id", F.lit(True).alias("base"), "words")
     links = _links(small, cuts)
-    if sizes.where(F.col("of") > tile).isEmpty():
+    if sizes.where("NOT fits").isEmpty():
         return links
     step = math.log(cuts.den / cuts.num)
-    large = rows.where(F.col("of") > tile).withColumn("band", F.floor(F.log(F.col("n")) / step).cast("int"))
-    ids = cut(large.select("cand", "band", "doc_id"), "large-candidates")
+    large = rows.where("NOT fits").withColumn("band", F.floor(F.log(F.col("n")) / step).cast("int"))
+    ids = cut(large.select("cand", "band", "doc_id", "n"), "large-candidates")
     led = cut(_leader_links(large, cuts), "leader-links")
     groups = components(led, "a", "b").select(F.col("node").alias("doc_id"), "component")
     grouped = ids.join(groups, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     counts = grouped.groupBy("cand", "component").agg(F.count("*").alias("n_in"))
     most = counts.groupBy("cand").agg(F.max_by("component", F.struct("n_in", "component")).alias("most"))
-    rest = grouped.join(most, "cand").where(F.col("component") != F.col("most")).select("cand", "band", "doc_id")
+    rest = grouped.join(most, "cand").where(F.col("component") != F.col("most")).select("cand", "band", "doc_id", "n")
 
     def dealt(sets: DataFrame, number: str) -> DataFrame:
         """The sets with the block of their band that they are in."""
-        count = sets.groupBy("cand", "band").agg(F.ceil(F.count("*") / (tile / 2)).cast("int").alias("of"))
+        blocks = F.greatest(F.count("*") / (tile / 2), _held() / (TILE_BYTES / 2))
+        count = sets.groupBy("cand", "band").agg(F.ceil(blocks).cast("int").alias("of"))
         block = F.pmod(F.xxhash64("doc_id"), F.col("of")).cast("int").alias(number)
         return sets.join(count, ["cand", "band"]).select("cand", "band", "doc_id", block)
 
