@@ -94,9 +94,32 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_
 FROM marked GROUP BY r, doc_id
 """
 
+EMBEDDING_DEDUP = """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+), usable AS (
+  SELECT * FROM v
+  WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0
+    AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.r AS a, b.r AS b FROM usable a JOIN usable b ON a.label = b.label AND len(a.e) = len(b.e) AND a.r <> b.r
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+), reach AS (
+  SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), least AS (
+  SELECT r.a, min(v.vec_id) AS m FROM reach r JOIN v ON v.r = r.b GROUP BY r.a
+), degree AS (
+  SELECT a, count(*) AS n FROM links GROUP BY a
+)
+SELECT v.vec_id, coalesce(d.n, 0)::BIGINT AS n_links, least(v.vec_id, l.m) AS component_id,
+       v.vec_id IS NOT DISTINCT FROM least(v.vec_id, l.m) AS kept
+FROM v LEFT JOIN degree d ON d.a = v.r LEFT JOIN least l ON l.a = v.r
+"""
+
 ORACLE = {
     "op3_substring_dedup": SUBSTRING_DEDUP,
     "op6_chat_format": CHAT_FORMAT,
     "op7_jaccard_join": JACCARD_JOIN,
     "op10_line_dedup": LINE_DEDUP,
+    "op13_embedding_dedup": EMBEDDING_DEDUP,
 }

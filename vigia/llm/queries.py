@@ -10,6 +10,7 @@ from . import (
     byte_bpe,
     chat_format,
     decontaminate,
+    embedding_dedup,
     html_density,
     jaccard_join,
     line_dedup,
@@ -98,6 +99,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 QUERIES = {
     "op1_multi_index": op1_multi_index,
     "op2_token_count": op2_token_count,
@@ -109,4 +114,5 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_line_dedup": op10_line_dedup,
+    "op13_embedding_dedup": op13_embedding_dedup,
 }
