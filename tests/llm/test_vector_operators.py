@@ -1,9 +1,11 @@
 """Operators over vectors, against brute force."""
 
+import duckdb
 import numpy as np
 import pytest
 
-from vigia.llm import embedding_dedup
+from vigia.llm import embedding_dedup, whitening
+from vigia.llm.queries import QUERIES
 
 KIND = "vec_id long, embedding array<double>, label int"
 
@@ -94,3 +96,79 @@ def test_a_linked_pair_meets_in_the_home_of_one():
     assert near.sum() > 500 and (hx != hy)[near].sum() > 50
     assert ((hx == hy) | vx[each, hy] | vy[each, hx])[near].all()
     assert vx.mean() < 0.2
+
+
+def brute_whitening(ids, vectors, k=8):
+    """What LAPACK makes of the integer vectors: {id: (deviation, whitened)}, shares."""
+    x = np.floor(1024 * np.array(vectors, float)).astype(object) + 100_000
+    n, sums = len(x), x.sum(axis=0)
+    deviation = ((n * x - sums) ** 2).sum(axis=1)
+    centred = (x - sums / n).astype(float)
+    v = centred.T @ centred / n
+    values, components = np.linalg.eigh(v)
+    values, components = values[::-1][:k], components[:, ::-1][:, :k]
+    return dict(zip(ids, zip(deviation, centred @ components / np.sqrt(values)))), values / np.trace(v)
+
+
+def test_whitening_query_equals_lapack(spark, sf_dir):
+    rows = duckdb.sql(f"SELECT vec_id, embedding FROM '{sf_dir}/embeddings.parquet'").fetchall()
+    expected, shares = brute_whitening(*zip(*rows))
+    found = QUERIES["op12_whitening"](spark, sf_dir)
+    kinds = {"vec_id": "bigint", "component": "int", "n": "bigint", "deviation": "bigint"}
+    assert {c: t for c, t in found.dtypes if t != "double"} == kinds
+    found = found.collect()
+    assert len(found) == 8 * len(rows)
+    sign = {}
+    for r in found:
+        deviation, whitened = expected[r.vec_id]
+        assert (r.n, r.deviation) == (len(rows), deviation)
+        w = whitened[r.component - 1]
+        if abs(w) > 1e-3:
+            assert sign.setdefault(r.component, np.sign(w * r.whitened)) == np.sign(w * r.whitened)
+        assert abs(abs(w) - abs(r.whitened)) < 1e-8
+        assert abs(r.explained / shares[r.component - 1] - 1) < 1e-10
+    assert len({r.identity_error for r in found}) == 1 and found[0].identity_error < 1e-9
+
+
+def test_whitening_of_odd_rows(spark):
+    rng = np.random.default_rng(0)
+    good = [(i, rng.normal(size=5).tolist()) for i in range(40)] + [(90, [0.5] * 5), (90, [0.5] * 5), (None, [0.1] * 5)]
+    bad = [(50, None), (51, [None] * 5), (52, [float("nan")] * 5), (53, [1.0, float("-inf"), 0.0, 0.0, 0.0]),
+           (54, [1e300] * 5), (55, [1.0]), (56, [])]
+    kind = "vec_id long, v array<double>, n string, deviation int, whitened string, part int"
+    frame = spark.createDataFrame([(i, v, "n", 1, "w", 2) for i, v in good + bad], kind).repartition(3)
+    found = whitening.whiten(frame, k=9, vector="v").collect()
+    expected, shares = brute_whitening([i for i, _ in good], [v for _, v in good])
+    assert len(found) == len(good) and {len(r.whitened) for r in found} == {5}
+    for r in found:
+        deviation, whitened = expected[r.vec_id]
+        assert r.n == len(good) and r.deviation == deviation
+        assert np.allclose(np.abs(r.whitened), np.abs(whitened), atol=1e-9) and np.allclose(r.explained, shares)
+    assert whitening.whiten(frame.limit(0), vector="v").collect() == []
+    alike = spark.createDataFrame([(1, [0.25, 0.5]), (2, [0.25, 0.5])], "vec_id long, embedding array<float>")
+    assert [tuple(r) for r in whitening.whiten(alike).collect()] == [(1, 2, 0, [], [], 0.0), (2, 2, 0, [], [], 0.0)]
+    wide = spark.createDataFrame([(1, [1e12, 0.0]), (2, [-1e12, 0.0]), (3, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    found = {r.vec_id: r for r in whitening.whiten(wide).collect()}
+    assert found[1].deviation is None and found[3].n == 3 and found[3].identity_error < 1e-6
+
+
+@pytest.mark.parametrize("n, rank", [(1, 1), (2, 1), (7, 7), (20, 6), (64, 64)])
+def test_eigen_of_ranks_and_scales(n, rank):
+    rng = np.random.default_rng(n)
+    a = rng.normal(size=(n, rank)) * 10.0 ** rng.integers(-3, 4, size=(1, rank))
+    v = a @ a.T
+    values, vectors = whitening.eigen(v)
+    true = np.linalg.eigvalsh(v)[::-1]
+    assert rank - 1 <= len(values) <= rank + 2
+    assert np.allclose(values[: rank // 2 + 1], true[: rank // 2 + 1], rtol=1e-10)
+    assert np.allclose(vectors.T @ vectors, np.eye(len(values)), atol=1e-8)
+    assert np.allclose(vectors @ np.diag(values) @ vectors.T, v, atol=1e-12 * true[0])
+
+
+def test_whitening_merges_sums_of_many_tasks(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 3)))]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    one, many = (whitening.whiten(frame.repartition(p, "vec_id"), k=2).orderBy("vec_id").collect() for p in (1, 150))
+    for a, b in zip(one, many):
+        assert a[:3] == b[:3] and np.allclose(a.whitened, b.whitened, atol=1e-9)

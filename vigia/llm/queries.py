@@ -18,6 +18,7 @@ from . import (
     substring_dedup,
     token_count,
     toxicity,
+    whitening,
 )
 from .common import importable, table
 
@@ -99,6 +100,14 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(table(spark, sf_dir, "embeddings"), k=8)
+    each = out.withColumn("each", F.explode(F.arrays_zip("whitened", "explained", F.sequence(F.lit(1), F.size("whitened")).alias("component"))))
+    return each.select(
+        "vec_id", "each.component", "n", "deviation", "each.whitened", "each.explained", "identity_error"
+    )
+
+
 def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
 
@@ -114,5 +123,6 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_line_dedup": op10_line_dedup,
+    "op12_whitening": op12_whitening,
     "op13_embedding_dedup": op13_embedding_dedup,
 }
