@@ -94,6 +94,53 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_
 FROM marked GROUP BY r, doc_id
 """
 
+PREFIX_TRIE = """
+WITH own AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i,
+         coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+), ids AS (
+  SELECT DISTINCT conv_id FROM own
+), hashed AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS base, xor(list_reduce(
+    list_concat([4294967295::BIGINT], list_transform(range(1, length(conv_id::VARCHAR) + 1), lambda p: ascii(substr(conv_id::VARCHAR, p::INT, 1))::BIGINT)),
+    lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)),
+      lambda x, k: xor(x >> 1, 3988292384::BIGINT * (x & 1)))), 4294967295::BIGINT) % 9 AS h
+  FROM ids
+), joined AS (
+  SELECT h.conv_id, o.i, o.role, o.text FROM hashed h JOIN own o ON o.conv_id = h.base AND o.i <= h.h
+  UNION ALL SELECT h.conv_id, o.i + 1000000000, o.role, o.text FROM hashed h JOIN own o ON o.conv_id = h.conv_id AND o.i > h.h
+), steps AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY i) AS d, role, text FROM joined
+), path AS (
+  SELECT conv_id, d, octet_length(encode(text)) AS size,
+         sha256(string_agg(length(role) || ':' || length(text) || ':' || role || text, '' ORDER BY d)
+           OVER (PARTITION BY conv_id ORDER BY d)) AS p
+  FROM (SELECT conv_id, d, role, text FROM steps)
+  UNION ALL SELECT conv_id, 0, 0, '' FROM ids
+), depth AS (
+  SELECT conv_id, max(d) AS deep FROM path GROUP BY conv_id
+), node AS (
+  SELECT p.d, p.p, min(p.conv_id) AS m, count(*) AS n, any_value(p.size) AS size,
+         coalesce(string_agg(p.conv_id::VARCHAR, ',' ORDER BY p.conv_id) FILTER (p.d = e.deep), '') AS ends
+  FROM path p JOIN depth e USING (conv_id) GROUP BY p.d, p.p
+), above AS (
+  SELECT p.conv_id, p.d, n.m FROM path p JOIN node n ON n.d = p.d AND n.p = p.p
+), edges AS (
+  SELECT n.*, a.m AS up FROM node n LEFT JOIN above a ON a.conv_id = n.m AND a.d = n.d - 1
+), fan AS (
+  SELECT up AS m, d - 1 AS d, count(*) AS children FROM edges WHERE d > 0 GROUP BY up, d
+), sums AS (
+  SELECT a.m, a.d, sum((n.n - 1) * n.size) AS saved, count(*) FILTER (f.children IS NULL) AS leaves
+  FROM node n JOIN above a ON a.conv_id = n.m AND a.d <= n.d LEFT JOIN fan f ON f.m = n.m AND f.d = n.d
+  GROUP BY a.m, a.d
+)
+SELECT e.m AS conv_id, e.d::BIGINT AS depth, e.up AS parent_conv_id, e.n::BIGINT AS n_convs,
+       coalesce(f.children, 0)::BIGINT AS n_children, s.leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens,
+       sha256(e.ends) AS ends_sha256
+FROM edges e JOIN sums s ON s.m = e.m AND s.d = e.d LEFT JOIN fan f ON f.m = e.m AND f.d = e.d
+"""
+
 EMBEDDING_DEDUP = """
 WITH RECURSIVE v AS (
   SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
@@ -121,5 +168,6 @@ ORACLE = {
     "op6_chat_format": CHAT_FORMAT,
     "op7_jaccard_join": JACCARD_JOIN,
     "op10_line_dedup": LINE_DEDUP,
+    "op11_prefix_trie": PREFIX_TRIE,
     "op13_embedding_dedup": EMBEDDING_DEDUP,
 }

@@ -15,6 +15,7 @@ from . import (
     jaccard_join,
     line_dedup,
     multi_index,
+    prefix_trie,
     substring_dedup,
     token_count,
     toxicity,
@@ -100,6 +101,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = F.col("conv_id")
+    taken = F.crc32(conv.cast("string")) % 9
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"), base=conv - conv % 5, taken=taken, most=8)
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = whitening.whiten(table(spark, sf_dir, "embeddings"), k=8)
     each = out.withColumn("each", F.explode(F.arrays_zip("whitened", "explained", F.sequence(F.lit(1), F.size("whitened")).alias("component"))))
@@ -123,6 +130,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_line_dedup": op10_line_dedup,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_whitening": op12_whitening,
     "op13_embedding_dedup": op13_embedding_dedup,
 }
