@@ -14,7 +14,7 @@ from vigia.operators.incremental import new_rows
 from vigia.operators.places import drill_down, normalise_names, rate_per_capita
 from vigia.plans.ingest import ingest, ingest_files, ingest_report, ingest_report_by_file
 from vigia.session import WIDE_ROWS
-from vigia.sources.delimited import read_delimited
+from vigia.sources.delimited import MALFORMED, read_delimited
 from vigia.sources.sinks import append_parquet, export_csv, write_parquet
 from vigia.sources.tables import SourceMissing, is_empty, read_incidents, scoped
 from vigia.sources.workspace import fresh_dir
@@ -151,11 +151,19 @@ def test_read_delimited(spark, tmp_path):
     assert read_delimited(spark, quoted, ["RUBRICA"], multi_line=True).first()[0] == "a\nb"
 
 
-def test_files_with_another_header_are_refused(spark, tmp_path):
-    path = raw_text(spark, tmp_path / "a", ["1;2024;F;x"])
-    raw_text(spark, tmp_path / "a", ["2024;2;F;x"], header="ANO_BO;NUM_BO;RUBRICA;outra", name="b.csv")
-    with pytest.raises(Exception, match="(?i)header"):
-        read_delimited(spark, path, None).collect()
+def test_files_of_several_layouts(spark, tmp_path):
+    path = raw_text(spark, tmp_path / "a", ["1;2024;F;x", "8;2024"])
+    raw_text(spark, tmp_path / "a", ["2024;2;nova;F"], header="ANO_BO;NUM_BO;BAIRRO;RUBRICA", name="b.csv")
+    raw_text(spark, tmp_path / "a", ["3;2024;F;y"], name="c.csv")
+    (tmp_path / "a" / "empty.csv").write_text("")
+    frame = read_delimited(spark, path, malformed="mark")
+    assert frame.columns == ["NUM_BO", "ANO_BO", "RUBRICA", "outra", "BAIRRO", MALFORMED]
+    assert sorted(map(str, rows(frame.drop(MALFORMED)))) == sorted(map(str, [
+        ("1", "2024", "F", "x", None), ("8", "2024", None, None, None), ("3", "2024", "F", "y", None),
+        ("2", "2024", "F", None, "nova"),
+    ]))
+    assert rows(frame.where(F.col(MALFORMED).isNotNull()).select("NUM_BO")) == [("8",)]
+    assert read_delimited(spark, path, ["BAIRRO", "NUM_BO", "nada"]).columns == ["BAIRRO", "NUM_BO"]
 
 
 def test_export_equals_pandas(spark, tmp_path):

