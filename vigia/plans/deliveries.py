@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigia.plans.testbed import clean_incidents, raw_incidents
-from vigia.sources import delimited, sinks
+from vigia.model import DEFAULT
+from vigia.plans.catalogue import accented, to_cp1252
+from vigia.plans.testbed import DIRTY_COLUMNS, clean_incidents, raw_incidents
+from vigia.sources import delimited, ledger, sinks
 from vigia.sources.workspace import fresh_dir
+from vigia.streaming.incremental import follow_deliveries, follow_recent
 
 # Bytes of a split in the query about splits: small, so that files of any test table have several.
 SMALL_SPLIT = 65_536
@@ -37,7 +40,52 @@ def delimited_scan_layouts(spark: SparkSession, d: str) -> DataFrame:
     return delimited.read_delimited(spark, f"{path}/year=*", wanted)
 
 
+def stream_ledger(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of each key, also of missing ones, after all deliveries came twice and one came half."""
+    folder, table = fresh_dir(spark, "deliveries"), fresh_dir(spark, "batches")
+    raw = raw_incidents(spark, d)
+    parts = {"l_orderkey": F.split("NUM_BO", "/")[0].cast("long"), "l_linenumber": F.split("NUM_BO", "/")[1].cast("int")}
+    dirty = raw.withColumns(parts).withColumn("NUM_BO", F.expr(DIRTY_COLUMNS["NUM_BO"])).select(*raw.columns)
+    sinks.export_csv(dirty.repartition(2, F.xxhash64("NUM_BO", "ANO_BO") % 2), folder)
+    sinks.write_parquet(raw, ledger.folder_of(table, "half"))
+    for _ in range(2):  # another checkpoint each time: nothing but the ledger knows what is done
+        progress = fresh_dir(spark, "progress")
+        follow_deliveries(spark, folder, table, progress, files_per_batch=1, keep_null_keys=True, name="load").awaitTermination()
+    return ledger.read_batches(spark, table).groupBy(*DEFAULT.keys).agg(F.count("*").alias("n"))
+
+
+def stream_charsets(spark: SparkSession, d: str) -> DataFrame:
+    """UTF-8 and CP1252 files of two layouts in one folder, as a stream; with the ledger's count of
+    records that do not fit their header."""
+    folder, table = fresh_dir(spark, "deliveries"), fresh_dir(spark, "batches")
+    rows = accented(spark, d, "café €").select("NUM_BO", "ANO_BO", "RUBRICA", "BAIRRO")
+    early = F.coalesce(F.col("ANO_BO") <= 1995, F.lit(True))
+    sinks.export_csv(rows.where(early).drop("BAIRRO"), f"{folder}/of=1")
+    sinks.export_csv(to_cp1252(rows.where(~early)), f"{folder}/of=2", encoding="latin-1")
+    spark.createDataFrame([("NUM_BO;ANO_BO;RUBRICA\n0;1995;x;surplus",)], "value string").write.text(f"{folder}/of=3")
+    follow_deliveries(spark, f"{folder}/of=*", table, fresh_dir(spark, "progress"), encoding="auto", name="load").awaitTermination()
+    misfits = ledger.ledger(spark, table).agg(F.sum("malformed").alias("malformed"))
+    found = ledger.read_batches(spark, table).select(*DEFAULT.keys, F.substring("RUBRICA", 1, 6).alias("signs"))
+    return found.join(misfits)  # one row
+
+
+def stream_recent(spark: SparkSession, d: str) -> DataFrame:
+    """Deliveries with repeated reports: keys of recent years are held as state, others looked up."""
+    folder, table = fresh_dir(spark, "deliveries"), fresh_dir(spark, "batches")
+    raw = raw_incidents(spark, d)
+    again = raw.where("l_partkey % 5 = 0")
+    sinks.export_csv(raw.unionByName(again).repartition(3, F.xxhash64("NUM_BO", "l_partkey") % 3), folder)
+    years = {"since": 1995, "until": 1998}
+    follow_recent(spark, folder, table, fresh_dir(spark, "progress"), **years, name="recent", files_per_batch=1).awaitTermination()
+    rest = fresh_dir(spark, "progress")
+    follow_deliveries(spark, folder, table, rest, files_per_batch=1, name="rest", apart_from=(1995, 1998)).awaitTermination()
+    return ledger.read_batches(spark, table).select(*DEFAULT.keys)
+
+
 QUERIES = {
+    "stream_ledger": stream_ledger,
+    "stream_charsets": stream_charsets,
+    "stream_recent": stream_recent,
     "delimited_scan_split": delimited_scan_split,
     "delimited_scan_layouts": delimited_scan_layouts,
 }

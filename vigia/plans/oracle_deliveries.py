@@ -1,6 +1,10 @@
 """DuckDB SQL for the queries over raw deliveries."""
 
-from vigia.plans.oracle import CLEAN, RAW
+from vigia.plans.oracle import CLEAN, CLEANED_RAW, DIRTY, RAW
+from vigia.plans.testbed import DIRTY_COLUMNS, RAW_COLUMNS
+
+# The heading of the table of unclean keys, where a query has the usual one.
+HEADING = DIRTY_COLUMNS["RUBRICA"]
 
 ORACLE = {
     "delimited_scan_split": f"""WITH {RAW} SELECT NUM_BO, ANO_BO, CASE WHEN l_partkey % 3 <> 0
@@ -9,4 +13,10 @@ ORACLE = {
     "delimited_scan_layouts": f"""WITH {CLEAN} SELECT NUM_BO, CAST(ANO_BO AS VARCHAR) AS ANO_BO, RUBRICA,
         CASE WHEN ANO_BO <= 1995 THEN NOME_DELEGACIA END AS NOME_DELEGACIA,
         CASE WHEN ANO_BO > 1995 THEN DESCR_PERIODO END AS DESCR_PERIODO FROM incidents""",
+    "stream_ledger": f"""WITH {DIRTY.replace(HEADING, RAW_COLUMNS["RUBRICA"])} SELECT NUM_BO, ANO_BO,
+        CASE WHEN NUM_BO IS NULL OR ANO_BO IS NULL THEN count(*) ELSE 1 END AS n FROM cleaned GROUP BY NUM_BO, ANO_BO""",
+    "stream_charsets": f"""WITH {CLEAN} SELECT NUM_BO, ANO_BO, CAST(1 AS BIGINT) AS malformed,
+        CASE WHEN count(RUBRICA) > 0 THEN 'CAF' || chr(201) || ' ' || chr(8364) END AS signs
+        FROM incidents GROUP BY NUM_BO, ANO_BO UNION ALL SELECT '0', 1995, 1, 'X'""",
+    "stream_recent": f"WITH {CLEANED_RAW} SELECT DISTINCT NUM_BO, ANO_BO FROM cleaned",
 }

@@ -5,13 +5,24 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from vigia.model import DEFAULT, Columns
 from vigia.operators.clean import clean
-from vigia.operators.dedup import dedup
+from vigia.operators.dedup import dedup, survivor_fields
 from vigia.operators.incremental import new_rows
-from vigia.sources.delimited import header, scan_options, text_schema
+from vigia.sources.delimited import (
+    CP1252,
+    MALFORMED,
+    charset,
+    decoded,
+    header,
+    read_delimited,
+    scan_options,
+    text_schema,
+)
+from vigia.sources.ledger import append_batch, is_finished, read_batches
 from vigia.sources.sinks import append_parquet
 from vigia.sources.tables import SourceMissing, read_incidents
 from vigia.sources.workspace import stored
@@ -23,22 +34,38 @@ def land(
     cols: Columns = DEFAULT,
     partition_by: Sequence[str] = (),
     keep_null_keys: bool = False,
+    name: str | None = None,
+    apart_from: tuple[int, int] | None = None,
 ) -> None:
-    """Clean one delivery, store it, and append what the table lacks.
+    """Clean one delivery, store it, and append what the table lacks, ``apart_from`` report years
+    of the given range.
 
-    Running the same delivery again adds nothing, which makes a batch that is repeated after
-    a failure harmless, also one that failed before it had finished a single file. That does not
-    hold for rows without a whole key if ``keep_null_keys`` lets them all pass. A table laid out
-    by report year (``partition_by``) is read for the delivery's report years only.
+    With a ``name`` the table is one of batches (see ``ledger``): a delivery of a name that it has
+    changes nothing, and of one that failed half-way nothing is seen, rows without a key included;
+    the ledger counts the records that did not fit their header. Without one, running the same
+    delivery again adds nothing either, except for rows without a whole key if ``keep_null_keys``
+    lets them all pass. A table laid out by report year (``partition_by``) is read for the
+    delivery's report years only.
     """
-    rows = stored(clean(batch, cols), "delivery")
+    spark = batch.sparkSession
+    if name and is_finished(spark, table_path, name):
+        return
+    marked = F.col(MALFORMED).isNotNull() if MALFORMED in batch.columns else F.lit(False)
+    rows = stored(clean(batch.withColumn(MALFORMED, marked.cast("long")), cols), "delivery")
+    misfits = rows.agg(F.coalesce(F.sum(MALFORMED), F.lit(0))).first()[0]
+    rows = rows.drop(MALFORMED)
+    if apart_from:
+        rows = rows.where(F.coalesce(~F.col(cols.number_year).between(*apart_from), F.lit(True)))
     try:
-        table = read_incidents(batch.sparkSession, table_path, rows.schema)
+        table = read_batches(spark, table_path) if name else read_incidents(spark, table_path, rows.schema)
     except SourceMissing:
         fresh = dedup(rows, cols, keep_null_keys)
     else:
         fresh = new_rows(rows, table, cols, keep_null_keys)
-    append_parquet(fresh, table_path, partition_by)
+    if name:
+        append_batch(fresh, table_path, name, partition_by, malformed=misfits)
+    else:
+        append_parquet(fresh, table_path, partition_by)
 
 
 def follow_deliveries(
@@ -54,29 +81,95 @@ def follow_deliveries(
     partition_by: Sequence[str] = (),
     multi_line: bool = False,
     keep_null_keys: bool = False,
+    name: str | None = None,
+    apart_from: tuple[int, int] | None = None,
 ) -> StreamingQuery:
     """Process what is in the folder and not processed yet, then stop.
 
-    ``columns`` are the header of all files, probed in the folder if not given; every one of
-    them is kept.
+    The stream is one of file names, ``files_per_batch`` of which come to the driver at a time; the
+    files are read as a batch reads them, so that charsets and their detection, layouts, quoted
+    line breaks and malformed records are the same. Only ``columns`` are kept, if given.
 
-    ``checkpoint`` must be on storage all executors share; which files are done is kept there.
-    Keys are looked up in the table itself: a streaming de-duplication without watermark would
-    keep every key ever seen as state.
+    With a ``name`` the table is one of batches, each of which is added once, and ``ledger`` has
+    their counts. ``checkpoint`` must be on storage all executors share; which files are done is
+    kept there. Keys are looked up in the table; rows of the years of ``apart_from`` are left to
+    ``follow_recent``, which holds keys as state.
     """
-    names = columns if columns is not None else header(spark, folder, sep, encoding, multi_line)
-    deliveries = (
-        spark.readStream.schema(text_schema(names))
-        .option("maxFilesPerTrigger", files_per_batch)
-        .options(**scan_options(sep, encoding, multi_line))
-        .csv(folder)
+    names = spark.readStream.format("binaryFile").option("maxFilesPerTrigger", files_per_batch)
+    names = names.schema("path string, modificationTime timestamp, length long, content binary").load(folder)
+
+    def handle(batch: DataFrame, number: int) -> None:
+        files = sorted(r["path"] for r in batch.select("path").collect())
+        if files:
+            raw = read_delimited(batch.sparkSession, files, columns, sep, encoding, multi_line, "mark")
+            land(raw, table_path, cols, partition_by, keep_null_keys, name and f"{name}-{number}", apart_from)
+
+    return (
+        names.select("path").writeStream.foreachBatch(handle)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
     )
 
-    def handle(batch: DataFrame, _: int) -> None:
-        land(batch, table_path, cols, partition_by, keep_null_keys)
+
+def first_seen(rows: DataFrame, since: int, until: int, cols: Columns = DEFAULT) -> DataFrame:
+    """Of a stream's reports of the years ``since`` to ``until``, each key that came up for the first
+    time, with the row that survives among those of its micro-batch.
+
+    For update mode. The state is an aggregate per key: when it was first and last seen, and the
+    survivor. A key is new where both times are those of the micro-batch. Every task sends one row
+    for each key, hot or not. Keys go by report year, as event time: none of the years is late, and
+    those before ``since`` leave the state, also when a later run raises it.
+    """
+    year = F.col(cols.number_year)
+    recent = rows.where(year.between(since, until)).withColumns({
+        "_year": F.make_timestamp(year, F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)),
+        "_now": F.current_timestamp(),
+    })
+    fields = [c for c in recent.columns if c not in ("_year", "_now")]
+    best = F.min(F.struct(F.lit(0).alias("_any"), *survivor_fields(recent.select(*fields), cols))).alias("_best")
+    held = recent.withWatermark("_year", f"{366 * (until - since) + 1} days").groupBy(*cols.keys, "_year")
+    seen = held.agg(F.min("_now").alias("_first"), F.max("_now").alias("_last"), best)
+    columns = [F.col(c) if c in cols.keys else F.col(f"_best.`{c}`").alias(c) for c in fields]
+    return seen.where("_first = _last").select(*columns)
+
+
+def follow_recent(
+    spark: SparkSession,
+    folder: str,
+    table_path: str,
+    checkpoint: str,
+    since: int,
+    until: int,
+    name: str,
+    columns: Sequence[str] | None = None,
+    sep: str = ";",
+    encoding: str = "utf-8",
+    files_per_batch: int = 100,
+    cols: Columns = DEFAULT,
+    partition_by: Sequence[str] = (),
+    multi_line: bool = False,
+) -> StreamingQuery:
+    """``follow_deliveries`` for reports of the years ``since`` to ``until``, whose keys are held as
+    state in place of lookups: the table, one of batches, is not read.
+
+    Rows of other years and without a year are left to ``follow_deliveries`` of the same folder,
+    apart from these years, which looks them up. ``since`` may be raised from run to run; then the rows of the years below go the
+    other way, where the table has their keys. ``until`` stays for the life of the checkpoint. All
+    files have one header, ``columns`` or that of the first, in a charset Spark reads or CP1252.
+    """
+    windows = encoding.lower() in CP1252
+    read_as = charset("latin-1" if windows else encoding)
+    names = columns if columns is not None else header(spark, folder, sep, read_as, multi_line)
+    options = scan_options(sep, read_as, multi_line)
+    raw = spark.readStream.schema(text_schema(names)).option("maxFilesPerTrigger", files_per_batch).options(**options).csv(folder)
+    rows = clean(decoded(raw, names) if windows else raw, cols)
+
+    def handle(batch: DataFrame, number: int) -> None:
+        append_batch(batch, table_path, f"{name}-{number}", partition_by)
 
     return (
-        deliveries.writeStream.foreachBatch(handle)
+        first_seen(rows, since, until, cols).writeStream.outputMode("update").foreachBatch(handle)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
