@@ -14,6 +14,9 @@ from vigia.operators.dedup import keyed_and_keyless, survivor_fields
 # Report years of a delivery that are named one by one; of more, the table's range is read.
 NAMED_YEARS = 200
 
+# Report numbers of a delivery that are named one by one; of more, no row group is skipped by them.
+NAMED_NUMBERS = 200
+
 
 def delivered_years(delivery: DataFrame, cols: Columns = DEFAULT) -> Column:
     """A condition on the table's report year that every key of the delivery meets.
@@ -30,16 +33,39 @@ def delivered_years(delivery: DataFrame, cols: Columns = DEFAULT) -> Column:
     return named | year.isNull() if None in found else named
 
 
+def any_of(conditions: list[Column]) -> Column:
+    """Their disjunction, as a tree of small depth."""
+    if len(conditions) == 1:
+        return conditions[0]
+    half = len(conditions) // 2
+    return any_of(conditions[:half]) | any_of(conditions[half:])
+
+
+def delivered_numbers(delivery: DataFrame, cols: Columns = DEFAULT) -> Column:
+    """A condition on the table's report number that every key of a small delivery meets.
+
+    One equality for each number: the scan tests them against the dictionaries and Bloom filters of
+    a row group, whereas of a long list it takes the smallest and the largest alone. At most
+    ``NAMED_NUMBERS`` + 1 numbers come to the driver.
+    """
+    number = F.col(cols.number)
+    found = [r[0] for r in delivery.select(number).distinct().limit(NAMED_NUMBERS + 1).collect()]
+    if not found or len(found) > NAMED_NUMBERS:
+        return F.lit(True)
+    return any_of([number.isNull() if n is None else number == F.lit(n) for n in found])
+
+
 def known_keys(table: DataFrame, delivery: DataFrame, cols: Columns = DEFAULT) -> DataFrame:
     """Keys of the delivery that the table holds, null keys included.
 
-    Reads the key columns of the delivery's report years only. The delivery's keys are the side
+    Reads the key columns of the delivery's report years only, and of a small delivery the row
+    groups that may have its numbers. The delivery's keys are the side
     that can be small; without a hint Spark broadcasts them if their measured size allows and
     otherwise shuffles both sides.
     """
     arriving = delivery.select(*(F.col(k).alias(f"_{k}") for k in cols.keys)).distinct()
     same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in cols.keys))
-    held = table.where(delivered_years(delivery, cols)).select(*cols.keys)
+    held = table.where(delivered_years(delivery, cols) & delivered_numbers(delivery, cols)).select(*cols.keys)
     return held.join(arriving, same, "left_semi")
 
 
@@ -50,7 +76,7 @@ def new_rows(
 
     Known keys and delivered rows are grouped together, so that de-duplication and the
     comparison with the table share one shuffle and keys that occur often shrink before it. The
-    delivery is read three times (years, keys, rows): hand in one that is stored. With
+    delivery is read four times (years, numbers, keys, rows): hand in one that is stored. With
     ``keep_null_keys`` rows without a whole key all count as new.
     """
     if keep_null_keys:

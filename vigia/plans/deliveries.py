@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigia.model import DEFAULT
+from vigia.operators import clean, incremental
+from vigia.operators.filters import FilterSpec
 from vigia.plans.catalogue import accented, to_cp1252
 from vigia.plans.testbed import DIRTY_COLUMNS, clean_incidents, raw_incidents
-from vigia.sources import delimited, ledger, sinks
-from vigia.sources.workspace import fresh_dir
+from vigia.sources import delimited, ledger, sinks, tables
+from vigia.sources.workspace import fresh_dir, stored
 from vigia.streaming.incremental import follow_deliveries, follow_recent
 
 # Bytes of a split in the query about splits: small, so that files of any test table have several.
@@ -82,7 +86,39 @@ def stream_recent(spark: SparkSession, d: str) -> DataFrame:
     return ledger.read_batches(spark, table).select(*DEFAULT.keys)
 
 
+LAYOUT_FILTERS = {
+    "category": FilterSpec(categories=("Roubo",)),
+    "heading": FilterSpec(headings=("FURTO (ART. 155)", "OUTROS FATOS 1")),
+    "station": FilterSpec(stations=("DP 7", "DP 77")),
+    "district": FilterSpec(districts=("BAIRRO 1", "BAIRRO 100")),
+    "period": FilterSpec(periods=("A NOITE",)),
+    "city": FilterSpec(cities=("OSASCO",)),
+    "month": FilterSpec(months=(2,)),
+}
+LAYOUT = (DEFAULT.city, DEFAULT.month, DEFAULT.heading, DEFAULT.station, DEFAULT.district, DEFAULT.period)
+
+
+def layout_filters(spark: SparkSession, d: str) -> DataFrame:
+    """Rows that each filter leaves of a table laid along a curve through six columns."""
+    path = fresh_dir(spark, "curve")
+    sinks.write_parquet(clean_incidents(spark, d), path, partition_by=(DEFAULT.year,), spread_by=LAYOUT, lookup_by=(DEFAULT.number,))
+    table = tables.read_incidents(spark, path)
+    counts = [spec.apply(table).agg(F.lit(name).alias("filter"), F.count("*").alias("n")) for name, spec in LAYOUT_FILTERS.items()]
+    return reduce(lambda a, b: a.union(b), counts)
+
+
+def incremental_few(spark: SparkSession, d: str) -> DataFrame:
+    """A delivery of few numbers, some of which a table laid out for lookups has."""
+    path = fresh_dir(spark, "held")
+    rows = clean.clean(raw_incidents(spark, d))
+    sinks.write_parquet(rows.where(F.col("MES") <= 6), path, spread_by=(DEFAULT.number_year, DEFAULT.month), lookup_by=(DEFAULT.number,))
+    few = stored(rows.where(F.col("NUM_BO").isin([f"{i}/{j}" for i in range(33) for j in range(8)])), "delivery")
+    return incremental.new_rows(few, tables.read_incidents(spark, path).select(*rows.columns)).select(*DEFAULT.keys)
+
+
 QUERIES = {
+    "layout_filters": layout_filters,
+    "incremental_few": incremental_few,
     "stream_ledger": stream_ledger,
     "stream_charsets": stream_charsets,
     "stream_recent": stream_recent,

@@ -6,6 +6,16 @@ from vigia.plans.testbed import DIRTY_COLUMNS, RAW_COLUMNS
 # The heading of the table of unclean keys, where a query has the usual one.
 HEADING = DIRTY_COLUMNS["RUBRICA"]
 
+LAYOUT = {
+    "category": "RUBRICA LIKE 'ROUBO%'",
+    "heading": "RUBRICA IN ('FURTO (ART. 155)', 'OUTROS FATOS 1')",
+    "station": "NOME_DELEGACIA IN ('DP 7', 'DP 77')",
+    "district": "BAIRRO IN ('BAIRRO 1', 'BAIRRO 100')",
+    "period": "DESCR_PERIODO = 'A NOITE'",
+    "city": "NOME_MUNICIPIO = 'OSASCO'",
+    "month": "MES = 2",
+}
+
 ORACLE = {
     "delimited_scan_split": f"""WITH {RAW} SELECT NUM_BO, ANO_BO, CASE WHEN l_partkey % 3 <> 0
         THEN 'disse "sim";' || chr(10) || chr(10) || RUBRICA || chr(10) || '"fim" ' || NUM_BO ELSE RUBRICA END AS RELATO,
@@ -19,4 +29,9 @@ ORACLE = {
         CASE WHEN count(RUBRICA) > 0 THEN 'CAF' || chr(201) || ' ' || chr(8364) END AS signs
         FROM incidents GROUP BY NUM_BO, ANO_BO UNION ALL SELECT '0', 1995, 1, 'X'""",
     "stream_recent": f"WITH {CLEANED_RAW} SELECT DISTINCT NUM_BO, ANO_BO FROM cleaned",
+    "layout_filters": f"""WITH {CLEAN} {" UNION ALL ".join(
+        f"SELECT '{name}' AS filter, count(*) AS n FROM incidents WHERE {where}" for name, where in LAYOUT.items())}""",
+    "incremental_few": f"""WITH {CLEANED_RAW}, held AS (SELECT DISTINCT NUM_BO, ANO_BO FROM cleaned WHERE MES <= 6)
+        SELECT DISTINCT NUM_BO, ANO_BO FROM cleaned WHERE CAST(split_part(NUM_BO, '/', 1) AS INT) <= 32
+        AND (NUM_BO, ANO_BO) NOT IN (SELECT (NUM_BO, ANO_BO) FROM held)""",
 }

@@ -9,8 +9,13 @@ from pyspark.sql import functions as F
 
 from vigia.functions.numbers import number_text
 from vigia.operators.metrics import row_count
+from vigia.sources.clustering import along_curve
 from vigia.sources.delimited import charset
 
+# A column chunk has a dictionary up to this size; and values of a row group that a filter is made for.
+DICTIONARY_BYTES = 1 << 20
+GROUP_VALUES = 1_000_000
+
 
 def balanced(df: DataFrame, partition_by: Sequence[str], cluster_by: Sequence[str] = ()) -> DataFrame:
     """Rows gathered by partition value, or every task would write a small file into every
@@ -21,22 +26,52 @@ def balanced(df: DataFrame, partition_by: Sequence[str], cluster_by: Sequence[st
     return out.sortWithinPartitions(*partition_by, *cluster_by) if cluster_by else out
 
 
-def save_parquet(df: DataFrame, path: str, mode: str, partition_by: Sequence[str]) -> None:
-    writer = df.write.mode(mode).option("compression", "zstd")
+def save_parquet(
+    df: DataFrame, path: str, mode: str, partition_by: Sequence[str], options: dict | None = None
+) -> None:
+    writer = df.write.mode(mode).option("compression", "zstd").options(**(options or {}))
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
 
 
+def lookup_filters(df: DataFrame, columns: Sequence[str]) -> dict:
+    """Writer options for Bloom filters of those ``columns`` whose values do not fit a dictionary.
+
+    A row group whose column has a dictionary is skipped by it already. One scan estimates numbers
+    and lengths of the values; a filter is as large as the values of a row group ask for.
+    """
+    if not columns:
+        return {}
+    text = {c: F.octet_length(F.col(c).cast("string")) for c in columns}
+    figures = [f for c in columns for f in (F.approx_count_distinct(c).alias(f"n_{c}"), F.avg(text[c]).alias(f"size_{c}"))]
+    row = df.agg(*figures).first()
+    large = [c for c in columns if row[f"n_{c}"] * (row[f"size_{c}"] or 0) > DICTIONARY_BYTES]
+    options = {}
+    for c in large:
+        options[f"parquet.bloom.filter.enabled#{c}"] = "true"
+        options[f"parquet.bloom.filter.expected.ndv#{c}"] = min(row[f"n_{c}"], GROUP_VALUES)
+    return options
+
+
 def write_parquet(
     df: DataFrame,
     path: str,
     mode: str = "errorifexists",
     partition_by: Sequence[str] = (),
     cluster_by: Sequence[str] = (),
+    spread_by: Sequence[str] = (),
+    lookup_by: Sequence[str] = (),
 ) -> None:
-    """Zstandard-compressed Parquet, optionally partitioned and clustered."""
-    save_parquet(balanced(df, partition_by, cluster_by), path, mode, partition_by)
+    """Zstandard-compressed Parquet, optionally partitioned and laid out for its filters.
+
+    ``cluster_by`` sorts, so that its first column skips row groups; ``spread_by`` lays the rows
+    along a curve, by which each of its columns does (see ``clustering``). ``lookup_by`` are columns
+    that single values are looked up by, such as keys: Bloom filters are written for them where
+    dictionaries do not do. Both of the latter read ``df`` once more.
+    """
+    laid = along_curve(df, spread_by, partition_by) if spread_by else balanced(df, partition_by, cluster_by)
+    save_parquet(laid, path, mode, partition_by, lookup_filters(df, lookup_by))
 
 
 def append_parquet(
