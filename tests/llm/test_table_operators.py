@@ -339,3 +339,39 @@ def test_toxicity_without_labels(spark):
     df = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
     model = toxicity.train(df, spark.createDataFrame([], "doc_id long, toxic int"))
     assert {r["score"] for r in toxicity.score(df, model).collect()} == {0.5}
+
+
+def test_forest_joins_each_node_to_the_smallest():
+    rng = np.random.default_rng(2)
+    for n, edges in ((1, 0), (50, 20), (300, 200), (2_000, 1_999)):
+        a, b = rng.integers(-n, n, edges), rng.integers(-n, n, edges)
+        if edges == 1_999:
+            a, b = np.arange(1_999), np.arange(1, 2_000)  # a path
+        node, root = jaccard_join.forest(a, b)
+        reach = {x: x for x in node.tolist()}
+        changed = True
+        while changed:
+            changed = False
+            for x, y in zip(a.tolist(), b.tolist()):
+                low = min(reach[x], reach[y])
+                changed |= reach[x] != low or reach[y] != low
+                reach[x] = reach[y] = low
+            if edges == 1_999:
+                break
+        assert root.tolist() == ([0] * 2_000 if edges == 1_999 else [reach[x] for x in node.tolist()])
+
+
+@pytest.mark.parametrize("tasks", [4, 16])
+def test_a_group_of_near_copies_makes_few_edges(spark, tasks):
+    rng = random.Random(tasks)
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(600):
+        words = list(base)
+        for _ in range(3):
+            words[rng.randrange(300)] = f"x{rng.randrange(10_000)}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(tasks, "doc_id")
+    cuts = jaccard_join.Cut(8, 10)
+    edges = jaccard_join._stars(jaccard_join._signature_rows(docs, 5, cuts, 12, 50)).collect()
+    assert len({x for e in edges for x in e}) == 600 and len(edges) < 1_200

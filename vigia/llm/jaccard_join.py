@@ -179,34 +179,57 @@ def profiles(docs: DataFrame, size: int) -> DataFrame:
     )
 
 
-def _signature_rows(docs: DataFrame, size: int, cuts: Cut, parts: int) -> DataFrame:
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the edges ``a`` to ``b``, sorted, and the smallest node that each reaches."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    pairs = np.unique(at[: len(a)].astype(np.int64) * len(nodes) + at[len(a) :])
+    x, y = pairs // max(len(nodes), 1), pairs % max(len(nodes), 1)
+    root = np.arange(len(nodes))
+    while len(x):
+        low, high = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
+        apart = low != high
+        x, y, low, high = x[apart], y[apart], low[apart], high[apart]
+        np.minimum.at(root, high, low)  # a root, under a smaller one
+        while (root != root[root]).any():
+            root = root[root]
+    return nodes, nodes[root]
+
+
+def key_bits(signatures: int) -> int:
+    """Bits of a signature that are sent: of two that differ, one in a million has an equal in them
+    among so many, and costs an exact comparison."""
+    return min(64, 20 + signatures.bit_length())
+
+
+def _signature_rows(docs: DataFrame, size: int, cuts: Cut, parts: int, bits: int = 64) -> DataFrame:
     """(part, keys, docs, edge): sorted signatures of a range, as differences, and their documents.
 
-    Documents of a task that share a signature are edges at once (``keys`` to ``docs``); only the
-    first of them stands for the signature.
+    Documents of a task that share signatures, directly or through others, are a group at once:
+    its edges (``keys`` to ``docs``) join each to the smallest, and that one stands for all its
+    signatures.
     """
-    limits = np.array([(p << 64) // parts for p in range(parts)], U)
+    limits = np.array([(p << bits) // parts for p in range(parts)], U)
 
     def row(part: int, keys: np.ndarray, ids: np.ndarray, edge: bool) -> pa.RecordBatch:
         columns = [pa.array([part], pa.int32()), pa.array([pack(keys)]), pa.array([pack(ids)]), pa.array([edge])]
         return pa.RecordBatch.from_arrays(columns, names=["part", "keys", "docs", "edge"])
 
     def flush(sigs: list[np.ndarray], ids: list[np.ndarray], n: int) -> Batches:
-        key, val = np.concatenate(sigs), np.concatenate(ids)
+        key, val = np.concatenate(sigs) >> U(64 - bits), np.concatenate(ids)
         order = np.lexsort((val, key))
         key, val = key[order], val[order]
         start = np.r_[True, key[1:] != key[:-1]]
         first = val[np.flatnonzero(start)][np.cumsum(start) - 1]
-        more = first != val
-        key, lead = key[start], val[start]
+        node, root = forest(val, first)
+        key, lead = key[start], root[np.searchsorted(node, val[start])]
         at = np.r_[np.searchsorted(key, limits), len(key)]
         for p in range(parts):
             if at[p] < at[p + 1]:
                 some = slice(at[p], at[p + 1])
                 yield row(p, np.diff(key[some], prepend=U(0)), lead[some], False)
-        if more.any():
-            edges = np.unique(np.column_stack([val[more], first[more]]), axis=0)
-            yield row(n % parts, edges[:, 0], edges[:, 1], True)
+        under = node != root
+        if under.any():
+            yield row(n % parts, node[under], root[under], True)
 
     def run(batches: Batches) -> Batches:
         seen: set[int] = set()
@@ -239,15 +262,17 @@ def _signature_rows(docs: DataFrame, size: int, cuts: Cut, parts: int) -> DataFr
 
 
 def _stars(rows: DataFrame) -> DataFrame:
-    """Edges between the documents that share a signature: each to the smallest of them."""
+    """Edges that join the documents of a part that share signatures: each to the smallest that it
+    reaches, so that there are fewer than documents in the part."""
 
     def join(table: pa.Table) -> pa.Table:
-        found = [np.empty((0, 2), np.int64)]
+        left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         keys, docs = [], []
         for k, d, edge in zip(*(table[c].to_pylist() for c in ("keys", "docs", "edge")), strict=True):
             k, d = unpack(k), unpack(d).view(np.int64)
             if edge:
-                found.append(np.column_stack([k.view(np.int64), d]))
+                left.append(k.view(np.int64))
+                right.append(d)
             else:
                 keys.append(np.cumsum(k, dtype=U))
                 docs.append(d)
@@ -257,9 +282,11 @@ def _stars(rows: DataFrame) -> DataFrame:
             key, doc = key[order], doc[order]
             start = np.r_[True, key[1:] != key[:-1]]
             first = doc[np.flatnonzero(start)][np.cumsum(start) - 1]
-            found.append(np.column_stack([doc, first])[doc != first])
-        pairs = np.unique(np.concatenate(found), axis=0)
-        return pa.table({c: pa.array(np.ascontiguousarray(pairs[:, i])) for i, c in enumerate("ab")})
+            left.append(doc[doc != first])
+            right.append(first[doc != first])
+        node, root = forest(np.concatenate(left), np.concatenate(right))
+        under = node != root
+        return pa.table({"a": node[under], "b": root[under]})
 
     return rows.groupBy("part").applyInArrow(join, "a long, b long")
 
@@ -433,8 +460,9 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 8, den: int =
     linked = rows.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = linked.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"))
     shingles_ = rows.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
-    parts = 1 + 2 * shingles_ * (den - num) // num // PART_SIGNATURES
-    edges = _stars(_signature_rows(docs.where("doc_id IS NOT NULL"), size, cuts, parts))
+    signatures = 2 * shingles_ * (den - num) // num
+    parts = 1 + signatures // PART_SIGNATURES
+    edges = _stars(_signature_rows(docs.where("doc_id IS NOT NULL"), size, cuts, parts, key_bits(signatures)))
     candidates = components(edges, "a", "b").select(F.col("node").alias("doc_id"), F.col("component").alias("cand"))
     of_class = linked.join(candidates, "doc_id").groupBy("s1", "s2").agg(F.min("cand").alias("cand"))
     chosen = classes.join(of_class, ["s1", "s2"])
