@@ -9,9 +9,9 @@ meets in the home cell of one of the two. Nothing is lost, whatever the centroid
 
 A cell is dealt to tasks in tiles of two bounded blocks. A tile gives each class the number of rows
 it links with and the smallest class it reaches in the tile, never pairs; links are summed and the
-tiles' forests joined to components. Centroids, as many as the square root of the largest label's
-classes, are fitted on a sample of ``Settings.sample`` classes for each; every class is compared.
-What comes to the driver is the centroids and sums for them.
+tiles' forests joined to components. Centroids, at most as many as the square root of the largest
+label's classes, are fitted on a sample of ``Settings.sample`` classes for each; every class is
+compared. What comes to the driver is the centroids and sums for them.
 """
 
 from __future__ import annotations
@@ -24,16 +24,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches, cut, importable
+from .common import Batches, cut, importable, sliced
 from .components import components
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample`` classes for each centroid, ``rounds`` of k-means, and rows of a block."""
+    """``sample`` classes for each centroid, ``rounds`` of k-means, cells a class of the sample may
+    visit on average, and rows of a block and of a product."""
 
     sample: int = 64
     rounds: int = 4
+    visits: float = 2.0
     block: int = 4_096
     chunk: int = 512
 
@@ -102,6 +104,23 @@ def fitted(sample: DataFrame, k: int, rounds: int) -> np.ndarray:
     return centroids
 
 
+def chosen(sample: DataFrame, k: int, threshold: float, s: Settings) -> np.ndarray:
+    """Centroids, ``k`` or as many fewer as keep visits in bounds: vectors without structure lie near
+    a share of all cells, so that more cells save no products but move more rows."""
+    while True:
+        centroids = fitted(sample, k, s.rounds)
+
+        def count(batches: Batches, c: np.ndarray = centroids) -> Batches:
+            for batch in sliced(batches, s.chunk):
+                visits = homes(units(batch.column("unit")), c, threshold)[1].sum()
+                yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([int(visits)])], names=["rows", "visits"])
+
+        seen = sample.select("unit").mapInArrow(count, "rows long, visits long").agg(F.sum("visits") / F.sum("rows")).first()[0]
+        if k == 1 or seen <= s.visits:
+            return centroids
+        k = max(1, min(k // 2, int(k * s.visits / seen)))
+
+
 def homes(x: np.ndarray, c: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """The home cell of each row, and which other cells it visits."""
     product = x @ c.T
@@ -216,7 +235,7 @@ def links(classes: DataFrame, threshold: float, s: Settings) -> DataFrame:
     share = min(1.0, k * s.sample / max(n, 1))
     drawn = alike.where(F.pmod(F.xxhash64("key"), F.lit(1 << 32)) < F.lit(int(share * (1 << 32))))
     drawn = cut(drawn.select("key", "unit"), "sample")
-    centroids = fitted(drawn, k, s.rounds) if n and drawn.count() else np.zeros((1, 0))
+    centroids = chosen(drawn, k, threshold, s) if n and drawn.count() else np.zeros((1, 0))
 
     def assign(batches: Batches) -> Batches:
         for batch in batches:
