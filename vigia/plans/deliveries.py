@@ -8,11 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigia.model import DEFAULT
-from vigia.operators import clean, incremental
+from vigia.operators import breakdowns, clean, incremental, places
 from vigia.operators.filters import FilterSpec
 from vigia.plans.catalogue import accented, to_cp1252
-from vigia.plans.testbed import DIRTY_COLUMNS, clean_incidents, raw_incidents
-from vigia.sources import delimited, ledger, sinks, tables
+from vigia.plans.testbed import (
+    CENSUS_COLUMNS,
+    DIRTY_COLUMNS,
+    MISSPELLED,
+    NAMES,
+    clean_incidents,
+    derived,
+    raw_incidents,
+)
+from vigia.sources import delimited, ledger, search_index, sinks, tables
 from vigia.sources.workspace import fresh_dir, stored
 from vigia.streaming.incremental import follow_deliveries, follow_recent
 
@@ -116,7 +124,38 @@ def incremental_few(spark: SparkSession, d: str) -> DataFrame:
     return incremental.new_rows(few, tables.read_incidents(spark, path).select(*rows.columns)).select(*DEFAULT.keys)
 
 
+NEEDLES = ("veículo", "art. 15", "100%", "ou")
+
+
+def search_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """Rows that each search finds by the sidecar; one file came after it was built."""
+    path, index = fresh_dir(spark, "searched"), fresh_dir(spark, "trigrams")
+    rows = clean_incidents(spark, d).select(*DEFAULT.keys, "RUBRICA")
+    early = F.coalesce(F.col("ANO_BO") <= 1997, F.lit(True))
+    sinks.write_parquet(rows.where(early).repartitionByRange(8, "RUBRICA"), path)
+    search_index.build_index(spark, path, index)
+    sinks.append_parquet(rows.where(~early), path)
+    found = [search_index.search(spark, path, index, n).agg(F.lit(n).alias("needle"), F.count("*").alias("n")) for n in NEEDLES]
+    return reduce(lambda a, b: a.union(b), found)
+
+
+def misspelled(spark: SparkSession, d: str) -> DataFrame:
+    """Names of places with letters lost, doubled, changed and added, put right by a list."""
+    rows = derived(spark, d, "lineitem", {"NOME_MUNICIPIO": MISSPELLED})
+    names = derived(spark, d, "nation", {"name": NAMES})
+    return breakdowns.top_values(places.correct_names(rows, names), "NOME_MUNICIPIO", 1_000)
+
+
+def rate_by_census(spark: SparkSession, d: str) -> DataFrame:
+    """Rates by the latest of a place's censuses, which are of different years."""
+    censuses = derived(spark, d, "customer", CENSUS_COLUMNS)
+    return places.rate_by_year(clean_incidents(spark, d), censuses, per=1000)
+
+
 QUERIES = {
+    "search_indexed": search_indexed,
+    "misspelled_names": misspelled,
+    "rate_by_census": rate_by_census,
     "layout_filters": layout_filters,
     "incremental_few": incremental_few,
     "stream_ledger": stream_ledger,

@@ -1,7 +1,7 @@
 """DuckDB SQL for the queries over raw deliveries."""
 
-from vigia.plans.oracle import CLEAN, CLEANED_RAW, DIRTY, RAW
-from vigia.plans.testbed import DIRTY_COLUMNS, RAW_COLUMNS
+from vigia.plans.oracle import CLEAN, CLEANED_RAW, DIRTY, NAME, RAW, source
+from vigia.plans.testbed import CENSUS_COLUMNS, DIRTY_COLUMNS, MISSPELLED, NAMES, RAW_COLUMNS
 
 # The heading of the table of unclean keys, where a query has the usual one.
 HEADING = DIRTY_COLUMNS["RUBRICA"]
@@ -34,4 +34,22 @@ ORACLE = {
     "incremental_few": f"""WITH {CLEANED_RAW}, held AS (SELECT DISTINCT NUM_BO, ANO_BO FROM cleaned WHERE MES <= 6)
         SELECT DISTINCT NUM_BO, ANO_BO FROM cleaned WHERE CAST(split_part(NUM_BO, '/', 1) AS INT) <= 32
         AND (NUM_BO, ANO_BO) NOT IN (SELECT (NUM_BO, ANO_BO) FROM held)""",
+    "search_indexed": f"""WITH {CLEAN} {" UNION ALL ".join(
+        f"SELECT '{n}' AS needle, count(*) AS n FROM incidents WHERE contains(upper(RUBRICA), upper('{n}'))" for n in ("veículo", "art. 15", "100%", "ou"))}""",
+    "misspelled_names": f"""WITH wrong AS (SELECT {NAME} AS v FROM (SELECT {MISSPELLED} AS NOME_MUNICIPIO FROM lineitem) AS m),
+        names AS (SELECT DISTINCT {NAMES} AS name FROM nation),
+        measured AS (SELECT v, name, levenshtein(v, name) AS far FROM (SELECT DISTINCT v FROM wrong) AS w, names
+            WHERE v NOT IN (SELECT name FROM names)),
+        near AS (SELECT * FROM measured WHERE far <= CASE WHEN length(name) >= 8 THEN 2 WHEN length(name) >= 4 THEN 1 ELSE 0 END),
+        best AS (SELECT v, min(name) AS name FROM near AS n WHERE far = (SELECT min(far) FROM near AS o WHERE o.v = n.v)
+            GROUP BY v HAVING count(*) = 1)
+        SELECT coalesce(b.name, w.v) AS NOME_MUNICIPIO, count(*) AS occurrences
+        FROM wrong AS w LEFT JOIN best AS b ON b.v = w.v WHERE w.v IS NOT NULL GROUP BY 1""",
+    "rate_by_census": f"""WITH {CLEAN}, {source("people", CENSUS_COLUMNS, "customer")},
+        c AS (SELECT {NAME} AS NOME_MUNICIPIO, ANO, count(*) AS occurrences FROM incidents
+              WHERE NOME_MUNICIPIO IS NOT NULL AND ANO IS NOT NULL GROUP BY 1, 2),
+        p AS (SELECT {NAME} AS NOME_MUNICIPIO, census_year, CAST(sum(population) AS BIGINT) AS population
+              FROM people GROUP BY 1, 2)
+        SELECT c.NOME_MUNICIPIO, ANO, occurrences, census_year, population, occurrences / population * 1000 AS rate
+        FROM c ASOF LEFT JOIN p ON c.NOME_MUNICIPIO = p.NOME_MUNICIPIO AND c.ANO >= p.census_year""",
 }

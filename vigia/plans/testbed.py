@@ -154,3 +154,19 @@ def city_population(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def name_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived(spark, sf_dir, "nation", ALIAS_COLUMNS)
+
+
+# A list of right names: nations in place of places, two of them one letter apart.
+NAMES = "CASE n_nationkey WHEN 0 THEN 'GUARUJA' WHEN 1 THEN 'GUARUJO' WHEN 2 THEN 'SAO PAULO' ELSE n_name END"
+
+# Names with some letters wrong: of nations, of two names one letter apart, and of none.
+MISSPELLED = """CASE CAST(l_partkey % 12 AS INT) WHEN 0 THEN 'MOZAMBIQE' WHEN 1 THEN 'MOZZAMBIQUEE'
+    WHEN 2 THEN 'MOSAMBIKE' WHEN 3 THEN 'GUARUJX' WHEN 4 THEN 'são  paulo' WHEN 5 THEN 'SOA PAULO' WHEN 6 THEN 'PERO'
+    WHEN 7 THEN 'PEROO' WHEN 8 THEN 'UNITED STATE' WHEN 9 THEN 'CHINA' WHEN 10 THEN NULL
+    ELSE 'LUGAR ' || CAST(l_suppkey % 7 AS VARCHAR(20)) END"""
+
+# Inhabitants by census: customers, each counted in one of four years.
+CENSUS_COLUMNS = {
+    **POPULATION_COLUMNS,
+    "census_year": "CAST(1990 + 3 * (c_custkey % 4) + c_custkey % 8 % 2 AS INT)",
+}
