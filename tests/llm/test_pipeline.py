@@ -9,6 +9,7 @@ import pytest
 import tiktoken
 
 import corpus_pipeline
+from vigia.llm import line_dedup
 from vigia.llm.common import table
 
 NAMES = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -107,3 +108,29 @@ def test_run_applies_the_stages(spark, corpus):
     gone = planted["toxic"] | planted["copies"] | planted["leaks"]
     assert got == (set(texts) | {2_000, 2_001}) - gone
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+CLASHING = ["score", "predicted", "hits", "n_lines", "n_dropped", "dropped", "kept", "near_row", "row", "id", "given", "text id", "key"]
+
+
+@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES[:-1]])
+def test_stages_leave_columns_of_any_name_alone(spark, corpus, stage):
+    folder, _, _ = corpus
+    docs = table(spark, folder, "documents").where("doc_id < 60 OR doc_id >= 1000")
+    more = docs.selectExpr("*", *(f"concat('own ', {i}) AS `{c}`" for i, c in enumerate(CLASHING)))
+    out = stage(spark, more.repartition(2), folder)
+    assert out.columns == more.columns
+    kept = {(r["doc_id"], r["text"]) for r in out.collect()}
+    assert kept == {(r["doc_id"], r["text"]) for r in stage(spark, docs.repartition(2), folder).collect()}
+    for i, c in enumerate(CLASHING):
+        assert out.where(out[f"`{c}`"] != f"own {i}").isEmpty()
+    assert stage(spark, more.limit(0), folder).collect() == []
+
+
+def test_line_dedup_leaves_columns_of_any_name_alone(spark):
+    rows = [(i, "same line\nown " + str(i), "d", "k", i) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, dropped string, kept string, `dropped id` int")
+    out = line_dedup.dedup_lines(docs)
+    got = {tuple(r) for r in out.collect()}
+    assert out.columns == [*docs.columns, "n_lines", "n_dropped"]
+    assert got == {(i, f"own {i}", "d", "k", i, 2, 1) for i in range(12)}

@@ -61,17 +61,16 @@ def dedup_lines(
         .select(F.col(id_col).alias("dropped id"), "dropped")
     )
     columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    rows = docs.select(*columns).join(dropped, F.col(id_col).eqNullSafe(F.col("dropped id")), "left")
-    lines = _lines(text)
+    given = F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row")  # whatever their names
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text"), given)
+    rows = rows.join(dropped, F.col("id").eqNullSafe(F.col("dropped id")), "left")
+    lines = _lines("text")
     kept = F.filter(lines, lambda x: ~F.array_contains(F.col("dropped"), _hash(_key(x))))
     rows = rows.withColumn("kept", F.when(F.col("dropped").isNotNull(), kept))
     n = F.size(lines).cast("long")
+    cleaned = F.when(F.col("kept").isNotNull(), F.array_join("kept", "\n")).otherwise(F.col("text"))
     return rows.select(
-        *(
-            F.when(F.col("kept").isNotNull(), F.array_join("kept", "\n")).otherwise(F.col(c)).alias(c)
-            if c == text else F.col(c)
-            for c in columns
-        ),
+        *(cleaned.alias(c) if c == text else F.col("row")[c].alias(c) for c in columns),
         n.alias("n_lines"),
         F.when(F.col("kept").isNotNull(), n - F.size("kept")).otherwise(F.lit(0)).cast("long").alias("n_dropped"),
-    )
+    )
