@@ -61,7 +61,8 @@ def dedup_lines(
         .select(F.col(id_col).alias("dropped id"), "dropped")
     )
     columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    given = F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row")  # whatever their names
+    rest = [F.col(f"`{c}`") for c in columns if c not in (id_col, text)]  # whatever their names
+    given = (F.struct(*rest) if rest else F.lit(0)).alias("row")
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text"), given)
     rows = rows.join(dropped, F.col("id").eqNullSafe(F.col("dropped id")), "left")
     lines = _lines("text")
@@ -70,7 +71,7 @@ def dedup_lines(
     n = F.size(lines).cast("long")
     cleaned = F.when(F.col("kept").isNotNull(), F.array_join("kept", "\n")).otherwise(F.col("text"))
     return rows.select(
-        *(cleaned.alias(c) if c == text else F.col("row")[c].alias(c) for c in columns),
+        *({text: cleaned, id_col: F.col("id")}.get(c, F.col("row")[c]).alias(c) for c in columns),
         n.alias("n_lines"),
         F.when(F.col("kept").isNotNull(), n - F.size("kept")).otherwise(F.lit(0)).cast("long").alias("n_dropped"),
     )
