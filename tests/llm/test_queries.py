@@ -40,5 +40,5 @@ def test_query_covers_its_table(spark, sf_dir, name):
 
 def test_every_operator_is_registered():
     names = __spark_entry__.queries()
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)) and "pipeline" in names
     assert set(ORACLE) <= set(__spark_entry__.oracle_sql())
