@@ -8,14 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigia.model import DEFAULT
-from vigia.operators import breakdowns, clean, incremental, places
+from vigia.operators import breakdowns, clean, incremental, place_spread, places
 from vigia.operators.filters import FilterSpec
+from vigia.plans import partials
 from vigia.plans.catalogue import accented, to_cp1252
 from vigia.plans.testbed import (
     CENSUS_COLUMNS,
     DIRTY_COLUMNS,
     MISSPELLED,
     NAMES,
+    UNIQUE_COLUMNS,
     clean_incidents,
     derived,
     raw_incidents,
@@ -152,7 +154,56 @@ def rate_by_census(spark: SparkSession, d: str) -> DataFrame:
     return places.rate_by_year(clean_incidents(spark, d), censuses, per=1000)
 
 
+_COUNTED: dict[tuple[str, str], str] = {}
+
+
+def counted_deliveries(spark: SparkSession, d: str) -> str:
+    """Partial results of three deliveries, each loaded twice, the third of which repeats reports of
+    the others; of the second the load died before it was counted. Made once per application."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _COUNTED:
+        table, results = fresh_dir(spark, "batches"), fresh_dir(spark, "partials")
+        rows = stored(derived(spark, d, "lineitem", UNIQUE_COLUMNS), "reports")
+        part = F.pmod(F.xxhash64("NUM_BO"), F.lit(3))
+        scope = lambda df: tables.scoped(df)
+        partials.load_delivery(rows.where(part == 0), table, results, "a", scope)
+        ledger.append_batch(rows.where(part == 1).distinct(), table, "b")
+        again = rows.where((part == 2) | (F.pmod(F.xxhash64("RUBRICA"), F.lit(2)) == 0))
+        for _ in range(2):
+            for batch, delivery in (("b", rows.where(part == 1)), ("c", again), ("a", rows)):
+                partials.load_delivery(delivery, table, results, batch, scope)
+        _COUNTED[key] = results
+    return _COUNTED[key]
+
+
+def partials_page(spark: SparkSession, d: str) -> DataFrame:
+    return partials.page_counts(partials.read_cells(spark, counted_deliveries(spark, d)))
+
+
+def partials_figures(spark: SparkSession, d: str) -> DataFrame:
+    return partials.key_figures(partials.read_cells(spark, counted_deliveries(spark, d)))
+
+
+def partials_figures_years(spark: SparkSession, d: str) -> DataFrame:
+    return partials.key_figures(partials.read_cells(spark, counted_deliveries(spark, d), (1994, 1996, 1997)))
+
+
+def partials_options(spark: SparkSession, d: str) -> DataFrame:
+    return partials.option_sizes(partials.read_cells(spark, counted_deliveries(spark, d)))
+
+
+def place_quantiles(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the quartiles of each place, from sketches united over years, are within the error."""
+    rows = clean_incidents(spark, d)
+    return place_spread.checked_quartiles(rows, place_spread.united(place_spread.sketches(rows, by=("ANO",))))
+
+
 QUERIES = {
+    "partials_page": partials_page,
+    "partials_figures": partials_figures,
+    "partials_figures_years": partials_figures_years,
+    "partials_options": partials_options,
+    "place_quantiles": place_quantiles,
     "search_indexed": search_indexed,
     "misspelled_names": misspelled,
     "rate_by_census": rate_by_census,

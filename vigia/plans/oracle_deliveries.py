@@ -1,7 +1,7 @@
 """DuckDB SQL for the queries over raw deliveries."""
 
-from vigia.plans.oracle import CLEAN, CLEANED_RAW, DIRTY, NAME, RAW, source
-from vigia.plans.testbed import CENSUS_COLUMNS, DIRTY_COLUMNS, MISSPELLED, NAMES, RAW_COLUMNS
+from vigia.plans.oracle import CAPITAL, CLEAN, CLEANED_RAW, DIRTY, NAME, PAGE, RAW, figures, source
+from vigia.plans.testbed import CENSUS_COLUMNS, DIRTY_COLUMNS, MISSPELLED, NAMES, RAW_COLUMNS, UNIQUE_COLUMNS, select_list
 
 # The heading of the table of unclean keys, where a query has the usual one.
 HEADING = DIRTY_COLUMNS["RUBRICA"]
@@ -16,7 +16,21 @@ LAYOUT = {
     "month": "MES = 2",
 }
 
+# The capital's reports, each once.
+ONCE = CAPITAL.replace(CLEAN, f"incidents AS (SELECT DISTINCT {select_list(UNIQUE_COLUMNS)} FROM lineitem)")
+
 ORACLE = {
+    "partials_page": f"WITH {ONCE} {PAGE}",
+    "partials_figures": f"WITH {ONCE} SELECT * EXCLUDE (municipios) FROM ({figures('capital')}) AS k",
+    "partials_figures_years": f"""WITH {ONCE}, chosen AS (SELECT * FROM capital WHERE ANO IN (1994, 1996, 1997))
+        SELECT * EXCLUDE (municipios) FROM ({figures('chosen')}) AS k""",
+    "partials_options": f"""WITH {ONCE} SELECT count(DISTINCT ANO) AS years, count(DISTINCT NOME_DELEGACIA) AS stations,
+        count(DISTINCT BAIRRO) FILTER (WHERE trim(BAIRRO) <> '') AS districts,
+        count(DISTINCT RUBRICA) AS headings, count(DISTINCT DESCR_PERIODO) AS periods FROM capital""",
+    "place_quantiles": f"""WITH {CLEAN}, v AS (SELECT NOME_MUNICIPIO, 'LATITUDE' AS measure, LATITUDE AS x FROM incidents
+        UNION ALL SELECT NOME_MUNICIPIO, 'LONGITUDE', LONGITUDE FROM incidents)
+        SELECT NOME_MUNICIPIO, measure, count(*) AS n, TRUE AS within FROM v
+        WHERE NOME_MUNICIPIO IS NOT NULL AND x IS NOT NULL GROUP BY 1, 2""",
     "delimited_scan_split": f"""WITH {RAW} SELECT NUM_BO, ANO_BO, CASE WHEN l_partkey % 3 <> 0
         THEN 'disse "sim";' || chr(10) || chr(10) || RUBRICA || chr(10) || '"fim" ' || NUM_BO ELSE RUBRICA END AS RELATO,
         CAST(NULL AS VARCHAR) AS _malformed FROM raw""",

@@ -170,3 +170,10 @@ CENSUS_COLUMNS = {
     **POPULATION_COLUMNS,
     "census_year": "CAST(1990 + 3 * (c_custkey % 4) + c_custkey % 8 % 2 AS INT)",
 }
+
+# Reports whose number tells all their columns apart: rows of one number are equal.
+UNIQUE_COLUMNS = {
+    **CLEAN_COLUMNS,
+    "NUM_BO": f"""{NUMBER} || '/' || {text('l_partkey')} || '/' || {text('l_suppkey')} || '/' || l_returnflag || '/' ||
+        CAST(CAST(l_shipdate AS DATE) AS VARCHAR(20))""",
+}
