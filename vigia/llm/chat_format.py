@@ -3,7 +3,10 @@
 A template is any function from a list of (role, text) to a string. Turn prefixes are rendered one
 after the other; where a prefix's output begins with the one before, what was added is the span of
 the new turn. Inside a span the text is found by rendering the turn twice more with one-letter
-texts: the outputs part where the text begins, and what follows it is known too. A template that
+texts: the outputs part where the text begins, and what follows it is known too. What is found must be
+the turn's text once it is unescaped; where it is not, as behind a length that the template prints,
+letters of the text's own length are rendered, and if that does not help, because the template alters
+the text, the span is reported as not exact and is never under the loss mask. A template that
 writes earlier turns anew once more turns come shows in outputs that do not begin with their
 predecessors, or in an output of the whole conversation that is not the sum of its spans.
 
@@ -61,28 +64,33 @@ def read_back(formatted: str) -> list[Turn]:
 
 @dataclass(frozen=True)
 class Span:
-    """Code points of a turn in the output, and of its text within."""
+    """Code points of a turn in the output, and of its text within; whether that is the turn's text."""
 
     start: int
     end: int
     text_start: int
     text_end: int
+    exact: bool = True
 
 
-def _inside(render: Template, context: list[Turn], turn: Turn, before: str, after: str) -> tuple[int, int]:
-    """Where the text lies in what ``turn`` adds: characters before it and behind it."""
-    a, b = (render([*context, (turn[0], letter)]) for letter in "AB")
+def _inside(render: Template, context: list[Turn], role: str, before: str, length: int) -> tuple[int, int]:
+    """Where a text of that length lies in what a turn adds: characters before it and behind it."""
+    a, b = (render([*context, (role, letter * length)]) for letter in "AB")
     if not (a.startswith(before) and b.startswith(before)):
         return 0, 0
     head = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), len(a))
-    return head - len(before), len(a) - head - 1
+    tail = next((i for i, (x, y) in enumerate(zip(reversed(a), reversed(b), strict=False)) if x != y), 0)
+    return head - len(before), tail
 
 
-def spans(render: Template, turns: list[Turn], context: int = CONTEXT) -> tuple[str, list[Span], bool]:
+def spans(
+    render: Template, turns: list[Turn], context: int = CONTEXT, plain: Callable[[str], str] = unescape
+) -> tuple[str, list[Span], bool]:
     """Output, span of each turn, and whether the template rewrites history.
 
     Of a template that does, the spans are those of the turns when they were last, and only the
-    ones that the final output still holds at their place are meaningful.
+    ones that the final output still holds at their place are meaningful: the others are not exact.
+    ``plain`` takes back what the template does to control strings inside texts.
     """
     whole = render(turns)
     insides: dict = {}
@@ -97,18 +105,30 @@ def spans(render: Template, turns: list[Turn], context: int = CONTEXT) -> tuple[
             else:
                 rewritten = True
                 added = max(0, len(after) - len(before))
+            piece = after[len(after) - added :]
             key = (turn[0], len(known) == 0, tuple(r for r, _ in known))
             if key not in insides:
                 if len(insides) > 1_000:
                     insides.clear()
-                insides[key] = _inside(render, known, turn, before, after)
+                insides[key] = _inside(render, known, turn[0], before, 1)
             head, tail = insides[key]
-            out.append(Span(at, at + added, at + head, max(at + head, at + added - tail)))
+            end = max(head, added - tail)
+            if plain(piece[head:end]) != turn[1]:
+                # of an empty text there is nothing to find: it lies where one letter would
+                head, tail = _inside(render, known, turn[0], before, max(1, len(turn[1])))
+                end = max(head, added - tail)
+            exact = plain(piece[head:end]) == turn[1]
+            out.append(Span(at, at + added, at + head, at + end, exact))
             at += added
-            pieces.append(after[len(after) - added :])
+            pieces.append(piece)
         rewritten = rewritten or "".join(pieces) != whole
         if not rewritten or len(turns) <= context:
             break
+    if rewritten:
+        out = [
+            Span(s.start, s.end, s.text_start, s.text_end, s.exact and plain(whole[s.text_start : s.text_end]) == text)
+            for s, (_, text) in zip(out, turns, strict=True)
+        ]
     return whole, out, rewritten
 
 
@@ -123,11 +143,17 @@ def conversations(rows: DataFrame) -> DataFrame:
     return rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
 
 
-def format_chats(rows: DataFrame, render: Template = marked, trained: tuple[str, ...] = ("assistant",)) -> DataFrame:
+def format_chats(
+    rows: DataFrame,
+    render: Template = marked,
+    trained: tuple[str, ...] = ("assistant",),
+    plain: Callable[[str], str] = unescape,
+) -> DataFrame:
     """Formatted conversations of (conv_id, turn, role, text).
 
-    Returns conv_id, n_turns, ``formatted``, ``spans`` (start, end, text_start, text_end, role and
-    ``loss``: whether the role is one of ``trained``) and ``rewritten``: true if the template
+    Returns conv_id, n_turns, ``formatted``, ``spans`` (start, end, text_start, text_end, role,
+    ``exact``: whether the text found there is the turn's, by ``plain`` where the template escapes, and
+    ``loss``: whether it is and the role is one of ``trained``) and ``rewritten``: true if the template
     changed earlier turns. Positions are code points. The whole conversation becomes one string,
     so that one conversation has to fit a task. Other columns are ignored; an empty table gives an
     empty result.
@@ -139,18 +165,18 @@ def format_chats(rows: DataFrame, render: Template = marked, trained: tuple[str,
             n, formatted, found, rewritten = [], [], [], []
             for turns in batch.column("turns").to_pylist():
                 pairs = [(t["role"], t["text"]) for t in turns]
-                out, each, changed = spans(render, pairs)
+                out, each, changed = spans(render, pairs, plain=plain)
                 n.append(len(pairs))
                 formatted.append(out)
                 rewritten.append(changed)
                 found.append([
                     {"start": s.start, "end": s.end, "text_start": s.text_start, "text_end": s.text_end,
-                     "role": role, "loss": role in trained}
+                     "role": role, "exact": s.exact, "loss": s.exact and role in trained}
                     for s, (role, _) in zip(each, pairs, strict=True)
                 ])
             kind = pa.list_(pa.struct([
                 *((c, pa.int64()) for c in ("start", "end", "text_start", "text_end")),
-                ("role", pa.string()), ("loss", pa.bool_()),
+                ("role", pa.string()), ("exact", pa.bool_()), ("loss", pa.bool_()),
             ]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("conv_id"), pa.array(n, pa.int64()), pa.array(formatted, pa.string()),
@@ -158,7 +184,7 @@ def format_chats(rows: DataFrame, render: Template = marked, trained: tuple[str,
                 names=["conv_id", "n_turns", "formatted", "spans", "rewritten"],
             )
 
-    span = "struct<start: bigint, end: bigint, text_start: bigint, text_end: bigint, role: string, loss: boolean>"
+    span = "struct<start: bigint, end: bigint, text_start: bigint, text_end: bigint, role: string, exact: boolean, loss: boolean>"
     kind = dict(rows.dtypes)["conv_id"]
     return conversations(rows).mapInArrow(
         run, f"conv_id {kind}, n_turns bigint, formatted string, spans array<{span}>, rewritten boolean"
