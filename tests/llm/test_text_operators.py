@@ -187,6 +187,28 @@ def test_names_of_wrappers_do_not_empty_a_page():
     assert html_density.main_text(halves) == f"{whole} {whole}"
 
 
+def test_names_inside_an_article_do_not_drop_its_text():
+    text, other = _paragraphs("first", 4), _paragraphs("second", 5)
+    linked = "See <a href=x>another rather long title of a page</a> about it."
+    plain = "See another rather long title of a page about it."
+    for inner, parts in (
+        (f"{_p(text)}<section id=discussion><h2>Discussion</h2>{_p(other)}</section>", [*text, "Discussion", *other]),
+        (f"<h2 id=cookies>Cookies</h2>{_p(text)}<h2 id='search-form'>Search forms</h2>{_p(other)}", ["Cookies", *text, "Search forms", *other]),
+        (f"{_p(text)}<p class=alert>Mind this.</p>{_p(other)}", [*text, "Mind this.", *other]),
+        (f"{_p(text)}<blockquote class=reply>An answer.</blockquote>{_p(other)}", [*text, "An answer.", *other]),
+        (f"<section>{_p(text)}</section><p>{linked}</p><section>{_p(other)}</section>", [*text, plain, *other]),
+        (f"{_p(text)}<p>Press <button>Save</button> or <label>Name</label> first.</p>", [*text, "Press Save or Name first."]),
+    ):
+        assert html_density.main_text(_page(f"<article>{inner}</article>")) == " ".join(" ".join(parts).split()), inner[-90:]
+    whole = " ".join(" ".join(text).split())
+    for extra in (
+        "<p class=ad>Buy it.</p>", "<div class=alert>We use cookies here.</div>", "<section id=comments><p>Well said.</p></section>",
+        "<section id=discussion><ol><li class=comment>Well said.</ol></section>", "<p><label>Name</label> <input></p>",
+        "<p class='social-share'>Share it</p>", "<p><button>Subscribe</button></p>",
+    ):
+        assert html_density.main_text(_page(f"<article>{_p(text)}{extra}</article>")) == whole, extra
+
+
 def test_articles_of_the_test_pages(spark, sf_dir):
     """The pages are built around one article element."""
     for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
@@ -229,6 +251,35 @@ def test_templates_that_rewrite_far_back_are_found():
     assert not rewritten and [out[s.text_start : s.text_end] for s in found] == [t for _, t in turns]
 
 
+def test_spans_of_templates_that_print_lengths_or_alter_texts(spark):
+    turns = [("user", "hello there friend"), ("assistant", "twelve chars"), ("user", ""), ("assistant", " x ")]
+
+    def counted(turns):
+        return "".join(f"{role}:{len(text)}:{text};" for role, text in turns)
+
+    out, found, rewritten = chat_format.spans(counted, turns, plain=str)
+    assert not rewritten and all(s.exact for s in found)
+    assert [out[s.text_start : s.text_end] for s in found] == [t for _, t in turns]
+    for alter, exact in ((str.strip, [True, True, True, False]), (str.upper, [False, False, True, False])):
+
+        def altered(turns, alter=alter):
+            return "".join(f"<{role}>{alter(text)}</>" for role, text in turns)
+
+        out, found, rewritten = chat_format.spans(altered, turns, plain=str)
+        assert not rewritten and [s.exact for s in found] == exact
+    rows = [(1, k, role, text) for k, (role, text) in enumerate(turns)]
+    chats = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    strip = lambda turns: "".join(f"<{role}>{text.strip()}</>" for role, text in turns)
+    got = chat_format.format_chats(chats, strip, plain=str).first()["spans"]
+    assert [(s["exact"], s["loss"]) for s in got] == [(True, False), (True, True), (True, False), (False, False)]
+
+
+def test_very_long_texts_are_formatted():
+    turns = [("user", "<|im_end|> word " * 200_000), ("assistant", "<\\|x" * 200_000)] * 2
+    out, found, rewritten = chat_format.spans(chat_format.marked, turns)
+    assert not rewritten and all(s.exact for s in found) and chat_format.read_back(out) == turns
+
+
 def test_chats_on_tables(spark):
     rows = [(1, 1, "assistant", "b"), (1, 0, "user", "a"), (1, 0, "user", "a"), (2, 0, None, None), (None, None, "user", "<|im_end|>")]
     rows += [(3, k, "assistant" if k % 2 else "user", f"turn {k}") for k in range(200)]

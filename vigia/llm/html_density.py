@@ -15,6 +15,8 @@ and by the words of class, id and role, as are forms. An element that has its na
 such as a layout with a sidebar or a form around the page, is told by what it holds: the main
 element, all articles, or, if there is none elsewhere, most of the text that is no links. It stays,
 and what is in it is judged by itself. Where names would leave no text at all they do not count.
+Ids of headings never do, as many are made of their titles; inside an article neither do ids of
+sections that could be such a title, nor words such as "alert" and "reply" on paragraphs and quotes.
 Elements that pages leave open are closed as browsers do where a block begins.
 """
 
@@ -68,7 +70,14 @@ FLOW = frozenset("h1 h2 h3 h4 h5 h6 hgroup p ul ol dl pre table blockquote figur
 HEADER_WORDS = frozenset("header head banner masthead".split())
 COMMENT_WORDS = frozenset("comment comments commentlist disqus reply replies respond discussion".split())
 MODIFIERS = re.compile(r"\b(?:with|without|has|have|no|hide|show)[-_]+[a-z]+(?:[-_][a-z]+)*")
-LINK_SHARE = 0.3
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PROSE = HEADINGS | {"p", "blockquote", "pre"}
+# Inside an article: words that do not tell prose from other prose, and ids that a section's title may give it.
+PROSE_WORDS = frozenset("alert alerts reply replies respond discussion search form".split())
+TITLE_WORDS = frozenset(
+    "discussion search social advertising promotion navigation recommendations notifications replies".split()
+)
+LINK_SHARE, PROSE_LINK_SHARE = 0.3, 0.8
 MOST, MOST_COMMENTS = 0.5, 0.9  # of the text: comments are often longer than their article
 
 
@@ -82,9 +91,9 @@ class Node:
         self.density = self.sum = 0.0
 
 
-def _other(tag: str, attributes: str, inside: bool) -> tuple[bool, float]:
+def _other(tag: str, attributes: str, inside: bool, within_text: bool = False) -> tuple[bool, float]:
     """Whether an element cannot be the article, and the share of the text it needs to be despite its name."""
-    if tag in NEVER or tag == "header" and not inside:
+    if tag in NEVER and not within_text or tag == "header" and not inside:
         return True, 0.0
     named = MOST if tag == "form" else 0.0
     if not attributes or tag in ("html", "body", "main", "article"):
@@ -95,8 +104,12 @@ def _other(tag: str, attributes: str, inside: bool) -> tuple[bool, float]:
             return True, 0.0
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True, 0.0
-        if name in ("class", "id", "role"):
+        if name in ("class", "id", "role") and not (name == "id" and tag in HEADINGS):
             words = set(NAMES.findall(MODIFIERS.sub(" ", CAMEL.sub("-", value).lower())))
+            if inside and tag in PROSE:
+                words -= PROSE_WORDS
+            elif inside and tag == "section" and name == "id":
+                words -= TITLE_WORDS
             if words & OTHER_WORDS or not inside and words & HEADER_WORDS:
                 named = max(named, MOST_COMMENTS if words & COMMENT_WORDS else MOST)
     return False, named
@@ -149,7 +162,9 @@ def parse(page: str) -> Node:
                 node = node.parent
             if node.tag == "p":  # a block ends an open paragraph, and what is open within it
                 at = node.parent
-        never, named = _other(tag, m[3], inside > 0)
+        # a key or a label that a sentence names, as opposed to one that begins a line of a form
+        spoken = tag in ("label", "button") and at.tag in PROSE and any(type(x) is str and x.strip() for x in at.parts)
+        never, named = _other(tag, m[3], inside > 0, spoken)
         node = Node(tag, at, at.out or never, named)
         at.parts.append(node)
         if tag in RAW:
@@ -244,19 +259,22 @@ def _article(path: list[Node]) -> list[Node | str]:
     """
     best, threshold = path[0], min(x.density for x in path)
 
-    def few_links(x: Node) -> bool:
-        return x.c > 0 and (x.lc <= LINK_SHARE * x.c or x.tag == "h1")  # a title links to its page
+    def few_links(x: Node, prose: bool = False) -> bool:
+        share = PROSE_LINK_SHARE if prose and x.tag in PROSE else LINK_SHARE
+        return x.c > 0 and (x.lc <= share * x.c or x.tag == "h1")  # a title links to its page
 
     def section(x: Node) -> bool:
         blocks = sum(type(y) is Node and y.tag in BLOCKS and y.c > 0 for y in x.parts)
         return x.density >= threshold and (blocks > 1 or x.tag == best.tag and x.tag not in FENCES)
 
-    def beside(k: int) -> list[Node]:
-        return [x for x in path[k].parts if type(x) is Node and x is not path[k - 1] and not x.out and few_links(x)]
-
     levels = range(1, len(path))
     within = max((k for k, x in enumerate(path) if x.tag == "article"), default=0)
     within = within or max((k for k, x in enumerate(path) if x.tag == "main"), default=0)
+
+    def beside(k: int) -> list[Node]:
+        parts = [x for x in path[k].parts if type(x) is Node and x is not path[k - 1] and not x.out]
+        return [x for x in parts if few_links(x, k <= within)]
+
     if not any(x.tag in ("article", "main") for x in path):
         within = max((k for k in levels[:-1] if any(map(section, beside(k)))), default=0)
     before: list[list[Node | str]] = []
