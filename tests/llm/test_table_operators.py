@@ -1,6 +1,8 @@
 """Operators over whole tables, against brute force."""
 
 import random
+import time
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -172,6 +174,48 @@ def test_decontamination_of_texts_shorter_than_an_item(spark):
     assert got == {1: (7, 53 / 55, 0, 57), 2: (7, 52 / 55, 0, 56), 3: (7, 44 / 55, 0, 48)}
 
 
+def test_a_long_text_of_a_phrase_that_many_items_share_costs_little():
+    phrase = "a phrase that they all share"
+    items = [(i, f"{phrase} " + " ".join(f"w{i}x{k}" for k in range(24))) for i in range(4_000)]
+    index = decontaminate.Index([(i, t.encode()) for i, t in items], 5, 22, 0.8)
+    copy = items[77][1]
+    text = " ".join([f"{phrase} and then"] * 3_000 + [copy] + [f"{phrase} or"] * 3_000).encode()
+    tracemalloc.start()
+    began = time.perf_counter()
+    hits = index.hits(text)
+    took, (_, most) = time.perf_counter() - began, tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert [(h["item_id"], h["similarity"], h["start_word"]) for h in hits] == [(77, 1.0, 8 * 3_000)]
+    assert took < 20 and most < 200 << 20
+
+
+def test_long_texts_of_many_copies_equal_brute_force():
+    rng = random.Random(9)
+    items = [(i, " ".join(f"v{rng.randrange(40)}" for _ in range(30))) for i in range(60)]
+    parts = []
+    for _ in range(900):
+        w = rng.choice(items)[1].split()
+        w[rng.randrange(30)] = "x" if rng.random() < 0.5 else w[0]
+        parts += w[rng.randrange(6) :]
+    index = decontaminate.Index([(i, t.encode()) for i, t in items], 5, 22, 0.8)
+    got = {h["item_id"]: (h["similarity"], h["start_word"]) for h in index.hits(" ".join(parts).encode())}
+    bags = {i: Counter(tuple(t.split()[k : k + 5]) for k in range(26)) for i, t in items}
+    holders = defaultdict(set)
+    for i, b in bags.items():
+        for x in b:
+            holders[x].add(i)
+    shingles = [tuple(parts[k : k + 5]) for k in range(len(parts) - 4)]
+    best = {}
+    for at in range(len(parts) - 29):
+        window = shingles[at : at + 26]
+        for i, n in Counter(i for x in set(window) for i in holders[x]).items():
+            if n >= 20:
+                both = sum((Counter(window) & bags[i]).values())
+                if both / (52 - both) >= 0.8:
+                    best[i] = min(best.get(i, (0, 0)), (-both / (52 - both), at))
+    assert got == {i: (-x, at) for i, (x, at) in best.items()} and len(best) > 30
+
+
 def test_blocks_find_every_print_within_the_radius():
     rng = np.random.default_rng(3)
     prints = rng.integers(0, 1 << 63, 200).astype(np.uint64)

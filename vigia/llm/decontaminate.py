@@ -3,8 +3,10 @@
 Every benchmark item has a 64-bit SimHash of its word shingles, weighted by how often they occur.
 Items of the same number of words are one class. In a document, windows of a class's number of
 words get their SimHash from running sums over the bits of the document's shingles, so that each
-further class costs one subtraction per window and bit. A window that shares no shingle with an
-item of its class has similarity 0 with all of them and is skipped: shingles are looked up first.
+further class costs one subtraction per window and bit. Shingles are looked up first: those of a
+window that no item of its class has belong to no intersection, and a window of which too few are
+left to reach the similarity with any item is skipped. The others, which are those around copies and
+mixtures of items, get fingerprints, in slices, so that memory does not grow with the text.
 
 Fingerprints are cut into ``radius`` + 1 blocks: two within the radius agree on at least one, so
 that the index of block values finds every item within the radius. What it finds is verified by
@@ -13,11 +15,13 @@ maxima). The default radius is far from where similar windows end: at a similari
 a bit differs with a probability of 0.15, and more than 22 of 64 in 3 windows of a million.
 
 The benchmark goes to the tasks in chunks of bounded size; each chunk is one pass over the texts,
-without a shuffle.
+without a shuffle, and a worker keeps a chunk's index from task to task.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -27,11 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Batches, extend, importable, sliced, texts, with_columns
+from .common import Batches, extend, importable, kept, sliced, texts, with_columns
 from .jaccard_join import U, runs, shingles, word_hashes
 
 CHUNK_ITEMS = 20_000
 CHUNK_BYTES = 16 << 20
+SLICE = 16_384  # shingles whose bits are summed at once, besides those of one window
+PAIRS = 1 << 20  # windows times items that are marked at once
 HITS = T.ArrayType(
     T.StructType([
         T.StructField("item_id", T.LongType()), T.StructField("similarity", T.DoubleType()),
@@ -78,19 +84,24 @@ class Blocks:
 
     def near(self, queries: np.ndarray) -> np.ndarray:
         """Rows (query, print, distance) of all pairs within the radius."""
-        pairs = []
-        for (shift, mask), (values, order) in zip(self.cuts, self.sorted, strict=True):
-            v = (queries >> shift) & mask
-            low, high = np.searchsorted(values, v, "left"), np.searchsorted(values, v, "right")
-            n = high - low
-            q = np.repeat(np.arange(len(queries)), n)
-            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
-            pairs.append(q * len(self.prints) + order[at])
-        pairs = np.unique(np.concatenate(pairs))
-        q, p = np.divmod(pairs, len(self.prints))
-        d = np.bitwise_count(queries[q] ^ self.prints[p]).astype(np.int64)
-        near = d <= self.radius
-        return np.column_stack([q[near], p[near], d[near]])
+        return np.concatenate([np.empty((0, 3), np.int64), *self.slices(queries)])
+
+    def slices(self, queries: np.ndarray) -> Iterator[np.ndarray]:
+        """The rows of ``near``, for a bounded number of pairs at a time."""
+        step = max(1, PAIRS // max(1, len(self.prints)))
+        for first in range(0, len(queries), step):
+            some = queries[first : first + step]
+            met = np.zeros((len(some), len(self.prints)), bool)
+            for (shift, mask), (values, order) in zip(self.cuts, self.sorted, strict=True):
+                v = (some >> shift) & mask
+                low, high = np.searchsorted(values, v, "left"), np.searchsorted(values, v, "right")
+                n = high - low
+                at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+                met[np.repeat(np.arange(len(some)), n), order[at]] = True
+            q, p = np.nonzero(met)
+            d = np.bitwise_count(some[q] ^ self.prints[p]).astype(np.int64)
+            near = d <= self.radius
+            yield np.column_stack([q[near] + first, p[near], d[near]])
 
 
 class Index:
@@ -140,27 +151,31 @@ class Index:
                 for n in self.owners[x]:
                     if n <= words or len(s) / (n - size + 1) >= self.least:
                         of[n].append(at)
-            sums = None
             for n, places in of.items():
                 ids, bags, blocks = self.classes[n]
                 span = min(n, words) - size + 1  # shingles of a window
-                at = np.array(places)
-                mark = np.zeros(len(s) + 1, np.int32)
-                np.add.at(mark, np.maximum(at - span + 1, 0), 1)
-                np.add.at(mark, at + 1, -1)
-                starts = np.flatnonzero(np.cumsum(mark)[: len(s) - span + 1] > 0)
-                if not len(starts):
-                    continue
-                if sums is None:
-                    sums = np.zeros((len(s) + 1, 64), np.int32)
-                    np.cumsum(signs(s), axis=0, out=sums[1:])
-                near = blocks.near(pack(sums[starts + span] - sums[starts]))
-                for q, p, d in near.tolist():
-                    at = int(starts[q])
-                    similarity = weighted_jaccard(Counter(s[at : at + span].tolist()), bags[p])
-                    if similarity >= self.least:
-                        row = (-similarity, at, span + size - 1, d)
-                        found[ids[p]] = min(found.get(ids[p], row), row)
+                needed = math.ceil(self.least * (span + n - size + 1) / (1 + self.least) - 1e-9)
+                shared = np.zeros(len(s) + 1, np.int64)
+                shared[np.array(places) + 1] = 1
+                np.cumsum(shared, out=shared)
+                starts = np.flatnonzero(shared[span:] - shared[: len(s) - span + 1] >= max(1, needed))
+                for some in np.split(starts, np.flatnonzero(np.diff(starts // SLICE)) + 1):
+                    if not len(some):
+                        continue
+                    low = int(some[0])
+                    part = s[low : int(some[-1]) + span]
+                    sums = np.zeros((len(part) + 1, 64), np.int32)
+                    np.cumsum(signs(part), axis=0, out=sums[1:])
+                    prints = pack(sums[some - low + span] - sums[some - low])
+                    last, bag = -1, None
+                    for q, p, d in (row for rows in blocks.slices(prints) for row in rows.tolist()):
+                        at = int(some[q])
+                        if at != last:
+                            last, bag = at, Counter(s[at : at + span].tolist())
+                        similarity = weighted_jaccard(bag, bags[p])
+                        if similarity >= self.least:
+                            row = (-similarity, at, span + size - 1, d)
+                            found[ids[p]] = min(found.get(ids[p], row), row)
         return [
             {"item_id": i, "similarity": -x, "start_word": at, "n_words": n, "hamming": d}
             for i, (x, at, n, d) in sorted(found.items())
@@ -192,9 +207,10 @@ def find_benchmark(
     importable(docs.sparkSession)
     out = docs.drop("hits").withColumn("hits", F.array().cast(HITS))
     for items in chunks(benchmark):
+        digest = hashlib.sha256(repr(items).encode()).hexdigest()
 
-        def run(batches: Batches, items=items) -> Batches:
-            index = Index(items, size, radius, least)
+        def run(batches: Batches, items=items, digest=digest) -> Batches:
+            index = kept("benchmark", (digest, size, radius, least), lambda: Index(items, size, radius, least))
             for batch in sliced(batches):
                 held = batch.column("hits").to_pylist()
                 more = [index.hits(t) for t in texts(batch.column("text"))]
