@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import io
+import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -12,7 +13,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from vigia.sources.workspace import stored
+from vigia.sources.ledger import file_system
+from vigia.sources.workspace import fresh_dir, stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,13 +26,31 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return stored(df, label)
 
 
+_SHIPPED: set[str] = set()
+
+
 def importable(spark: SparkSession) -> None:
-    """Python workers find this package where the driver has it."""
-    root = str(Path(__file__).resolve().parents[2])
-    env = spark.sparkContext.environment
-    known = env.get("PYTHONPATH", "")
-    if root not in known.split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (known, root) if x)
+    """Python workers find this package, whether or not their machine has a copy where the driver has it.
+
+    An archive of the package goes to the shared folder, once per application, and from there to the
+    executors, also to those that come later.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parents[1]
+    raw = io.BytesIO()
+    with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as archive:
+        for source in sorted(root.rglob("*.py")):
+            archive.writestr(str(source.relative_to(root.parent)), source.read_text("utf-8"))
+    at, files = file_system(spark, f"{fresh_dir(spark, 'package')}/{root.name}.zip")
+    out = files.create(at, True)
+    try:
+        out.write(bytearray(raw.getvalue()))
+    finally:
+        out.close()
+    context.addPyFile(files.makeQualified(at).toString())
+    _SHIPPED.add(context.applicationId)
 
 
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
