@@ -394,6 +394,17 @@ def _held() -> Column:
     return 8 * F.sum("n") + F.count("*") * F.greatest(F.max("n"), F.lit(8))
 
 
+def _sized(classes: DataFrame, tile: int) -> DataFrame:
+    """The classes of candidate components of several, and whether theirs is one tile.
+
+    A component of one class, such as a group of equal texts, has no links to look for. Told from the
+    classes, before any text is read again, so that no set is moved for it.
+    """
+    fits = (F.count("*") <= tile) & (_held() <= TILE_BYTES)
+    sizes = classes.groupBy("cand").agg(fits.alias("fits"), F.count("*").alias("classes")).where("classes > 1")
+    return classes.join(sizes.drop("classes"), "cand")
+
+
 def _candidate_links(members: DataFrame, cuts: Cut, tile: int) -> DataFrame:
     """Links that connect what is connected within each candidate component.
 
@@ -401,16 +412,13 @@ def _candidate_links(members: DataFrame, cuts: Cut, tile: int) -> DataFrame:
     they leave outside its largest group is then compared with all sets, in blocks by size band.
     Pairs inside the largest group need no look, as they are connected already.
     """
-    fits = (F.count("*") <= tile) & (_held() <= TILE_BYTES) | (F.count("*") == 1)
-    sizes = members.groupBy("cand").agg(fits.alias("fits"))
-    rows = members.join(sizes, "cand")
-    small = rows.where("fits").select(F.col("cand").alias("tile"), "doc_id", F.lit(True).alias("base"), "words")
+    small = members.where("fits").select(F.col("cand").alias("tile"), "doc_id", F.lit(True).alias("base"), "words")
     links = _links(small, cuts)
-    if sizes.where("NOT fits").isEmpty():
-        return links
     step = math.log(cuts.den / cuts.num)
-    large = rows.where("NOT fits").withColumn("band", F.floor(F.log(F.col("n")) / step).cast("int"))
+    large = members.where("NOT fits").withColumn("band", F.floor(F.log(F.col("n")) / step).cast("int"))
     ids = cut(large.select("cand", "band", "doc_id", "n"), "large-candidates")
+    if ids.isEmpty():
+        return links
     led = cut(_leader_links(large, cuts), "leader-links")
     groups = components(led, "a", "b").select(F.col("node").alias("doc_id"), "component")
     grouped = ids.join(groups, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
@@ -465,7 +473,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 8, den: int =
     edges = _stars(_signature_rows(docs.where("doc_id IS NOT NULL"), size, cuts, parts, key_bits(signatures)))
     candidates = components(edges, "a", "b").select(F.col("node").alias("doc_id"), F.col("component").alias("cand"))
     of_class = linked.join(candidates, "doc_id").groupBy("s1", "s2").agg(F.min("cand").alias("cand"))
-    chosen = classes.join(of_class, ["s1", "s2"])
+    chosen = _sized(classes.join(of_class, ["s1", "s2"]), tile)
 
     def words(batches: Batches) -> Batches:
         for batch in sliced(batches):
@@ -478,15 +486,15 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 8, den: int =
                     sets.append(s.tobytes())
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c).take(at) for c in ("cand", "doc_id", "n")), pa.array(sets, pa.binary())],
-                names=["cand", "doc_id", "n", "words"],
+                [*(batch.column(c).take(at) for c in ("cand", "doc_id", "n", "fits")), pa.array(sets, pa.binary())],
+                names=["cand", "doc_id", "n", "fits", "words"],
             )
 
     found = (
         docs.withColumn("doc_id", F.col("doc_id").cast("long"))
         .join(chosen.withColumnRenamed("rep", "doc_id"), "doc_id")
-        .select("cand", "doc_id", "n", "s1", "s2", "text")
-        .mapInArrow(words, "cand long, doc_id long, n long, words binary")
+        .select("cand", "doc_id", "n", "fits", "s1", "s2", "text")
+        .mapInArrow(words, "cand long, doc_id long, n long, fits boolean, words binary")
     )
     members = cut(found, "jaccard-sets").dropDuplicates(["doc_id", "words"])
     links = _candidate_links(members, cuts, tile)
