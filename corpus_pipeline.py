@@ -61,7 +61,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     grouped = cut(groups.join(rows.select("near_row", "doc_id"), "near_row"), "near-copy-groups")
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("near_row"))
     first = grouped.groupBy("component").agg(F.min_by("near_row", order).alias("stays"), F.count("*").alias("n")).where("n > 1")
-    others = grouped.join(first, "component").where("near_row <> stays").select("near_row")
+    # written, so that its size is known: up to Spark's limit it is broadcast, and no text is shuffled
+    others = cut(grouped.join(first, "component").where("near_row <> stays").select("near_row"), "near-copy-others")
     return unpacked(rows.join(others, "near_row", "left_anti"), docs)
 
 
