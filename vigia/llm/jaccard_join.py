@@ -496,7 +496,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 8, den: int =
         .select("cand", "doc_id", "n", "fits", "s1", "s2", "text")
         .mapInArrow(words, "cand long, doc_id long, n long, fits boolean, words binary")
     )
-    members = cut(found, "jaccard-sets").dropDuplicates(["doc_id", "words"])
+    members = cut(found, "jaccard-sets").dropDuplicates(["doc_id", "words", "fits"])  # a filter by fits reaches the scan
     links = _candidate_links(members, cuts, tile)
     groups = components(links, "a", "b").select(F.col("node").alias("rep"), "component")
     named = classes.join(groups, "rep", "left").select(
