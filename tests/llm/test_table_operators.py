@@ -379,6 +379,22 @@ def test_toxicity_on_held_out_documents(spark):
     assert toxicity.score(df.limit(0), model).count() == 0
 
 
+def test_toxicity_of_given_labels(spark):
+    """Held-out recall, false alarms, and those among long texts, on the largest given table."""
+    folder = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    lab = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "toxic").where("toxic is not null")
+    model = toxicity.train(docs, lab)
+    held = docs.join(lab, "doc_id").where(F.crc32(F.col("doc_id").cast("string")) % 5 == 0)
+    rows = toxicity.score(held, model).select("toxic", "predicted", "n_windows").collect()
+    rejected = [r["predicted"] for r in rows if r["toxic"] == 1]
+    clean = [r["predicted"] for r in rows if r["toxic"] == 0]
+    long = [r["predicted"] for r in rows if r["toxic"] == 0 and r["n_windows"] >= 1_000]
+    assert sum(rejected) >= 0.7 * len(rejected)
+    assert sum(clean) <= 0.01 * len(clean)
+    assert sum(long) <= 0.05 * len(long)
+
+
 def test_toxicity_without_labels(spark):
     df = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
     model = toxicity.train(df, spark.createDataFrame([], "doc_id long, toxic int"))

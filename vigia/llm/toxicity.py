@@ -1,17 +1,23 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained on labelled text, one on toxic and one on ordinary text.
-Both hold the same body of frequent ordinary words and end with the same few bytes; between the
-two lie, in the toxic one, the text segments that toxic documents have over ordinary ones (log
-likelihood ratio over documents), in the ordinary one as many bytes of further ordinary words. A
-window of text is compressed with both. Its margin, ordinary length minus toxic length, is then
-above 0 only where the toxic segments help. Windows are single words: in longer ones the few bytes
-that an insult saves drown in how the rest happens to be parsed (held-out recall at 1 % false
-alarms fell from 0.97 to under 0.4 with four words). Each window is compressed behind the bytes
-that both dictionaries end with, so that zstandard never falls back to storing it.
-
-The margin above which a window counts, and the weight of the number of such windows, are
-calibrated by logistic regression on labelled documents that did not train the dictionaries.
+Two dictionaries are trained by zstandard on words of labelled text, one on toxic and one on
+ordinary documents. A window is a single word: in longer ones the few bytes that an insult saves
+drown in how the rest happens to be parsed. Each word is a training sample as often as documents
+of the class hold it, in the toxic class also its beginning, as insults are inflected; from the
+samples of the toxic class go those that ordinary text explains, so that the frequent words of any
+text do not fill its dictionary. It serves behind the ordinary one, so that it can only add to
+what ordinary text explains of a window. Every window of a text is then
+compressed with both; its margin is the ordinary length minus the toxic one, divided by the
+window's bytes.
+
+Dictionaries serve as content: their entropy tables, of text that is mostly alike in both, would
+cost the few bytes that tell them apart. A window is compressed between fixed bytes. Both
+dictionaries end with those before it, so that zstandard never falls back to storing it, and those
+after it let a match begin late in the window.
+
+The margin above which a window counts, and the weights of the number of such windows and of all
+windows, are calibrated by logistic regression on labelled documents that did not train the
+dictionaries.
 
 Training reads at most ``Settings.toxic_docs`` and ``ordinary_docs`` labelled documents, those of
 the smallest hash; scoring reads every byte of every text.
@@ -20,6 +26,7 @@ the smallest hash; scoring reads every byte of every text.
 from __future__ import annotations
 
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -29,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,15 +45,15 @@ from vigia.operators.paging import first_rows
 from .common import Batches, cut, extend, importable, kept, sliced, texts, with_columns
 
 WORD = re.compile(rb"[a-z\x80-\xff]{1,48}")
-HEADS = (5, 6, 7, 8)
-SHARED_END = b"zstd windows follow this text: "
+HEADS = (6, 7, 8)
+BEFORE, AFTER = b"zstd windows follow this text: ", b"0123456789"
 COMPRESSION = dict(
-    window_log=14, hash_log=12, chain_log=13, search_log=5, min_match=4, target_length=64,
+    window_log=17, hash_log=14, chain_log=15, search_log=5, min_match=4, target_length=64,
     strategy=zstandard.STRATEGY_BTULTRA, write_content_size=False, write_checksum=False,
     write_dict_id=False,
 )
-MARGINS = (2, 3, 4, 5, 6)
-REMEMBERED = 200_000
+MARGINS = (0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55)
+REMEMBERED = 300_000
 
 
 @dataclass(frozen=True)
@@ -56,19 +63,23 @@ class Settings:
     toxic_docs: int = 4_000
     ordinary_docs: int = 8_000
     calibration_part: int = 4  # one in so many sampled documents calibrates
-    precision: float = 0.98  # a segment's share in toxic documents, classes weighted alike
-    segments: int = 2_000
-    body_bytes: int = 8_192
+    errors: float = 1.5  # standard errors that a count of toxic documents must be above the expected one
+    words: int = 50_000  # different segments that train a dictionary, the most frequent
+    samples: int = 500_000  # training samples of a dictionary, about
+    toxic_bytes: int = 8_192
+    ordinary_bytes: int = 112_640
+    segment: int = 24  # of the trainer: bytes chosen at a time, and bytes counted
+    counted: int = 6
 
 
 @dataclass(frozen=True)
 class Model:
     toxic: bytes
     ordinary: bytes
-    grams: frozenset[bytes]
-    margin: int
+    margin: float
     bias: float
     weight: float
+    length_weight: float
 
 
 def windows(text: bytes) -> list[bytes]:
@@ -90,7 +101,6 @@ class Margins(dict):
 
     def __init__(self, model: Model):
         super().__init__()
-        self.grams = model.grams
         settings = zstandard.ZstdCompressionParameters(**COMPRESSION)
         pair = []
         for content in (model.toxic, model.ordinary):
@@ -99,24 +109,19 @@ class Margins(dict):
             pair.append(zstandard.ZstdCompressor(compression_params=settings, dict_data=d).compress)
         self.toxic, self.ordinary = pair
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: bytes) -> float:
         if len(self) >= REMEMBERED:
             self.clear()
-        w = b" " + word + b" "
-        grams = self.grams
-        margin = 0
-        # a match has five bytes of text here: without one the toxic segments cannot help
-        if any(w[i : i + 5] in grams for i in range(len(w) - 4)):
-            w = SHARED_END + w
-            margin = len(self.ordinary(w)) - len(self.toxic(w))
-        self[word] = margin
+        w = BEFORE + b" " + word + b" " + AFTER
+        margin = self[word] = (len(self.ordinary(w)) - len(self.toxic(w))) / (len(word) + 2)
         return margin
 
 
 def hits(text: bytes, margins: Margins) -> list[int]:
-    """Windows of at least each margin of MARGINS."""
-    found = [m for m in map(margins.__getitem__, windows(text)) if m >= MARGINS[0]]
-    return [sum(m >= least for m in found) for least in MARGINS]
+    """Windows, and those of at least each margin of MARGINS."""
+    words = windows(text)
+    found = [m for m in map(margins.__getitem__, words) if m >= MARGINS[0]]
+    return [len(words), *(sum(m >= least for m in found) for least in MARGINS)]
 
 
 def _labelled(labels: DataFrame, s: Settings) -> DataFrame:
@@ -150,42 +155,36 @@ def _segment_counts(batches: Batches) -> Batches:
     """Documents with each segment, by class, added up for as many rows as memory allows."""
     for batch in sliced(batches):
         counts: tuple[Counter, Counter] = (Counter(), Counter())
-        labels = batch.column("toxic").to_pylist()
-        rows = list(zip(texts(batch.column("text")), labels, strict=True))
-        for start in range(0, len(rows), 1_000):
-            for t, y in rows[start : start + 1_000]:
-                counts[y].update(segments(set(windows(t))))
-            for y in (0, 1):
-                keys = list(counts[y])
-                n = list(counts[y].values())
-                zero = [0] * len(keys)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, pa.binary()), pa.array(n if y else zero, pa.int64()), pa.array(zero if y else n, pa.int64())],
-                    names=["segment", "a", "b"],
-                )
-                counts[y].clear()
-
-
-def _evidence(counts: DataFrame, n: int, m: int) -> DataFrame:
-    """Log likelihood ratio of each segment's documents against the classes' sizes."""
-
-    def part(observed, expected):
-        return F.when(observed > 0, observed * F.log(observed / expected)).otherwise(0.0)
-
-    a, b = F.col("a").cast("double"), F.col("b").cast("double")
-    both, total = a + b, float(n + m)
-    ratio = 2 * (
-        part(a, both * n / total) + part(b, both * m / total)
-        + part(n - a, (total - both) * n / total) + part(m - b, (total - both) * m / total)
-    )
-    share = (a / n) / (a / n + b / m)
-    return counts.where("a > 0").withColumn("ratio", ratio).withColumn("share", share)
+        for t, y in zip(texts(batch.column("text")), batch.column("toxic").to_pylist(), strict=True):
+            counts[y].update(segments(set(windows(t))))
+        for y in (0, 1):
+            keys, n, zero = list(counts[y]), list(counts[y].values()), [0] * len(counts[y])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys, pa.binary()), pa.array(n if y else zero, pa.int64()), pa.array(zero if y else n, pa.int64())],
+                names=["segment", "a", "b"],
+            )
+
+
+def _dictionary(rows: list, size: int, s: Settings) -> bytes:
+    """A dictionary that zstandard trains on segments, each as often as its ``n`` says.
+
+    Samples too few to train on are the dictionary themselves, the most frequent last.
+    """
+    found = sorted((r["n"], bytes(r["segment"])) for r in rows)
+    share = min(1.0, s.samples / max(1, sum(n for n, _ in found)))
+    samples = [x for n, x in found for _ in range(math.ceil(n * share))]
+    random.Random(0).shuffle(samples)  # the trainer takes its segments from all parts of them alike
+    try:
+        content = zstandard.train_dictionary(size, samples, k=s.segment, d=s.counted).as_bytes()
+    except zstandard.ZstdError:
+        content = b"".join(x for _, x in found)[-size:]
+    return content
 
 
 def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
     """A model from the labelled documents whose crc32 of the id leaves a remainder by 5.
 
-    Without labels of both classes the model has no toxic segments and scores every text alike.
+    Without labels of both classes the model has empty dictionaries and scores every text alike.
     """
     spark = docs.sparkSession
     importable(spark)
@@ -201,30 +200,24 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model
     n, m = sizes.get(1, 0), sizes.get(0, 0)
     prior = (n + 1) / (n + m + 2)
     if not n or not m:
-        return Model(SHARED_END, SHARED_END, frozenset(), MARGINS[0], math.log(prior / (1 - prior)), 0.0)
+        return Model(BEFORE, BEFORE, MARGINS[0], math.log(prior / (1 - prior)), 0.0, 0.0)
     counts = cut(
         rows.where("not calibrates").select("text", "toxic")
         .mapInArrow(_segment_counts, "segment binary, a long, b long")
         .groupBy("segment").agg(F.sum("a").alias("a"), F.sum("b").alias("b")),
         "toxicity-segments",
     )
-    least = 2 * math.log(max(counts.count(), 2)) + 6  # what chance reaches among so many segments
-    best = (
-        _evidence(counts, n, m).where((F.col("ratio") > least) & (F.col("share") >= s.precision))
-        .orderBy(F.desc("ratio"), "segment").limit(s.segments).collect()
-    )
-    chosen = [bytes(r["segment"]) for r in best]
-    toxic = b"".join(reversed(chosen))
+    expected = F.col("b") * n / m
+    excess = F.floor(F.col("a") - expected - s.errors * (F.sqrt("a") + F.sqrt(expected)))
+
     word = F.expr("right(hex(segment), 2) = '20'")
-    common = [
-        bytes(r["segment"])
-        for r in counts.where(word).orderBy(F.desc("b"), "segment").limit(s.segments + 8_000).collect()
-    ]
-    known = set(chosen)
-    plain = b"".join(w for w in reversed(common) if w not in known)
-    body, more = plain[-s.body_bytes :], plain[: -s.body_bytes][-len(toxic) :] if toxic else b""
-    grams = frozenset(x[i : i + 5] for x in chosen for i in range(len(x) - 4))
-    model = Model(body + toxic + SHARED_END, body + more + SHARED_END, grams, MARGINS[0], 0.0, 0.0)
+
+    def most(count: Column) -> list:
+        return counts.select("segment", count.alias("n")).where("n > 0").orderBy(F.desc("n"), "segment").limit(s.words).collect()
+
+    toxic, ordinary = most(excess), most(F.when(word & (F.col("b") > 1), F.col("b")))
+    plain = _dictionary(ordinary, s.ordinary_bytes, s)
+    model = Model(plain + _dictionary(toxic, s.toxic_bytes, s) + BEFORE, plain + BEFORE, MARGINS[0], 0.0, 0.0, 0.0)
     return _calibrated(rows.where("calibrates"), model, prior)
 
 
@@ -240,28 +233,30 @@ def _calibrated(rows: DataFrame, model: Model, prior: float) -> Model:
     sample = rows.select(F.col("toxic").cast("int").alias("toxic"), "text")
     got = sample.mapInArrow(count, "toxic int, hits array<int>").collect()
     y = np.array([r["toxic"] for r in got], float)
-    found = np.array([r["hits"] for r in got], float).reshape(len(got), len(MARGINS))
-    best = (math.inf, MARGINS[0], math.log(prior / (1 - prior)), 0.0)
-    for k, margin in enumerate(MARGINS):
-        loss, bias, weight = _logistic(np.log1p(found[:, k]), y, prior)
-        best = min(best, (loss, margin, bias, weight))
-    return Model(model.toxic, model.ordinary, model.grams, *best[1:])
-
-
-def _logistic(x: np.ndarray, y: np.ndarray, prior: float) -> tuple[float, float, float]:
-    """Loss, bias and weight of a logistic regression by Newton steps, lightly held to 0."""
-    X = np.column_stack([np.ones_like(x), x])
-    w = np.array([math.log(prior / (1 - prior)), 0.0])
+    found = np.log1p(np.array([r["hits"] for r in got], float).reshape(len(got), 1 + len(MARGINS)))
+    best = (math.inf, MARGINS[0], math.log(prior / (1 - prior)), 0.0, 0.0)
+    for k, margin in enumerate(MARGINS, 1):
+        loss, weights = _logistic(found[:, k], found[:, 0], y, prior)
+        best = min(best, (loss, margin, *weights))
+    return Model(model.toxic, model.ordinary, *best[1:])
+
+
+def _logistic(hits: np.ndarray, length: np.ndarray, y: np.ndarray, prior: float) -> tuple[float, list[float]]:
+    """Loss and weights (bias, hits, length) of a logistic regression by Newton steps, lightly held to 0.
+
+    Hits never speak for an ordinary text, nor does length for a toxic one.
+    """
+    X = np.column_stack([np.ones_like(hits), hits, length])
+    w = np.array([math.log(prior / (1 - prior)), 0.0, 0.0])
     start = w.copy()
-    hold = np.diag([0.05, 0.05])
+    hold = np.diag([0.05, 0.05, 0.05])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(X @ w, -30, 30)))
         step = np.linalg.solve((X * (p * (1 - p))[:, None]).T @ X + hold, X.T @ (y - p) - hold @ (w - start))
         w = w + np.clip(step, -2, 2)
-    w[1] = max(w[1], 0.0)
+        w[1], w[2] = max(w[1], 0.0), min(w[2], 0.0)
     p = np.clip(1 / (1 + np.exp(-np.clip(X @ w, -30, 30))), 1e-9, 1 - 1e-9)
-    loss = float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).sum())
-    return loss, float(w[0]), float(w[1])
+    return float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).sum()), w.tolist()
 
 
 def _margins(model: Model) -> Margins:
@@ -277,7 +272,6 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     input column of one of the four names is replaced. An empty table gives an empty result.
     """
     importable(docs.sparkSession)
-    k = MARGINS.index(model.margin)
 
     def run(batches: Batches) -> Batches:
         margins = _margins(model)
@@ -286,8 +280,9 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             for t in texts(batch.column(text)):
                 words = windows(t)
                 total.append(len(words))
-                found.append(sum(m >= MARGINS[k] for m in map(margins.__getitem__, words)))
-            p = 1 / (1 + np.exp(-np.clip(model.bias + model.weight * np.log1p(np.array(found, float)), -30, 30)))
+                found.append(sum(m >= model.margin for m in map(margins.__getitem__, words)))
+            counted = np.log1p(np.array([found, total], float))
+            p = 1 / (1 + np.exp(-np.clip(model.bias + model.weight * counted[0] + model.length_weight * counted[1], -30, 30)))
             yield extend(batch, {
                 "score": pa.array(p, pa.float64()), "predicted": pa.array((p >= 0.5).astype(np.int32)),
                 "n_windows": pa.array(total, pa.int64()), "n_hits": pa.array(found, pa.int64()),
