@@ -49,7 +49,7 @@ HEADS = (6, 7, 8)
 BEFORE, AFTER = b"zstd windows follow this text: ", b"0123456789"
 COMPRESSION = dict(
     window_log=17, hash_log=14, chain_log=15, search_log=5, min_match=4, target_length=64,
-    strategy=zstandard.STRATEGY_BTULTRA, write_content_size=False, write_checksum=False,
+    strategy=zstandard.STRATEGY_LAZY2, write_content_size=False, write_checksum=False,
     write_dict_id=False,
 )
 MARGINS = (0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55)
@@ -62,7 +62,7 @@ class Settings:
 
     toxic_docs: int = 4_000
     ordinary_docs: int = 8_000
-    calibration_part: int = 4  # one in so many sampled documents calibrates
+    calibration_part: int = 3  # one in so many sampled documents calibrates
     errors: float = 1.5  # standard errors that a count of toxic documents must be above the expected one
     words: int = 50_000  # different segments that train a dictionary, the most frequent
     samples: int = 500_000  # training samples of a dictionary, about
