@@ -86,3 +86,15 @@ def test_a_charset_that_cannot_be_split_and_failing_on_misfits(small, tmp_path):
     (tmp_path / "a.csv").write_text("a;b\n" + '1;"x\ny"\n' * 100 + "1;2;3\n")
     with pytest.raises(Exception, match="(?i)malformed"):
         delimited.read_delimited(small, str(tmp_path / "a.csv"), multi_line=True, malformed="fail").collect()
+
+
+def test_states_of_splits_come_as_rows(small, tmp_path):
+    """A task gets the states of its own splits as rows; with all of them in its closure, work grew
+    with the square of the number of splits."""
+    (tmp_path / "a.csv").write_text("a;b\n" + '1;"x\ny"\n' * 2_000)
+    files = [f for f, _ in delimited.listed(small, str(tmp_path))]
+    lines = records.scan_lines(small, files, ";", "UTF-8")
+    splits = records.split_states(lines)
+    told = splits.beside(lines).select("file", "block", "goes_on", "owner").distinct()
+    assert splits.table.count() == told.count() == lines.rdd.getNumPartitions() > 20
+    assert {(r[0], r[1]): r[3] for r in told.where("goes_on").collect()} == splits.owners

@@ -20,14 +20,17 @@ from vigia.plans.testbed import (
     UNIQUE_COLUMNS,
     clean_incidents,
     derived,
+    file_count,
     raw_incidents,
 )
 from vigia.sources import delimited, ledger, search_index, sinks, tables
 from vigia.sources.workspace import fresh_dir, stored
 from vigia.streaming.incremental import follow_deliveries, follow_recent
 
-# Bytes of a split in the query about splits: small, so that files of any test table have several.
+# Bytes of a split in the query about splits, at least: small, so that files of any test table have
+# several; and splits of a file, about, that is large enough.
 SMALL_SPLIT = 65_536
+FILE_SPLITS = 8
 
 
 def delimited_scan_split(spark: SparkSession, d: str) -> DataFrame:
@@ -37,9 +40,10 @@ def delimited_scan_split(spark: SparkSession, d: str) -> DataFrame:
     told = F.concat(F.lit('disse "sim";\n\n'), "RUBRICA", F.lit('\n"fim" '), "NUM_BO")
     report = F.when(F.col("l_partkey") % 3 != 0, told).otherwise(F.col("RUBRICA"))
     rows = raw.select("NUM_BO", report.alias("RELATO"), "ANO_BO")
-    sinks.export_csv(rows.repartition(2, F.xxhash64("NUM_BO") % 2), path)
+    sinks.export_csv(rows.repartition(file_count(raw, 2), *rows.columns), path)
+    largest = max(size for _, size in delimited.listed(spark, path))
     session = spark.newSession()
-    session.conf.set("spark.sql.files.maxPartitionBytes", SMALL_SPLIT)
+    session.conf.set("spark.sql.files.maxPartitionBytes", max(SMALL_SPLIT, largest // FILE_SPLITS))
     return delimited.read_delimited(session, path, multi_line=True, malformed="mark")
 
 

@@ -103,6 +103,15 @@ def raw_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived(spark, sf_dir, "lineitem", RAW_COLUMNS)
 
 
+# Rows of a file that a query writes, about, so that the files' number grows with the table, not their size.
+FILE_ROWS = 500_000
+
+
+def file_count(rows: DataFrame, least: int) -> int:
+    """How many files to write the rows to."""
+    return max(least, -(-rows.count() // FILE_ROWS))
+
+
 _TABLES: dict[tuple[str, str], str] = {}
 
 

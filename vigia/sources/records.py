@@ -6,8 +6,9 @@ For every line, an expression tells whether a quoted field is open behind it und
 assumptions, that one is open before it and that none is. A line, and so a split, is a map of these
 two states to themselves; the maps of a split's lines are composed where they are scanned, those of
 a file's splits by a window over one row each. That gives every split its true state at its first
-line, and a second scan cuts it into records. A record that crosses splits comes in one part from
-each, which are put together by the split where it begins. Records are parsed by ``from_csv``.
+line, and a second scan cuts it into records; it takes the states from a broadcast table, of which
+a task sees its own splits' rows only. A record that crosses splits comes in one part from each, which are put
+together by the split where it begins. Records are parsed by ``from_csv``.
 
 Quotes follow the parser: a quote opens a field only at the field's beginning, two quotes inside a
 quoted field are one, and text behind a closing quote is plain up to the separator.
@@ -24,6 +25,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vigia.sources.workspace import stored
+
 # Charsets in which the byte of a line break is one, and how Spark makes text of their bytes.
 SPLITTABLE = ("UTF-8", "ISO-8859-1")
 
@@ -93,16 +96,26 @@ def summarise(batches: Batches) -> Batches:
 
 @dataclass(frozen=True)
 class Splits:
-    """Splits at whose first line a record goes on, with the block where that record begins; and
-    the files whose line breaks have carriage returns."""
+    """A row for each split, stored: whether a record goes on at its first line (``goes_on``), the
+    block where that record begins (``owner``), and whether its file's line breaks have carriage
+    returns (``crlf``)."""
+
+    table: DataFrame
+
+    @property
+    def owners(self) -> dict[tuple[str, int], int]:
+        """The splits at whose first line a record goes on, for a look at few of them."""
+        return {(r["file"], r["block"]): r["owner"] for r in self.table.where("goes_on").collect()}
 
-    owners: dict[tuple[str, int], int]
-    returns: frozenset[str]
+    def beside(self, lines: DataFrame) -> DataFrame:
+        """The lines in their order, each with the row of its split."""
+        told = lines.select("file", "block", "value", "closed", "opened")
+        return told.join(F.broadcast(self.table), ["file", "block"], "left")
 
 
 def split_states(lines: DataFrame) -> Splits:
-    """What cutting needs to know of the splits. At most a row for each split of the scan comes to
-    the driver, where Spark plans them anyway.
+    """What cutting needs to know of the splits; nothing of it comes to the driver or to other tasks'
+    Python.
     """
     schema = "file string, block long, closed boolean, opened boolean, closes boolean, returns boolean"
     splits = lines.select("file", "block", "closed", "opened", "returns").mapInArrow(summarise, schema)
@@ -113,11 +126,12 @@ def split_states(lines: DataFrame) -> Splits:
     splits = splits.withColumn("turns", turns)
     base = F.coalesce(F.last(F.when(known, F.col("closed")), True).over(before), F.lit(False))
     since = F.coalesce(F.last("turns").over(before), F.lit(0)) - F.coalesce(F.last(F.when(known, F.col("turns")), True).over(before), F.lit(0))
-    splits = splits.withColumn("open", base != (since % 2 == 1))
-    begins = F.when(~F.col("open") | F.col("closes"), F.col("block"))
-    told = splits.withColumn("owner", F.last(begins, True).over(before)).where("open OR block = 0 AND returns")
-    rows = told.select("file", "block", "open", "owner").collect()
-    return Splits({(r["file"], r["block"]): r["owner"] for r in rows if r["open"]}, frozenset(r["file"] for r in rows if not r["open"]))
+    splits = splits.withColumn("goes_on", base != (since % 2 == 1))
+    begins = F.when(~F.col("goes_on") | F.col("closes"), F.col("block"))
+    first = F.first("returns").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    crlf = F.first("block").over(order.rowsBetween(Window.unboundedPreceding, 0)).eqNullSafe(0) & first
+    told = splits.withColumns({"owner": F.last(begins, True).over(before), "crlf": crlf})
+    return Splits(stored(told.select("file", "block", "goes_on", "owner", "crlf"), "splits"))
 
 
 class Cutter:
@@ -126,23 +140,26 @@ class Cutter:
     ``parts`` says which are wanted: those that lie in the split whole, or the parts of others.
     """
 
-    def __init__(self, splits: Splits, parts: bool) -> None:
-        self.owners, self.returns, self.parts = splits.owners, splits.returns, parts
+    def __init__(self, parts: bool) -> None:
+        self.parts = parts
         self.at, self.rows = None, []
 
-    def begin(self, at: tuple[str, int]) -> None:
+    def begin(self, at: tuple[str, int], rows: pa.RecordBatch) -> None:
         self.end()
         self.at, self.waiting = at, []
-        self.open = self.foreign = at in self.owners
+        goes_on, self.owner, self.crlf = (rows.column(c)[0].as_py() for c in ("goes_on", "owner", "crlf"))
+        if goes_on is None:
+            raise RuntimeError(f"{at[0]} was split in another way before, without a split at {at[1]}")
+        self.open = self.foreign = goes_on
         self.first = at[1] == 0  # the first record of a file is its header
 
     def put(self, text: str, owner: int | None) -> None:
-        self.rows.append((text, *self.at, owner, self.first, self.at[0] in self.returns))
+        self.rows.append((text, *self.at, owner, self.first, self.crlf))
 
     def end(self) -> None:
         """What is left at a split's end is part of a record that goes on, or the file's last."""
         if self.at and self.waiting and self.parts:
-            self.put("\n".join(self.waiting), self.owners[self.at] if self.foreign else self.at[1])
+            self.put("\n".join(self.waiting), self.owner if self.foreign else self.at[1])
 
     def add(self, rows: pa.RecordBatch) -> None:
         closed, opened = lines_of(rows)
@@ -160,7 +177,7 @@ class Cutter:
             text = lines[0] if len(lines) == 1 and not self.waiting else "\n".join([*self.waiting, *lines])
             if self.foreign:
                 if self.parts:
-                    self.put(text, self.owners[self.at])
+                    self.put(text, self.owner)
             elif text not in ("", "\r"):  # an empty line is no record
                 if not self.parts:
                     self.put(text, None)
@@ -183,11 +200,11 @@ FOUND = T.StructType(
 )
 
 
-def cut_into_records(splits: Splits, parts: bool):
+def cut_into_records(parts: bool):
     kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_())
 
     def work(batches: Batches) -> Batches:
-        cutter = Cutter(splits, parts)
+        cutter = Cutter(parts)
 
         def taken() -> pa.RecordBatch:
             rows, cutter.rows = cutter.rows, []
@@ -195,7 +212,7 @@ def cut_into_records(splits: Splits, parts: bool):
 
         for at, rows in runs(batches):
             if at != cutter.at:
-                cutter.begin(at)
+                cutter.begin(at, rows)
             cutter.add(rows)
             if cutter.rows:
                 yield taken()
@@ -225,9 +242,9 @@ def read_records(spark: SparkSession, files: list[str], sep: str, charset: str)
     ends with a carriage return these are part of line breaks everywhere.
     """
     lines = scan_lines(spark, files, sep, charset)
-    splits = split_states(lines)
-    whole = lines.mapInArrow(cut_into_records(splits, False), FOUND).where("NOT header").select("text", "returns", "file")
-    parts = lines.mapInArrow(cut_into_records(splits, True), FOUND)
+    told = split_states(lines).beside(lines)
+    whole = told.mapInArrow(cut_into_records(False), FOUND).where("NOT header").select("text", "returns", "file")
+    parts = told.mapInArrow(cut_into_records(True), FOUND)
     texts = F.transform(F.sort_array(F.collect_list(F.struct("block", "text"))), lambda p: p["text"])
     joined = parts.groupBy("file", "owner").agg(
         F.array_join(texts, "\n").alias("text"), F.first("returns").alias("returns"), F.max("header").alias("header")
