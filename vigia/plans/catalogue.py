@@ -459,7 +459,9 @@ def incremental_new_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_deliveries(spark: SparkSession, d: str) -> DataFrame:
-    """Deliveries as files of a folder, one micro-batch per file, repeated reports among them."""
+    """Deliveries as files of a folder, one micro-batch per delivery, repeated reports among them. A
+    delivery has as many files as its size asks for.
+    """
     folder, table = fresh_dir(spark, "deliveries"), fresh_dir(spark, "landed")
     raw = raw_incidents(spark, d)
     sinks.export_csv(raw, folder)

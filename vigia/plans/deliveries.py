@@ -32,6 +32,10 @@ from vigia.streaming.incremental import follow_deliveries, follow_recent
 SMALL_SPLIT = 65_536
 FILE_SPLITS = 8
 
+# Deliveries, each one micro-batch of as many files as its size asks for; of two queries.
+DELIVERIES = 2
+RECENT_DELIVERIES = 3
+
 
 def delimited_scan_split(spark: SparkSession, d: str) -> DataFrame:
     """Files with quoted line breaks, quotes and separators, each cut into records by many tasks."""
@@ -64,11 +68,13 @@ def stream_ledger(spark: SparkSession, d: str) -> DataFrame:
     raw = raw_incidents(spark, d)
     parts = {"l_orderkey": F.split("NUM_BO", "/")[0].cast("long"), "l_linenumber": F.split("NUM_BO", "/")[1].cast("int")}
     dirty = raw.withColumns(parts).withColumn("NUM_BO", F.expr(DIRTY_COLUMNS["NUM_BO"])).select(*raw.columns)
-    sinks.export_csv(dirty.repartition(2, F.xxhash64("NUM_BO", "ANO_BO") % 2), folder)
+    files = file_count(dirty, DELIVERIES)
+    sinks.export_csv(dirty.repartition(files, *dirty.columns), folder)
+    at_once = -(-files // DELIVERIES)
     sinks.write_parquet(raw, ledger.folder_of(table, "half"))
     for _ in range(2):  # another checkpoint each time: nothing but the ledger knows what is done
         progress = fresh_dir(spark, "progress")
-        follow_deliveries(spark, folder, table, progress, files_per_batch=1, keep_null_keys=True, name="load").awaitTermination()
+        follow_deliveries(spark, folder, table, progress, files_per_batch=at_once, keep_null_keys=True, name="load").awaitTermination()
     return ledger.read_batches(spark, table).groupBy(*DEFAULT.keys).agg(F.count("*").alias("n"))
 
 
@@ -92,11 +98,13 @@ def stream_recent(spark: SparkSession, d: str) -> DataFrame:
     folder, table = fresh_dir(spark, "deliveries"), fresh_dir(spark, "batches")
     raw = raw_incidents(spark, d)
     again = raw.where("l_partkey % 5 = 0")
-    sinks.export_csv(raw.unionByName(again).repartition(3, F.xxhash64("NUM_BO", "l_partkey") % 3), folder)
-    years = {"since": 1995, "until": 1998}
-    follow_recent(spark, folder, table, fresh_dir(spark, "progress"), **years, name="recent", files_per_batch=1).awaitTermination()
+    repeated = raw.unionByName(again)
+    files = file_count(repeated, RECENT_DELIVERIES)
+    sinks.export_csv(repeated.repartition(files, *repeated.columns), folder)
+    years, at_once = {"since": 1995, "until": 1998}, -(-files // RECENT_DELIVERIES)
+    follow_recent(spark, folder, table, fresh_dir(spark, "progress"), **years, name="recent", files_per_batch=at_once).awaitTermination()
     rest = fresh_dir(spark, "progress")
-    follow_deliveries(spark, folder, table, rest, files_per_batch=1, name="rest", apart_from=(1995, 1998)).awaitTermination()
+    follow_deliveries(spark, folder, table, rest, files_per_batch=at_once, name="rest", apart_from=(1995, 1998)).awaitTermination()
     return ledger.read_batches(spark, table).select(*DEFAULT.keys)
 
 
