@@ -291,10 +291,11 @@ def multi_line_file(spark: SparkSession, d: str) -> str:
     heading = F.concat(F.lit('"Furto\nsimples '), (F.col("l_partkey") % 5).cast("string"), F.lit('"'))
     record = F.concat_ws(";", "NUM_BO", "ANO_BO", "ANO", heading, F.lit("dp 1"))
     line = F.when(misfit == 0, F.concat(record, F.lit(";x;y"))).when(misfit == 1, F.concat_ws(";", "NUM_BO", "ANO_BO", "ANO"))
-    lines = rows.select(F.pmod(F.xxhash64("NUM_BO"), F.lit(4)).alias("file"), F.lit(1).alias("at"), line.otherwise(record).alias("value"))
+    lines = rows.select(F.pmod(F.xxhash64(*rows.columns), F.lit(files)).alias("file"), F.lit(1).alias("at"), line.otherwise(record).alias("value"))
     head = "NUM_BO;ANO_BO;ANO;RUBRICA;NOME_DELEGACIA"
-    headers = spark.range(4).select(F.col("id").alias("file"), F.lit(0).alias("at"), F.lit(head).alias("value"))
-    ordered = lines.union(headers).repartition(4, "file").sortWithinPartitions("file", "at").drop("at")
+    headers = spark.range(files).select(F.col("id").alias("file"), F.lit(0).alias("at"), F.lit(head).alias("value"))
+    ordered = lines.union(headers).repartition(files, "file").sortWithinPartitions("file", "at").drop("at")
+    files = file_count(rows, 4)
     ordered.write.partitionBy("file").text(folder)
     return f"{folder}/file=*"
 
