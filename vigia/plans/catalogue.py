@@ -376,13 +376,16 @@ def delimited_scan_detected(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ingest_report_by_file(spark: SparkSession, d: str) -> DataFrame:
-    """One folder of files per report year, named by it."""
+    """One folder of files per report year, named by it; a report number is in one file of its year."""
     path = fresh_dir(spark, "by-file")
     rows = raw_incidents(spark, d).select("NUM_BO", "ANO_BO")
-    year = F.substring("ANO_BO", 1, 4)
-    rows.withColumn("of", year).repartition("of").write.partitionBy("of").option("header", True).option("sep", ";").csv(path)
+    files = file_count(rows, 1)
+    dealt = rows.withColumn("of", F.substring("ANO_BO", 1, 4)).repartition(files, "NUM_BO")
+    dealt.write.partitionBy("of").option("header", True).option("sep", ";").csv(path)
     report = ingest.ingest_report_by_file(delimited.read_delimited(spark, f"{path}/of=*"))
-    return report.withColumn("file", F.regexp_extract("file", r"of=(\d+)", 1))
+    years = report.withColumn("file", F.regexp_extract("file", r"of=([^/]+)", 1)).groupBy("file")
+    summed = years.agg(*(F.sum(c).alias(c) for c in ("rows_in", "rows_clean")))
+    return summed.orderBy("file").withColumn("file", F.regexp_extract("file", r"^(\d+)", 1))
 
 
 def source_states(spark: SparkSession, d: str) -> DataFrame:
