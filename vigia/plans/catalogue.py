@@ -223,10 +223,11 @@ def dedup_keep_null_keys(spark: SparkSession, d: str) -> DataFrame:
 def dedup_any(spark: SparkSession, d: str) -> DataFrame:
     """Each survivor with the number of distinct rows of the table it equals, which is one."""
     base = clean_incidents(spark, d)
-    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in base.columns]
-    all_rows = base.distinct().select(*(F.col(c).alias(f"_{c}") for c in base.columns))
-    kept = dedup.dedup_any(base).join(all_rows, reduce(and_, same))
-    return kept.groupBy(*DEFAULT.keys).agg(F.count("*").alias("found"))
+    kept = dedup.dedup_any(base)
+    both = base.withColumn("_kept", F.lit(False)).union(kept.withColumn("_kept", F.lit(True)))
+    rows = both.groupBy(*base.columns).agg(F.min("_kept").alias("_kept_only"), F.max("_kept").alias("_kept"))
+    found = rows.where("_kept AND NOT _kept_only")
+    return found.groupBy(*DEFAULT.keys).agg(F.count("*").alias("found"))
 
 
 def raw_file(spark: SparkSession, d: str) -> str:
