@@ -32,6 +32,7 @@ from vigia.plans.testbed import (
     capital,
     city_population,
     clean_incidents,
+    file_count,
     incidents_with_area,
     name_aliases,
     raw_incidents,
@@ -43,6 +44,9 @@ from vigia.streaming.incremental import follow_deliveries
 Query = Callable[[SparkSession, str], DataFrame]
 Panel = Callable[[DataFrame], DataFrame]
 
+# Deliveries that arrive, each one micro-batch.
+DELIVERIES = 4
+
 # The selection the combined queries share.
 SELECTION = FilterSpec(
     years=(1996, 1997, 1998),
@@ -291,12 +295,12 @@ def multi_line_file(spark: SparkSession, d: str) -> str:
     misfit = F.pmod(F.split("NUM_BO", "/")[0].cast("long"), F.lit(101))
     heading = F.concat(F.lit('"Furto\nsimples '), (F.col("l_partkey") % 5).cast("string"), F.lit('"'))
     record = F.concat_ws(";", "NUM_BO", "ANO_BO", "ANO", heading, F.lit("dp 1"))
+    files = file_count(rows, 4)
     line = F.when(misfit == 0, F.concat(record, F.lit(";x;y"))).when(misfit == 1, F.concat_ws(";", "NUM_BO", "ANO_BO", "ANO"))
     lines = rows.select(F.pmod(F.xxhash64(*rows.columns), F.lit(files)).alias("file"), F.lit(1).alias("at"), line.otherwise(record).alias("value"))
     head = "NUM_BO;ANO_BO;ANO;RUBRICA;NOME_DELEGACIA"
     headers = spark.range(files).select(F.col("id").alias("file"), F.lit(0).alias("at"), F.lit(head).alias("value"))
     ordered = lines.union(headers).repartition(files, "file").sortWithinPartitions("file", "at").drop("at")
-    files = file_count(rows, 4)
     ordered.write.partitionBy("file").text(folder)
     return f"{folder}/file=*"
 
@@ -469,9 +473,10 @@ def stream_deliveries(spark: SparkSession, d: str) -> DataFrame:
     """
     folder, table = fresh_dir(spark, "deliveries"), fresh_dir(spark, "landed")
     raw = raw_incidents(spark, d)
-    sinks.export_csv(raw, folder)
+    files = file_count(raw, DELIVERIES)
+    sinks.export_csv(raw.repartition(files, *raw.columns), folder)
     stream = follow_deliveries(
-        spark, folder, table, fresh_dir(spark, "progress"), raw.columns, files_per_batch=1
+        spark, folder, table, fresh_dir(spark, "progress"), raw.columns, files_per_batch=-(-files // DELIVERIES)
     )
     stream.awaitTermination()
     return tables.read_incidents(spark, table).select(*DEFAULT.keys)
