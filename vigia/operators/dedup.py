@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigia.functions.numbers import share_pct
@@ -37,9 +37,13 @@ def one_per_key(df: DataFrame, cols: Columns = DEFAULT, summed: Sequence[str] =
     return grouped.select(*columns, *summed, "copies")
 
 
+def whole_key(cols: Columns = DEFAULT) -> Column:
+    return all_of(F.col(c).isNotNull() for c in cols.keys)
+
+
 def keyed_and_keyless(df: DataFrame, cols: Columns = DEFAULT) -> tuple[DataFrame, DataFrame]:
     """Rows with a whole key; and the others, one "copy" each."""
-    whole = all_of(F.col(c).isNotNull() for c in cols.keys)
+    whole = whole_key(cols)
     return df.where(whole), df.where(~whole).withColumn("copies", F.lit(1).cast("long"))
 
 
@@ -70,22 +74,25 @@ def dedup_any(df: DataFrame, keys: Sequence[str] = DEFAULT.keys) -> DataFrame:
 
 
 def dedup_counts(df: DataFrame, cols: Columns = DEFAULT, keep_null_keys: bool = False) -> DataFrame:
-    """Rows in, rows kept, rows removed, percent kept; only the key columns are read."""
-    keys = df.select(*cols.keys)
+    """Rows in, rows kept, rows removed, percent kept; only the key columns are read, once.
+
+    With ``keep_null_keys`` rows without a whole key all count as kept. They are grouped like the
+    others: a filter on keys would be moved below their cleaning and repeat it many times over.
+    """
+    copies = copies_per_key(df.select(*cols.keys), cols)
     if not keep_null_keys:
-        return summarise_copies(copies_per_key(keys, cols))
-    keyed, keyless = keyed_and_keyless(keys, cols)
-    return summarise_copies(copies_per_key(keyed, cols).unionByName(keyless))
+        return summarise_copies(copies)
+    return summarise_copies(copies, F.when(whole_key(cols), 1).otherwise(F.col("copies")))
 
 
 def copies_per_key(df: DataFrame, cols: Columns = DEFAULT) -> DataFrame:
     return df.groupBy(*cols.keys).agg(F.count("*").alias("copies"))
 
 
-def summarise_copies(kept: DataFrame) -> DataFrame:
-    totals = kept.agg(
-        F.coalesce(F.sum("copies"), F.lit(0)).alias("rows_in"), F.count("*").alias("rows_clean")
-    )
+def summarise_copies(kept: DataFrame, left: Column | None = None) -> DataFrame:
+    """``left`` is how many rows stay of a key's copies: one if it is not given."""
+    clean = F.count("*") if left is None else F.coalesce(F.sum(left), F.lit(0))
+    totals = kept.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("rows_in"), clean.alias("rows_clean"))
     return totals.select(
         "rows_in",
         "rows_clean",
