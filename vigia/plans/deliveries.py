@@ -132,7 +132,7 @@ def layout_filters(spark: SparkSession, d: str) -> DataFrame:
 def incremental_few(spark: SparkSession, d: str) -> DataFrame:
     """A delivery of few numbers, some of which a table laid out for lookups has."""
     path = fresh_dir(spark, "held")
-    rows = clean.clean(raw_incidents(spark, d))
+    rows = stored(clean.clean(raw_incidents(spark, d)), "cleaned")
     sinks.write_parquet(rows.where(F.col("MES") <= 6), path, spread_by=(DEFAULT.number_year, DEFAULT.month), lookup_by=(DEFAULT.number,))
     few = stored(rows.where(F.col("NUM_BO").isin([f"{i}/{j}" for i in range(33) for j in range(8)])), "delivery")
     return incremental.new_rows(few, tables.read_incidents(spark, path).select(*rows.columns)).select(*DEFAULT.keys)
