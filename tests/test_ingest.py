@@ -3,17 +3,18 @@ import random
 from concurrent.futures import ThreadPoolExecutor
 
 import pytest
-from helpers import incidents, rows
+from helpers import incidents, plan, rows
 from pyspark.sql import functions as F
 
 from vigia.model import CLEAN_SCHEMA
 from vigia.operators import dedup as d
-from vigia.operators import quality
+from vigia.operators import incremental, quality
 from vigia.operators.clean import clean, clean_coordinates, text_columns
 from vigia.operators.incremental import new_rows
 from vigia.operators.places import drill_down, normalise_names, rate_per_capita
 from vigia.plans.ingest import ingest, ingest_files, ingest_report, ingest_report_by_file
 from vigia.session import WIDE_ROWS
+from vigia.sources import ledger
 from vigia.sources.delimited import MALFORMED, read_delimited
 from vigia.sources.sinks import append_parquet, export_csv, write_parquet
 from vigia.sources.tables import SourceMissing, is_empty, read_incidents, scoped
@@ -283,6 +284,37 @@ def test_new_rows(spark):
     assert rows(new_rows(duplicates(spark), duplicates(spark))) == []
 
 
+@pytest.mark.parametrize("hot_rows", [200_000, 1, 0])
+def test_new_rows_of_a_large_delivery(spark, monkeypatch, hot_rows):
+    few = new_rows(duplicates(spark), duplicates(spark).limit(0))
+    monkeypatch.setattr(incremental, "FEW_KEYS", 0)
+    monkeypatch.setattr(incremental, "HOT_ROWS", hot_rows)
+    monkeypatch.setattr(incremental, "SLICES", 64)
+    table = spark.createDataFrame([("2", 2024, T1, 1), ("2", 2024, T1, 2), (None, 2024, T1, 1), ("else", 2024, T1, 1)], DUPLICATES)
+    got = new_rows(duplicates(spark), table)
+    assert got.schema == few.schema
+    assert sorted(rows(got), key=str) == sorted((r for r in SURVIVORS if r[0] not in ("2", None)), key=str)
+    assert sorted(rows(new_rows(duplicates(spark), table.limit(0))), key=str) == sorted(rows(few), key=str)
+    assert rows(new_rows(duplicates(spark), duplicates(spark))) == []
+    spared = new_rows(duplicates(spark), table, keep_null_keys=True)
+    monkeypatch.undo()
+    assert sorted(rows(spared), key=str) == sorted(rows(new_rows(duplicates(spark), table, keep_null_keys=True)), key=str)
+
+
+def test_rows_of_a_large_delivery_are_shuffled_once_and_sorted_behind(spark, monkeypatch):
+    """Sorted before the shuffle, a task's rows are as many as its input has, and spill."""
+    monkeypatch.setattr(incremental, "FEW_KEYS", 0)
+    text = plan(new_rows(duplicates(spark), duplicates(spark)), "simple")
+    assert "Join" not in text and text.count("Exchange") == 1
+    assert "Sort" not in text[text.index("Exchange") :] and "Aggregate" not in text[text.index("Exchange") :]
+
+
+def test_a_delivery_into_an_empty_table_is_not_compared(spark, tmp_path):
+    frame = duplicates(spark)
+    text = plan(new_rows(frame, ledger.read_batches(spark, str(tmp_path / "none"), frame.schema)), "simple")
+    assert "Join" not in text and "Union" not in text
+
+
 def test_landing_twice_adds_nothing(spark, tmp_path):
     path = str(tmp_path / "t")
     first = raw_frame(spark, [raw_row(NUM_BO=str(i), ANO_BO="2024") for i in range(5)])

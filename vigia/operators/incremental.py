@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
@@ -17,6 +18,15 @@ NAMED_YEARS = 200
 # Report numbers of a delivery that are named one by one; of more, no row group is skipped by them.
 NAMED_NUMBERS = 200
 
+# Keys of a delivery, about, that are searched for in the table; of more, all keys of the table's years
+# are grouped with the delivered rows.
+FEW_KEYS = 100_000
+
+# Slices of the keys' hash; and the rows beyond which one that is far above the others may have a key that
+# fills a task.
+SLICES = 16_384
+HOT_ROWS = 200_000
+
 
 def delivered_years(delivery: DataFrame, cols: Columns = DEFAULT) -> Column:
     """A condition on the table's report year that every key of the delivery meets.
@@ -69,27 +79,53 @@ def known_keys(table: DataFrame, delivery: DataFrame, cols: Columns = DEFAULT) -
     return held.join(arriving, same, "left_semi")
 
 
+def has_few_keys(delivery: DataFrame, cols: Columns = DEFAULT) -> bool:
+    """Whether the delivery has about ``FEW_KEYS`` keys at most; each task sends one sketch."""
+    return delivery.agg(F.approx_count_distinct(F.xxhash64(*cols.keys))).first()[0] <= FEW_KEYS
+
+
+def key_slice(cols: Columns = DEFAULT) -> Column:
+    return F.pmod(F.xxhash64(*cols.keys), F.lit(SLICES)).cast("int")
+
+
+def hot_slices(rows: DataFrame, cols: Columns = DEFAULT) -> list[int]:
+    """Slices of keys with so many rows that one of the keys may have most; ``SLICES`` counts at most
+    come to the driver."""
+    counts = rows.groupBy(key_slice(cols).alias("slice")).agg(F.count("*").alias("n")).collect()
+    usual = sum(r["n"] for r in counts) / SLICES
+    return [r["slice"] for r in counts if r["n"] > max(HOT_ROWS, 10 * usual)]
+
+
+def fresh_rows(together: DataFrame, columns: Sequence[str], cols: Columns = DEFAULT) -> DataFrame:
+    """One row for each key of which no row is ``_known``."""
+    fields = F.struct(F.lit(0).alias("_any"), *survivor_fields(together.drop("_known"), cols))
+    rows = together.select(*cols.keys, "_known", F.when(~F.col("_known"), fields).alias("_row"))
+    grouped = rows.groupBy(*cols.keys).agg(F.max("_known").alias("_known"), F.min("_row").alias("_row"))
+    fresh = grouped.where(~F.col("_known"))
+    return fresh.select(*(F.col(c) if c in cols.keys else F.col(f"_row.`{c}`").alias(c) for c in columns))
+
+
 def new_rows(
     delivery: DataFrame, table: DataFrame, cols: Columns = DEFAULT, keep_null_keys: bool = False
 ) -> DataFrame:
     """De-duplicated rows of the delivery whose key the table does not have.
 
     Known keys and delivered rows are grouped together, so that de-duplication and the
-    comparison with the table share one shuffle and keys that occur often shrink before it. The
-    delivery is read four times (years, numbers, keys, rows): hand in one that is stored. With
+    comparison with the table share one shuffle. Of a delivery of few keys the rows shrink before it. Of
+    a large one, whose keys mostly differ, rows are shuffled as they are and sorted behind it, where a
+    task's share is bounded whatever its input is; rows of keys that occur often shrink first all the
+    same. The delivery is read up to six times: hand in one that is stored. With
     ``keep_null_keys`` rows without a whole key all count as new.
     """
     if keep_null_keys:
         keyed, keyless = keyed_and_keyless(delivery, cols)
         return new_rows(keyed, table, cols).unionByName(keyless.drop("copies"))
-    fields = F.struct(F.lit(0).alias("_any"), *survivor_fields(delivery, cols))
-    arriving = delivery.select(*cols.keys, F.lit(False).alias("_known"), fields.alias("_row"))
-    held = known_keys(table, delivery, cols).select(*cols.keys, F.lit(True).alias("_known"))
-    together = arriving.unionByName(held, allowMissingColumns=True)
-    grouped = together.groupBy(*cols.keys).agg(
-        F.max("_known").alias("_known"), F.min("_row").alias("_row")
-    )
-    fresh = grouped.where(~F.col("_known"))
-    return fresh.select(
-        *(F.col(c) if c in cols.keys else F.col(f"_row.`{c}`").alias(c) for c in delivery.columns)
-    )
+    few = has_few_keys(delivery, cols)
+    held = known_keys(table, delivery, cols) if few else table.where(delivered_years(delivery, cols)).select(*cols.keys)
+    arriving = delivery.withColumn("_known", F.lit(False))
+    together = arriving.unionByName(held.withColumn("_known", F.lit(True)), allowMissingColumns=True)
+    if few:
+        return fresh_rows(together, delivery.columns, cols)
+    hot = key_slice(cols).isin(hot_slices(together.select(*cols.keys), cols))
+    spread = fresh_rows(together.where(~hot).repartition(*cols.keys), delivery.columns, cols)
+    return spread.unionByName(fresh_rows(together.where(hot), delivery.columns, cols))

@@ -179,7 +179,8 @@ def counted_deliveries(spark: SparkSession, d: str) -> str:
         part = F.pmod(F.xxhash64("NUM_BO"), F.lit(3))
         scope = lambda df: tables.scoped(df)
         partials.load_delivery(rows.where(part == 0), table, results, "a", scope)
-        ledger.append_batch(rows.where(part == 1).distinct(), table, "b")
+        # dealt first, so that no task compares all the rows of its input
+        ledger.append_batch(rows.where(part == 1).repartition(*rows.columns).distinct(), table, "b")
         again = rows.where((part == 2) | (F.pmod(F.xxhash64("RUBRICA"), F.lit(2)) == 0))
         for _ in range(2):
             for batch, delivery in (("b", rows.where(part == 1)), ("c", again), ("a", rows)):

@@ -114,7 +114,7 @@ def read_batches(spark: SparkSession, path: str, schema: T.StructType | None = N
         return reader.parquet(*(folder_of(path, r["attempt"]) for r in held)).drop(ATTEMPT)
     if schema is None:
         raise SourceMissing(path)
-    return spark.createDataFrame([], schema)
+    return spark.createDataFrame([], schema).limit(0)  # known to be empty before anything runs
 
 
 def unfinished(spark: SparkSession, path: str) -> list[str]:
