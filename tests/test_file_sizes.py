@@ -70,3 +70,24 @@ def test_survivors_are_looked_for_without_a_join(spark, sf_dir):
 def test_a_small_delivery_is_cleaned_once(spark, sf_dir):
     text = plan(deliveries.incremental_few(spark, sf_dir), "extended")
     assert "rlike" not in text.lower() and "trim(" not in text
+
+
+def test_a_task_sorts_a_bounded_part_of_a_year(spark, sf_dir, monkeypatch):
+    """The input is one split, and a year of it one block of a shuffle, which no reader can divide."""
+    monkeypatch.setattr(testbed, "SORTED_ROWS", 400)
+    monkeypatch.setattr(testbed, "_TABLES", {})
+    table = testbed.incident_table(spark, sf_dir)
+    sizes = table.groupBy(F.input_file_name(), "ANO").count()
+    assert sizes.agg(F.max("count")).first()[0] < 600
+    assert sizes.groupBy("ANO").count().agg(F.max("count")).first()[0] <= table.groupBy("ANO").count().agg(F.max("count")).first()[0] // 400 + 1
+    expected = testbed.clean_incidents(spark, sf_dir)
+    assert table.count() == expected.count() and rows(table.groupBy("ANO").count().orderBy("ANO")) == rows(expected.groupBy("ANO").count().orderBy("ANO"))
+
+
+def test_partitions_of_bounded_files(spark, tmp_path):
+    frame = spark.createDataFrame([("a", 1), ("a", 1), (None, 2), ("", 3), ("b'", 4)], "k string, v int")
+    for name, given in (("some", frame), ("none", frame.limit(0))):
+        path = str(tmp_path / name)
+        sinks.write_parquet(given, path, partition_by=("k",), cluster_by=("v",), file_rows=1)
+        found = rows(spark.read.schema(frame.schema).parquet(path).select("k", "v")) if name == "some" else []
+        assert sorted(map(str, found)) == sorted(str((k or None, v)) for k, v in rows(given))  # folders tell no empty text from null

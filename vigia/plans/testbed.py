@@ -106,6 +106,9 @@ def raw_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Rows of a file that a query writes, about, so that the files' number grows with the table, not their size.
 FILE_ROWS = 500_000
 
+# Rows that a task sorts to write a partitioned table, about, at most.
+SORTED_ROWS = 1_000_000
+
 
 def file_count(rows: DataFrame, least: int) -> int:
     """How many files to write the rows to."""
@@ -123,7 +126,8 @@ def incident_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     if key not in _TABLES:
         path = fresh_dir(spark, "incidents")
         rows = clean_text(clean_incidents(spark, sf_dir), [DEFAULT.city])
-        write_parquet(rows, path, partition_by=(DEFAULT.year,), cluster_by=(DEFAULT.city, DEFAULT.month))
+        layout = {"partition_by": (DEFAULT.year,), "cluster_by": (DEFAULT.city, DEFAULT.month)}
+        write_parquet(rows, path, **layout, file_rows=SORTED_ROWS)
         _TABLES[key] = path
     return read_incidents(spark, _TABLES[key]).select(*CLEAN_COLUMNS)
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigia.functions.numbers import number_text
+from vigia.operators.filters import all_of
 from vigia.operators.metrics import row_count
 from vigia.sources.clustering import along_curve
 from vigia.sources.delimited import charset
@@ -26,6 +27,24 @@ def balanced(df: DataFrame, partition_by: Sequence[str], cluster_by: Sequence[st
     return out.sortWithinPartitions(*partition_by, *cluster_by) if cluster_by else out
 
 
+def dealt(df: DataFrame, partition_by: Sequence[str], cluster_by: Sequence[str], file_rows: int) -> DataFrame:
+    """Rows dealt to tasks of one partition value each, and of about ``file_rows`` rows at most.
+
+    A task sorts what it writes: here its memory follows neither from how large the input's splits are nor
+    from the session's sizes of partitions. The rows of each partition value are counted first; one
+    number for each comes to the driver.
+    """
+    counts = df.groupBy(*partition_by).agg(F.count("*").alias("n")).collect()
+    spread, first, places = F.xxhash64(*(F.col(f"`{c}`") for c in df.columns)), 0, []
+    for row in counts:
+        files = -(-row["n"] // file_rows)
+        same = all_of(F.col(c).eqNullSafe(F.lit(row[c])) for c in partition_by)
+        places.append(F.when(same, (F.pmod(spread, F.lit(files)) + first).cast("int")))
+        first += files
+    out = df.repartitionById(first, F.coalesce(*places)) if places else df
+    return out.sortWithinPartitions(*partition_by, *cluster_by)
+
+
 def save_parquet(
     df: DataFrame, path: str, mode: str, partition_by: Sequence[str], options: dict | None = None
 ) -> None:
@@ -62,15 +81,22 @@ def write_parquet(
     cluster_by: Sequence[str] = (),
     spread_by: Sequence[str] = (),
     lookup_by: Sequence[str] = (),
+    file_rows: int | None = None,
 ) -> None:
     """Zstandard-compressed Parquet, optionally partitioned and laid out for its filters.
 
     ``cluster_by`` sorts, so that its first column skips row groups; ``spread_by`` lays the rows
     along a curve, by which each of its columns does (see ``clustering``). ``lookup_by`` are columns
     that single values are looked up by, such as keys: Bloom filters are written for them where
-    dictionaries do not do. Both of the latter read ``df`` once more.
+    dictionaries do not do. Both of the latter read ``df`` once more. ``file_rows`` bounds the rows that a
+    task sorts for a partitioned table without ``spread_by`` (see ``dealt``); it reads ``partition_by`` once more.
     """
-    laid = along_curve(df, spread_by, partition_by) if spread_by else balanced(df, partition_by, cluster_by)
+    if spread_by:
+        laid = along_curve(df, spread_by, partition_by)
+    elif file_rows and partition_by:
+        laid = dealt(df, partition_by, cluster_by, file_rows)
+    else:
+        laid = balanced(df, partition_by, cluster_by)
     save_parquet(laid, path, mode, partition_by, lookup_filters(df, lookup_by))
 
 
