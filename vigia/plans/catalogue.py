@@ -29,6 +29,7 @@ from vigia.plans.testbed import (
     CLEAN_COLUMNS,
     DIRTY_COLUMNS,
     RAW_DAY,
+    SORTED_ROWS,
     capital,
     city_population,
     clean_incidents,
@@ -435,7 +436,7 @@ def parquet_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 def partitioned_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     path = fresh_dir(spark, "by-year")
-    sinks.write_parquet(clean_incidents(spark, d), path, partition_by=("ANO",))
+    sinks.write_parquet(clean_incidents(spark, d), path, partition_by=("ANO",), file_rows=SORTED_ROWS)
     return breakdowns.monthly_trend(tables.read_incidents(spark, path)).drop("period")
 
 
@@ -462,7 +463,7 @@ def incremental_new_rows(spark: SparkSession, d: str) -> DataFrame:
     """
     rows = stored(clean.clean(raw_incidents(spark, d)), "delivery")
     path = fresh_dir(spark, "held")
-    sinks.write_parquet(rows.where(F.col("MES") <= 6), path, partition_by=(DEFAULT.number_year,))
+    sinks.write_parquet(rows.where(F.col("MES") <= 6), path, partition_by=(DEFAULT.number_year,), file_rows=SORTED_ROWS)
     table = tables.read_incidents(spark, path).select(*rows.columns)
     return incremental.new_rows(rows, table)
 
