@@ -94,6 +94,63 @@ def test_tiles_of_long_documents_are_bounded_by_bytes(spark, monkeypatch):
     assert max(tiles) <= 2 * 200_000  # 960,000 bytes of hashes in all
 
 
+def sets_of_one_component(seed, n):
+    """Sets of hashes, most without links, some changed copies of others."""
+    rng = np.random.default_rng(seed)
+    sets = [np.unique(rng.integers(0, 1 << 63, rng.integers(20, 160), dtype=np.uint64)) for _ in range(n)]
+    for k in range(0, n // 6):
+        s = sets[n - 1 - k]
+        changed = rng.integers(0, 1 << 63, rng.integers(1, 30), dtype=np.uint64)
+        sets[k] = np.unique(np.concatenate([s[len(changed) // 3 :], changed]))
+    return sets
+
+
+def links_of(sets, cuts):
+    shared = {(a, b): len(np.intersect1d(sets[a], sets[b])) for b in range(len(sets)) for a in range(b)}
+    return [p for p, both in shared.items() if cuts.den * both >= cuts.num * (len(sets[p[0]]) + len(sets[p[1]]) - both)]
+
+
+@pytest.mark.parametrize("tile", [15, 4_000])
+def test_a_large_component_moves_only_sets_that_can_be_linked(spark, monkeypatch, tile):
+    cuts, n = jaccard_join.Cut(8, 10), 180
+    sets = sets_of_one_component(5, n)
+    expected = links_of(sets, cuts)
+    assert 5 < len(expected) < 30
+    moved, links = [], jaccard_join._links
+
+    def seen(members, cuts):
+        moved.append(members.count())
+        return links(members, cuts)
+
+    monkeypatch.setattr(jaccard_join, "_links", seen)
+    rows = [(0, i, len(s), False, s.tobytes()) for i, s in enumerate(sets)]
+    members = spark.createDataFrame(rows, "cand long, doc_id long, n long, fits boolean, words binary")
+    found = jaccard_join._candidate_links(members, cuts, tile).collect()
+    assert {tuple(sorted(r)) for r in found} == set(expected)
+    assert sum(moved) < n / 3  # in blocks, each set moves several times
+
+
+def test_counts_tell_no_linked_sets_apart():
+    cuts = jaccard_join.Cut(8, 10)
+    sets = sets_of_one_component(6, 150)
+    groups = defaultdict(list)
+    for i, s in enumerate(sets):
+        for low, high in cuts.bands(len(s)):
+            groups[low].append((i, len(s), len(s) <= high, i % 3, low, s))
+    pairs = set()
+    for low, rows in groups.items():
+        for x, y in ((0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2)):
+            some = [(*r[:4], x != y, jaccard_join.counted(r[5], low)) for r in rows if r[3] in (x, y)]
+            pairs |= {tuple(sorted(p)) for p in jaccard_join.near_pairs(some, cuts)}
+    root = {i: i for p in pairs for i in p}
+    for _ in pairs:  # short chains only
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    expected = links_of(sets, cuts)
+    assert expected and all(a in root and b in root and root[a] == root[b] for a, b in expected)
+    assert len(pairs) < 2 * len(expected)
+
+
 def test_jaccard_of_an_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard_join.jaccard_components(docs).count() == 0

@@ -16,12 +16,17 @@ Documents with equal sets are one set throughout, whatever their number. Tasks s
 once and join the sets that share it on the spot. In candidate components beyond ``TILE`` sets or
 ``TILE_BYTES`` of sets and bitmaps all are compared with a leader of each band first; a group of near copies, however large, is mostly
 connected by that. Only sets outside the largest group go on, against blocks by size band.
+
+Before that, large candidate components are cut where no link can be: their sets are compared by
+counts of their hashes in few bins, 64 bytes a set or up to a thirty-second of its own. The counts
+of two sets differ by no more than the sets, so that no linked pair is told apart; pairs that are
+near enough by them make the candidate components anew.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -334,26 +339,18 @@ def tile_links(ids: list[int], sets: list[np.ndarray], cuts: Cut, left: set[int]
     return out
 
 
-def _links(members: DataFrame, cuts: Cut) -> DataFrame:
-    """Links within each tile of (tile, doc_id, base, words of the set)."""
-
-    def emit(rows: list[tuple[int, bool, bytes]]) -> list[tuple[int, int]]:
-        left = {i for i, base, _ in rows if base}
-        sets = {(i, s) for i, _, s in rows}  # a set can be on both sides
-        if len(sets) < 2 or not left:
-            return []
-        one_sided = len(left) < len({i for i, _ in sets})
-        return tile_links([i for i, _ in sets], [np.frombuffer(s, U) for _, s in sets], cuts, left if one_sided else None)
+def _by_tile(rows: DataFrame, emit: Callable[[list[tuple]], list[tuple[int, int]]]) -> DataFrame:
+    """The pairs (a, b) that ``emit`` makes of the rows of each tile; ``tile`` is the first column."""
 
     def run(batches: Batches) -> Batches:
         def found() -> Iterator[list[tuple[int, int]]]:
             last, rows = None, []
             for batch in batches:
-                for tile, i, base, s in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                for tile, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     if tile != last:
                         yield emit(rows)
                         last, rows = tile, []
-                    rows.append((i, base, s))
+                    rows.append(tuple(row))
             yield emit(rows)
 
         for pairs in found():
@@ -362,8 +359,102 @@ def _links(members: DataFrame, cuts: Cut) -> DataFrame:
                     [pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"]
                 )
 
-    sorted_rows = members.select("tile", "doc_id", "base", "words").repartition("tile").sortWithinPartitions("tile")
-    return sorted_rows.mapInArrow(run, "a long, b long")
+    return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "a long, b long")
+
+
+def _links(members: DataFrame, cuts: Cut) -> DataFrame:
+    """Links within each tile of (tile, doc_id, base, words of the set)."""
+
+    def emit(rows: list[tuple[int, bool, bytes]]) -> list[tuple[int, int]]:
+        left = {i for i, base, _ in rows if base}
+        sets = {(i, s) for i, _, s in rows}  # a set can be on both sides
+        if len(sets) < 2 or not left:
+            return []
+        one_sided = len(left) < len({i for i, _ in sets})
+        return tile_links([i for i, _ in sets], [np.frombuffer(s, U) for _, s in sets], cuts, left if one_sided else None)
+
+    return _by_tile(members.select("tile", "doc_id", "base", "words"), emit)
+
+
+def bins(low: int) -> int:
+    """Bins in which the elements of sets of a band are counted: 64, or one for four to ten of them."""
+    return 1 << max(6, (low // 8).bit_length())
+
+
+def counted(s: np.ndarray, low: int) -> bytes:
+    """How many elements each bin of the band holds; beyond 255 it is 255, which brings no two sets apart."""
+    n = bins(low)
+    return np.minimum(np.bincount((s & U(n - 1)).astype(np.int64), minlength=n), 255).astype(np.uint8).tobytes()
+
+
+def near_pairs(rows: list[tuple[int, int, bool, int, bool, bytes]], cuts: Cut) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs that can be linked by their counts.
+
+    Rows are those of a band and of the larger sets that link to it: (id, size, whether the size is
+    the band's own, block, whether only different blocks are compared, counts). The smaller set of
+    a pair is of the band.
+    """
+    if len(rows) < 2:
+        return []
+    rows = sorted(rows, key=lambda r: (r[1], r[0]))
+    ids, n, base, block = [r[0] for r in rows], *(np.array([r[k] for r in rows]) for k in (1, 2, 3))
+    counts = np.frombuffer(b"".join(r[5] for r in rows), np.uint8).reshape(len(rows), -1)
+    apart = rows[0][4]
+    step = max(1, (16 << 20) // counts.shape[1])
+    root = np.arange(len(rows))
+    out = []
+    for i in np.flatnonzero(base).tolist():
+        end = int(np.searchsorted(n, n[i] * cuts.den // cuts.num, "right"))
+        near = np.arange(i + 1, end)
+        near = near[root[i + 1 : end] != root[i]]
+        if apart:
+            near = near[block[near] != block[i]]
+        for start in range(0, len(near), step):
+            at = near[start : start + step]
+            at = at[root[at] != root[i]]
+            differ = (np.maximum(counts[at], counts[i]) - np.minimum(counts[at], counts[i])).sum(axis=1, dtype=np.int64)
+            most = np.minimum((n[at] + n[i] - differ) // 2, n[i])  # elements in common
+            at = at[cuts.den * most >= cuts.num * (n[at] + n[i] - most)]
+            roots, first = np.unique(root[at], return_index=True)
+            out += [(ids[i], ids[j]) for j in at[first].tolist()]
+            root[np.isin(root, roots)] = root[i]
+    return out
+
+
+def _near(large: DataFrame, cuts: Cut, tile: int) -> DataFrame:
+    """Pairs of sets that connect, within each large candidate component, all that can be linked.
+
+    Linked sets have the band of the smaller in common (``Cut.bands``). A band of more than ``tile``
+    sets, or ``TILE_BYTES`` / 4 of counts, is compared in pairs of blocks.
+    """
+
+    def run(batches: Batches) -> Batches:
+        for batch in sliced(batches):
+            rows = []
+            for cand, i, n, s in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                words = np.frombuffer(s, U)
+                rows += [(cand, low, i, n, n <= high, counted(words, low)) for low, high in cuts.bands(n)]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)],
+                names=["cand", "low", "doc_id", "n", "base", "counts"],
+            )
+
+    given = large.select("cand", "doc_id", "n", "words")
+    counts = cut(
+        given.mapInArrow(run, "cand long, low long, doc_id long, n long, base boolean, counts binary"), "set-counts"
+    )
+    blocks = F.greatest(F.count("*") / tile, F.sum(F.octet_length("counts")) / (TILE_BYTES / 4))
+    of = counts.groupBy("cand", "low").agg(F.ceil(blocks).cast("int").alias("of"), F.max("base").alias("any"))
+    dealt = (
+        counts.join(of.where("any").drop("any"), ["cand", "low"])
+        .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("of")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
+    )
+    blocks_of = F.struct("cand", "low", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
+    apart = (F.col("tile.one") != F.col("tile.two")).alias("apart")
+    rows = dealt.withColumn("tile", blocks_of).select("tile", "doc_id", "n", "base", "block", apart, "counts")
+    return _by_tile(rows, lambda some: near_pairs(some, cuts))
 
 
 def _leader_links(large: DataFrame, cuts: Cut) -> DataFrame:
@@ -408,15 +499,28 @@ def _sized(classes: DataFrame, tile: int) -> DataFrame:
 def _candidate_links(members: DataFrame, cuts: Cut, tile: int) -> DataFrame:
     """Links that connect what is connected within each candidate component.
 
-    Small components are a tile. In a large one every set is compared with leaders first; what
-    they leave outside its largest group is then compared with all sets, in blocks by size band.
-    Pairs inside the largest group need no look, as they are connected already.
+    Small components are a tile. Large ones are cut by counts first; sets that are near no other
+    leave. In one that is still large every set is compared with leaders; what they leave outside
+    its largest group is then compared with all sets, in blocks by size band. Pairs inside the
+    largest group need no look, as they are connected already.
     """
-    small = members.where("fits").select(F.col("cand").alias("tile"), "doc_id", F.lit(True).alias("base"), "words")
-    links = _links(small, cuts)
+
+    def tiled(sets: DataFrame) -> DataFrame:
+        return sets.select(F.col("cand").alias("tile"), "doc_id", F.lit(True).alias("base"), "words")
+
+    links = _links(tiled(members.where("fits")), cuts)
+    large = members.where("NOT fits").drop("fits")
+    sizes = cut(large.select("doc_id", "n").distinct(), "large-candidates")
+    if sizes.isEmpty():
+        return links
+    cands = components(_near(large, cuts, tile), "a", "b")
+    cands = cands.select(F.col("node").alias("doc_id"), F.col("component").alias("cand"))
+    near = cut(_sized(sizes.join(cands, "doc_id"), tile), "near-candidates")
+    large = large.drop("cand").join(near, ["doc_id", "n"])
+    links = links.union(_links(tiled(large.where("fits")), cuts))
     step = math.log(cuts.den / cuts.num)
-    large = members.where("NOT fits").withColumn("band", F.floor(F.log(F.col("n")) / step).cast("int"))
-    ids = cut(large.select("cand", "band", "doc_id", "n"), "large-candidates")
+    large = large.where("NOT fits").withColumn("band", F.floor(F.log(F.col("n")) / step).cast("int"))
+    ids = near.where("NOT fits").withColumn("band", F.floor(F.log(F.col("n")) / step).cast("int")).drop("fits")
     if ids.isEmpty():
         return links
     led = cut(_leader_links(large, cuts), "leader-links")
@@ -476,12 +580,20 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 8, den: int =
     chosen = _sized(classes.join(of_class, ["s1", "s2"]), tile)
 
     def words(batches: Batches) -> Batches:
+        seen: set[tuple[int, int, int]] = set()
         for batch in sliced(batches):
+            ids = batch.column("doc_id").to_pylist()
+            if len(seen) >= FLUSH:
+                seen.clear()
             s1, s2 = batch.column("s1").to_pylist(), batch.column("s2").to_pylist()
             keep, sets = [], []
             for i, t in enumerate(texts(batch.column("text"))):
+                key = (ids[i], s1[i], s2[i])
+                if key in seen:  # a repeated row: tiles need one, and drop what other tasks have of it
+                    continue
                 s = distinct(t, size)
-                if digest(s) == (s1[i], s2[i]):  # another row may have the id
+                if digest(s) == key[1:]:  # another row may have the id
+                    seen.add(key)
                     keep.append(i)
                     sets.append(s.tobytes())
             at = pa.array(keep, pa.int64())
@@ -496,7 +608,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 8, den: int =
         .select("cand", "doc_id", "n", "fits", "s1", "s2", "text")
         .mapInArrow(words, "cand long, doc_id long, n long, fits boolean, words binary")
     )
-    members = cut(found, "jaccard-sets").dropDuplicates(["doc_id", "words", "fits"])  # a filter by fits reaches the scan
+    members = cut(found, "jaccard-sets")
     links = _candidate_links(members, cuts, tile)
     groups = components(links, "a", "b").select(F.col("node").alias("rep"), "component")
     named = classes.join(groups, "rep", "left").select(
