@@ -40,6 +40,16 @@ def test_more_files_give_the_same_rows(spark, sf_dir, monkeypatch, exported, que
     assert few == many and exported[0] <= 4 < exported[1]
 
 
+def test_deliveries_are_dealt_before_their_texts_are_made(spark, sf_dir, monkeypatch):
+    export, given = sinks.export_csv, []
+    monkeypatch.setattr(sinks, "export_csv", lambda df, path: given.append(df) or export(df, path))
+    deliveries.stream_recent(spark, sf_dir)
+    text = plan(given[0], "simple")
+    assert text.count("Exchange") == 1 and "RUBRICA" in text and "RUBRICA" not in text[text.index("Exchange") :]
+    raw = testbed.raw_incidents(spark, sf_dir)
+    assert sorted(map(str, rows(given[0]))) == sorted(map(str, rows(raw.unionByName(raw.where("l_partkey % 5 = 0")))))
+
+
 def test_files_with_line_breaks_grow_in_number(spark, sf_dir, small_files):
     path = catalogue.multi_line_file(spark, sf_dir)
     n = testbed.raw_incidents(spark, sf_dir).count()

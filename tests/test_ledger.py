@@ -4,11 +4,13 @@ import shutil
 from concurrent.futures import ThreadPoolExecutor
 
 import pytest
-from helpers import rows
+from helpers import plan, rows
 from pyspark.sql import functions as F
 
+from vigia.operators.clean import clean, clean_of_years
 from vigia.sources import ledger
 from vigia.sources.tables import SourceMissing
+from vigia.streaming import incremental
 from vigia.streaming.incremental import follow_deliveries, follow_recent, land
 
 
@@ -108,3 +110,69 @@ def test_streams_read_files_as_batches_do(spark, tmp_path):
     table = ledger.read_batches(spark, str(tmp_path / "t")).select("NUM_BO", "RUBRICA")
     assert sorted(rows(table)) == [("1", "A"), ("2", "A\nB"), ("3", "€ É")]
     assert rows(ledger.ledger(spark, str(tmp_path / "t")).select("batch", "rows", "malformed")) == [("load-0", 3, 1)]
+
+
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+IN_MEMORY = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+
+
+def on_disk(query):
+    state = query.lastProgress["stateOperators"][0]
+    return any("rocksdb" in m for m in state["customMetrics"]), state["numRowsTotal"]
+
+
+def test_state_of_keys_is_on_disk_unless_the_session_says_otherwise(spark, tmp_path):
+    deliver(tmp_path / "in", "a.csv", ["1;2020;a", "2;2021;b"])
+    assert on_disk(recent(spark, tmp_path, 2015)) == (True, 2)
+    assert [spark.conf.get(k, None) for k in incremental.STATE_ON_DISK] == [None, None]
+    spark.conf.set(PROVIDER, IN_MEMORY)
+    try:
+        own = tmp_path / "own"
+        own.mkdir()
+        deliver(own / "in", "a.csv", ["1;2020;a"])
+        assert on_disk(recent(spark, own, 2015)) == (False, 1)
+        assert spark.conf.get(PROVIDER) == IN_MEMORY
+    finally:
+        spark.conf.unset(PROVIDER)
+    deliver(own / "in", "b.csv", ["1;2020;a", "3;2020;c"])  # a checkpoint of before goes on as it began
+    assert on_disk(recent(spark, own, 2015)) == (False, 2)
+    assert sorted(rows(ledger.read_batches(spark, str(own / "t")).select("NUM_BO"))) == [("1",), ("3",)]
+
+
+YEARS = ["2020", " 2021.0 ", "2022,0", "2023.5", "2.02e3", "2014", "x", "", None, "99999999999", "nan"]
+
+
+def test_rows_of_some_years_are_cleaned_as_all_are(spark):
+    raw = spark.createDataFrame([(f" {i} ", y, "nan" if i % 2 else " furto ", "-23,5", "-46,6") for i, y in enumerate(YEARS)], "NUM_BO string, ANO_BO string, RUBRICA string, LATITUDE string, LONGITUDE string")
+    between = F.col("ANO_BO").between(2015, 2022)
+    for wanted in (between, F.coalesce(~between, F.lit(True))):
+        some = clean_of_years(raw, wanted, "read", F.count(F.lit(1)).alias("n"))
+        assert some.schema == clean(raw).schema
+        assert sorted(map(str, rows(some))) == sorted(map(str, rows(clean(raw).where(wanted))))
+
+
+def filters(text):
+    return [line for line in text.splitlines() if line.strip(" :+-*()0123456789").startswith("Filter")]
+
+
+def test_years_are_chosen_before_other_columns_are_cleaned_and_not_cleaned_anew(spark, tmp_path, monkeypatch):
+    lines = ["1;2020;a;surplus", "2;2010;b", "3;2011;c;surplus", "4;x;d;surplus", "4;;e"]
+    deliver(tmp_path / "in", "a.csv", lines)
+    query = recent(spark, tmp_path, 2015)
+    assert (chosen := filters(query._jsq.explainInternal(False))) and "RLIKE" not in str(chosen)
+    kept, stored = [], incremental.stored
+    monkeypatch.setattr(incremental, "stored", lambda df, label: kept.append(df) or stored(df, label))
+    args = (spark, str(tmp_path / "in"), str(tmp_path / "t"), str(tmp_path / "rest"))
+    follow_deliveries(*args, name="rest", apart_from=(2015, 2024)).awaitTermination()
+    assert (chosen := filters(plan(kept[0], "simple"))) and "RLIKE" not in str(chosen)
+    assert sorted(r[0] for r in rows(kept[0].select("NUM_BO"))) == ["2", "3", "4", "4"]
+    counts = ledger.ledger(spark, str(tmp_path / "t")).where("batch = 'rest-0'").select("rows", "malformed")
+    assert rows(counts) == [(3, 3)]  # of all records, also of those of the years that are left out
+
+
+def test_a_delivery_of_no_rows(spark, tmp_path):
+    path = str(tmp_path / "t")
+    none = spark.createDataFrame([], "NUM_BO string, ANO_BO string, RUBRICA string")
+    land(none, path, name="one", apart_from=(2015, 2024))
+    land(none, path, name="two")
+    assert sorted(rows(ledger.ledger(spark, path).select("batch", "rows", "malformed"))) == [("one", 0, 0), ("two", 0, 0)]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,10 +63,8 @@ def clean_integers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return in_steps(df, dict.fromkeys(columns, WHOLE_NUMBER))
 
 
-def clean(df: DataFrame, cols: Columns = DEFAULT, text: Sequence[str] | None = None) -> DataFrame:
-    """All of it, on whatever of the columns is present; no shuffle. Keys are stripped, and null
-    where they say so, before reports are compared by them.
-    """
+def cleaning(df: DataFrame, cols: Columns = DEFAULT, text: Sequence[str] | None = None) -> dict[str, Steps]:
+    """The steps of every column that ``clean`` changes."""
     texts = text_columns(df, cols) if text is None else text
     strings = {c for c, t in df.dtypes if t == "string"}
     steps = {
@@ -76,5 +74,31 @@ def clean(df: DataFrame, cols: Columns = DEFAULT, text: Sequence[str] | None = N
         **dict.fromkeys(cols.integers, WHOLE_NUMBER),
         **dict.fromkeys(cols.coordinates, DECIMAL_COMMA),
     }
-    out = in_steps(df, {c: s for c, s in steps.items() if c in df.columns})
-    return null_outside_box(out, cols) if set(cols.coordinates) <= set(df.columns) else out
+    return {c: s for c, s in steps.items() if c in df.columns}
+
+
+def boxed(df: DataFrame, cols: Columns = DEFAULT) -> DataFrame:
+    """``null_outside_box`` of tables that have coordinates."""
+    return null_outside_box(df, cols) if set(cols.coordinates) <= set(df.columns) else df
+
+
+def clean(df: DataFrame, cols: Columns = DEFAULT, text: Sequence[str] | None = None) -> DataFrame:
+    """All of it, on whatever of the columns is present; no shuffle. Keys are stripped, and null
+    where they say so, before reports are compared by them.
+    """
+    return boxed(in_steps(df, cleaning(df, cols, text)), cols)
+
+
+def clean_of_years(
+    df: DataFrame, wanted: Column, observation: Observation | str, observed: Column, cols: Columns = DEFAULT
+) -> DataFrame:
+    """``clean`` of the rows whose clean report year is ``wanted``; ``observed`` is of all rows.
+
+    Other rows are spared all but the cleaning of their year. The observation has to be between that and
+    the filter: a filter on a cleaned column is otherwise moved below the cleaning, whose steps it
+    then repeats, nested, several times over.
+    """
+    steps = cleaning(df, cols)
+    year = {c: steps.pop(c) for c in (cols.number_year,) if c in steps}
+    kept = in_steps(df, year).observe(observation, observed).where(wanted)
+    return boxed(in_steps(kept, steps), cols)

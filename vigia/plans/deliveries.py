@@ -22,6 +22,8 @@ from vigia.plans.testbed import (
     derived,
     file_count,
     raw_incidents,
+    raw_of,
+    raw_source,
 )
 from vigia.sources import delimited, ledger, search_index, sinks, tables
 from vigia.sources.workspace import fresh_dir, stored
@@ -96,11 +98,11 @@ def stream_charsets(spark: SparkSession, d: str) -> DataFrame:
 def stream_recent(spark: SparkSession, d: str) -> DataFrame:
     """Deliveries with repeated reports: keys of recent years are held as state, others looked up."""
     folder, table = fresh_dir(spark, "deliveries"), fresh_dir(spark, "batches")
-    raw = raw_incidents(spark, d)
-    again = raw.where("l_partkey % 5 = 0")
-    repeated = raw.unionByName(again)
+    source = raw_source(spark, d)
+    again = source.where("l_partkey % 5 = 0")
+    repeated = source.unionByName(again)
     files = file_count(repeated, RECENT_DELIVERIES)
-    sinks.export_csv(repeated.repartition(files, *repeated.columns), folder)
+    sinks.export_csv(raw_of(repeated.repartition(files, *repeated.columns)), folder)
     years, at_once = {"since": 1995, "until": 1998}, -(-files // RECENT_DELIVERIES)
     follow_recent(spark, folder, table, fresh_dir(spark, "progress"), **years, name="recent", files_per_batch=at_once).awaitTermination()
     rest = fresh_dir(spark, "progress")

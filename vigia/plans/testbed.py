@@ -72,6 +72,9 @@ RAW_COLUMNS = {
     "l_suppkey": "l_suppkey",
 }
 
+# What the raw columns are made of.
+RAW_SOURCE = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_shipdate")
+
 
 # Report numbers with blanks around them, or a word for "missing" in their place; and reports of
 # one number and year of which some lack the heading.
@@ -103,6 +106,15 @@ def raw_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived(spark, sf_dir, "lineitem", RAW_COLUMNS)
 
 
+def raw_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that ``raw_of`` makes raw incidents of; a shuffle moves a third of the bytes."""
+    return read_incidents(spark, f"{sf_dir}/lineitem.parquet").select(*RAW_SOURCE)
+
+
+def raw_of(source: DataFrame) -> DataFrame:
+    return source.selectExpr(*(f"{e} AS {c}" for c, e in RAW_COLUMNS.items()))
+
+
 # Rows of a file that a query writes, about, so that the files' number grows with the table, not their size.
 FILE_ROWS = 500_000
 

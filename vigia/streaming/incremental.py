@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from threading import Lock
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from vigia.model import DEFAULT, Columns
-from vigia.operators.clean import clean
+from vigia.operators.clean import clean, clean_of_years
 from vigia.operators.dedup import dedup, survivor_fields
 from vigia.operators.incremental import new_rows
 from vigia.sources.delimited import (
@@ -27,6 +29,13 @@ from vigia.sources.sinks import append_parquet
 from vigia.sources.tables import SourceMissing, read_incidents
 from vigia.sources.workspace import stored
 
+# State of more keys than memory holds; the first setting names the provider.
+STATE_ON_DISK = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+}
+_STARTING = Lock()
+
 
 def land(
     batch: DataFrame,
@@ -51,11 +60,14 @@ def land(
     if name and is_finished(spark, table_path, name):
         return
     marked = F.col(MALFORMED).isNotNull() if MALFORMED in batch.columns else F.lit(False)
-    rows = stored(clean(batch.withColumn(MALFORMED, marked.cast("long")), cols), "delivery")
-    misfits = rows.agg(F.coalesce(F.sum(MALFORMED), F.lit(0))).first()[0]
-    rows = rows.drop(MALFORMED)
+    batch, seen = batch.withColumn(MALFORMED, marked.cast("long")), Observation()
+    misfits = F.coalesce(F.sum(MALFORMED), F.lit(0)).alias("misfits")
     if apart_from:
-        rows = rows.where(F.coalesce(~F.col(cols.number_year).between(*apart_from), F.lit(True)))
+        others = F.coalesce(~F.col(cols.number_year).between(*apart_from), F.lit(True))
+        rows = clean_of_years(batch, others, seen, misfits, cols)
+    else:
+        rows = clean(batch, cols).observe(seen, misfits)
+    rows = stored(rows.drop(MALFORMED), "delivery")
     try:
         table = read_batches(spark, table_path) if name else read_incidents(spark, table_path, rows.schema)
     except SourceMissing:
@@ -63,7 +75,7 @@ def land(
     else:
         fresh = new_rows(rows, table, cols, keep_null_keys)
     if name:
-        append_batch(fresh, table_path, name, partition_by, malformed=misfits)
+        append_batch(fresh, table_path, name, partition_by, malformed=seen.get["misfits"])
     else:
         append_parquet(fresh, table_path, partition_by)
 
@@ -134,6 +146,25 @@ def first_seen(rows: DataFrame, since: int, until: int, cols: Columns = DEFAULT)
     return seen.where("_first = _last").select(*columns)
 
 
+@contextmanager
+def state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """A query that is started in here holds its state in RocksDB, on local disks and with bounded memory,
+    unless the session names a provider itself. The query has a copy of the session's settings, which
+    are afterwards as they were; a checkpoint stays with the provider it began with.
+    """
+    with _STARTING:
+        ours = STATE_ON_DISK if spark.conf.get(next(iter(STATE_ON_DISK)), None) is None else {}
+        before = {k: spark.conf.get(k, None) for k in ours}
+        for k, v in ours.items():
+            spark.conf.set(k, v if before[k] is None else before[k])
+        try:
+            yield
+        finally:
+            for k, v in before.items():
+                if v is None:
+                    spark.conf.unset(k)
+
+
 def follow_recent(
     spark: SparkSession,
     folder: str,
@@ -163,14 +194,16 @@ def follow_recent(
     names = columns if columns is not None else header(spark, folder, sep, read_as, multi_line)
     options = scan_options(sep, read_as, multi_line)
     raw = spark.readStream.schema(text_schema(names)).option("maxFilesPerTrigger", files_per_batch).options(**options).csv(folder)
-    rows = clean(decoded(raw, names) if windows else raw, cols)
+    recent = F.col(cols.number_year).between(since, until)
+    rows = clean_of_years(decoded(raw, names) if windows else raw, recent, "read", F.count(F.lit(1)).alias("rows"), cols)
 
     def handle(batch: DataFrame, number: int) -> None:
         append_batch(batch, table_path, f"{name}-{number}", partition_by)
 
-    return (
+    query = (
         first_seen(rows, since, until, cols).writeStream.outputMode("update").foreachBatch(handle)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
-        .start()
     )
+    with state_on_disk(spark):
+        return query.start()
